@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing
+from . import decontaminate, merkle, packing, simhash, warc
 from .common import table
 
 
@@ -12,14 +12,31 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(warc.capture_history(table(spark, sf_dir, "pages")))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_document_fingerprints": op3_document_fingerprints,
+    "op9_warc": op9_warc,
     "op10_decontamination": op10_decontamination,
 }
 ORACLE_SQL = {
+    "op3_document_fingerprints": merkle.ORACLE_SQL,
+    "op9_warc": warc.ORACLE_SQL,
     "op10_decontamination": decontaminate.ORACLE_SQL,
 }
