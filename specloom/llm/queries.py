@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, merkle, packing, simhash, warc
+from . import decontaminate, merkle, packing, simhash, suffix, warc
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(suffix.find_repeats(table(spark, sf_dir, "documents")))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(warc.capture_history(table(spark, sf_dir, "pages")))
 
@@ -32,6 +36,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_document_fingerprints": op3_document_fingerprints,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op9_warc": op9_warc,
     "op10_decontamination": op10_decontamination,
 }
