@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, merkle, packing, simhash, suffix, warc
+from . import chat, decontaminate, langid, maxent, merkle, packing, simhash, suffix, toxicity, warc
 from .common import table
 
 
@@ -24,6 +25,18 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest(suffix.find_repeats(table(spark, sf_dir, "documents")))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_languages(table(spark, sf_dir, "documents"))
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(warc.capture_history(table(spark, sf_dir, "pages")))
 
@@ -37,10 +50,16 @@ QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op5_toxicity": op5_toxicity,
+    "op6_language_id": op6_language_id,
+    "op7_chat_formatting": chat.query,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_warc": op9_warc,
     "op10_decontamination": op10_decontamination,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {
+    "op7_chat_formatting": chat.ORACLE_SQL,
     "op3_document_fingerprints": merkle.ORACLE_SQL,
     "op9_warc": warc.ORACLE_SQL,
     "op10_decontamination": decontaminate.ORACLE_SQL,
