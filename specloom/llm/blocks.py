@@ -43,7 +43,7 @@ def unsqueeze(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def pack(df: DataFrame, total_bytes: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def pack(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """df (with a text) as blocks: block (a number) and payload."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +72,7 @@ def pack(df: DataFrame, total_bytes: int, block_bytes: int = BLOCK_BYTES) -> Dat
         if held:
             yield close()
 
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), total_bytes // block_bytes)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as the joins deal: with another number the plan deals the blocks out again
     return df.mapInArrow(write, "block long, payload binary").repartition(parts, "block")
 
 

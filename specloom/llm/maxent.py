@@ -217,7 +217,7 @@ def score_documents(docs: DataFrame, updates: int = UPDATES) -> DataFrame:
     model = train(own.where("not held_out").select("doc_id", "text"), updates)
     spark, total = docs.sparkSession, text_bytes(own)
     sent, shards = spark.sparkContext.broadcast(model), B.shards_for(total, SHARD_BYTES)
-    dealt = B.pack(own, total)
+    dealt = B.pack(own)
 
     def tokens_of(table: pa.Table) -> tuple[Tokens, np.ndarray, np.ndarray, np.ndarray]:
         """The tokens of a block, its distinct keys in order, their first places, and the key of each token."""

@@ -370,7 +370,7 @@ def _found(docs: DataFrame, length: int) -> tuple[DataFrame, int]:
         raise ValueError("lengths from 16 to 64 bytes are laid out for")
     total = text_bytes(docs)
     shards, hot = B.shards_for(total, SHARD_BYTES), HOT
-    dealt = B.pack(docs, total)
+    dealt = B.pack(docs)
 
     def send_keys(table: pa.Table, _) -> Iterator[tuple[int, bytes]]:
         keys, n = Anchored(table, length).keys()
