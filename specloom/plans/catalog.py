@@ -1,4 +1,305 @@
 """Registered queries over the test tables and their DuckDB counterparts."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import paths as P
+from ..functions import text as T
+from ..operators import diff, endpoints, errors, noise, quality
+from ..operators.observe import bodies, observe, with_template
+from ..operators.profile import aliases, field_profile, presence, strings
+from ..sources.logs import parse_lines, skip_tally
+from ..streaming import tracker
+from .adapter import LOGS_SQL, entries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+DEPTH = 2  # of the adapter's bodies
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observe(bodies(entries(spark, sf_dir)), DEPTH).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+
+
+_PATHS = {"id": "", "type": "", "cents": "", "note": "", "level": "", "user": "", "user.user_id": "user", "user.day": "user"}
+_RAW = {"user.user_id": "user.userId"}
+#: Observations of the adapter's bodies, with DuckDB's JSON functions.
+_OBS = LOGS_SQL + ", obs AS (" + " UNION ALL ".join(
+    f"SELECT method, template, CAST(status AS VARCHAR) AS scope, entry_seq, '{p}' AS path, '{parent}' AS parent, json_type(response_body, '$.{_RAW.get(p, p)}') AS jt, response_body->>'$.{_RAW.get(p, p)}' AS txt FROM logs WHERE json_type(response_body, '$.{_RAW.get(p, p)}') IS NOT NULL"
+    for p, parent in _PATHS.items()
+) + " UNION ALL SELECT method, template, 'request', entry_seq, 'k', '', json_type(request_body, '$.k'), request_body->>'$.k' FROM logs WHERE json_type(request_body, '$.k') IS NOT NULL)"
+_KIND = "CASE jt WHEN 'VARCHAR' THEN 'string' WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'number' WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' ELSE 'array' END"
+_FIELDS = _OBS + f""", calls AS (SELECT method, template, CAST(status AS VARCHAR) AS scope, count(*) AS n FROM logs GROUP BY ALL UNION ALL SELECT method, template, 'request', count(*) FROM logs WHERE request_body IS NOT NULL AND status BETWEEN 200 AND 299 GROUP BY ALL),
+fields AS (SELECT method, template, scope, path, n, count(*) AS present, count(*) FILTER ({_KIND} = 'null') AS nulls, count(*) FILTER ({_KIND} = 'integer') AS ints, count(*) FILTER ({_KIND} = 'string') AS texts, min(CASE WHEN {_KIND} = 'integer' THEN CAST(txt AS BIGINT) END) AS lo, max(CASE WHEN {_KIND} = 'integer' THEN CAST(txt AS BIGINT) END) AS hi FROM obs JOIN calls USING (method, template, scope) GROUP BY method, template, scope, path, n)"""
+_ID = "({0} SIMILAR TO '[0-9]+' OR regexp_full_match({0}, '[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}') OR regexp_full_match({0}, '[0-9a-fA-F]{{24}}') OR (regexp_full_match({0}, '[A-Za-z0-9_-]{{8,}}') AND regexp_matches({0}, '[0-9]')))"
+_SPLIT = "SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '^[^/?#]*://[^/?#]*', ''), '#.*$', ''), '\\?.*$', '') AS rest, regexp_extract(regexp_replace(url, '#.*$', ''), '\\?(.*)$', 1) AS query FROM pages"
+
+
+@query(LOGS_SQL + " SELECT method, template, count(*) AS sample_count, min(timestamp) AS first_seen, max(timestamp) AS last_seen, list_sort(list_distinct(list(status))) AS statuses FROM logs GROUP BY method, template")
+def endpoint_inventory(spark, sf_dir):
+    return endpoints.endpoints(entries(spark, sf_dir)).select("method", "template", "sample_count", "first_seen", "last_seen", F.transform("statuses", lambda s: s).alias("statuses"))
+
+
+@query(f"SELECT page_id, CASE WHEN rest LIKE '/%' THEN rest ELSE '/' || rest END AS path, query FROM ({_SPLIT})")
+def url_split(spark, sf_dir):
+    return _pages(spark, sf_dir).withColumn("u", P.split_url(F.col("url"))).select("page_id", "u.path", "u.query")
+
+
+@query(f"SELECT page_id, replace(url_decode(replace(split_part(p, '=', 1), '+', ' ')), '', '') AS name, url_decode(replace(substr(p, instr(p, '=') + 1), '+', ' ')) AS value FROM (SELECT page_id, unnest(string_split(query, '&')) AS p FROM ({_SPLIT}) WHERE query LIKE '%=%') WHERE p <> ''")
+def query_params(spark, sf_dir):
+    pages = _pages(spark, sf_dir).withColumn("u", P.split_url(F.col("url")))
+    return pages.select("page_id", F.explode(P.query_params(F.col("u.query"))).alias("name", "value"))
+
+
+@query(f"SELECT page_id, segment, {_ID.format('segment')} AS is_id FROM (SELECT page_id, unnest(string_split(rest, '/')) AS segment FROM ({_SPLIT})) WHERE segment <> ''")
+def id_segments(spark, sf_dir):
+    pages = _pages(spark, sf_dir).withColumn("u", P.split_url(F.col("url")))
+    return pages.select("page_id", F.explode(F.filter(F.split("u.path", "/"), lambda s: s != "")).alias("segment")).withColumn("is_id", P.is_id_segment(F.col("segment")))
+
+
+@query(f"SELECT page_id, '/' || array_to_string(list_transform(list_filter(string_split(rest, '/'), lambda s: s <> ''), lambda s: CASE WHEN {_ID.format('s')} THEN '{{id}}' ELSE s END), '/') AS template FROM ({_SPLIT}) WHERE len(list_filter(string_split(rest, '/'), lambda s: {_ID.format('s')})) <= 1")
+def path_template(spark, sf_dir):
+    """Of pages with at most one id (the oracle's reach); tests hold the others against tables of cases."""
+    pages = _pages(spark, sf_dir).withColumn("t", P.path_template(P.split_url(F.col("url"))["path"]))
+    return pages.where(F.size("t.params") <= 1).select("page_id", "t.template")
+
+
+@query(LOGS_SQL + ", s AS (SELECT *, CAST(status // 100 AS VARCHAR) || 'xx' AS class FROM logs) SELECT method, template, status, class, count(*) AS count FROM s GROUP BY GROUPING SETS ((method, template, status), (status), (class), ())")
+def status_histogram(spark, sf_dir):
+    return endpoints.status_histogram(entries(spark, sf_dir))
+
+
+@query("SELECT CASE event_id % 5 WHEN 0 THEN 'invalid_json' WHEN 1 THEN 'non_object' WHEN 2 THEN 'no_method' ELSE 'no_status' END AS skip_reason, count(*) AS count FROM events WHERE event_id % 5 <> 4 GROUP BY 1")
+def parse_skip_tally(spark, sf_dir):
+    line = "CASE event_id % 5 WHEN 0 THEN '{broken' WHEN 1 THEN '[1]' WHEN 2 THEN '{\"path\":\"/a\",\"status\":200}' WHEN 3 THEN '{\"verb\":\"get\",\"url\":\"/a\",\"status\":\"none\"}' ELSE '{\"httpMethod\":\"get\",\"uri\":\"/a?x=1\",\"statusCode\":\"200 OK\"}' END AS value"
+    return skip_tally(parse_lines(spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id AS entry_seq", line)))
+
+
+@query("SELECT event_id AS entry_seq, 'POST' AS method, '/users/' || user_id AS path, 200 + CAST(event_id % 4 AS INTEGER) AS status, event_type AS kind, CASE WHEN event_id % 2 = 0 THEN 'status_coerced' ELSE '' END AS flags, '{\"k\":' || CAST(user_id AS VARCHAR) || '}' AS request_body FROM events")
+def line_parse(spark, sf_dir):
+    line = "concat('{\"request\":{\"httpMethod\":\"post\",\"url\":\"http://h.example/users/', user_id, '?kind=', event_type, '\",\"body\":\"{\\\\\"k\\\\\":', user_id, '}\"},\"response\":{\"statusCode\":', CASE WHEN event_id % 2 = 0 THEN concat('\"', 200 + event_id % 4, ' Fine\"') ELSE cast(200 + event_id % 4 AS STRING) END, '}}') AS value"
+    out = parse_lines(spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id AS entry_seq", line))
+    return out.select("entry_seq", "method", "path", "status", F.col("query")["kind"].alias("kind"), F.array_join("flags", ",").alias("flags"), "request_body")
+
+
+@query(_FIELDS + " SELECT method, template, scope, path, CASE WHEN path LIKE 'user.%' THEN n ELSE n END AS n, present, nulls FROM fields")
+def field_presence(spark, sf_dir):
+    return presence(_observed(spark, sf_dir)).where("path <> ''").select("method", "template", "scope", "path", "n", "present", "nulls")
+
+
+_WILSON = "greatest(0.0::DOUBLE, (present::DOUBLE / n::DOUBLE + (1.96 * 1.96)::DOUBLE / (2.0::DOUBLE * n::DOUBLE) - 1.96::DOUBLE * sqrt((present::DOUBLE / n::DOUBLE * (1.0::DOUBLE - present::DOUBLE / n::DOUBLE) + (1.96 * 1.96)::DOUBLE / (4.0::DOUBLE * n::DOUBLE)) / n::DOUBLE)) / (1.0::DOUBLE + (1.96 * 1.96)::DOUBLE / n::DOUBLE))"
+
+
+@query(_FIELDS + f" SELECT method, template, scope, path, round({_WILSON}, 6) AS presence_lb FROM fields")
+def wilson_presence(spark, sf_dir):
+    return presence(_observed(spark, sf_dir)).where("path <> ''").select("method", "template", "scope", "path", F.round(T.wilson_lower_bound(F.col("present"), F.col("n")), 6).alias("presence_lb"))
+
+
+@query(_FIELDS + """ SELECT method, template, scope, path, present::DOUBLE / n >= 0.98 AS required, nulls > 0 AS nullable, CASE WHEN ints > 0 AND lo < hi THEN lo END AS lo, CASE WHEN ints > 0 AND lo < hi THEN hi END AS hi,
+ CASE WHEN ints > 0 AND texts > 0 AND greatest(ints, texts)::DOUBLE / (ints + texts) >= 0.95 THEN CASE WHEN ints > texts THEN 'integer' ELSE 'string' END WHEN ints > 0 AND texts > 0 THEN 'integer|string' WHEN ints > 0 THEN 'integer' WHEN texts > 0 THEN 'string' WHEN path = 'user' THEN 'object' ELSE '' END AS types FROM fields""")
+def field_decisions(spark, sf_dir):
+    out = field_profile(_observed(spark, sf_dir)).where("path <> ''")
+    return out.select("method", "template", "scope", "path", "required", "nullable", "lo", "hi", F.array_join("types", "|").alias("types"))
+
+
+@query(_OBS + """, s AS (SELECT method, template, scope, path, txt, count(*) AS c FROM obs WHERE jt = 'VARCHAR' GROUP BY ALL), g AS (SELECT method, template, scope, path, sum(c) AS n, count(*) AS d, bool_and(txt <> '' AND NOT contains(txt, ' ') AND length(txt) <= 24) AS plain, bool_and(regexp_full_match(txt, '[0-9]{4}-[0-9]{2}-[0-9]{2}')) AS is_date, list_sort(list(txt)) AS vs FROM s GROUP BY ALL)
+ SELECT method, template, scope, path, CASE WHEN is_date THEN 'date' END AS format, CASE WHEN NOT is_date AND plain AND n >= 5 AND d <= 8 AND n::DOUBLE / d >= 2.0 THEN array_to_string(vs, ',') END AS enum, CASE WHEN NOT is_date AND plain AND n >= 5 AND d <= 8 AND n::DOUBLE / d >= 2.0 THEN round(least(1.0::DOUBLE, n::DOUBLE / 60.0::DOUBLE), 2) END AS enum_confidence FROM g""")
+def enum_and_format(spark, sf_dir):
+    return strings(_observed(spark, sf_dir)).select("method", "template", "scope", "path", "format", F.array_join("enum", ",").alias("enum"), "enum_confidence")
+
+
+@query("SELECT 'GET' AS method, '/x' AS template, '200' AS scope, 'user_id' AS path, 'userId,user_id' AS aliases, true AS inconsistent WHERE (SELECT count(*) FROM events) > 0")
+def alias_casing(spark, sf_dir):
+    body = "CASE WHEN event_id % 3 = 0 THEN concat('{\"user_id\":', user_id, '}') ELSE concat('{\"userId\":', user_id, '}') END AS body"
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("'GET' AS method", "'/x' AS template", "'200' AS scope", "event_id AS entry_seq", body)
+    out = aliases(observe(rows, 1))
+    return out.select("method", "template", "scope", "path", F.array_join("aliases", ",").alias("aliases"), (F.col("_casing") == "inconsistent_casing").alias("inconsistent"))
+
+
+@query("SELECT c_mktsegment AS value, count(*) AS n FROM customer GROUP BY 1")
+def table_profile(spark, sf_dir):
+    """Any table's rows as bodies: the segments of customers are an enum."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.lit("GET").alias("method"), F.lit("/customers").alias("template"), F.lit("200").alias("scope"), F.col("c_custkey").alias("entry_seq"), F.to_json(F.struct("c_mktsegment")).alias("body"))
+    return observe(rows, 1).where("path = 'c_mktsegment'").groupBy(F.col("text").alias("value")).agg(F.count("*").alias("n"))
+
+
+@query(LOGS_SQL + " SELECT method, template, name, 'integer' AS type FROM (SELECT DISTINCT method, template, unnest(regexp_extract_all(template, '\\{([a-zA-Z]+)\\}', 1)) AS name FROM logs)")
+def path_param_types(spark, sf_dir):
+    return endpoints.path_params(entries(spark, sf_dir)).select("method", "template", "name", "type")
+
+
+@query(LOGS_SQL + " SELECT method, template, round(avg(CASE WHEN entry_seq % 4 <> 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS auth_rate FROM logs GROUP BY ALL")
+def auth_rate(spark, sf_dir):
+    return endpoints.auth_rate(entries(spark, sf_dir)).withColumn("auth_rate", F.round("auth_rate", 6))
+
+
+@query(LOGS_SQL + ", h AS (SELECT method, template, 'v' || CAST(entry_seq % 3 AS VARCHAR) AS v, count(*) AS n, min(entry_seq) AS f FROM logs WHERE entry_seq % 3 > 0 GROUP BY ALL) SELECT method, template, arg_max(v, n * 1000000000 - f) AS header_version FROM h GROUP BY ALL")
+def header_versions(spark, sf_dir):
+    log = with_template(entries(spark, sf_dir))
+    version = F.when(F.col("entry_seq") % 3 > 0, F.create_map(F.lit("Accept-Version"), F.concat(F.lit("v"), (F.col("entry_seq") % 3).cast("string")))).otherwise(F.create_map().cast("map<string,string>"))
+    return endpoints.header_version(log.withColumn("headers", version))
+
+
+@query(LOGS_SQL + " SELECT method, template, status, arg_min(response_body, entry_seq) AS example FROM logs GROUP BY ALL")
+def first_examples(spark, sf_dir):
+    return endpoints.examples(entries(spark, sf_dir))
+
+
+@query("SELECT 'GET' AS method, '/m' AS template, 'full_name,mail' AS a, 'email,name' AS b FROM (SELECT 1) WHERE (SELECT count(*) FROM events) > 0")
+def version_mix(spark, sf_dir):
+    body = "CASE WHEN event_id % 5 < 3 THEN concat('{\"id\":1,\"full_name\":\"x\",\"mail\":\"y\"}') ELSE '{\"id\":2,\"name\":\"x\",\"email\":\"y\"}' END AS response_body"
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id AS entry_seq", "'GET' AS method", "'/m' AS path", "200 AS status", body)
+    return endpoints.version_mix(rows).select("method", "template", F.array_join(F.element_at("clusters", 1)["keys"], ",").alias("a"), F.array_join(F.element_at("clusters", 2)["keys"], ",").alias("b"))
+
+
+@query("SELECT 'name' AS new, 'full_name' AS old, 0.5::DOUBLE AS likeness WHERE (SELECT count(*) FROM events) > 0")
+def version_renames(spark, sf_dir):
+    body = "CASE WHEN event_id % 5 < 3 THEN concat('{\"id\":1,\"full_name\":\"x\",\"mail\":\"y\"}') ELSE '{\"id\":2,\"name\":\"x\",\"email\":\"y\"}' END AS response_body"
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id AS entry_seq", "'GET' AS method", "'/m' AS path", "200 AS status", body)
+    return endpoints.rename_candidates(endpoints.version_mix(rows)).select("old", "new", "likeness")
+
+
+@query(_OBS + ", e AS (SELECT count(*) AS total FROM logs WHERE status >= 400) SELECT path, count(*) AS n, round(count(*)::DOUBLE / any_value(total), 6) AS share FROM obs, e WHERE scope = '500' AND parent = '' GROUP BY path")
+def error_envelope(spark, sf_dir):
+    return errors.error_envelope(_observed(spark, sf_dir)).select("path", "n", F.round("share", 6).alias("share"))
+
+
+@query(LOGS_SQL + " SELECT coalesce(bool_or(status = 422), false) AS has_422, coalesce(bool_or(status = 409), false) AS has_409, coalesce(bool_or(status = 429), false) AS has_429, coalesce(bool_or(status >= 400), false) AS has_envelope FROM logs")
+def api_evidence(spark, sf_dir):
+    return errors.api_evidence(entries(spark, sf_dir))
+
+
+@query(LOGS_SQL + """, e AS (SELECT method, template, bool_or(request_body IS NOT NULL) AS body, avg(CASE WHEN entry_seq % 4 <> 0 THEN 1.0 ELSE 0.0 END) AS auth, list(DISTINCT status) AS seen FROM logs GROUP BY ALL),
+ m AS (SELECT template, count(DISTINCT method) AS methods FROM logs GROUP BY 1),
+ r AS (SELECT method, template, seen, unnest([CASE WHEN contains(template, '{') THEN 404 END, CASE WHEN body THEN 400 END, CASE WHEN auth >= 0.5 THEN 401 END, CASE WHEN auth >= 0.5 THEN 403 END, CASE WHEN methods > 1 THEN 405 END, 500]) AS status FROM e JOIN m USING (template))
+ SELECT method, template, CAST(status AS INTEGER) AS status, CASE WHEN status IN (405, 500) THEN 'low' ELSE 'medium' END AS confidence FROM r WHERE status IS NOT NULL AND NOT list_contains(seen, status)""")
+def error_rules(spark, sf_dir):
+    return errors.inferred_responses(entries(spark, sf_dir), _observed(spark, sf_dir)).select("method", "template", "status", "confidence")
+
+
+@query(LOGS_SQL + ", t AS (SELECT method, template, count(*) AS total FROM logs GROUP BY ALL) SELECT method, template, status, round(count(*)::DOUBLE / any_value(total), 6) AS rate FROM logs JOIN t USING (method, template) WHERE status >= 400 GROUP BY method, template, status")
+def observed_status_rate(spark, sf_dir):
+    return errors.observed_status_rate(entries(spark, sf_dir)).withColumn("rate", F.round("rate", 6))
+
+
+@query(LOGS_SQL + " SELECT method, template, count(*) AS n, arg_min(response_body, entry_seq) FILTER (status < 300) AS example FROM logs GROUP BY ALL HAVING count(*) < 1000000")
+def thin_endpoints(spark, sf_dir):
+    return errors.thin_endpoints(entries(spark, sf_dir), 1_000_000)
+
+
+@query(LOGS_SQL + " SELECT method, template, count(*) AS sample_count, CASE WHEN count(*) < 10 THEN 'low' WHEN count(*) < 30 THEN 'medium' ELSE 'high' END AS confidence FROM logs GROUP BY ALL")
+def endpoint_confidence(spark, sf_dir):
+    log = entries(spark, sf_dir).withColumn("response_body", F.regexp_replace("response_body", ',"level":"high"', ""))
+    return quality.endpoint_confidence(endpoints.endpoints(log), field_profile(observe(bodies(log), DEPTH).persist(StorageLevel.MEMORY_AND_DISK))).select("method", "template", "sample_count", "confidence")
+
+
+@query("SELECT count(*) - sum(bad) AS read, sum(bad) AS skipped, round((count(*) - sum(bad))::DOUBLE / count(*), 4) AS parse_rate FROM (SELECT CAST(event_id % 10 = 0 AS BIGINT) AS bad FROM events)")
+def parse_rate(spark, sf_dir):
+    line = "CASE WHEN event_id % 10 = 0 THEN 'oops' ELSE '{\"method\":\"GET\",\"path\":\"/\",\"status\":200}' END AS value"
+    return quality.parse_rate(parse_lines(spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id AS entry_seq", line)))
+
+
+@query()
+def scorecard(spark, sf_dir):
+    clean = entries(spark, sf_dir)
+    return quality.scorecard(field_profile(observe(bodies(clean), DEPTH).persist(StorageLevel.MEMORY_AND_DISK)), field_profile(observe(bodies(noise.mutate(clean, 7)), DEPTH).persist(StorageLevel.MEMORY_AND_DISK)))
+
+
+@query()
+def noise_mutations(spark, sf_dir):
+    return noise.mutate(entries(spark, sf_dir), 3).select("entry_seq", "response_body")
+
+
+@query(LOGS_SQL + """, h AS (SELECT *, entry_seq >= (SELECT count(*) FROM events) // 2 AS late FROM logs WHERE template <> '/orders' OR entry_seq < (SELECT count(*) FROM events) // 2)
+ SELECT CASE WHEN NOT bool_or(late) THEN 'endpoint_removed' ELSE 'endpoint_added' END AS kind, method, template, NOT bool_or(late) AS breaking FROM h GROUP BY method, template HAVING bool_and(late) OR NOT bool_or(late)""")
+def spec_diff_endpoints(spark, sf_dir):
+    half = spark.read.parquet(f"{sf_dir}/events.parquet").count() // 2
+    log = entries(spark, sf_dir)
+    old, new = endpoints.endpoints(log.where(F.col("entry_seq") < half)), endpoints.endpoints(log.where((F.col("entry_seq") >= half) & (F.col("path") != "/orders")))
+    return diff.diff_endpoints(old, new).select("kind", "method", "template", "breaking")
+
+
+@query("SELECT * FROM (VALUES ('field_removed', 'response.200.body.type', true), ('field_added', 'response.200.body.extra', false), ('type_changed', 'response.200.body.id', true), ('became_optional', 'response.200.body.cents', false)) AS t(kind, location, breaking)")
+def spec_diff_fields(spark, sf_dir):
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'view'")
+    old = raw.selectExpr("event_id AS entry_seq", "'GET' AS method", "'/d' AS path", "200 AS status", "CAST(NULL AS STRING) AS request_body", "concat('{\"id\":', event_id, ',\"type\":\"t\",\"cents\":1}') AS response_body")
+    new = raw.selectExpr("event_id AS entry_seq", "'GET' AS method", "'/d' AS path", "200 AS status", "CAST(NULL AS STRING) AS request_body", "concat('{\"id\":\"', event_id, '\",\"extra\":{\"a\":1}', CASE WHEN event_id % 2 = 0 THEN ',\"cents\":1' ELSE '' END, '}') AS response_body")
+    profile = lambda df: field_profile(observe(bodies(df), DEPTH).persist(StorageLevel.MEMORY_AND_DISK))
+    return diff.diff_fields(profile(old), profile(new)).select("kind", "location", "breaking")
+
+
+@query(_OBS + """, i AS (SELECT method, template, CAST(status AS VARCHAR) AS scope, entry_seq, row_number() OVER (PARTITION BY method, template, status ORDER BY entry_seq) AS idx FROM logs),
+ f AS (SELECT method, template, scope, path, min(idx) AS first_seen, max(idx) AS last_seen, count(*) AS present FROM obs JOIN i USING (method, template, scope, entry_seq) WHERE scope <> 'request' GROUP BY ALL),
+ t AS (SELECT method, template, scope, max(idx) AS n FROM i GROUP BY ALL)
+ SELECT method, template, scope, path, first_seen, present, n - last_seen AS missing_streak, CASE WHEN n > last_seen THEN last_seen + 1 END AS missing_since FROM f JOIN t USING (method, template, scope)""")
+def missing_streaks(spark, sf_dir):
+    out = tracker.field_states(_observed(spark, sf_dir)).where("scope <> 'request'")
+    return out.select("method", "template", "scope", "path", F.col("first_seen").cast("long"), "present", "missing_streak", F.col("missing_since").cast("long"))
+
+
+@query("SELECT * FROM (VALUES ('name', 'full_name', 0.5::DOUBLE, true)) AS t(old, new, likeness, complete)")
+def rename_candidates(spark, sf_dir):
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'view'")
+    half = raw.agg(F.percentile("event_id", 0.5)).first()[0]
+    rows = raw.select(F.col("event_id").alias("entry_seq"), F.lit("GET").alias("method"), F.lit("/r").alias("template"), F.lit("200").alias("scope"), F.when(F.col("event_id") < half, F.lit('{"name":"x"}')).otherwise(F.lit('{"full_name":"x"}')).alias("body"))
+    return tracker.rename_pairs(tracker.field_states(observe(rows, 1))).select("old", "new", "likeness", "complete")
+
+
+@query("SELECT sum(c) AS changes, count(*) AS bursts FROM (SELECT g, count(*) AS c FROM (SELECT ts, sum(brk) OVER (ORDER BY ts) AS g FROM (SELECT ts, CASE WHEN lag(ts) OVER (ORDER BY ts) IS NULL OR ts - lag(ts) OVER (ORDER BY ts) >= INTERVAL 12 SECOND THEN 1 ELSE 0 END AS brk FROM events WHERE event_type = 'error')) GROUP BY g)")
+def change_bursts(spark, sf_dir):
+    changes = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'error'").select(F.col("ts").cast("timestamp").alias("detected_at"), (F.col("event_id") % 2 == 0).alias("breaking"))
+    return tracker.change_bursts(changes).agg(F.sum("changes").alias("changes"), F.count("*").alias("bursts"))
+
+
+@query(LOGS_SQL + " SELECT entry_seq, method, template, status FROM logs WHERE method = 'GET' AND template = '/users/{id}' ORDER BY entry_seq DESC LIMIT 10")
+def recent_samples(spark, sf_dir):
+    """A top-k report: the newest calls of an endpoint."""
+    return with_template(entries(spark, sf_dir)).where("method = 'GET' and template = '/users/{id}'").orderBy(F.desc("entry_seq")).limit(10).select("entry_seq", "method", "template", "status")
+
+
+@query(LOGS_SQL + " SELECT DISTINCT substr(path, 9) AS id FROM logs WHERE template = '/orders/{id}' AND NOT EXISTS (SELECT 1 FROM logs k WHERE k.template = '/orders' AND k.response_body->>'$.id' = substr(logs.path, 9))")
+def unknown_ids(spark, sf_dir):
+    log = with_template(entries(spark, sf_dir))
+    known = log.where("template = '/orders'").select(F.get_json_object("response_body", "$.id").alias("id")).distinct()
+    return log.where("template = '/orders/{id}'").select(F.explode("params").alias("p")).select(F.col("p.value").alias("id")).distinct().join(known, "id", "left_anti")
+
+
+@query(_FIELDS + " SELECT method, template, scope, path, n - present AS lacking FROM fields WHERE present < n AND path NOT LIKE '%.%' AND scope <> 'request'")
+def conformance(spark, sf_dir):
+    """How many bodies lack each field that others of their scope have."""
+    return presence(_observed(spark, sf_dir)).where("present < n and path <> '' and instr(path, '.') = 0 and scope <> 'request'").select("method", "template", "scope", "path", (F.col("n") - F.col("present")).alias("lacking"))
+
+
+@query(LOGS_SQL + " SELECT DISTINCT method, template, lower(method) || '_' || replace(replace(regexp_replace(substr(template, 2), '\\{([a-zA-Z]+)\\}', 'by_\\1', 'g'), '/', '_'), '-', '_') AS operation_id FROM logs")
+def operation_ids(spark, sf_dir):
+    return with_template(entries(spark, sf_dir)).select("method", "template").distinct().withColumn("operation_id", P.operation_id(F.col("method"), F.col("template")))
+
+
+@query()
+def rendered_spec(spark, sf_dir):
+    import json
+
+    from .build import build
+
+    spec = build(entries(spark, sf_dir), infer_errors=True, depth=DEPTH).spec()
+    rows = [(path, method, json.dumps(op, sort_keys=True)) for path, item in spec["paths"].items() for method, op in item.items()]
+    return spark.createDataFrame(rows, "path string, method string, operation string")
