@@ -36,6 +36,7 @@ WINDOW, STRIDE = 24, 12
 WORDS, GRAMS, EMBED, HIDDEN = 1 << 13, 1 << 14, 8, 8
 STEPS = (250, 150, 150)
 BATCH = 128
+TRAIN_BYTES = 1 << 19
 
 
 def held_out() -> F.Column:
@@ -48,7 +49,7 @@ class Inputs:
     def __init__(self, texts: list[bytes]):
         words = Words(texts)
         data = np.where(WHITE[words.data], 0x20, words.data).astype(np.uint32)
-        gram = np.zeros(len(data), np.int64)
+        gram = np.zeros(len(data), np.int32)
         four = data[:-3] | data[1:-2] << np.uint32(8) | data[2:-1] << np.uint32(16) | data[3:] << np.uint32(24)
         four = (four ^ four >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
         gram[1:-2] = (four ^ four >> np.uint32(12)) * np.uint32(0x297A2D39) >> np.uint32(32 - 14)
@@ -56,7 +57,7 @@ class Inputs:
         self.first = np.cumsum(size) - size
         self.size = size
         self.gram = gram[~WHITE[words.data]]
-        self.word = ((words.hash >> np.uint64(33)) & np.uint64(WORDS - 1)).astype(np.int64)
+        self.word = ((words.hash >> np.uint64(33)) & np.uint64(WORDS - 1)).astype(np.int32)
         self.counts = n = words.counts
         self.windows = np.maximum(1, -(-np.maximum(0, n - WINDOW) // STRIDE) + 1)
         begin = np.cumsum(n) - n
@@ -194,13 +195,20 @@ class Adam:
             self.net.p[k] = (self.net.p[k] - self.rate * (self.m[k] / (1 - 0.9**self.k)) / (np.sqrt(self.v[k] / (1 - 0.99**self.k)) + 1e-7)).astype(np.float32)
 
 
-def log_odds(bucket: np.ndarray, doc: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
-    """Of a toxic document given that it has something of a bucket, from documents' presence; shrunk where little is known."""
-    seen = np.unique(doc * size + bucket)
-    toxic = np.bincount((seen % size)[y[seen // size] == 1], minlength=size)
-    clean = np.bincount((seen % size)[y[seen // size] == 0], minlength=size)
-    n1, n0 = max(1, (y == 1).sum()), max(1, (y == 0).sum())
-    return np.log((toxic / n1 + 1 / (n1 + n0)) / (clean / n0 + 1 / (n1 + n0))) * ((toxic + clean) > 1)
+def log_odds(bucket: np.ndarray, sizes: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+    """Of a toxic document given that it has something of a bucket, from documents' presence; shrunk where little is known. sizes: how many of the buckets are of each document."""
+    seen = np.zeros((2, size))
+    for label, part in zip(y.tolist(), np.split(bucket, np.cumsum(sizes)[:-1])):
+        seen[label][np.unique(part)] += 1
+    n0, n1 = max(1, (y == 0).sum()), max(1, (y == 1).sum())
+    return np.log((seen[1] / n1 + 1 / (n1 + n0)) / (seen[0] / n0 + 1 / (n1 + n0))) * (seen.sum(axis=0) > 1)
+
+
+def window_logits(net: Network, texts: list[bytes]) -> np.ndarray:
+    """Of all windows of many texts, some at a time: the driver's memory is that of a part."""
+    cuts = np.cumsum([len(t) for t in texts]) // TRAIN_BYTES
+    parts = [[texts[i] for i in np.flatnonzero(cuts == c)] for c in np.unique(cuts)]
+    return np.concatenate([net.score(p, by_window=True)[0] for p in parts])
 
 
 def train(rows: list[tuple[int, bytes]], steps: tuple[int, ...] = STEPS, seed: int = 11) -> Network:
@@ -208,12 +216,13 @@ def train(rows: list[tuple[int, bytes]], steps: tuple[int, ...] = STEPS, seed: i
     rng, net = np.random.default_rng(seed), Network(seed)
     y = np.array([t for t, _ in rows])
     x = Inputs([t for _, t in rows])
-    doc = np.repeat(np.arange(len(y)), x.counts)
-    word, gram = log_odds(x.word, doc, y, WORDS), log_odds(x.gram, np.repeat(doc, x.size), y, GRAMS)
+    grams = np.add.reduceat(np.append(x.size, 0), np.minimum(np.cumsum(x.counts) - x.counts, len(x.size))) * (x.counts > 0)
+    word, gram = log_odds(x.word, x.counts, y, WORDS), log_odds(x.gram, grams, y, GRAMS)
     net.p["word"][:, 0], net.p["gram"][:, 0] = word / 3, gram / 3
     of_window, per = y[x.of], np.cumsum(x.windows) - x.windows
     toxic, clean = np.flatnonzero(of_window == 1), np.flatnonzero(of_window == 0)
-    by_word = np.maximum(word[x.word], 0) + (np.add.reduceat(np.maximum(gram[x.gram], 0), x.first) / np.sqrt(x.size) if len(x.word) else 0)
+    word, gram = np.maximum(word, 0).astype(np.float32), np.maximum(gram, 0).astype(np.float32)
+    by_word = word[x.word] + (np.add.reduceat(gram[x.gram], x.first) / np.sqrt(x.size) if len(x.word) else 0)
     pad = np.append(by_word, 0)
     logit = np.array([pad[a:b].max() if b > a else 0 for a, b in zip(x.at.tolist(), x.end.tolist())])
     adam = Adam(net, 0.005)
@@ -225,15 +234,15 @@ def train(rows: list[tuple[int, bytes]], steps: tuple[int, ...] = STEPS, seed: i
             pick = np.concatenate([rng.choice(positive, BATCH // 2), rng.choice(clean, BATCH // 4), rng.choice(hard, BATCH // 4)])
             g, _ = net.gradients(x, pick, of_window[pick].astype(np.float32), np.ones(len(pick), np.float32))
             adam.step(g)
-        projected = net.project(net.embed(x))
-        logit = np.concatenate([net.windows(projected, x.at[k : k + 2048], x.end[k : k + 2048]) for k in range(0, len(x.at), 2048)])
+        logit = window_logits(net, [t for _, t in rows])
     return net
 
 
 def calibrate(net: Network, rows: list[tuple[int, bytes]]) -> float:
     """The shift of the logit at which the training rows' labels are met best, half-way to either side."""
     y = np.array([t for t, _ in rows])
-    logit = net.score([t for _, t in rows]).astype(float)
+    x = Inputs([t for _, t in rows]).windows
+    logit = np.maximum.reduceat(window_logits(net, [t for _, t in rows]), np.cumsum(x) - x).astype(float)
     order = np.argsort(logit)
     logit, y = logit[order], y[order]
     wrong = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([np.cumsum((1 - y)[::-1])[::-1], [0]]) * 1.0
