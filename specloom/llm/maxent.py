@@ -43,7 +43,7 @@ UPDATES = 4
 SMOOTH = 4.0
 RATE = 0.45
 SHARD_BYTES = 4 << 20
-STEP = 1 << 13
+STEP = 4096
 END = np.uint64(0xE2D0E2D0E2D0E2D1)
 
 
@@ -83,7 +83,7 @@ class Tokens:
     def features(self) -> np.ndarray:
         one, two, three = (self.before(k) for k in (1, 2, 3))
         values = (one, two * np.uint64(3) + np.uint64(1), three * np.uint64(5) + np.uint64(2), mix(one) + two)
-        return np.stack([(mix(v) >> np.uint64(44)).astype(np.int64) & (ROWS - 1) for v in values], axis=1)
+        return np.stack([(mix(v) >> np.uint64(44)).astype(np.uint16) & np.uint16(ROWS - 1) for v in values])
 
 
 @dataclass
@@ -99,12 +99,25 @@ class Model:
         out[tokens.ends] = END_CLASS
         return out
 
-    def log_probs(self, features: np.ndarray) -> np.ndarray:
-        z = self.bias + self.weights[0][features[:, 0]]
+    def _exponentials(self, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each history: exp(score of each class - the largest), and their sum."""
+        z = self.weights[0][features[0]]
         for f in range(1, FEATURES):
-            z += self.weights[f][features[:, f]]
+            z += self.weights[f][features[f]]
+        z += self.bias
         z -= z.max(axis=1, keepdims=True)
-        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+        np.exp(z, out=z)
+        return z, z.sum(axis=1)
+
+    def probs(self, features: np.ndarray) -> np.ndarray:
+        z, total = self._exponentials(features)
+        z /= total[:, None]
+        return z
+
+    def log_prob_of(self, features: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """The natural logarithm of the probability of one class of each history."""
+        z, total = self._exponentials(features)
+        return np.log(np.maximum(z[np.arange(len(z)), kind], 1e-37).astype(np.float64)) - np.log(total.astype(np.float64))
 
 
 def _sums(docs: DataFrame, of) -> list[np.ndarray]:
@@ -112,7 +125,7 @@ def _sums(docs: DataFrame, of) -> list[np.ndarray]:
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: list[np.ndarray] | None = None
-        for batch in slices(batches, most=1 << 20):
+        for batch in slices(batches, most=2 << 20):
             found = of(raw_texts(batch.column("text")))
             if totals is None:
                 totals = found
@@ -187,19 +200,17 @@ def train(docs: DataFrame, updates: int = UPDATES) -> Model:
         def gradient(texts: list[bytes], sent=sent) -> list[np.ndarray]:
             m, t = sent.value, Tokens(texts)
             features, own = t.features(), m.classes(t)
-            seen, wanted = np.zeros(FEATURES * ROWS * CLASSES), np.zeros(FEATURES * ROWS * CLASSES)
+            wanted, every = np.zeros((FEATURES, ROWS * CLASSES)), np.arange(CLASSES)
             bias = np.bincount(own, minlength=CLASSES).astype(float)
-            for f in range(FEATURES):
-                seen += np.bincount((f * ROWS + features[:, f]) * CLASSES + own, minlength=len(seen))
+            seen = np.concatenate([np.bincount(features[f].astype(np.int64) * CLASSES + own, minlength=ROWS * CLASSES) for f in range(FEATURES)]).astype(float)
             for k in range(0, len(own), STEP):
-                x = features[k : k + STEP]
-                p = np.exp(m.log_probs(x))
+                x = features[:, k : k + STEP]
+                p = m.probs(x)
                 bias -= p.sum(axis=0)
+                flat = p.ravel().astype(np.float64)
                 for f in range(FEATURES):
-                    order = np.argsort(x[:, f], kind="stable")
-                    rows, first = np.unique(x[order, f], return_index=True)
-                    wanted.reshape(FEATURES * ROWS, CLASSES)[f * ROWS + rows] += np.add.reduceat(p[order], first, axis=0)
-            return [seen, wanted, bias, np.array([float(len(own))])]
+                    wanted[f] += np.bincount((x[f].astype(np.int64)[:, None] * CLASSES + every).ravel(), weights=flat, minlength=ROWS * CLASSES)
+            return [seen, wanted.ravel(), bias, np.array([float(len(own))])]
 
         share = docs.where(F.pmod(F.floor(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) / FOLD), F.lit(updates)) == step)
         found = _sums(share, gradient)
@@ -271,8 +282,7 @@ def score_documents(docs: DataFrame, updates: int = UPDATES) -> DataFrame:
         log_c = np.log10(c + 1.0)
         kind, features, within = sent.value.classes(t), t.features(), np.empty(len(c))
         for k in range(0, len(c), STEP):
-            p = sent.value.log_probs(features[k : k + STEP])
-            within[k : k + STEP] = p[np.arange(len(p)), kind[k : k + STEP]]
+            within[k : k + STEP] = sent.value.log_prob_of(features[:, k : k + STEP], kind[k : k + STEP])
         score = within / np.log(10) + log_c - class_total[kind]
         add_up = lambda x: np.add.reduceat(x, t.first) if len(t.first) else x[:0]
         n = len(t.sizes)
