@@ -18,7 +18,7 @@ rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import combinations
 
@@ -157,28 +157,37 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return at_home.join(sent, near).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id that can be reached over links) of each row."""
-    own = durable(fingerprints(docs, n))
+def grouped(own: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """own (doc_id, fp) with component_id; linked gives the links (a, b) of the distinct fp."""
     distinct = durable(own.groupBy("fp").agg(F.min("doc_id").alias("_first")))
-    roots = connected_components(links(distinct, threshold))
+    roots = connected_components(linked(distinct))
     joined = distinct.join(roots, distinct["fp"] == roots["node"])
     least = joined.groupBy("root").agg(F.min("_first").alias("_least"))
     known = distinct.join(roots.join(least, "root").select(F.col("node").alias("fp"), "_least"), "fp", "left").select("fp", F.coalesce("_least", "_first").alias("component_id"))
     return own.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
+def near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, fp and component_id (the smallest doc_id that can be reached over links) of each row."""
+    return grouped(durable(fingerprints(docs, n)), lambda distinct: links(distinct, threshold))
+
+
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, n: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """docs with one document of each group of near-duplicates: that of the smallest doc_id.
+    """docs with one document of each group of near-duplicates: that of the smallest doc_id."""
+    return keep_first(docs, near_duplicates(docs, n, threshold))
+
+
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs with the documents that head their groups; found: doc_id and component_id of each row.
 
     Rows with one doc_id are one document: it stays if one of them is its group's first, as one
     row (that of the least text). Rows without a doc_id can't be named and stay.
     """
-    groups = durable(near_duplicates(docs, n, threshold).where("doc_id is not null"))
+    groups = durable(found.where("doc_id is not null"))
     by_id = groups.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("_stays"), F.count("*").alias("_rows"))
     gone = by_id.where("not _stays").select(F.col("doc_id").alias("_gone"))
     kept = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
