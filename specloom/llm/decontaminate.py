@@ -18,7 +18,8 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
+from functools import reduce
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ from .common import documents, durable, raw_texts, slices
 
 WINDOW_WORDS = 10
 BLOCK_WINDOWS = 500_000
+SPANS = "array<struct<start:int,end:int>>"
 
 _WORD = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 #: Lower-cases A-Z and turns every byte outside words into a space.
@@ -107,8 +109,7 @@ def _blocks(benchmark: DataFrame, n: int, most: int) -> Iterator[WindowSet]:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *keep: str, n: int = WINDOW_WORDS, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """doc_id, text, the columns in `keep`, n_words, hits (runs of hit words, as [start, end) word numbers) and items (ids of the items with occurring windows)."""
     own = documents(docs, *keep)
-    spans = "array<struct<start:int,end:int>>"
-    out = own.withColumns({"n_words": F.lit(None).cast("long"), "hits": F.array().cast(spans), "items": F.array().cast("array<string>")})
+    out = own.withColumns({"n_words": F.lit(None).cast("long"), "hits": F.array().cast(SPANS), "items": F.array().cast("array<string>")})
     blocks = 0
     for block in _blocks(benchmark, n, block_windows):
         if blocks:
@@ -143,6 +144,15 @@ def word_bounds(text: bytes) -> np.ndarray:
     return np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]]))).reshape(-1, 2)
 
 
+def cut_runs(text: bytes, runs: list[tuple[int, int]]) -> bytes:
+    """text without the words of the runs."""
+    bounds, kept, at = word_bounds(text), [], 0
+    for a, b in runs:
+        kept.append(text[at : bounds[a][0]])
+        at = bounds[b - 1][1]
+    return b" ".join([*kept, text[at:]])
+
+
 def cut_spans(text: bytes, block: WindowSet) -> bytes:
     """text without its hit words; what a cut brings together is looked at again."""
     while True:
@@ -150,27 +160,59 @@ def cut_spans(text: bytes, block: WindowSet) -> bytes:
         runs = _runs(hit)
         if not runs:
             return text
-        bounds, kept, at = word_bounds(text), [], 0
-        for a, b in runs:
-            kept.append(text[at : bounds[a][0]])
-            at = bounds[b - 1][1]
-        text = b" ".join([*kept, text[at:]])
+        text = cut_runs(text, runs)
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, whole: bool = False, n: int = WINDOW_WORDS, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """docs with the columns they have; hit spans are cut out of their texts (n_chars follows), or hit documents dropped (`whole`)."""
+    """docs with the columns they have; hit spans are cut out of their texts (n_chars follows), or hit documents dropped (`whole`).
+
+    Where the benchmark is several blocks, the hits of all are marked before a text is cut, and
+    the texts that were cut are looked at again until none has a hit.
+    """
     out = docs.withColumn("text", F.col("text").cast("string"))
-    sc, blocks = docs.sparkSession.sparkContext, 0
-    for block in _blocks(benchmark, n, block_windows):
-        if blocks:
-            out = durable(out)
-        out = out.mapInArrow(_cut(sc.broadcast(block), whole), out.schema)
-        blocks += 1
+    sc, first = docs.sparkSession.sparkContext, list(islice(_blocks(benchmark, n, block_windows), 2))
+    if len(first) == 1:
+        out = out.mapInArrow(_cut(sc.broadcast(first[0]), whole), out.schema)
+    elif first:
+        del first
+        settled, left = [], out
+        while True:
+            left = left.withColumn("_hits", F.array().cast(SPANS))
+            for block in _blocks(benchmark, n, block_windows):
+                left = durable(left.mapInArrow(_mark(sc.broadcast(block)), left.schema))
+            settled.append(left.where("size(_hits) = 0").drop("_hits"))
+            left = left.where("size(_hits) > 0")
+            if whole or left.isEmpty():
+                break
+            left = left.mapInArrow(_cut_marked, left.schema).drop("_hits")
+        out = reduce(DataFrame.unionByName, settled)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
+def _mark(sent):
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: WindowSet = sent.value
+        for batch in slices(batches):
+            k, marked = batch.schema.get_field_index("_hits"), []
+            for text, before in zip(raw_texts(batch.column("text")), batch.column("_hits").to_pylist()):
+                hit, _ = block.hits(words_of(text))
+                for run in before:
+                    hit[run["start"] : run["end"]] = True
+                marked.append([{"start": a, "end": b} for a, b in _runs(hit)])
+            yield batch.set_column(k, batch.schema.field(k), pa.array(marked, batch.schema.field(k).type))
+
+    return mark
+
+
+def _cut_marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        k = batch.schema.get_field_index("text")
+        done = [cut_runs(t, [(r["start"], r["end"]) for r in runs]).decode() for t, runs in zip(raw_texts(batch.column("text")), batch.column("_hits").to_pylist())]
+        yield batch.set_column(k, batch.schema.field(k), pa.array(done, batch.schema.field(k).type))
+
+
 def _cut(sent, whole: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: WindowSet = sent.value

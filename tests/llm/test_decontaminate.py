@@ -52,6 +52,15 @@ def test_removal_leaves_no_hit(spark):
     assert {r["doc_id"] for r in d.remove_contamination(docs, bench, whole=True).collect()} == {2, 3, 4, 7}
 
 
+def test_what_a_later_block_brings_together_is_cut(spark):
+    bench = spark.createDataFrame([(k, t) for k, t in enumerate(["left right", "in between", "far left right away"])], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a left in between right b"), (2, "a left in in between between right b"), (3, "a far left right away b"), (4, None), (5, "a")], "doc_id long, text string")
+    for block in (1, 2, 1000):
+        got = {r["doc_id"]: r["text"] and r["text"].split() for r in d.remove_contamination(docs, bench, block_windows=block).collect()}
+        assert got == {1: ["a", "b"], 2: ["a", "b"], 3: ["a", "b"], 4: None, 5: ["a"]}
+        assert {r["doc_id"] for r in d.remove_contamination(docs, bench, whole=True, block_windows=block).collect()} == {4, 5}
+
+
 def test_empty_tables(spark):
     docs, bench = tables(spark)
     assert d.digest(d.find_contamination(docs.limit(0), bench)).count() == 0
