@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import documents, durable, raw_texts, slices
 from .components import connected_components
@@ -71,17 +72,25 @@ def majorities(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """doc_id and fp, a long of the fingerprint's 64 bits."""
+def prints(texts: list[bytes], n: int = SHINGLE) -> np.ndarray:
+    found = [shingle_hashes(t, n) for t in texts]
+    flat = np.fromiter((h for x in found for h in x), np.uint64, sum(map(len, found)))
+    return majorities(flat, np.array([len(x) for x in found], np.int64)).view(np.int64)
+
+
+def printed(docs: DataFrame, of: Callable[[list[bytes]], np.ndarray], name: str) -> DataFrame:
+    """docs with a column more: a long of each text."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [shingle_hashes(t, n) for t in raw_texts(batch.column("text"))]
-            flat = np.fromiter((h for x in found for h in x), np.uint64, sum(map(len, found)))
-            fp = majorities(flat, np.array([len(x) for x in found], np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(of(raw_texts(batch.column("text"))), pa.int64())], names=[*batch.schema.names, name])
 
-    return documents(docs).mapInArrow(scan, "doc_id long, fp long")
+    return docs.mapInArrow(scan, StructType([*docs.schema.fields, StructField(name, LongType())]))
+
+
+def fingerprints(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
+    """doc_id and fp, a long of the fingerprint's 64 bits."""
+    return printed(documents(docs), lambda texts: prints(texts, n), "fp").select("doc_id", "fp")
 
 
 def syndromes(words: np.ndarray) -> np.ndarray:
@@ -158,17 +167,17 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def grouped(own: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """own (doc_id, fp) with component_id; linked gives the links (a, b) of the distinct fp."""
+    """own (doc_id, fp) with component_id and its component's root; linked gives the links (a, b) of the distinct fp."""
     distinct = durable(own.groupBy("fp").agg(F.min("doc_id").alias("_first")))
     roots = connected_components(linked(distinct))
     joined = distinct.join(roots, distinct["fp"] == roots["node"])
     least = joined.groupBy("root").agg(F.min("_first").alias("_least"))
-    known = distinct.join(roots.join(least, "root").select(F.col("node").alias("fp"), "_least"), "fp", "left").select("fp", F.coalesce("_least", "_first").alias("component_id"))
-    return own.join(known, "fp").select("doc_id", "fp", "component_id")
+    known = distinct.join(roots.join(least, "root").select(F.col("node").alias("fp"), "root", "_least"), "fp", "left").select("fp", F.coalesce("_least", "_first").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return own.join(known, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id that can be reached over links) of each row."""
+    """doc_id, fp, component_id (the smallest doc_id that can be reached over links) and root (a fp that names the component) of each row."""
     return grouped(durable(fingerprints(docs, n)), lambda distinct: links(distinct, threshold))
 
 
@@ -178,21 +187,26 @@ def digest(found: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, n: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """docs with one document of each group of near-duplicates: that of the smallest doc_id."""
-    return keep_first(docs, near_duplicates(docs, n, threshold))
+    return keep_first(docs, near_duplicates(docs, n, threshold), lambda texts: prints(texts, n))
 
 
-def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with the documents that head their groups; found: doc_id and component_id of each row.
+def keep_first(docs: DataFrame, found: DataFrame, of: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
+    """docs with one row of each group: that of the smallest doc_id, and of its rows that of the least text.
 
-    Rows with one doc_id are one document: it stays if one of them is its group's first, as one
-    row (that of the least text). Rows without a doc_id can't be named and stay.
+    found: doc_id, fp, component_id and root of each row; of gives the fp of texts. Rows without a
+    doc_id can't be named and stay.
     """
     groups = durable(found.where("doc_id is not null"))
     by_id = groups.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("_stays"), F.count("*").alias("_rows"))
     gone = by_id.where("not _stays").select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
-    if by_id.where("_rows > 1").isEmpty():
+    own_id = docs["doc_id"].cast("long")
+    kept = docs.join(gone, own_id == gone["_gone"], "left_anti")
+    if by_id.where("_stays and _rows > 1").isEmpty():
         return kept
-    order = Window.partitionBy("doc_id").orderBy("text")
-    named = kept.where("doc_id is not null").withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
-    return named.unionByName(kept.where("doc_id is null"))
+    twice = durable(by_id.where("_stays and _rows > 1").select(F.col("doc_id").alias("_twice")))
+    heads = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), F.col("root").alias("_root")).distinct()
+    again = printed(docs.join(twice, own_id == twice["_twice"], "left_semi"), of, "_own")
+    again = again.join(heads, (again["doc_id"].cast("long") == heads["_id"]) & (again["_own"] == heads["_fp"]))
+    order = Window.partitionBy("_root").orderBy("text")
+    named = again.withColumn("_row", F.row_number().over(order)).where("_row = 1").select(*docs.columns)
+    return named.unionByName(kept.join(twice, own_id == twice["_twice"], "left_anti"))

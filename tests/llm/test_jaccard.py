@@ -4,7 +4,7 @@ import random
 from fractions import Fraction
 
 import corpus_pipeline
-from specloom.llm import jaccard
+from specloom.llm import jaccard, simhash
 
 
 def brute_set(text):
@@ -75,3 +75,14 @@ def test_exactly_four_fifths(spark):
     assert sorted(r["doc_id"] for r in jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [1, 3, 4, 5]
     rows = [(1, " ".join(words[:9])), (2, " ".join(words[:8])), (3, " ".join(words[:13])), (4, " ".join(f"v{k}" for k in range(12)))]
     assert sorted(r["doc_id"] for r in jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == brute_firsts(rows) == [1, 3, 4]
+
+
+def test_each_group_keeps_a_row_where_ids_repeat(spark):
+    one, two, three = (" ".join(f"{c}{k}" for k in range(30)) for c in "abc")
+    rows = [(3, one), (5, one), (5, two), (7, two), (9, three), (9, three), (9, one), (11, three + " end"), (None, two)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for keep in (jaccard.keep_one, simhash.keep_one):
+        got = keep(docs.where("doc_id is null or doc_id <> 11")).collect()
+        assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == [(0, two), (3, one), (5, two), (9, three)]
+    got = jaccard.keep_one(docs.where("doc_id is not null").union(spark.createDataFrame([(9, "z z")], docs.schema)))
+    assert sorted(map(tuple, got.collect())) == [(3, one), (5, two), (9, three), (9, "z z")]
