@@ -50,4 +50,36 @@ def test_loser_tree():
     rng = random.Random(4)
     for k in (0, 1, 2, 3, 7):
         runs = [sorted(rng.choices(range(30), k=rng.randint(0, 9))) for _ in range(k)]
-        assert [runs[r][i] for r, i in warc.LoserTree(runs)] == sorted(x for r in runs for x in r)
+        assert list(warc.LoserTree(runs)) == sorted(x for r in runs for x in r)
+
+
+def test_page_ids_near_the_limits(spark):
+    ids = [(1 << 63) - 1, -(1 << 63), 1 << 40, -(1 << 40), 0]
+    rows = spark.createDataFrame([(p, "http://a.example/", BIG) for p in ids], "page_id long, url string, html string")
+    got = warc.capture_history(rows).collect()
+    assert [r["page_id"] for r in got] == sorted(ids) and {r["refers_to"] for r in got if r["record_type"] == "revisit"} == {max(ids)}
+
+
+def test_members_take_time_in_proportion():
+    import time
+
+    def seconds(n):
+        data = gzip.compress(bytes(900), 1) * n
+        began = time.perf_counter()
+        assert sum(1 for _ in warc.members(data)) == n
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(40_000) < 12 * seconds(10_000)
+
+
+def test_a_common_page_is_spread(spark, monkeypatch):
+    from specloom.llm import common
+
+    monkeypatch.setattr(common, "HEAVY_ROWS", 10)
+    rows = spark.createDataFrame([(k, f"http://h{k}.example/", BIG if k % 3 else f"<p>{k % 40}{'y' * 1000}</p>") for k in range(300)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["refers_to"] for r in warc.capture_history(rows).collect()}
+    keeper = {}
+    for k in range(300):
+        keeper["big" if k % 3 else k % 40] = k
+    assert got == {k: None if keeper["big" if k % 3 else k % 40] == k else keeper["big" if k % 3 else k % 40] for k in range(300)}
