@@ -24,11 +24,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import documents, durable, raw_texts, slices
+from .common import documents, durable, lookup, raw_texts, slices
 from .components import connected_components
 
 SHINGLE = 3
@@ -168,12 +168,13 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 def grouped(own: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """own (doc_id, fp) with component_id and its component's root; linked gives the links (a, b) of the distinct fp."""
-    distinct = durable(own.groupBy("fp").agg(F.min("doc_id").alias("_first")))
+    distinct = durable(own.groupBy("fp").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n")))
     roots = connected_components(linked(distinct))
     joined = distinct.join(roots, distinct["fp"] == roots["node"])
     least = joined.groupBy("root").agg(F.min("_first").alias("_least"))
-    known = distinct.join(roots.join(least, "root").select(F.col("node").alias("fp"), "root", "_least"), "fp", "left").select("fp", F.coalesce("_least", "_first").alias("component_id"), F.coalesce("root", "fp").alias("root"))
-    return own.join(known, "fp").select("doc_id", "fp", "component_id", "root")
+    named = distinct.join(roots.join(least, "root").select(F.col("node").alias("fp"), "root", "_least"), "fp", "left")
+    known = named.select("fp", "_n", F.coalesce("_least", "_first").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return lookup(own, known, "fp", "_n", own.count())
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -194,19 +195,19 @@ def keep_first(docs: DataFrame, found: DataFrame, of: Callable[[list[bytes]], np
     """docs with one row of each group: that of the smallest doc_id, and of its rows that of the least text.
 
     found: doc_id, fp, component_id and root of each row; of gives the fp of texts. Rows without a
-    doc_id can't be named and stay.
+    doc_id can't be named and stay. docs may have columns of any names: they are set aside as one.
     """
     groups = durable(found.where("doc_id is not null"))
     by_id = groups.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("_stays"), F.count("*").alias("_rows"))
     gone = by_id.where("not _stays").select(F.col("doc_id").alias("_gone"))
-    own_id = docs["doc_id"].cast("long")
-    kept = docs.join(gone, own_id == gone["_gone"], "left_anti")
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_all"), docs["doc_id"].cast("long").alias("_id"), docs["text"].cast("string").alias("text"))
+    whole = [F.col("_all").getField(c).alias(c) for c in docs.columns]
+    kept = own.join(gone, own["_id"] == gone["_gone"], "left_anti")
     if by_id.where("_stays and _rows > 1").isEmpty():
-        return kept
+        return kept.select(*whole)
     twice = durable(by_id.where("_stays and _rows > 1").select(F.col("doc_id").alias("_twice")))
-    heads = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), F.col("root").alias("_root")).distinct()
-    again = printed(docs.join(twice, own_id == twice["_twice"], "left_semi"), of, "_own")
-    again = again.join(heads, (again["doc_id"].cast("long") == heads["_id"]) & (again["_own"] == heads["_fp"]))
-    order = Window.partitionBy("_root").orderBy("text")
-    named = again.withColumn("_row", F.row_number().over(order)).where("_row = 1").select(*docs.columns)
-    return named.unionByName(kept.join(twice, own_id == twice["_twice"], "left_anti"))
+    heads = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_head"), F.col("fp").alias("_fp"), F.col("root").alias("_root")).distinct()
+    again = printed(own.join(twice, own["_id"] == twice["_twice"], "left_semi"), of, "_own")
+    again = again.join(heads, (again["_id"] == heads["_head"]) & (again["_own"] == heads["_fp"]))
+    one = again.groupBy("_root").agg(F.min_by("_all", F.struct(F.col("text").isNotNull(), "text")).alias("_all"))
+    return one.select(*whole).unionByName(kept.join(twice, own["_id"] == twice["_twice"], "left_anti").select(*whole))

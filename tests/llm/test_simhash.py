@@ -86,3 +86,21 @@ def test_components_of_chains_and_stars(spark):
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(chain + star + [(5, 5)], "a long, b long")).collect()}
     assert all(got[k] == 0 for k in range(61)) and all(got[k] == 1000 for k in range(1000, 1031))
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_keep_one_with_clashing_names_and_repeated_ids(spark):
+    rows = [(1, "a b c d", 7), (1, "e f g h", 8), (2, "a b c d", 9), (None, "a b c d", 1), (3, None, 2), (3, None, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row int").selectExpr("*", "1 as _own", "2 as _twice", "3 as _all", "4 as fp", "5 as _root")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((tuple(r)[:3] for r in kept.collect()), key=str) == sorted([(1, "a b c d", 7), (1, "e f g h", 8), (None, "a b c d", 1), (3, None, 2)], key=str)
+
+
+def test_heavy_fingerprints_are_spread(spark, monkeypatch):
+    from specloom.llm import common
+
+    rows = [(k, "same words again" if k % 3 else f"text number {k % 50} here", "e") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    want = sorted(map(str, map(tuple, simhash.digest(simhash.near_duplicates(docs)).collect())))
+    monkeypatch.setattr(common, "HEAVY_ROWS", 10)
+    assert sorted(map(str, map(tuple, simhash.digest(simhash.near_duplicates(docs)).collect()))) == want
