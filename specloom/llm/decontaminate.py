@@ -5,8 +5,8 @@ benchmark item; an item of fewer words, but not none, is one window. Candidates
 hash of the window's word numbers and are verified word by word before they count.
 
 The set is broadcast in blocks of at most `block_windows` windows (a stated query set against
-all rows), so that what is sent has a fixed bound however large the benchmark is; each further
-block is another pass over the documents.
+all rows; a longer item is dealt to several), so that what is sent has a fixed bound however large
+the benchmark or one of its items is; each further block is another pass over the documents.
 
 Cases: null or wordless texts have no words and no hits; null or empty items have no window;
 repeated items count once by item_id; a null item_id marks words and counts as an item named
@@ -96,12 +96,14 @@ def _blocks(benchmark: DataFrame, n: int, most: int) -> Iterator[WindowSet]:
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     held, windows = [], 0
     for row in rows.toLocalIterator():
-        text = row["text"].encode()
-        held.append((row["item"], text))
-        windows += max(1, len(words_of(text)) - n + 1)
-        if windows >= most:
-            yield WindowSet(held, n)
-            held, windows = [], 0
+        words = words_of(row["text"].encode())
+        for at in range(0, max(1, len(words) - n + 1), most):  # an item of more windows is dealt to several blocks
+            part = words[at : at + most + n - 1]
+            held.append((row["item"], b" ".join(part)))
+            windows += max(1, len(part) - n + 1)
+            if windows >= most:
+                yield WindowSet(held, n)
+                held, windows = [], 0
     if held:
         yield WindowSet(held, n)
 

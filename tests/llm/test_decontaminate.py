@@ -66,3 +66,18 @@ def test_empty_tables(spark):
     assert d.digest(d.find_contamination(docs.limit(0), bench)).count() == 0
     assert not any(r["contaminated"] for r in d.digest(d.find_contamination(docs, bench.limit(0))).collect())
     assert d.remove_contamination(docs, bench.limit(0)).count() == len(DOCS)
+
+
+def test_the_size_of_blocks_changes_nothing(spark):
+    """An item that is cut out brings another together, whichever blocks they are in; an item longer than a block is dealt to several."""
+    item = lambda c: " ".join(f"{c}{k}" for k in range(10))
+    long = " ".join(f"w{k * k % 97}x{k}" for k in range(400))
+    bench = spark.createDataFrame([("A", item("a")), ("L", long), ("B", item("b"))], "item_id string, text string").coalesce(1)
+    a = item("a").split()
+    texts = [" ".join([*a[:5], *item("b").split(), *a[5:]]), " ".join(long.split()[100:130]), f"x {long} y", "w " * 100_000 + item("a"), " ".join(long.split()[100:109])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {block: sorted(map(tuple, d.digest(d.find_contamination(docs, bench, block_windows=block)).collect())) for block in (150, 100_000)}
+    assert len({str(f) for f in found.values()}) == 1 and [r[2] for r in found[150]] == [10, 30, 400, 10, 0]
+    for block in (150, 100_000):
+        cut = {r["doc_id"]: (r["text"] or "").split() for r in d.remove_contamination(docs, bench, block_windows=block).collect()}
+        assert cut == {0: [], 1: [], 2: ["x", "y"], 3: ["w"] * 100_000, 4: texts[4].split()}
