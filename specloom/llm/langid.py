@@ -11,37 +11,43 @@ Up to five languages get the exhaustive code (every way to part them in two); mo
 code of the best of a few draws, with a fixed seed.
 
 The classifiers are fitted on a bounded sample of labelled rows: at most `SAMPLE` whole documents
-of each language, those of the least hash of doc_id.
-
-Cases: `und` with score 0 for null texts and texts without a letter, and for all where there is no
-labelled row; one language alone is always predicted; null langs and held-out rows (crc32(doc_id as
-text) mod 4 is 2; null doc_ids are not) are not learned from; an empty table gives no rows.
+of each language, those of the least hash of doc_id, and at most `SAMPLE_ALL` of the `LANGUAGES`
+commonest languages together. Their features are taken where the texts are; what the driver gets is
+8 kB a document (96 MB at most), however long the texts.
+
+Cases: `und` with score 0 for null texts and texts without a letter (Unicode's categories L*), and
+for all where there is no labelled row; one language alone is always predicted; null langs, null
+doc_ids and held-out rows (crc32(doc_id as text) mod 4 is 2; null doc_ids are not) are not learned
+from; of rows with one doc_id and language one is learned from; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, raw_texts, slices
+from . import common
+from .common import documents, draw, raw_texts, slices
 from .wordstream import LOWER
 
 FOLD, HELD_OUT = 4, 2
-SAMPLE = 600
+SAMPLE, SAMPLE_ALL, LANGUAGES = 600, 12_000, 1_000
 BUCKETS = 2048
-LETTER = re.compile(r"[^\W\d_]")
 AMBIGUOUS = 0.7
 
 
-def held_out() -> F.Column:
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLD == HELD_OUT, F.lit(False))
+def held_out() -> Column:
+    return common.held_out(FOLD, HELD_OUT)
+
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))  # true of the categories Lu, Ll, Lt, Lm and Lo alone
 
 
 def features(texts: list[bytes]) -> np.ndarray:
@@ -68,10 +74,12 @@ def codewords(n: int) -> np.ndarray:
         return np.array([[1 if i == 0 or i in c else -1 for c in parts] for i in range(n)]).reshape(n, len(parts))
     rng, best, far = np.random.default_rng(7), None, -1
     bits = max(15, 4 * int(np.ceil(np.log2(n))))
-    for _ in range(200):
+    for _ in range(200 if n <= 64 else 10):
         code = rng.choice([-1, 1], (n, bits))
-        d = min((code[i] != code[j]).sum() for i, j in combinations(range(n), 2))
-        if d > far and (np.abs(code.sum(axis=0)) < n).all():
+        while (same := np.abs(code.sum(axis=0)) == n).any():  # a bit that all languages share parts none
+            code[:, same] = rng.choice([-1, 1], (n, int(same.sum())))
+        d = (bits - (code @ code.T - 2 * bits * np.eye(n, dtype=int)).max()) // 2
+        if best is None or d > far:
             best, far = code, d
     return best
 
@@ -94,16 +102,17 @@ class Coder:
         p /= p.sum(axis=1, keepdims=True)
         best = p.argmax(axis=1)
         wrong = (np.sign(f) != self.code[best]).sum(axis=1)
-        radius = min((a != b).sum() for a, b in combinations(self.code, 2)) / 2
+        n, bits = self.code.shape
+        radius = (bits - (self.code @ self.code.T - 2 * bits * np.eye(n, dtype=int)).max()) / 4
         return best, p.max(axis=1), (p.max(axis=1) < AMBIGUOUS) | (wrong >= radius)
 
 
-def fit(rows: list[tuple[str, bytes]], rounds: int = 150, ridge: float = 1e-5) -> Coder:
-    langs = sorted({lang for lang, _ in rows})
-    code, x = codewords(len(langs)), features([t for _, t in rows])
-    y = code[[langs.index(lang) for lang, _ in rows]].astype(np.float32)
-    share = np.array([1 / sum(lang == other for other, _ in rows) for lang, _ in rows], np.float32)
-    share /= share.sum()
+def fit(of: list[str], x: np.ndarray, rounds: int = 150, ridge: float = 1e-5) -> Coder:
+    """of: the language of each row of features."""
+    langs, number, count = np.unique(np.array(of, object), return_inverse=True, return_counts=True)
+    langs, code = langs.tolist(), codewords(len(langs))
+    y = code[number].astype(np.float32)
+    share = (1 / count[number] / len(langs)).astype(np.float32)
     w, b = np.zeros((BUCKETS, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     m, v = np.zeros((BUCKETS + 1, code.shape[1])), np.zeros((BUCKETS + 1, code.shape[1]))
     for k in range(1, rounds + 1 if len(langs) > 1 else 1):
@@ -118,14 +127,21 @@ def fit(rows: list[tuple[str, bytes]], rounds: int = 150, ridge: float = 1e-5) -
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Coder | None:
     """A coder from rows with doc_id, text and lang, as long as they are not held out."""
-    rows = documents(docs, "lang").where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    keys = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("_h"))
-    least = Window.partitionBy("lang", "_part").orderBy("_h")
-    few = keys.withColumn("_part", F.pmod(F.col("_h"), F.lit(64))).withColumn("_r", F.row_number().over(least)).where(F.col("_r") <= sample)
-    chosen = few.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).where(F.col("_r") <= sample).select("lang", "doc_id")
-    taken = rows.join(F.broadcast(chosen.distinct()), ["lang", "doc_id"])  # at most `sample` rows a language
-    found = [(r["lang"], r["text"].encode()) for r in taken.orderBy("lang", F.xxhash64("doc_id"), "text").select("lang", "text").toLocalIterator()]
-    return fit(found) if found else None
+    rows = documents(docs, "lang").withColumn("lang", F.col("lang").cast("string")).where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    chosen = draw(rows, "lang", sample, LANGUAGES, SAMPLE_ALL)
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = raw_texts(batch.column("text"))
+            for k in range(0, len(texts), 500):
+                x = features(texts[k : k + 500])
+                hashes = batch.column("_h").slice(k, 500)
+                yield pa.RecordBatch.from_arrays([batch.column("lang").slice(k, 500), batch.column("doc_id").slice(k, 500), hashes, pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "doc_id", "_h", "x"])
+
+    taken = rows.join(F.broadcast(chosen), ["lang", "doc_id"]).withColumn("_h", F.xxhash64("text")).select("lang", "doc_id", "_h", "text")
+    one = taken.mapInArrow(take, "lang string, doc_id long, _h long, x binary").groupBy("lang", "doc_id").agg(F.min_by("x", "_h").alias("x"))
+    found = one.orderBy("lang", "doc_id").collect()  # SAMPLE_ALL rows of 8 kB at most
+    return fit([r["lang"] for r in found], np.stack([np.frombuffer(r["x"], np.float32) for r in found])) if found else None
 
 
 def identify(docs: DataFrame, coder: Coder | None) -> DataFrame:
@@ -136,7 +152,7 @@ def identify(docs: DataFrame, coder: Coder | None) -> DataFrame:
         model: Coder | None = sent.value
         for batch in slices(batches):
             texts = raw_texts(batch.column("text"))
-            legible = np.array([bool(LETTER.search(t.decode())) for t in texts]) & (model is not None)
+            legible = np.array([has_letter(t.decode()) for t in texts], bool) & (model is not None)
             langs, score, unsure = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
             if legible.any():
                 at = np.flatnonzero(legible)

@@ -3,11 +3,13 @@
 Inputs of a word are an embedding of its hash and the embeddings of its character 4-grams (of
 bytes, with the white space around it as its borders). Two gated recurrent units read
 a window of words in both directions; attention weighs their states; a logistic unit scores the
-window. A text is scored in all windows of `WINDOW` words that begin every `STRIDE` words, so they
-overlap by half and cover the whole text; its score is that of its worst window.
+window. A text is scored in all windows of `WINDOW` words that begin every `STRIDE` words, so each
+word lies in four of them and every run of 19 words lies whole in one; its score is that of its
+worst window.
 
 Training is on the driver, on a bounded sample of labelled rows: at most `SAMPLE` documents of
-each label, those of the least hash of doc_id. Embeddings start with one coordinate at the log-odds
+each label, those of the least hash of doc_id, of at most `SAMPLE_TEXT` bytes each and
+`SAMPLE_BYTES` together (longer ones are scored like any other, but not drawn). Embeddings start with one coordinate at the log-odds
 of a toxic document given the word or gram, and noise in the others. A label is of a document, so
 of a toxic one only the worst windows are examples, at first by those log-odds, then by the network
 itself; of the clean ones all windows can be, and the worst are drawn more often.
@@ -15,7 +17,8 @@ itself; of the clean ones all windows can be, and the worst are drawn more often
 Cases: null, empty and wordless texts have one window without words, and its score; labels that are
 null or of unknown documents teach nothing; without both labels every score is the share of toxic
 rows, or 0; held-out rows (crc32(doc_id as text) mod 5 is 0; null doc_ids are not) are not learned
-from; repeated rows are scored alike; an empty table gives no rows.
+from; of rows with one doc_id one is learned from; repeated rows are scored alike; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -24,30 +27,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import documents, raw_texts, slices
+from . import common
+from .common import documents, draw, raw_texts, slices
 from .wordstream import WHITE, Words
 
 FOLD, HELD_OUT = 5, 0
-SAMPLE = 900
-WINDOW, STRIDE = 24, 12
+SAMPLE, SAMPLE_TEXT, SAMPLE_BYTES = 900, 1 << 17, 12 << 20
+WINDOW, STRIDE = 24, 6
 WORDS, GRAMS, EMBED, HIDDEN = 1 << 13, 1 << 14, 8, 8
 STEPS = (250, 150, 150)
 BATCH = 128
 TRAIN_BYTES = 1 << 19
 
 
-def held_out() -> F.Column:
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLD == HELD_OUT, F.lit(False))
+def held_out() -> Column:
+    return common.held_out(FOLD, HELD_OUT)
 
 
 class Inputs:
-    """Of many texts: each word's bucket, its trigrams' buckets (flat, with where each word's begin), and the windows."""
+    """Of many texts: each word's bucket, its 4-grams' buckets (flat, with where each word's begin), and the windows."""
 
     def __init__(self, texts: list[bytes]):
-        words = Words(texts)
+        words = Words(texts, gap=3)
         data = np.where(WHITE[words.data], 0x20, words.data).astype(np.uint32)
         gram = np.zeros(len(data), np.int32)
         four = data[:-3] | data[1:-2] << np.uint32(8) | data[2:-1] << np.uint32(16) | data[3:] << np.uint32(24)
@@ -255,11 +260,12 @@ def calibrate(net: Network, rows: list[tuple[int, bytes]]) -> float:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     """(network, shift) from labelled rows that are not held out; a share of toxic rows where only one label is there."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
-    keyed = marks.withColumn("_h", F.xxhash64("doc_id")).withColumn("_part", F.pmod("_h", F.lit(64)))
-    few = keyed.withColumn("_r", F.row_number().over(Window.partitionBy("toxic", "_part").orderBy("_h"))).where(F.col("_r") <= sample)
-    chosen = few.withColumn("_r", F.row_number().over(Window.partitionBy("toxic").orderBy("_h"))).where(F.col("_r") <= sample).select("doc_id", "toxic")
-    taken = documents(docs).where("text is not null").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows a label
-    rows = [(r["toxic"], r["text"].encode()) for r in taken.orderBy(F.xxhash64("doc_id"), "text").select("toxic", "text").toLocalIterator()]
+    chosen = draw(marks, "toxic", sample, 2, 2 * sample)
+    fits = F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_TEXT)
+    taken = documents(docs).where(fits).join(F.broadcast(chosen), "doc_id").groupBy("toxic", "doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    upto = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")  # of `sample` rows
+    taken = taken.withColumn("_bytes", F.sum(F.octet_length("text")).over(upto)).where(F.col("_bytes") <= SAMPLE_BYTES)
+    rows = [(r["toxic"], r["text"].encode()) for r in taken.orderBy(F.xxhash64("doc_id"), "doc_id").select("toxic", "text").collect()]  # of SAMPLE_BYTES a label at most
     y = [t for t, _ in rows]
     if len({*y}) < 2:
         return None, float(np.mean(y)) if y else 0.0
@@ -280,8 +286,6 @@ def score_documents(docs: DataFrame, model, *keep: str) -> DataFrame:
             columns = [batch.column(f.name) for f in more] + [pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in more), "score", "predicted"])
 
-    from pyspark.sql import types as T
-
     return own.mapInArrow(scan, T.StructType([*more, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 

@@ -121,3 +121,98 @@ def test_the_model_is_a_distribution(docs):
     model = maxent.train(docs.select("doc_id", "text"), 2)
     t = maxent.Tokens([b"ka lo mi ne", b"new words here"])
     assert np.allclose(model.probs(t.features()).sum(axis=1), 1, atol=1e-4)
+
+
+def test_words_with_structure_have_hashes_of_their_own():
+    """Thue-Morse words cancel in any polynomial hash modulo a power of two."""
+    from specloom.llm.wordstream import Words
+
+    word = b"a"
+    for _ in range(13):
+        other = word.translate(bytes.maketrans(b"ab", b"ba"))
+        got = Words([word + b" " + other + b" " + word]).hash
+        assert got[0] != got[1] and got[0] == got[2]
+        word += other
+    rng = random.Random(1)
+    words = {bytes(rng.choices(b"ab", k=rng.randint(1, 9000))) for _ in range(400)}
+    assert len(np.unique(Words([b" ".join(sorted(words))]).hash)) == len(words)
+
+
+def test_texts_without_a_letter_have_no_language(spark):
+    rows = [(k, t, "xx") for k, t in enumerate(["ka lo mi ne", "½ ①", "²", "١٢٣ _", "ª", "字", "́", "Ⅷ"])]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert {k for k, v in got.items() if v == ("und", 0.0)} == {1, 2, 3, 6, 7}
+
+
+def test_samples_are_bounded(spark, monkeypatch):
+    """Many rows of one doc_id, and very long texts, reach the driver once or not at all."""
+    rows = [(1, f"ka lo {k}", "xx", 1) for k in range(500)] + [(k, "ka lo mi ne", "yy", k % 2) for k in range(2, 200)] + [(7, "ka " * 60_000, "xx", 1)]
+    docs, labels = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string"), spark.createDataFrame([(d, x) for d, _, _, x in rows], "doc_id long, toxic int")
+    seen = {}
+    monkeypatch.setattr(langid, "fit", lambda of, x: seen.update(langs=of))
+    monkeypatch.setattr(toxicity, "train", lambda rows: seen.update(rows=rows))
+    monkeypatch.setattr(toxicity, "calibrate", lambda net, rows: 0.0)
+    langid.learn(docs, 20)
+    assert Counter(seen["langs"])["yy"] == 20 and Counter(seen["langs"])["xx"] <= 2
+    toxicity.learn(docs, labels, 20)
+    assert Counter(t for t, _ in seen["rows"]) == {0: 20, 1: 20} and max(len(t) for _, t in seen["rows"]) < 1 << 17
+
+
+def plain_score(net, text):
+    """The worst window of a text, word by word and state by state."""
+    p, sig = net.p, lambda v: 1 / (1 + np.exp(-v))
+    x = toxicity.Inputs([text])
+    inputs = []
+    for w in range(len(x.word)):
+        grams = x.gram[x.first[w] : x.first[w] + x.size[w]]
+        inputs.append(np.concatenate([p["word"][x.word[w]], sum((p["gram"][g] for g in grams), np.zeros(toxicity.EMBED)) / math.sqrt(x.size[w])]))
+    h, best = toxicity.HIDDEN, -math.inf
+    for at in range(0, max(1, len(inputs)), toxicity.STRIDE):
+        own = inputs[at : at + toxicity.WINDOW]
+        both = []
+        for d, order in (("f", own), ("b", own[::-1])):
+            state, out = np.zeros(h), []
+            for v in order:
+                g, r = v @ p[f"x{d}"] + p[f"c{d}"], state @ p[f"h{d}"]
+                z, q = sig(g[:h] + r[:h]), sig(g[h : 2 * h] + r[h : 2 * h])
+                state = state + z * (np.tanh(g[2 * h :] + q * r[2 * h :]) - state)
+                out.append(state)
+            both.append(out if d == "f" else out[::-1])
+        states = [np.concatenate(pair) for pair in zip(*both)]
+        weight = np.array([math.exp(np.tanh(s @ p["a"] + p["ac"]) @ p["v"]) for s in states])
+        pooled = sum((w * s for w, s in zip(weight / weight.sum(), states)), np.zeros(2 * h)) if states else np.zeros(2 * h)
+        best = max(best, float(pooled @ p["u"] + p["uc"][0]))
+        if at + toxicity.WINDOW >= len(inputs):
+            break
+    return best
+
+
+def test_the_network_against_a_plain_one():
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices("ka lo mi Idiot ne été x".split(), k=n)).encode() for n in (0, 1, 5, 23, 24, 25, 30, 31, 60, 137)]
+    net = toxicity.Network(4)
+    assert np.allclose(net.score(texts), [plain_score(net, t) for t in texts], atol=2e-4)
+
+
+def test_decoding_against_a_plain_one():
+    rng = np.random.default_rng(2)
+    langs = ["aa", "bb", "cc", "dd", "ee", "ff", "gg"]
+    code = langid.codewords(len(langs))
+    coder = langid.Coder(langs, code, rng.standard_normal((langid.BUCKETS, code.shape[1])).astype(np.float32), rng.standard_normal(code.shape[1]).astype(np.float32), rng.random(code.shape[1]))
+    texts = [b"ka lo mi", b"x", b"", "été".encode() * 50]
+    best, score, unsure = coder.predict(langid.features(texts))
+    for k, t in enumerate(texts):
+        grams = [0] * langid.BUCKETS
+        low = t.lower()
+        for a, b in zip(low, low[1:]):
+            grams[((a * 257 + b) * 2654435761 % 2**32) >> 21] += 1
+        for a, b, c in zip(low, low[1:], low[2:]):
+            grams[(((a * 257 + b) * 263 + c + 7919) * 2654435761 % 2**32) >> 21] += 1
+        x = [math.sqrt(g / max(1, sum(grams))) for g in grams]
+        bits = [sum(v * w for v, w in zip(x, coder.weights[:, j].tolist())) + float(coder.bias[j]) for j in range(code.shape[1])]
+        cost = [sum(trust * math.log1p(math.exp(-c * f)) for trust, c, f in zip(coder.trust, row, bits)) for row in code]
+        likely = [math.exp(-c) for c in cost]
+        wrong = sum((f > 0) != (c > 0) for f, c in zip(bits, code[int(np.argmin(cost))]))
+        distance = min(int((a != b).sum()) for i, a in enumerate(code) for b in code[:i])
+        assert best[k] == int(np.argmin(cost)) and abs(score[k] - max(likely) / sum(likely)) < 1e-3
+        assert unsure[k] == (score[k] < langid.AMBIGUOUS or wrong >= distance / 2)
