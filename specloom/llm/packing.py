@@ -4,7 +4,8 @@ A document is its token ids and an end id; a longer one than a sequence is cut i
 the whole length, of which the first may be shorter. How well pieces pack depends on their
 lengths alone, so the instance is the count of each length: at most `capacity` numbers however
 many documents there are. On that histogram the reduction fixes, many copies at a time, the
-sets that provably dominate every other set with the largest remaining piece:
+sets that provably dominate every other set with one of the pieces, from the longest to the
+shortest and again until no length is left that can be fixed:
 
 * exact partners (together they fill a sequence: nothing dominates that);
 * a piece that nothing fits beside, alone;
@@ -44,8 +45,6 @@ END_ID = 2
 RANK_GROUP = 2_000
 #: Words whose ids a worker keeps.
 CACHED_WORDS = 400_000
-#: Words on which a worker holds a rank file against the tokenizer.
-CHECKED_WORDS = 2_000
 
 
 def default_tokenizer() -> str:
@@ -54,16 +53,6 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def default_ranks() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
-
-
-def _vocabulary(tokenizer: str | None, ranks: str | None) -> tuple[str, str | None]:
-    return (tokenizer, ranks) if tokenizer else (default_tokenizer(), ranks or default_ranks())
-
-
 # --- the instance: counts of lengths -------------------------------------------------
 
 
@@ -103,8 +92,9 @@ def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[t
             fix(s)
         elif s in left and capacity - s in left and (2 * s != capacity or left[s] > 1):
             fix(s, capacity - s)
-    while left:
-        j = max(left)
+
+    def dominating(j: int) -> tuple[int, ...] | None:
+        """A set with j that dominates every other set with it, if the tests find one."""
         sizes = sorted(left)
 
         def fits(limit: int, *used: int) -> int:
@@ -127,20 +117,24 @@ def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[t
         room = capacity - j
         best = fits(room, j)
         if not best:
-            fix(j)
-        elif smallest(2) > room or best == room:
-            fix(j, best)
-        elif smallest(3) > room:
-            pairs = [(a, b) for a in sizes if a <= room and left[a] > (a == j) for b in [fits(min(a, room - a), j, a)] if b]
-            second = fits(room - best, j, best)
-            if max(a + b for a, b in pairs) <= best:
-                fix(j, best)
-            elif second and all(a + b <= best or b <= second for a, b in pairs):
-                fix(j, best, second)
-            else:
-                break
-        else:
-            break
+            return (j,)
+        if smallest(2) > room or best == room:
+            return j, best
+        if smallest(3) <= room:
+            return None
+        pairs = [(a, b) for a in sizes if a <= room and left[a] > (a == j) for b in [fits(min(a, room - a), j, a)] if b]
+        second = fits(room - best, j, best)
+        if max(a + b for a, b in pairs) <= best:
+            return j, best
+        return (j, best, second) if second and all(a + b <= best or b <= second for a, b in pairs) else None
+
+    again = True
+    while again:  # what one fix takes away may let another length be fixed
+        again = False
+        for j in sorted(left, reverse=True):
+            while j in left and (found := dominating(j)):
+                fix(*found)
+                again = True
     return fixed, left
 
 
@@ -205,11 +199,9 @@ class Words:
     The tokenizer cuts a text before it merges, and always before a space that follows
     something other than white space; so a text without runs of white space that end in a
     space has the ids of its space-parted words. Other texts are encoded whole by `tokenizers`.
-    So are all words, unless `ranks` names the same vocabulary as a rank file: that is merged
-    some times faster, and has to agree with `tokenizers` on each worker's first words.
     """
 
-    def __init__(self, path: str, ranks: str | None = None):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import re
 
@@ -219,30 +211,10 @@ class Words:
         self.encoder.encode_special_tokens = True
         self.run = re.compile(r"(?:\s|^) ")
         self.known: dict[str, bytes] = {}
-        self.unchecked, self.fast = CHECKED_WORDS, None
-        if ranks:
-            import base64
-
-            import public_tokenizers
-            import tiktoken
-
-            with open(ranks, "rb") as f:
-                found = {base64.b64decode(t): int(n) for t, n in map(bytes.split, f)}
-            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=found, special_tokens={})
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        if self.fast is None:
-            return self._encode(words)
-        found = [array("I", self.fast.encode_ordinary(w)).tobytes() for w in words]
-        if self.unchecked > 0:
-            if found[: self.unchecked] != self._encode(words[: self.unchecked]):
-                raise ValueError("the rank file isn't the tokenizer's vocabulary")
-            self.unchecked -= len(words)
-        return found
-
     def ids(self, texts: list[str]) -> list[bytes]:
         parts = [None if self.run.search(t) else t.split(" ") for t in texts]
         if len(self.known) > CACHED_WORDS:
@@ -250,26 +222,26 @@ class Words:
         known = self.known
         heads = {p[0] for p in parts if p}
         new = [w for w in {w for p in parts if p for w in p[1:]} if w not in known]
-        known.update(zip(new, self._encode_words([f" {w}" for w in new])))
-        first = dict(zip(heads, self._encode_words(list(heads))))
+        known.update(zip(new, self._encode([f" {w}" for w in new])))
+        first = dict(zip(heads, self._encode(list(heads))))
         return [b"".join([first[p[0]], *map(known.__getitem__, p[1:])]) if p else self._encode([t])[0] for p, t in zip(parts, texts)]
 
 
 @cache
-def _worker_words(path: str, ranks: str | None) -> Words:
+def _worker_words(path: str) -> Words:
     """One for each Python worker: tasks that follow find the words of earlier ones."""
-    return Words(path, ranks)
+    return Words(path)
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def tokenize(path: str, ranks: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False):
+def tokenize(path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False):
     """A mapInArrow function: (doc_id, text) to pieces."""
     end = np.array([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _worker_words(path, ranks)
+        words = _worker_words(path)
         for batch in slices(batches, most=1 << 20):
             out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": [], **({"ids": []} if with_ids else {})}
             for doc, ids in zip(batch.column("doc_id").to_pylist(), words.ids([x.decode() for x in raw_texts(batch.column("text"))])):
@@ -290,14 +262,17 @@ def tokenize(path: str, ranks: str | None = None, capacity: int = CAPACITY, end_
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces (with doc_id, piece, start, length, ids_crc32) with their sequence_id and offset."""
+    """pieces (durable, with doc_id, piece, start, length, ids_crc32) with their sequence_id and offset.
+
+    A row's own number deals it to a group of its length, so no doc_id, null or repeated, fills one.
+    """
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # one row a length
     plan = make_plan(counts, capacity)
     groups = max([1, *(-(-n // RANK_GROUP) for n in counts.values())])
-    own = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)).cast("int"))
+    own = pieces.withColumn("_row", F.monotonically_increasing_id()).withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups)).cast("int"))
     sizes = own.groupBy("length", "_group").agg(F.count("*").alias("_n"))
     before = sizes.select("length", "_group", (F.sum("_n").over(Window.partitionBy("length").orderBy("_group")) - F.col("_n")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("length", "_group").orderBy("doc_id", "start", "ids_crc32"))
+    within = F.row_number().over(Window.partitionBy("length", "_group").orderBy("_row"))
     ranked = own.withColumn("_within", within).join(before, ["length", "_group"]).withColumn("_rank", F.col("_within") - 1 + F.col("_before"))
     names = pieces.columns
     sent = pieces.sparkSession.sparkContext.broadcast(plan)
@@ -311,14 +286,14 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.select(*names, "_rank").mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack_pieces(durable(documents(docs).mapInArrow(tokenize(*_vocabulary(tokenizer, ranks), capacity, end_id), PIECES)), capacity)
+    return pack_pieces(durable(documents(docs).mapInArrow(tokenize(tokenizer or default_tokenizer(), capacity, end_id), PIECES)), capacity)
 
 
-def sequences(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def sequences(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """The packed sequences themselves: sequence_id, ids and the pieces in their order (each at most `capacity` ids)."""
-    pieces = durable(documents(docs).mapInArrow(tokenize(*_vocabulary(tokenizer, ranks), capacity, end_id, with_ids=True), PIECES + ", ids array<int>"))
+    pieces = durable(documents(docs).mapInArrow(tokenize(tokenizer or default_tokenizer(), capacity, end_id, with_ids=True), PIECES + ", ids array<int>"))
     found = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "piece", "length", "ids")))
     return pack_pieces(pieces, capacity).groupBy("sequence_id").agg(found.alias("_p")).select(
         "sequence_id", F.flatten(F.transform("_p", lambda x: x["ids"])).alias("ids"), F.transform("_p", lambda x: F.struct(x["doc_id"], x["piece"], x["offset"], x["length"])).alias("pieces")
