@@ -120,12 +120,12 @@ class Model:
         return np.log(np.maximum(z[np.arange(len(z)), kind], 1e-37).astype(np.float64)) - np.log(total.astype(np.float64))
 
 
-def _sums(docs: DataFrame, of) -> list[np.ndarray]:
+def _sums(docs: DataFrame, of, most: int = 2 << 20) -> list[np.ndarray]:
     """The sums over all of docs of the arrays that of(texts) yields; added within a task, then by slices of the arrays."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: list[np.ndarray] | None = None
-        for batch in slices(batches, most=2 << 20):
+        for batch in slices(batches, most=most):
             found = of(raw_texts(batch.column("text")))
             if totals is None:
                 totals = found

@@ -34,6 +34,8 @@ from .components import connected_components
 SHINGLE = 3
 THRESHOLD = 2
 SEED = 42
+#: Up to so many doc_ids (8 bytes each) are broadcast.
+BROADCAST_IDS = 1_000_000
 #: Fixed values of the code: length, covering radius, generator polynomial.
 BITS, RADIUS, GENERATOR = 23, 3, 0b110001110101
 
@@ -199,7 +201,9 @@ def keep_first(docs: DataFrame, found: DataFrame, of: Callable[[list[bytes]], np
     """
     groups = durable(found.where("doc_id is not null"))
     by_id = groups.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("_stays"), F.count("*").alias("_rows"))
-    gone = by_id.where("not _stays").select(F.col("doc_id").alias("_gone"))
+    gone = durable(by_id.where("not _stays").select(F.col("doc_id").alias("_gone")))
+    if gone.count() <= BROADCAST_IDS:  # else both sides are dealt out by doc_id
+        gone = F.broadcast(gone)
     own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_all"), docs["doc_id"].cast("long").alias("_id"), docs["text"].cast("string").alias("text"))
     whole = [F.col("_all").getField(c).alias(c) for c in docs.columns]
     kept = own.join(gone, own["_id"] == gone["_gone"], "left_anti")
