@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 DIGITS = "^[0-9]+$"
 UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 HEX24 = "^[0-9a-fA-F]{24}$"
-TOKEN, HAS_DIGIT = "^[A-Za-z0-9_-]{8,}$", "[0-9]"
+TOKEN = "^(?=.*[0-9])[A-Za-z0-9_-]{8,}$"
+ID_SEGMENT = "|".join([DIGITS, UUID, HEX24, TOKEN])
 
 
 def split_url(url: Column) -> Column:
@@ -33,7 +34,7 @@ def query_params(query: Column) -> Column:
 
 
 def is_id_segment(segment: Column) -> Column:
-    return segment.rlike(DIGITS) | segment.rlike(UUID) | segment.rlike(HEX24) | (segment.rlike(TOKEN) & segment.rlike(HAS_DIGIT))
+    return segment.rlike(ID_SEGMENT)
 
 
 def singular(word: Column) -> Column:
@@ -58,21 +59,34 @@ def path_template(path: Column) -> Column:
     """struct(template, params): ids become named placeholders, unique within the path.
 
     A single id is `{id}`; of several each is named after the segment before it, or `id` where
-    that is missing or an id itself; equal names get 2, 3, ... .
+    that is missing or an id itself; a name that is taken gets 2, 3, ... . One pass over the
+    segments: each is tested once and carries what is known of those before it.
     """
     parts = F.filter(F.split(F.regexp_replace(path, "(?s)[?#].*$", ""), "/"), lambda p: p != "")
-    marked = F.transform(parts, lambda p, i: F.struct(p.alias("text"), is_id_segment(p).alias("is_id"), F.when(i > 0, F.element_at(parts, F.greatest(i, F.lit(1)))).alias("before")))
-    single = F.size(F.filter(marked, lambda m: m["is_id"])) == 1
-    base = lambda m: F.when(single | m["before"].isNull() | is_id_segment(F.coalesce(m["before"], F.lit("1"))), F.lit("id")).otherwise(F.concat(camel(singular(m["before"])), F.lit("Id")))
-    named = F.transform(marked, lambda m: F.struct(m["text"].alias("text"), F.when(m["is_id"], base(m)).alias("name")))
-    unique = F.transform(named, lambda m, i: F.when(m["name"].isNotNull(), _numbered(m["name"], F.size(F.filter(F.slice(named, 1, i), lambda o: o["name"] == m["name"])))))
-    out = F.transform(F.arrays_zip(parts.alias("text"), unique.alias("name")), lambda z: F.when(z["name"].isNull(), z["text"]).otherwise(F.concat(F.lit("{"), z["name"], F.lit("}"))))
-    values = F.transform(F.filter(F.arrays_zip(parts.alias("text"), unique.alias("name")), lambda z: z["name"].isNotNull()), lambda z: F.struct(z["name"].alias("name"), z["text"].alias("value")))
-    return F.struct(F.concat(F.lit("/"), F.array_join(out, "/")).alias("template"), values.alias("params"))
-
-
-def _numbered(name: Column, before: Column) -> Column:
-    return F.when(before > 0, F.concat(name, (before + 1).cast("string"))).otherwise(name)
+    marked = F.transform(parts, lambda p: F.struct(p.alias("text"), is_id_segment(p).alias("is_id")))
+    nothing = F.lit(None).cast("string")
+    start = F.struct(F.array().cast("array<struct<text:string,base:string,name:string>>").alias("out"), nothing.alias("before"))
+
+    def step(seen: Column, part: Column) -> Column:
+        base = F.when(seen["before"].isNull(), F.lit("id")).otherwise(F.concat(camel(singular(seen["before"])), F.lit("Id")))
+        plain = F.struct(part["text"].alias("text"), nothing.alias("base"), nothing.alias("name"))
+        named = F.element_at(F.transform(F.array(base), lambda b: F.struct(part["text"].alias("text"), b.alias("base"), _free_name(b, seen["out"]).alias("name"))), 1)
+        return F.struct(F.concat(seen["out"], F.array(F.when(part["is_id"], named).otherwise(plain))).alias("out"), F.when(~part["is_id"], part["text"]).alias("before"))
+
+    def finish(seen: Column) -> Column:
+        ids = F.filter(seen["out"], lambda o: o["name"].isNotNull())
+        name = lambda o: F.when(F.size(ids) == 1, F.lit("id")).otherwise(o["name"])
+        text = F.transform(seen["out"], lambda o: F.when(o["name"].isNull(), o["text"]).otherwise(F.concat(F.lit("{"), name(o), F.lit("}"))))
+        return F.struct(F.concat(F.lit("/"), F.array_join(text, "/")).alias("template"), F.transform(ids, lambda o: F.struct(name(o).alias("name"), o["text"].alias("value"))).alias("params"))
+
+    return F.aggregate(marked, start, step, finish)
+
+
+def _free_name(base: Column, out: Column) -> Column:
+    """base, or base with the least number from 2 on, that no earlier segment is named."""
+    names = F.transform(out, lambda o: o["name"])
+    numbered = F.transform(F.sequence(F.lit(1), F.size(out) + 1), lambda k: F.when(k == 1, base).otherwise(F.concat(base, k.cast("string"))))
+    return F.element_at(F.filter(numbered, lambda n: ~F.coalesce(F.array_contains(F.array_compact(names), n), F.lit(False))), 1)
 
 
 def path_version(path: Column) -> Column:

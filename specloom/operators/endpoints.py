@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import DIGITS, UUID, path_version
 from ..functions.text import name_similarity
-from .observe import KEY, is_success, with_template
+from .observe import KEY, SCOPE, bodies, is_success, type_of, with_template
 
 # Headers that carry versions and credentials; limits of version mixes.
 VERSION_HEADERS = ["accept-version", "x-api-version"]
@@ -20,21 +20,44 @@ def _has_header(headers: Column, names: list[str]) -> Column:
 
 
 def endpoints(entries: DataFrame) -> DataFrame:
-    """One row an endpoint, by template and method."""
+    """One row an endpoint, by template and method: all in one shuffle, summed by version header first."""
     keyed = with_template(entries)
-    when = F.when(F.col("timestamp") != "", F.col("timestamp"))
-    out = keyed.groupBy(*KEY).agg(
-        F.count("*").alias("sample_count"), F.min(when).alias("first_seen"), F.max(when).alias("last_seen"), F.array_sort(F.collect_set("status")).alias("statuses"),
-        F.avg(_has_header(F.col("headers"), AUTH_HEADERS).cast("double")).alias("auth_rate"),
-        F.coalesce(F.bool_and(F.when(is_success(F.col("status")), F.col("request_body").isNotNull())), F.lit(False)).alias("request_required"),
-        F.min_by(path_version(F.col("path")), F.when(path_version(F.col("path")).isNotNull(), F.col("entry_seq"))).alias("path_version"),
+    when, version = F.when(F.col("timestamp") != "", F.col("timestamp")), path_version(F.col("path"))
+    has_body = F.when(is_success(F.col("status")), F.col("request_body").isNotNull())
+    own = keyed.select(*KEY, "entry_seq", "status", when.alias("_when"), version.alias("_v"), has_body.alias("_body"), _has_header(F.col("headers"), AUTH_HEADERS).cast("long").alias("_auth"), _versions(F.col("headers")).alias("_names"))
+    each = own.groupBy(*KEY, "_names").agg(
+        F.count("*").alias("n"), F.min("_when").alias("first_seen"), F.max("_when").alias("last_seen"), F.collect_set("status").alias("statuses"), F.sum("_auth").alias("_auth"),
+        F.bool_and("_body").alias("_body"), F.min(F.when(F.col("_v").isNotNull(), F.struct("entry_seq", "_v"))).alias("_v"), F.min("entry_seq").alias("_first"),
     )
-    return out.join(header_version(keyed), KEY, "left").withColumn("api_version", F.coalesce("path_version", "header_version")).drop("path_version", "header_version")
+    out = each.groupBy(*KEY).agg(
+        F.sum("n").alias("sample_count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("statuses")))).alias("statuses"),
+        (F.sum("_auth").cast("double") / F.sum("n")).alias("auth_rate"), F.coalesce(F.bool_and("_body"), F.lit(False)).alias("request_required"),
+        F.min("_v")["_v"].alias("_path"), F.collect_list(F.when(F.size("_names") > 0, F.struct("_names", "n", F.col("_first").alias("first")))).alias("_headers"),
+    )
+    return out.withColumn("api_version", F.coalesce("_path", _commonest(F.col("_headers")))).drop("_path", "_headers")
+
+
+def _versions(headers: Column) -> Column:
+    """The version headers' values of a call, stripped; blank ones say nothing."""
+    named = F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]).isin(*VERSION_HEADERS))
+    return F.filter(F.transform(named, lambda e: F.trim(e["value"])), lambda v: v != "")
+
+
+def _commonest(groups: Column) -> Column:
+    """Of groups (_names, n, first) the name of most calls; of equals the first seen."""
+    names = F.array_distinct(F.flatten(F.transform(groups, lambda g: g["_names"])))
 
+    def counted(name: Column) -> Column:
+        own = F.filter(groups, lambda g: F.array_contains(g["_names"], name))
+        times = lambda g: g["n"] * F.size(F.filter(g["_names"], lambda v: v == name))
+        return F.struct(F.aggregate(own, F.lit(0).cast("long"), lambda a, g: a + times(g)).alias("n"), (-F.array_min(F.transform(own, lambda g: g["first"]))).alias("first"), name.alias("name"))
 
-def header_version(keyed: DataFrame) -> DataFrame:
+    return F.array_max(F.transform(names, counted))["name"]
+
+
+def header_version(entries: DataFrame) -> DataFrame:
     """The commonest version header of each endpoint; of equals the first seen."""
-    each = keyed.select(*KEY, "entry_seq", F.explode("headers").alias("name", "value")).where(F.lower("name").isin(*VERSION_HEADERS))
+    each = with_template(entries).select(*KEY, "entry_seq", F.explode(_versions(F.col("headers"))).alias("value"))
     counted = each.groupBy(*KEY, "value").agg(F.count("*").alias("n"), F.min("entry_seq").alias("first"))
     return counted.groupBy(*KEY).agg(F.max_by("value", F.struct("n", (-F.col("first")).alias("f"))).alias("header_version"))
 
@@ -85,30 +108,42 @@ def status_histogram(entries: DataFrame) -> DataFrame:
 
 
 def key_sets(entries: DataFrame) -> DataFrame:
-    """Each endpoint's successful bodies by their top-level keys (raw), with the share that has just these."""
-    keys = with_template(entries).where(is_success(F.col("status")) & F.col("response_body").startswith("{")).select(*KEY, F.array_sort(F.json_object_keys("response_body")).alias("keys"))
-    sets = keys.groupBy(*KEY, "keys").agg(F.count("*").alias("n"))
-    total = Window.partitionBy(*KEY)
-    return sets.withColumn("total", F.sum("n").over(total))
+    """By top-level keys (raw) of the bodies that are objects: how many of a scope's bodies have just these, by endpoint and scope."""
+    keys = bodies(with_template(entries)).where(F.col("body").startswith("{")).select(*SCOPE, F.array_sort(F.json_object_keys("body")).alias("keys"))
+    return keys.groupBy(*SCOPE, "keys").agg(F.count("*").alias("n")).withColumn("total", F.sum("n").over(Window.partitionBy(*SCOPE)))
 
 
-def version_mix(entries: DataFrame) -> DataFrame:
-    """Endpoints whose bodies fall into disjoint groups of extra keys: clusters, the commonest first."""
+def version_mix(entries: DataFrame, versioned: DataFrame | None = None) -> DataFrame:
+    """Scopes whose bodies fall into disjoint groups of extra keys: clusters, the commonest first. Endpoints that name a version (api_version in `versioned`) have none."""
     sets = key_sets(entries)
-    each = sets.select(*KEY, F.explode("keys").alias("k"), "n", "total").groupBy(*KEY, "k").agg(F.sum("n").alias("with"), F.first("total").alias("total"))
-    core = each.where("`with` = total").groupBy(*KEY).agg(F.collect_set("k").alias("core"))
+    if versioned is not None:
+        sets = sets.join(versioned.where("api_version is not null").select(*KEY), KEY, "left_anti")
+    each = sets.select(*SCOPE, F.explode("keys").alias("k"), "n", "total").groupBy(*SCOPE, "k").agg(F.sum("n").alias("with"), F.first("total").alias("total"))
+    core = each.where("`with` = total").groupBy(*SCOPE).agg(F.collect_set("k").alias("core"))
     own = F.array_sort(F.array_except("keys", F.coalesce("core", F.array().cast("array<string>"))))
-    clusters = sets.join(core, KEY, "left").withColumn("own", own).where(F.size("own") > 0).groupBy(*KEY, "own").agg(F.sum("n").alias("n"), F.first("total").alias("total"))
-    rank = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("n"), "own"))
+    clusters = sets.join(core, SCOPE, "left").withColumn("own", own).where(F.size("own") > 0).groupBy(*SCOPE, "own").agg(F.sum("n").alias("n"), F.first("total").alias("total"))
+    rank = F.row_number().over(Window.partitionBy(*SCOPE).orderBy(F.desc("n"), "own"))
     top = clusters.where(F.col("n").cast("double") / F.col("total") >= MIX_SHARE).withColumn("rank", rank).where(F.col("rank") <= MIX_CLUSTERS)
-    found = top.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("rank", "own", "n"))).alias("c")).where(F.size("c") >= 2)
+    found = top.groupBy(*SCOPE).agg(F.array_sort(F.collect_list(F.struct("rank", "own", "n"))).alias("c")).where(F.size("c") >= 2)
     disjoint = F.forall("c", lambda x: F.forall("c", lambda y: (x["rank"] == y["rank"]) | ~F.arrays_overlap(x["own"], y["own"])))
-    return found.where(disjoint).select(*KEY, F.transform("c", lambda x: F.struct(x["own"].alias("keys"), x["n"].alias("n"))).alias("clusters"))
+    return found.where(disjoint).select(*SCOPE, F.transform("c", lambda x: F.struct(x["own"].alias("keys"), x["n"].alias("n"))).alias("clusters"))
+
+
+def greedy(pairs: Column) -> Column:
+    """Of pairs (likeness, old, new, more), the likeliest first, those whose ends no pair before them took."""
+    ordered = F.array_sort(pairs, lambda a, b: F.when(a["likeness"] > b["likeness"], -1).when(a["likeness"] < b["likeness"], 1).when(a["old"] < b["old"], -1).when(a["old"] > b["old"], 1).when(a["new"] < b["new"], -1).when(a["new"] > b["new"], 1).otherwise(0))
+    free = lambda seen, p: ~F.exists(seen, lambda s: (s["old"] == p["old"]) | (s["new"] == p["new"]))
+    return F.reduce(ordered, F.slice(ordered, 1, 0), lambda seen, p: F.when(free(seen, p), F.concat(seen, F.array(p))).otherwise(seen))
 
 
-def rename_candidates(mix: DataFrame) -> DataFrame:
-    """Pairs of keys of the two commonest clusters by likeness; each key's best partner when both agree."""
-    pairs = mix.select(*KEY, F.explode(F.element_at("clusters", 1)["keys"]).alias("old"), F.element_at("clusters", 2)["keys"].alias("_n")).select(*KEY, "old", F.explode("_n").alias("new"))
+def rename_candidates(mix: DataFrame, entries: DataFrame) -> DataFrame:
+    """Pairs of keys of the two commonest clusters that share a word and the type of their first value, matched greedily by likeness."""
+    pairs = mix.select(*SCOPE, F.explode(F.element_at("clusters", 1)["keys"]).alias("old"), F.element_at("clusters", 2)["keys"].alias("_n")).select(*SCOPE, "old", F.explode("_n").alias("new"))
     scored = pairs.withColumn("likeness", name_similarity(F.col("old"), F.col("new"))).where("likeness > 0")
-    best = lambda by: F.row_number().over(Window.partitionBy(*KEY, by).orderBy(F.desc("likeness"), "old", "new"))
-    return scored.withColumns({"_a": best("old"), "_b": best("new")}).where("_a = 1 and _b = 1").drop("_a", "_b")
+    wanted = scored.select(*SCOPE, F.col("old").alias("key")).union(scored.select(*SCOPE, "new")).distinct()
+    values = bodies(with_template(entries)).where(F.col("body").startswith("{")).select(*SCOPE, "entry_seq", F.explode(F.map_entries(F.try_variant_get(F.try_parse_json("body"), "$", "map<string,variant>"))).alias("e"))
+    typed = values.select(*SCOPE, "entry_seq", F.col("e.key").alias("key"), type_of(F.col("e.value")).alias("type")).where("type <> 'null'").join(wanted, [*SCOPE, "key"], "left_semi")
+    first = typed.groupBy(*SCOPE, "key").agg(F.min_by("type", "entry_seq").alias("type"))
+    both = scored.join(first.select(*SCOPE, F.col("key").alias("old"), F.col("type").alias("_old")), [*SCOPE, "old"]).join(first.select(*SCOPE, F.col("key").alias("new"), F.col("type").alias("_new")), [*SCOPE, "new"])
+    chosen = both.where("_old = _new").groupBy(*SCOPE).agg(greedy(F.collect_list(F.struct("likeness", "old", "new"))).alias("p"))
+    return chosen.select(*SCOPE, F.explode("p").alias("p")).select(*SCOPE, "p.old", "p.new", "p.likeness")

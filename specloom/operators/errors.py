@@ -35,8 +35,9 @@ def endpoint_evidence(entries: DataFrame, observed: DataFrame | None = None) ->
     name = F.regexp_extract("path", "([^.]*)$", 1)
     state = seen.where((F.col("scope") != "request") & name.isin(*STATE_FIELDS)).select(*KEY).distinct().withColumn("has_state", F.lit(True))
     unique = seen.where((F.col("scope") == "request") & name.isin(*UNIQUE_FIELDS)).select(*KEY).distinct().withColumn("has_unique", F.lit(True))
-    sends = with_template(entries).groupBy(*KEY).agg(F.bool_or(F.col("request_body").isNotNull()).alias("has_body"))
-    rows = endpoints(entries).select(*KEY, "auth_rate", "statuses", "sample_count")
+    keyed = with_template(entries)
+    sends = keyed.groupBy(*KEY).agg(F.bool_or(F.col("request_body").isNotNull()).alias("has_body"))
+    rows = endpoints(keyed).select(*KEY, "auth_rate", "statuses", "sample_count")
     methods = rows.groupBy("template").agg(F.collect_set("method").alias("_methods"))
     yes = lambda c: F.coalesce(c, F.lit(False))
     out = rows.join(methods, "template").join(sends, KEY).join(state, KEY, "left").join(unique, KEY, "left")

@@ -13,7 +13,9 @@ SCOPE = [*KEY, "scope"]
 
 
 def with_template(entries: DataFrame) -> DataFrame:
-    """entries with template and params of their paths."""
+    """entries with template and params of their paths; as they are if they have them."""
+    if {"template", "params"} <= {*entries.columns}:
+        return entries
     return entries.withColumn("_t", path_template(F.col("path"))).withColumns({"template": F.col("_t.template"), "params": F.col("_t.params")}).drop("_t")
 
 
@@ -53,24 +55,26 @@ def type_of(v: Column) -> Column:
 def observe(body_rows: DataFrame, depth: int | None = None) -> DataFrame:
     """Every value of every body: the scope, entry_seq, path (canonical keys joined by dots, [] for items), parent, raw_key, type, text, int_value.
 
-    Bodies are walked level by level, as deep as the deepest goes (one pass over the texts finds out).
+    Levels are arrays inside a body's row, as deep as the deepest goes (one pass over the texts
+    finds out).
     """
-    spark = body_rows.sparkSession
     if depth is None:
         depth = body_rows.agg(F.max(depth_of(F.col("body")))).first()[0] or 0
-    level = body_rows.select(*SCOPE, "entry_seq", F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("raw_key"), F.try_parse_json("body").alias("v")).where("v is not null")
-    levels = [level]
-    for _ in range(depth):
-        inner = level.select(*SCOPE, "entry_seq", F.col("path").alias("parent"), "v").lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).select("key", F.col("value").alias("inner")))
-        canon = canonical_key(F.col("key"))
-        path = F.when(F.col("key").isNull(), F.concat(F.col("parent"), F.lit("[]"))).when(F.col("parent") == "", canon).otherwise(F.concat_ws(".", "parent", canon))
-        level = inner.select(*SCOPE, "entry_seq", path.alias("path"), "parent", F.col("key").alias("raw_key"), F.col("inner").alias("v"))
-        levels.append(level)
-    out = levels[0]
-    for more in levels[1:]:
-        out = out.unionByName(more)
-    kind = type_of(F.col("v"))
-    out = out.withColumn("type", kind)
+    node = "struct<path:string,parent:string,raw_key:string,v:variant>"
+
+    def inner(n: Column) -> Column:
+        """The values right below a value."""
+        canon = lambda e: F.when(n["path"] == "", canonical_key(e["key"])).otherwise(F.concat_ws(".", n["path"], canonical_key(e["key"])))
+        keys = F.transform(F.map_entries(F.try_variant_get(n["v"], "$", "map<string,variant>")), lambda e: F.struct(canon(e).alias("path"), n["path"].alias("parent"), e["key"].alias("raw_key"), e["value"].alias("v")))
+        items = F.transform(F.try_variant_get(n["v"], "$", "array<variant>"), lambda v: F.struct(F.concat(n["path"], F.lit("[]")).alias("path"), n["path"].alias("parent"), F.lit(None).cast("string").alias("raw_key"), v.alias("v")))
+        return F.coalesce(keys, items, F.array().cast(f"array<{node}>"))
+
+    root = F.struct(F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("raw_key"), F.col("v").alias("v"))
+    rows = body_rows.select(*SCOPE, "entry_seq", F.try_parse_json("body").alias("v")).where("v is not null").withColumn("_0", F.array(root.cast(node)))
+    for k in range(depth):  # each level is a column that the next reads: a body is parsed once and its values come out of one explode
+        rows = rows.withColumn(f"_{k + 1}", F.flatten(F.transform(f"_{k}", inner)))
+    out = rows.select(*SCOPE, "entry_seq", F.explode(F.concat(*[f"_{k}" for k in range(depth + 1)])).alias("o")).select(*SCOPE, "entry_seq", "o.*")
+    out = out.withColumn("type", type_of(F.col("v")))
     return out.select(*SCOPE, "entry_seq", "path", "parent", "raw_key", "type", F.when(F.col("type") == "string", F.try_variant_get("v", "$", "string")).alias("text"), F.when(F.col("type") == "integer", F.try_variant_get("v", "$", "long")).alias("int_value"))
 
 

@@ -21,18 +21,20 @@ FREE_TEXT = ["name", "title", "street", "city", "zip", "postal", "email", "messa
 TYPES = ["boolean", "integer", "number", "string", "array", "object"]
 FORMATS = {
     "uuid": "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    "date-time": "^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.,][0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?$",
+    "date-time": "^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\\.[0-9]+)?)?([Zz]|[+-][0-9]{2}:?[0-9]{2})?$",
     "date": "^[0-9]{4}-[0-9]{2}-[0-9]{2}$",
-    "email": "^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$",
-    "uri": "^[A-Za-z][A-Za-z0-9+.-]*://[^\\s]+$",
+    "email": "^[^@\\s]+@[^@\\s]+\\.[A-Za-z]{2,}$",
+    "uri": "^https?://[^\\s/?#]+[^\\s]*$",
 }
+#: The time of a date-time that is one: hours to 23, minutes and seconds to 59, an offset below a day.
+CLOCK = "^.{11}([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9](\\.[0-9]+)?)?([Zz]|[+-]([01][0-9]|2[0-3]):?[0-5][0-9])?$"
 
 
 def matches_format(text: Column, name: str) -> Column:
     fits = text.rlike(FORMATS[name])
     if name in ("date", "date-time"):
-        fits = fits & F.try_to_timestamp(F.substring(text, 1, 10), F.lit("yyyy-MM-dd")).isNotNull()
-    return fits
+        fits = fits & F.try_to_timestamp(F.substring(text, 1, 10), F.lit("yyyy-MM-dd")).isNotNull() & ~text.startswith("0000")
+    return fits & text.rlike(CLOCK) if name == "date-time" else fits
 
 
 def format_of(text: Column) -> Column:
@@ -76,6 +78,7 @@ def decide(fields: DataFrame) -> DataFrame:
     rare = ~optional & (share < RARE_SHARE) & (F.col("n") >= RARE_COUNT)
     return fields.select(
         *SCOPE, "parent", "path", "n", "present", "nulls", "seen", F.array_sort(types).alias("observed_types"),
+        F.when(conflict, F.map_from_entries(F.array_sort(F.transform(F.filter(named, lambda c: ~(both & (c["type"] == "integer"))), lambda c: F.struct(c["type"], c["count"]))))).alias("type_counts"),
         F.when(conflict, F.array(top["type"])).otherwise(F.array_sort(types)).alias("types"),
         F.round(wilson_lower_bound(F.col("present"), F.col("n")), 4).alias("presence_lb"), required.alias("required"), (F.col("nulls") > 0).alias("nullable"),
         F.round(F.col("nulls").cast("double") / F.col("seen"), 4).alias("null_rate"), F.when(required & (F.col("n") < LOW_COUNT), "low").alias("confidence"),

@@ -22,7 +22,7 @@ def endpoint_confidence(endpoints: DataFrame, profile: DataFrame, mixes: DataFra
     marks = profile.groupBy(*KEY).agg(F.coalesce(F.bool_or(F.col("confidence") == "low"), F.lit(False)).alias("low_field"), F.bool_or(F.arrays_overlap("ambiguity", F.array(*map(F.lit, SERIOUS)))).alias("serious"), F.sum(F.size("ambiguity")).alias("ambiguities"))
     out = endpoints.select(*KEY, "sample_count").join(marks, KEY, "left")
     if mixes is not None:
-        out = out.join(mixes.select(*KEY, F.lit(True).alias("_mix")), KEY, "left").withColumn("serious", F.coalesce("serious", F.lit(False)) | F.coalesce("_mix", F.lit(False))).drop("_mix")
+        out = out.join(mixes.select(*KEY, F.lit(True).alias("_mix")).distinct(), KEY, "left").withColumn("serious", F.coalesce("serious", F.lit(False)) | F.coalesce("_mix", F.lit(False))).drop("_mix")
     low = F.coalesce("serious", F.lit(False)) | F.coalesce("low_field", F.lit(False)) | (F.col("sample_count") < LOW_SAMPLES)
     confidence = F.when(low, "low").when(F.col("sample_count") < MEDIUM_SAMPLES, "medium").otherwise("high")
     return out.select(*KEY, "sample_count", F.coalesce("ambiguities", F.lit(0)).cast("long").alias("ambiguities"), confidence.alias("confidence"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.spread import spread
+
 #: The same body in both dialects: fields come and go with event_id.
 _BODY = """concat('{"id":', event_id, ',"type":"', event_type, '"', CASE WHEN event_id % 5 <> 0 THEN concat(',"cents":', CAST(round(value * 100) AS BIGINT)) ELSE '' END,
  CASE WHEN event_id % 7 = 0 THEN ',"note":null' WHEN event_id % 7 = 1 THEN '' ELSE concat(',"note":"n', event_id % 3, '"') END,
@@ -20,7 +22,7 @@ LOGS_SQL = "WITH logs AS (SELECT *, regexp_replace(regexp_replace(path, '^/users
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(*_split(FIELDS.replace("@TEXT", "STRING")))
+    raw = spread(spark.read.parquet(f"{sf_dir}/events.parquet")).selectExpr(*_split(FIELDS.replace("@TEXT", "STRING")))
     headers = F.when(F.col("entry_seq") % 4 != 0, F.create_map(F.lit("Authorization"), F.lit("Bearer x"))).otherwise(F.create_map().cast("map<string,string>"))
     return raw.withColumns({"query": F.create_map().cast("map<string,string>"), "headers": headers, "flags": F.array().cast("array<string>")})
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from ..operators import endpoints as E
 from ..operators import errors, quality
-from ..operators.observe import bodies, observe
+from ..operators.observe import bodies, observe, with_template
 from ..operators.profile import field_profile
 from . import render
 
@@ -35,6 +35,11 @@ class Contract:
         a = self.path_params.select(*key, "name", F.lit("path").alias("location"), "type", F.lit(True).alias("required"))
         return a.unionByName(self.query_params.select(*key, "name", F.lit("query").alias("location"), "type", "required"))
 
+    def release(self) -> None:
+        """Gives back what the build keeps."""
+        self.observed.unpersist()
+        self.entries.unpersist()
+
     def quality(self) -> DataFrame:
         return quality.endpoint_confidence(self.endpoints, self.profile, self.mixes)
 
@@ -44,7 +49,8 @@ class Contract:
 
 
 def build(entries: DataFrame, infer_errors: bool = False, depth: int | None = None) -> Contract:
-    observed = observe(bodies(entries), depth).persist(StorageLevel.MEMORY_AND_DISK)  # read by every statistic
-    profile = field_profile(observed)
-    inferred = errors.inferred_responses(entries, observed) if infer_errors else None
-    return Contract(entries, observed, E.endpoints(entries), profile, E.path_params(entries), E.query_params(entries), E.examples(entries), E.version_mix(entries), inferred)
+    keyed = with_template(entries).persist(StorageLevel.MEMORY_AND_DISK)  # read by every table; release() gives it back
+    observed = observe(bodies(keyed), depth).persist(StorageLevel.MEMORY_AND_DISK)
+    found = E.endpoints(keyed)
+    inferred = errors.inferred_responses(keyed, observed) if infer_errors else None
+    return Contract(keyed, observed, found, field_profile(observed), E.path_params(keyed), E.query_params(keyed), E.examples(keyed), E.version_mix(keyed, found), inferred)

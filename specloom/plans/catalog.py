@@ -14,6 +14,7 @@ from ..operators import diff, endpoints, errors, noise, quality
 from ..operators.observe import bodies, observe, with_template
 from ..operators.profile import aliases, field_profile, presence, strings
 from ..sources.logs import parse_lines, skip_tally
+from ..sources.spread import spread
 from ..streaming import tracker
 from .adapter import LOGS_SQL, entries
 
@@ -76,11 +77,35 @@ def id_segments(spark, sf_dir):
     return pages.select("page_id", F.explode(F.filter(F.split("u.path", "/"), lambda s: s != "")).alias("segment")).withColumn("is_id", P.is_id_segment(F.col("segment")))
 
 
-@query(f"SELECT page_id, '/' || array_to_string(list_transform(list_filter(string_split(rest, '/'), lambda s: s <> ''), lambda s: CASE WHEN {_ID.format('s')} THEN '{{id}}' ELSE s END), '/') AS template FROM ({_SPLIT}) WHERE len(list_filter(string_split(rest, '/'), lambda s: {_ID.format('s')})) <= 1")
+_LOW = "lower(b.before)"
+_SINGULAR = f"""CASE WHEN {_LOW} LIKE '%ies' AND length(b.before) > 3 THEN b.before[:-4] || 'y' WHEN {_LOW} LIKE '%sses' OR {_LOW} LIKE '%xes' OR {_LOW} LIKE '%ches' OR {_LOW} LIKE '%shes' THEN b.before[:-3]
+ WHEN {_LOW} LIKE '%s' AND {_LOW} NOT LIKE '%ss' AND length(b.before) > 1 THEN b.before[:-2] ELSE b.before END"""
+_CAMEL = "CASE WHEN len(w) = 0 THEN 'id' ELSE lower(w[1]) || array_to_string(list_transform(w[2:], lambda x: upper(x[1]) || lower(x[2:])), '') END"
+#: The segments of each page's path, and the templates: names by the segment before, numbered within a path.
+_TEMPLATES = f"""WITH p AS (SELECT page_id, list_filter(string_split(rest, '/'), lambda s: s <> '') AS parts FROM ({_SPLIT})),
+ g AS (SELECT page_id, unnest(parts) AS text, unnest(range(1, len(parts) + 1)) AS i FROM p),
+ m AS (SELECT *, {_ID.format('text')} AS is_id, lag(text) OVER (PARTITION BY page_id ORDER BY i) AS last FROM g),
+ b AS (SELECT *, count(*) FILTER (is_id) OVER (PARTITION BY page_id) AS ids, CASE WHEN last IS NOT NULL AND NOT {_ID.format('last')} THEN last END AS before FROM m),
+ w AS (SELECT *, list_filter(string_split_regex({_SINGULAR}, '[-_.]'), lambda x: x <> '') AS w FROM b),
+ n AS (SELECT *, CASE WHEN ids = 1 OR before IS NULL THEN 'id' ELSE {_CAMEL} || 'Id' END AS name FROM w),
+ u AS (SELECT *, row_number() OVER (PARTITION BY page_id, is_id, name ORDER BY i) AS k FROM n),
+ t AS (SELECT page_id, string_agg(CASE WHEN is_id THEN '{{' || name || CASE WHEN k > 1 THEN CAST(k AS VARCHAR) ELSE '' END || '}}' ELSE text END, '/' ORDER BY i) AS t FROM u GROUP BY page_id)"""
+
+
+@query(_TEMPLATES + " SELECT page_id, '/' || coalesce(t, '') AS template FROM p LEFT JOIN t USING (page_id)")
 def path_template(spark, sf_dir):
-    """Of pages with at most one id (the oracle's reach); tests hold the others against tables of cases."""
-    pages = _pages(spark, sf_dir).withColumn("t", P.path_template(P.split_url(F.col("url"))["path"]))
-    return pages.where(F.size("t.params") <= 1).select("page_id", "t.template")
+    return _pages(spark, sf_dir).withColumn("t", P.path_template(P.split_url(F.col("url"))["path"])).select("page_id", "t.template")
+
+
+_LONGER = "CASE WHEN page_id % 3 = 0 THEN '/users/' || page_id || '/line-items/' || (page_id * 7) || rest WHEN page_id % 3 = 1 THEN '/' || page_id || '/' || page_id || rest ELSE '/boxes/' || page_id || '/boxes/ab-' || (100000 + page_id) || rest END"
+
+
+@query(_TEMPLATES.replace(f"FROM ({_SPLIT})", f"FROM (SELECT page_id, {_LONGER} AS rest FROM ({_SPLIT}))") + " SELECT page_id, '/' || coalesce(t, '') AS template FROM p LEFT JOIN t USING (page_id)")
+def path_template_of_many_ids(spark, sf_dir):
+    """Paths of two ids and more: the pages' own, below others."""
+    rest = F.expr(_LONGER.replace("'/users/' || page_id || '/line-items/'", "concat('/users/', page_id, '/line-items/')").replace("rest", "u.path"))
+    pages = _pages(spark, sf_dir).withColumn("u", P.split_url(F.col("url")))
+    return pages.withColumn("t", P.path_template(rest)).select("page_id", "t.template")
 
 
 @query(LOGS_SQL + ", s AS (SELECT *, CAST(status // 100 AS VARCHAR) || 'xx' AS class FROM logs) SELECT method, template, status, class, count(*) AS count FROM s GROUP BY GROUPING SETS ((method, template, status), (status), (class), ())")
@@ -127,7 +152,7 @@ def enum_and_format(spark, sf_dir):
     return strings(_observed(spark, sf_dir)).select("method", "template", "scope", "path", "format", F.array_join("enum", ",").alias("enum"), "enum_confidence")
 
 
-@query("SELECT 'GET' AS method, '/x' AS template, '200' AS scope, 'user_id' AS path, 'userId,user_id' AS aliases, true AS inconsistent WHERE (SELECT count(*) FROM events) > 0")
+@query("SELECT 'GET' AS method, '/x' AS template, '200' AS scope, 'user_id' AS path, string_agg(k, ',' ORDER BY n DESC, k) AS aliases, (sum(n) - max(n))::DOUBLE / sum(n) > 0.10 AS inconsistent FROM (SELECT CASE WHEN event_id % 3 = 0 THEN 'user_id' ELSE 'userId' END AS k, count(*) AS n FROM events GROUP BY 1) HAVING count(*) > 1")
 def alias_casing(spark, sf_dir):
     body = "CASE WHEN event_id % 3 = 0 THEN concat('{\"user_id\":', user_id, '}') ELSE concat('{\"userId\":', user_id, '}') END AS body"
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("'GET' AS method", "'/x' AS template", "'200' AS scope", "event_id AS entry_seq", body)
@@ -164,18 +189,33 @@ def first_examples(spark, sf_dir):
     return endpoints.examples(entries(spark, sf_dir))
 
 
-@query("SELECT 'GET' AS method, '/m' AS template, 'full_name,mail' AS a, 'email,name' AS b FROM (SELECT 1) WHERE (SELECT count(*) FROM events) > 0")
+_MIXED = "CASE WHEN event_id % 5 < 3 THEN concat('{\"id\":', event_id, ',\"full_name\":\"x\",\"mail\":\"y\",\"user_age\":1}') ELSE concat('{\"id\":', event_id, ',\"name\":\"x\",\"email\":\"y\",\"age_of_user\":\"', event_type, '\"}') END"
+#: Groups of extra keys of the mixed bodies, the commonest first.
+_CLUSTERS = f"""WITH b AS (SELECT event_id, {_MIXED} AS body FROM events), k AS (SELECT list_sort(json_keys(body)) AS ks, count(*) AS n FROM b GROUP BY 1), e AS (SELECT ks, n, unnest(ks) AS x FROM k),
+ core AS (SELECT x FROM e GROUP BY x HAVING sum(n) = (SELECT sum(n) FROM k)), o AS (SELECT n, list(x ORDER BY x) AS own FROM e WHERE x NOT IN (SELECT x FROM core) GROUP BY ks, n),
+ c AS (SELECT own, sum(n) AS n, row_number() OVER (ORDER BY sum(n) DESC, own) AS r FROM o GROUP BY own HAVING sum(n)::DOUBLE / (SELECT sum(n) FROM k) >= 0.20)"""
+
+
+def _mixed(spark, sf_dir):
+    return spread(spark.read.parquet(f"{sf_dir}/events.parquet")).selectExpr("event_id AS entry_seq", "'GET' AS method", "'/m' AS path", "200 AS status", "CAST(NULL AS STRING) AS request_body", f"{_MIXED} AS response_body")
+
+
+@query(_CLUSTERS + " SELECT 'GET' AS method, '/m' AS template, '200' AS scope, array_to_string(x.own, ',') AS a, array_to_string(y.own, ',') AS b FROM c x JOIN c y ON x.r = 1 AND y.r = 2 AND len(list_intersect(x.own, y.own)) = 0")
 def version_mix(spark, sf_dir):
-    body = "CASE WHEN event_id % 5 < 3 THEN concat('{\"id\":1,\"full_name\":\"x\",\"mail\":\"y\"}') ELSE '{\"id\":2,\"name\":\"x\",\"email\":\"y\"}' END AS response_body"
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id AS entry_seq", "'GET' AS method", "'/m' AS path", "200 AS status", body)
-    return endpoints.version_mix(rows).select("method", "template", F.array_join(F.element_at("clusters", 1)["keys"], ",").alias("a"), F.array_join(F.element_at("clusters", 2)["keys"], ",").alias("b"))
+    keys = lambda k: F.array_join(F.element_at("clusters", k)["keys"], ",")
+    return endpoints.version_mix(_mixed(spark, sf_dir)).select("method", "template", "scope", keys(1).alias("a"), keys(2).alias("b"))
+
 
+_WORDS = "list_distinct(list_filter(string_split(lower(regexp_replace({0}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '_'), lambda w: w <> ''))"
+_LIKE = f"len(list_intersect({_WORDS.format('o')}, {_WORDS.format('n')}))::DOUBLE / len(list_distinct(list_concat({_WORDS.format('o')}, {_WORDS.format('n')})))"
 
-@query("SELECT 'name' AS new, 'full_name' AS old, 0.5::DOUBLE AS likeness WHERE (SELECT count(*) FROM events) > 0")
+
+@query(_CLUSTERS + f""", p AS (SELECT unnest(x.own) AS o, y.own AS ns FROM c x JOIN c y ON x.r = 1 AND y.r = 2), q AS (SELECT o, unnest(ns) AS n FROM p),
+ t AS (SELECT x, arg_min(json_type(body, '$.' || x), event_id) AS t FROM (SELECT event_id, body, unnest(json_keys(body)) AS x FROM b) GROUP BY x)
+ SELECT o AS old, n AS new, {_LIKE} AS likeness FROM q JOIN t a ON a.x = o JOIN t z ON z.x = n WHERE {_LIKE} > 0 AND replace(a.t, 'UB', 'B') = replace(z.t, 'UB', 'B')""")
 def version_renames(spark, sf_dir):
-    body = "CASE WHEN event_id % 5 < 3 THEN concat('{\"id\":1,\"full_name\":\"x\",\"mail\":\"y\"}') ELSE '{\"id\":2,\"name\":\"x\",\"email\":\"y\"}' END AS response_body"
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id AS entry_seq", "'GET' AS method", "'/m' AS path", "200 AS status", body)
-    return endpoints.rename_candidates(endpoints.version_mix(rows)).select("old", "new", "likeness")
+    rows = _mixed(spark, sf_dir)
+    return endpoints.rename_candidates(endpoints.version_mix(rows), rows).select("old", "new", "likeness")
 
 
 @query(_OBS + ", e AS (SELECT count(*) AS total FROM logs WHERE status >= 400) SELECT path, count(*) AS n, round(count(*)::DOUBLE / any_value(total), 6) AS share FROM obs, e WHERE scope = '500' AND parent = '' GROUP BY path")
@@ -201,15 +241,21 @@ def observed_status_rate(spark, sf_dir):
     return errors.observed_status_rate(entries(spark, sf_dir)).withColumn("rate", F.round("rate", 6))
 
 
-@query(LOGS_SQL + " SELECT method, template, count(*) AS n, arg_min(response_body, entry_seq) FILTER (status < 300) AS example FROM logs GROUP BY ALL HAVING count(*) < 1000000")
+_THIN = "CASE WHEN event_id % 2 = 0 THEN concat('/b', event_id // 25) ELSE concat('/c', event_id // 60) END"
+
+
+@query(f"SELECT method, path AS template, count(*) AS n, arg_min(body, event_id) AS example FROM (SELECT event_id, 'GET' AS method, {_THIN} AS path, CAST(event_id AS VARCHAR) AS body FROM events) GROUP BY ALL HAVING count(*) < 20")
 def thin_endpoints(spark, sf_dir):
-    return errors.thin_endpoints(entries(spark, sf_dir), 1_000_000)
+    rows = spread(spark.read.parquet(f"{sf_dir}/events.parquet")).selectExpr("event_id AS entry_seq", "'GET' AS method", _THIN.replace("event_id // 25", "event_id DIV 25").replace("event_id // 60", "event_id DIV 60") + " AS path", "200 AS status", "CAST(event_id AS STRING) AS response_body")
+    return errors.thin_endpoints(rows)
 
 
-@query(LOGS_SQL + " SELECT method, template, count(*) AS sample_count, CASE WHEN count(*) < 10 THEN 'low' WHEN count(*) < 30 THEN 'medium' ELSE 'high' END AS confidence FROM logs GROUP BY ALL")
+@query(_FIELDS + """, c AS (SELECT method, template, count(*) AS sample_count FROM logs GROUP BY ALL),
+ s AS (SELECT method, template, bool_or(ints > 0 AND texts > 0 AND greatest(ints, texts)::DOUBLE / (ints + texts) >= 0.95) AS serious, bool_or(present::DOUBLE / n >= 0.98 AND n < 10) AS low FROM fields GROUP BY ALL)
+ SELECT method, template, sample_count, CASE WHEN sample_count < 10 OR coalesce(serious OR low, false) THEN 'low' WHEN sample_count < 30 THEN 'medium' ELSE 'high' END AS confidence FROM c LEFT JOIN s USING (method, template)""")
 def endpoint_confidence(spark, sf_dir):
-    log = entries(spark, sf_dir).withColumn("response_body", F.regexp_replace("response_body", ',"level":"high"', ""))
-    return quality.endpoint_confidence(endpoints.endpoints(log), field_profile(observe(bodies(log), DEPTH).persist(StorageLevel.MEMORY_AND_DISK))).select("method", "template", "sample_count", "confidence")
+    log = with_template(entries(spark, sf_dir))
+    return quality.endpoint_confidence(endpoints.endpoints(log), field_profile(_observed(spark, sf_dir))).select("method", "template", "sample_count", "confidence")
 
 
 @query("SELECT count(*) - sum(bad) AS read, sum(bad) AS skipped, round((count(*) - sum(bad))::DOUBLE / count(*), 4) AS parse_rate FROM (SELECT CAST(event_id % 10 = 0 AS BIGINT) AS bad FROM events)")
@@ -238,13 +284,18 @@ def spec_diff_endpoints(spark, sf_dir):
     return diff.diff_endpoints(old, new).select("kind", "method", "template", "breaking")
 
 
-@query("SELECT * FROM (VALUES ('field_removed', 'response.200.body.type', true), ('field_added', 'response.200.body.extra', false), ('type_changed', 'response.200.body.id', true), ('became_optional', 'response.200.body.cents', false)) AS t(kind, location, breaking)")
+_OLD = "concat('{\"id\":', event_id, ',\"type\":\"t\",\"cents\":1', CASE WHEN event_id % 3 = 0 THEN ',\"note\":\"n\"' ELSE '' END, '}')"
+_NEW = "concat('{\"id\":\"', event_id, '\",\"extra\":{\"a\":1}', CASE WHEN event_id % 2 = 0 THEN ',\"cents\":1' ELSE '' END, ',\"note\":\"n\"}')"
+_SIDE = "SELECT k, count(*)::DOUBLE / (SELECT count(*) FROM events) >= 0.98 AS r, string_agg(DISTINCT replace(json_type(body, '$.' || k), 'UB', 'B'), '|') AS t FROM (SELECT body, unnest(json_keys(body)) AS k FROM (SELECT {0} AS body FROM events)) GROUP BY k"
+
+
+@query(f"""WITH o AS ({_SIDE.format(_OLD)}), n AS ({_SIDE.format(_NEW)}), d AS (SELECT coalesce(o.k, n.k) AS k, CASE WHEN n.k IS NULL THEN 'field_removed' WHEN o.k IS NULL THEN 'field_added' WHEN o.t <> n.t THEN 'type_changed' WHEN NOT o.r AND n.r THEN 'became_required' WHEN o.r AND NOT n.r THEN 'became_optional' END AS kind FROM o FULL JOIN n ON o.k = n.k)
+ SELECT kind, 'response.200.body.' || k AS location, kind IN ('field_removed', 'type_changed', 'became_required') AS breaking FROM d WHERE kind IS NOT NULL""")
 def spec_diff_fields(spark, sf_dir):
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'view'")
-    old = raw.selectExpr("event_id AS entry_seq", "'GET' AS method", "'/d' AS path", "200 AS status", "CAST(NULL AS STRING) AS request_body", "concat('{\"id\":', event_id, ',\"type\":\"t\",\"cents\":1}') AS response_body")
-    new = raw.selectExpr("event_id AS entry_seq", "'GET' AS method", "'/d' AS path", "200 AS status", "CAST(NULL AS STRING) AS request_body", "concat('{\"id\":\"', event_id, '\",\"extra\":{\"a\":1}', CASE WHEN event_id % 2 = 0 THEN ',\"cents\":1' ELSE '' END, '}') AS response_body")
+    raw = spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    side = lambda body: raw.selectExpr("event_id AS entry_seq", "'GET' AS method", "'/d' AS path", "200 AS status", "CAST(NULL AS STRING) AS request_body", f"{body} AS response_body")
     profile = lambda df: field_profile(observe(bodies(df), DEPTH).persist(StorageLevel.MEMORY_AND_DISK))
-    return diff.diff_fields(profile(old), profile(new)).select("kind", "location", "breaking")
+    return diff.diff_fields(profile(side(_OLD)), profile(side(_NEW))).select("kind", "location", "breaking")
 
 
 @query(_OBS + """, i AS (SELECT method, template, CAST(status AS VARCHAR) AS scope, entry_seq, row_number() OVER (PARTITION BY method, template, status ORDER BY entry_seq) AS idx FROM logs),
@@ -256,17 +307,19 @@ def missing_streaks(spark, sf_dir):
     return out.select("method", "template", "scope", "path", F.col("first_seen").cast("long"), "present", "missing_streak", F.col("missing_since").cast("long"))
 
 
-@query("SELECT * FROM (VALUES ('name', 'full_name', 0.5::DOUBLE, true)) AS t(old, new, likeness, complete)")
+@query(f"""WITH b AS (SELECT row_number() OVER (ORDER BY event_id) AS i, CASE WHEN event_id < (SELECT quantile_cont(event_id, 0.5) FROM events) THEN 'name' ELSE 'full_name' END AS k FROM events),
+ f AS (SELECT k, min(i) AS first, max(i) AS last, (SELECT max(i) FROM b) AS total FROM b GROUP BY k), q AS (SELECT x.k AS o, y.k AS n, x.total - x.last AS gone FROM f x JOIN f y ON x.last < x.total AND y.first > 10 AND abs(y.first - x.last - 1) <= 2)
+ SELECT o AS old, n AS new, {_LIKE} AS likeness, gone >= 10 AS complete FROM q""")
 def rename_candidates(spark, sf_dir):
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'view'")
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
     half = raw.agg(F.percentile("event_id", 0.5)).first()[0]
     rows = raw.select(F.col("event_id").alias("entry_seq"), F.lit("GET").alias("method"), F.lit("/r").alias("template"), F.lit("200").alias("scope"), F.when(F.col("event_id") < half, F.lit('{"name":"x"}')).otherwise(F.lit('{"full_name":"x"}')).alias("body"))
-    return tracker.rename_pairs(tracker.field_states(observe(rows, 1))).select("old", "new", "likeness", "complete")
+    return tracker.rename_pairs(tracker.field_states(observe(spread(rows), 1))).select("old", "new", "likeness", "complete")
 
 
-@query("SELECT sum(c) AS changes, count(*) AS bursts FROM (SELECT g, count(*) AS c FROM (SELECT ts, sum(brk) OVER (ORDER BY ts) AS g FROM (SELECT ts, CASE WHEN lag(ts) OVER (ORDER BY ts) IS NULL OR ts - lag(ts) OVER (ORDER BY ts) >= INTERVAL 12 SECOND THEN 1 ELSE 0 END AS brk FROM events WHERE event_type = 'error')) GROUP BY g)")
+@query("SELECT sum(c) AS changes, count(*) AS bursts FROM (SELECT g, count(*) AS c FROM (SELECT ts, sum(brk) OVER (ORDER BY ts) AS g FROM (SELECT ts, CASE WHEN lag(ts) OVER (ORDER BY ts) IS NULL OR ts - lag(ts) OVER (ORDER BY ts) >= INTERVAL 12 SECOND THEN 1 ELSE 0 END AS brk FROM events)) GROUP BY g)")
 def change_bursts(spark, sf_dir):
-    changes = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'error'").select(F.col("ts").cast("timestamp").alias("detected_at"), (F.col("event_id") % 2 == 0).alias("breaking"))
+    changes = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("detected_at"), (F.col("event_id") % 2 == 0).alias("breaking"))
     return tracker.change_bursts(changes).agg(F.sum("changes").alias("changes"), F.count("*").alias("bursts"))
 
 

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .spread import spread
+
 # Spellings of the fields of a log line, in order of preference; dots are nesting.
 SPELLINGS = {
     "method": ["method", "verb", "http_method", "httpMethod", "request.method", "request.verb", "request.http_method", "request.httpMethod"],
@@ -32,51 +34,63 @@ _TYPES = {"timestamp": pa.string(), "method": pa.string(), "path": pa.string(),
 _MISSING = object()
 
 
-def find(record: dict, dotted: str):
-    """The value at a spelling, whatever its case; a key with the dots in it goes before nesting."""
+class Fields:
+    """A record's keys by their lower-cased spelling, made once for each object that is looked into."""
+
+    def __init__(self, record: dict):
+        self.record, self.folded = record, {}
 
-    def child(node, name):
+    def child(self, node, name: str):
+        """The value of a key: as it is spelled, else the first that differs in case alone."""
         if not isinstance(node, dict):
             return _MISSING
         if name in node:
             return node[name]
-        return next((v for k, v in node.items() if isinstance(k, str) and k.lower() == name.lower()), _MISSING)
-
-    if (whole := child(record, dotted)) is not _MISSING or "." not in dotted:
-        return whole
-    node = record
-    for name in dotted.split("."):
-        node = child(node, name)
-    return node
-
-
-def pick(record: dict, field: str, usable=lambda v: True):
-    """The first usable value among a field's spellings."""
-    values = (find(record, s) for s in SPELLINGS[field])
-    return next((v for v in values if v is not _MISSING and usable(v)), _MISSING)
+        folded = self.folded.get(id(node))
+        if folded is None:
+            folded = self.folded[id(node)] = {}
+            for k, v in node.items():
+                folded.setdefault(k.lower(), v)
+        return folded.get(name.lower(), _MISSING)
+
+    def find(self, dotted: str):
+        """The value at a spelling; a key with the dots in it goes before nesting."""
+        node = self.child(self.record, dotted)
+        if node is not _MISSING or "." not in dotted:
+            return node
+        node = self.record
+        for name in dotted.split("."):
+            node = self.child(node, name)
+        return node
+
+    def pick(self, field: str, usable=None):
+        """The first usable value among a field's spellings."""
+        for spelling in SPELLINGS[field]:
+            value = self.find(spelling)
+            if value is not _MISSING and (usable is None or usable(value)):
+                return value
+        return _MISSING
+
+
+#: What matters to brackets: strings (the last may be cut short) and the brackets themselves.
+_MARKS = re.compile(r'"(?:[^"\\]|\\.)*("|\\?$)|[{}\[\]]', re.S)
 
 
 def repair(text: str):
     """A JSON document that was cut short, closed where it ends; _MISSING if that doesn't help."""
-    closers, quoted, skip = [], False, False
-    for c in text:
-        if skip:
-            skip = False
-        elif quoted:
-            skip, quoted = c == "\\", c != '"'
-        elif c == '"':
-            quoted = True
+    open_, cut = [], ""
+    for mark in _MARKS.finditer(text):
+        c = mark[0]
+        if c[0] == '"':
+            cut = "" if mark[1] == '"' else '"'
         elif c in "{[":
-            closers.append("}" if c == "{" else "]")
-        elif c in "}]" and closers:
-            closers.pop()
-    ending = '"' * quoted + "".join(reversed(closers))
-    for tail in (text, text.rstrip().rstrip(",")):
-        try:
-            return json.loads(tail + ending)
-        except ValueError:
-            continue
-    return _MISSING
+            open_.append("}" if c == "{" else "]")
+        elif open_:
+            open_.pop()
+    try:
+        return json.loads(text + cut + "".join(reversed(open_)))
+    except (ValueError, RecursionError):
+        return _MISSING
 
 
 def body(value, flags: list[str]):
@@ -91,8 +105,11 @@ def body(value, flags: list[str]):
         return value
     try:
         return json.loads(text)
+    except RecursionError:
+        fixed = _MISSING
     except ValueError:
         fixed = repair(text)
+    fixed = _MISSING if fixed is None else fixed
     flags.append("body_truncated" if fixed is _MISSING else "body_repaired")
     return None if fixed is _MISSING else fixed
 
@@ -152,27 +169,26 @@ def entry_of(record) -> dict:
     empty = dict.fromkeys(_TYPES)
     if not isinstance(record, dict):
         return empty | {"skip_reason": "non_object"}
-    method = pick(record, "method", lambda v: isinstance(v, str) and v.strip().isalpha())
-    if method is _MISSING:
-        return empty | {"skip_reason": "no_method"}
-    url = pick(record, "path", lambda v: isinstance(v, str) and bool(v.strip()))
-    if url is _MISSING:
-        return empty | {"skip_reason": "no_path"}
-    raw = pick(record, "status", lambda v: status_of(v)[0] is not None)
-    if raw is _MISSING:
-        return empty | {"skip_reason": "no_status"}
+    fields = Fields(record)
+    method = fields.pick("method", lambda v: isinstance(v, str) and v.strip().isalpha())
+    url = fields.pick("path", lambda v: isinstance(v, str) and bool(v.strip()))
+    raw = fields.pick("status", lambda v: status_of(v)[0] is not None)
+    for reason, value in (("no_method", method), ("no_path", url), ("no_status", raw)):
+        if value is _MISSING:
+            return empty | {"skip_reason": reason}
     status, dug = status_of(raw)
     flags = ["status_coerced"] if dug else []
     path, in_url = split_url(url)
-    query = query_map(in_url) | query_map(found if (found := pick(record, "query")) is not _MISSING else None)
-    bodies = {}
+    asked, headers, when = (None if (v := fields.pick(name)) is _MISSING else v for name in ("query", "headers", "timestamp"))
+    row = {"method": method.strip().upper(), "path": path, "status": status, "skip_reason": None}
+    row["query"] = list((dict(parse_qsl(in_url, keep_blank_values=True)) | query_map(asked)).items())
     for name in ("request_body", "response_body"):
-        value = pick(record, name)
+        value = fields.pick(name)
         value = None if value is _MISSING else body(value, flags)
-        bodies[name] = None if value is None else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
-    when = pick(record, "timestamp", lambda v: isinstance(v, (str, int, float)) and not isinstance(v, bool))
-    headers = pick(record, "headers")
-    return {"timestamp": "" if when is _MISSING else str(when), "method": method.strip().upper(), "path": path, "query": list(query.items()), **bodies, "status": status, "headers": list(header_map(headers).items()) if headers is not _MISSING else [], "flags": sorted({*flags}), "skip_reason": None}
+        row[name] = None if value is None else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    row["timestamp"] = "" if when is None or when == "" else str(when)  # the first spelling that is there, whatever it says
+    row["headers"] = list(header_map(headers).items())
+    return row | {"flags": sorted({*flags})}
 
 
 def entry_of_line(line: str | None) -> dict | None:
@@ -199,7 +215,7 @@ def _rows(of):
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """lines (entry_seq, value) as log rows with their skip reasons; blank lines are no rows."""
-    return lines.select("entry_seq", F.regexp_replace("value", "^﻿", "").alias("value")).mapInArrow(_rows(entry_of_line), f"entry_seq long, {ENTRY}")
+    return spread(lines.select("entry_seq", F.regexp_replace("value", "^﻿", "").alias("value"))).mapInArrow(_rows(entry_of_line), f"entry_seq long, {ENTRY}")
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -216,8 +232,8 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
 def read_har(spark: SparkSession, path: str) -> DataFrame:
     """The entries of HAR documents; what is no HAR has none."""
     whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
-    whole.createOrReplaceTempView("_specloom_har")
-    items = spark.sql("select e.value from _specloom_har, lateral variant_explode_outer(try_variant_get(v, '$.log.entries', 'variant')) e where schema_of_variant(e.value) like 'OBJECT%'")
+    each = spark.tvf.variant_explode(F.try_variant_get(F.col("v").outer(), "$.log.entries", "variant"))
+    items = whole.lateralJoin(each).select("value").where(F.schema_of_variant("value").startswith("OBJECT"))
     return parse_lines(items.select(F.monotonically_increasing_id().alias("entry_seq"), F.to_json("value").alias("value")))
 
 

@@ -92,3 +92,17 @@ def test_continuous_build(spark, tmp_path):
     watch(spark, str(folder), out, once=True).awaitTermination()
     changes = read_changes(spark, str(tmp_path / "api.state")).collect()
     assert [(c["kind"], c["location"], c["breaking"]) for c in changes] == [("field_added", "response.200.body.y", False)]
+
+
+def test_versions_and_mixes(spark):
+    from specloom.operators import endpoints
+
+    rows = [{"id": k, "full_name": "x", "mail": "m"} for k in range(30)] + [{"id": k, "name": "x", "email": "m"} for k in range(20)]
+    plain = log(spark, rows)
+    mix = endpoints.version_mix(plain, endpoints.endpoints(plain))
+    assert [len(r["clusters"]) for r in mix.collect()] == [2]
+    assert [(r["old"], r["new"]) for r in endpoints.rename_candidates(mix, plain).collect()] == [("full_name", "name")]
+    named = log(spark, rows, path="/v2/users/1")
+    assert endpoints.endpoints(named).first()["api_version"] == "v2" and endpoints.version_mix(named, endpoints.endpoints(named)).isEmpty()
+    other = [{"id": k, "full_name": 1, "mail": "m"} for k in range(30)] + rows[30:]
+    assert endpoints.rename_candidates(endpoints.version_mix(log(spark, other)), log(spark, other)).isEmpty()

@@ -7,7 +7,7 @@ from specloom.functions import paths, text
 
 TEMPLATES = [
     ("/", "/", []), ("/users", "/users", []), ("/users/42", "/users/{id}", ["42"]), ("/users/42/orders/7", "/users/{userId}/orders/{orderId}", ["42", "7"]),
-    ("/categories/1/boxes/2", "/categories/{categoryId}/boxes/{boxId}", ["1", "2"]), ("/a/1/2", "/a/{aId}/{id}", ["1", "2"]), ("/1/2/3", "/{id}/{id2}/{id3}", ["1", "2", "3"]),
+    ("/categories/1/boxes/2", "/categories/{categoryId}/boxes/{boxId}", ["1", "2"]), ("/a/1/2", "/a/{aId}/{id}", ["1", "2"]), ("/1/2/3", "/{id}/{id2}/{id3}", ["1", "2", "3"]), ("/a/1/a/2/a2/3", "/a/{aId}/a/{aId2}/a2/{a2Id}", ["1", "2", "3"]), ("/.-/1/x/2", "/.-/{idId}/x/{xId}", ["1", "2"]),
     ("/users/550e8400-e29b-41d4-a716-446655440000?x=1", "/users/{id}", ["550e8400-e29b-41d4-a716-446655440000"]), ("/v1/health-check", "/v1/health-check", []),
     ("/day/2024-01-01", "/day/{id}", ["2024-01-01"]), ("//users//9/", "/users/{id}", ["9"]), ("/api-keys/1/user_groups/2", "/api-keys/{apiKeyId}/user_groups/{userGroupId}", ["1", "2"]),
 ]
@@ -45,3 +45,17 @@ def test_small_functions(spark):
     ).first()
     assert (row["s"], row["z"], row["v"], row["n"], row["o"], row["r"], row["m"], row["t"], row["p"]) == (0.5, 0.0, "v2", None, "get_users_by_id", "get_root", "Bearer <redacted>", True, "/a")
     assert abs(row["w"] - 0.7225) < 1e-3
+
+
+FORMATS = [
+    ("email", ["a@b.co", "x.y@z.example"], True), ("email", ["a@b.c1"], False), ("uri", ["http://a.b/c", "https://x"], True), ("uri", ["ftp://a.b"], False), ("uri", ["http:///x"], False),
+    ("date-time", ["2024-01-01T25:61"], False), ("date-time", ["2024-01-01t10:00:00z", "2024-01-01 10:00", "2024-01-01T10:00:00.123456+05:30"], True), ("date-time", ["2024-02-30T10:00"], False), ("date", ["2024-02-29"], True), ("date", ["2023-02-29"], False),
+]
+
+
+@pytest.mark.parametrize("name,values,fits", FORMATS)
+def test_formats(spark, name, values, fits):
+    from specloom.operators.profile import matches_format
+
+    row = spark.createDataFrame([(v,) for v in values], "v string").agg(F.bool_and(matches_format(F.col("v"), name)).alias("ok")).first()
+    assert row["ok"] == fits
