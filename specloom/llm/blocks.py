@@ -5,6 +5,14 @@ once. A block then asks: it sends compact messages to shards by key; a shard see
 sent under its keys and answers each block; the answers meet their block again by an equi-join.
 Within a block equal keys are merged before anything is sent, so a key that is everywhere costs a
 shard one entry a block. The dealt blocks are one exchange of the plan, read again by every step.
+
+Blocks and shards are dealt into partitions by the size of the text (`PART_BYTES` each, and no
+fewer than spark.sql.shuffle.partitions), so a task reads about as much however large the corpus is.
+A block is named by its task and place in it. Where a lost task would read its rows in another
+order (behind an exchange), the rows are made durable first: blocks come out the same again.
+
+Cases: a table without rows has no blocks; a text longer than a block is a block of its own; rows
+may have any columns beside a text.
 """
 
 from __future__ import annotations
@@ -17,9 +25,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_texts
+from .common import durable, raw_texts
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES, PART_BYTES = 6 << 20, 64 << 20
 Emit = Callable[[pa.Table, dict[int, bytes]], Iterator[tuple[int, bytes]]]
 Reduce = Callable[[list[tuple[int, bytes]]], Iterator[tuple[int, bytes]]]
 Finish = Callable[[pa.Table, dict[int, bytes]], Iterator[pa.RecordBatch]]
@@ -43,8 +51,18 @@ def unsqueeze(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def pack(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def parts_for(df: DataFrame, total_bytes: int) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total_bytes // PART_BYTES))
+
+
+def replays(df: DataFrame) -> bool:
+    """Whether a task that runs again reads the same rows in the same order: scans do."""
+    return "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def pack(df: DataFrame, parts: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """df (with a text) as blocks: block (a number) and payload."""
+    df = df if replays(df) else durable(df)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -72,7 +90,6 @@ def pack(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         if held:
             yield close()
 
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as the joins deal: with another number the plan deals the blocks out again
     return df.mapInArrow(write, "block long, payload binary").repartition(parts, "block")
 
 
@@ -88,8 +105,18 @@ def _told(row: list | None) -> dict[int, bytes]:
     return {x["shard"]: x["answer"] for x in row or []}
 
 
-def ask(blocks: DataFrame, emit: Emit, reduce: Reduce) -> DataFrame:
+def ask(blocks: DataFrame, emit: Emit, reduce: Reduce, parts: int) -> DataFrame:
     """block and what the shards answered to it. blocks may have answers of an earlier question."""
+    return gather(answers(blocks, emit, reduce, parts), parts)
+
+
+def gather(told: DataFrame, parts: int) -> DataFrame:
+    """Rows (block, shard, answer) as one row a block; dealt as the blocks are."""
+    return told.repartition(parts, "block").groupBy("block").agg(F.collect_list(F.struct("shard", "answer")).alias("answers"))
+
+
+def answers(blocks: DataFrame, emit: Emit, reduce: Reduce, parts: int) -> DataFrame:
+    """block, shard and answer of each message that got one."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,8 +131,7 @@ def ask(blocks: DataFrame, emit: Emit, reduce: Reduce) -> DataFrame:
         return pa.table({"block": pa.array([b for b, _ in found], pa.int64()), "shard": pa.array([key[0].as_py()] * len(found), pa.int64()), "answer": pa.array([a for _, a in found], pa.binary())})
 
     sent = blocks.mapInArrow(send, "shard long, block long, message binary")
-    told = sent.groupBy("shard").applyInArrow(answer, "block long, shard long, answer binary")
-    return told.groupBy("block").agg(F.collect_list(F.struct("shard", "answer")).alias("answers"))
+    return sent.repartition(parts, "shard").groupBy("shard").applyInArrow(answer, "block long, shard long, answer binary")
 
 
 def meet(blocks: DataFrame, answers: DataFrame) -> DataFrame:

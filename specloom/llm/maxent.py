@@ -42,7 +42,9 @@ FEATURES, ROWS = 4, 1 << 12
 UPDATES = 4
 SMOOTH = 4.0
 RATE = 0.45
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 16 << 20
+#: Parts of a sum that are added at once.
+ADD_PARTS = 64
 STEP = 4096
 END = np.uint64(0xE2D0E2D0E2D0E2D1)
 
@@ -121,9 +123,11 @@ class Model:
 
 
 def _sums(docs: DataFrame, of, most: int = 2 << 20) -> list[np.ndarray]:
-    """The sums over all of docs of the arrays that of(texts) yields; added within a task, then by slices of the arrays."""
+    """The sums over all of docs of the arrays that of(texts) yields; added within a task, then by slices of the arrays, `ADD_PARTS` tasks' at a time until one is left."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         totals: list[np.ndarray] | None = None
         for batch in slices(batches, most=most):
             found = of(raw_texts(batch.column("text")))
@@ -133,19 +137,25 @@ def _sums(docs: DataFrame, of, most: int = 2 << 20) -> list[np.ndarray]:
                 for t, x in zip(totals, found):
                     t += x
         rows = [(k * 4096 + j, B.squeeze(s.astype(np.float32))) for k, t in enumerate(totals or []) for j, s in enumerate(np.array_split(t.ravel(), max(1, t.size >> 17)))]
-        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], names=["slice", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([TaskContext.get().partitionId() // ADD_PARTS] * len(rows), pa.int32()), pa.array([d for _, d in rows], pa.binary())], names=["slice", "part", "data"])
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 0.0
         for batch in batches:
             for data in batch.column("data").to_pylist():
                 total = total + B.unsqueeze(data)[0].astype(np.float64)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slice", "data"])
-
-    rows = docs.mapInArrow(part, "slice int, data binary").groupBy("slice").applyInArrow(add, "slice int, data binary").collect()
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py() // ADD_PARTS], pa.int32()), pa.array([B.squeeze(total)], pa.binary())], names=["slice", "part", "data"])
+
+    schema, left = "slice int, part int, data binary", docs._jdf.queryExecution().toRdd().getNumPartitions()
+    added = docs.mapInArrow(part, schema)
+    while True:
+        added, left = added.groupBy("slice", "part").applyInArrow(add, schema), -(-left // ADD_PARTS)
+        if left <= 1:
+            break
+    rows = [(r["slice"], B.unsqueeze(bytes(r["data"]))[0]) for r in added.collect()]  # the arrays' own size
     found: dict[int, list] = {}
-    for slice_, data in sorted((r["slice"], bytes(r["data"])) for r in rows):
-        found.setdefault(slice_ // 4096, []).append(np.frombuffer(data))
+    for slice_, data in sorted(rows, key=lambda r: r[0]):
+        found.setdefault(slice_ // 4096, []).append(data)
     return [np.concatenate(found[k]) for k in sorted(found)]
 
 
@@ -227,8 +237,8 @@ def score_documents(docs: DataFrame, updates: int = UPDATES) -> DataFrame:
     own = documents(docs).withColumn("held_out", held_out())
     model = train(own.where("not held_out").select("doc_id", "text"), updates)
     spark, total = docs.sparkSession, text_bytes(own)
-    sent, shards = spark.sparkContext.broadcast(model), B.shards_for(total, SHARD_BYTES)
-    dealt = B.pack(own)
+    sent, shards, parts = spark.sparkContext.broadcast(model), B.shards_for(total, SHARD_BYTES), B.parts_for(own, total)
+    dealt = B.pack(own, parts)
 
     def tokens_of(table: pa.Table) -> tuple[Tokens, np.ndarray, np.ndarray, np.ndarray]:
         """The tokens of a block, its distinct keys in order, their first places, and the key of each token."""
@@ -257,17 +267,27 @@ def score_documents(docs: DataFrame, updates: int = UPDATES) -> DataFrame:
         totals = np.bincount(of, weights=n).astype(np.int64)
         known = totals > 0
         by_class = np.bincount(kind[first], weights=totals, minlength=CLASSES), np.bincount(kind[first][known], minlength=CLASSES)
-        yield -1, B.squeeze(by_class[0].astype(np.int64), by_class[1].astype(np.int64))
+        yield -1 - messages[0][0], B.squeeze(by_class[0].astype(np.int64), by_class[1].astype(np.int64))  # a shard's own, dealt with a block of its
         at = 0
         for (block, _), part in zip(messages, parts):
             here = totals[of[at : at + len(part[0])]]
             at += len(part[0])
             yield block, B.squeeze(here.astype(np.uint32 if here.max(initial=0) < 1 << 32 else np.uint64))
 
-    answers = durable(B.ask(dealt, send, add))
+    told = durable(B.answers(dealt, send, add, parts))
+
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros((2, CLASSES), np.int64)
+        for batch in batches:
+            for data in batch.column("answer").to_pylist():
+                totals += np.array(B.unsqueeze(data))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(totals[0]), pa.array(totals[1])], names=["class", "n", "words"])
+
     by_class = np.zeros((2, CLASSES), np.int64)
-    for row in answers.where("block = -1").select(F.explode("answers.answer").alias("a")).toLocalIterator():
-        by_class += np.array(B.unsqueeze(bytes(row["a"])))
+    sums = told.where("block < 0").select("answer").mapInArrow(unfold, "class long, n long, words long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+    for row in sums.collect():  # one row a class
+        by_class[:, row["class"]] = row["n"], row["words"]
+    answers = B.gather(told.where("block >= 0"), parts)
     of_class, words_of_class = by_class
     n_all, v_all = int(of_class.sum()), int(words_of_class.sum())
     class_total = np.log10(np.where(np.arange(CLASSES) == END_CLASS, np.maximum(of_class + 1, 1), of_class + words_of_class + 1).astype(float))

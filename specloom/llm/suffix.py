@@ -11,12 +11,14 @@ anchors at equal places. Blocks of documents ask two questions of the corpus (se
    its smallest doc_id.
 
 The second is answered by sorting the windows, suffixes of the contexts, deep-shallow: multikey
-quicksort by words of eight bytes down to a shallow depth; groups that are still together there
-have long common prefixes and are ordered by blind tries. Neighbours in that order with all bytes
+quicksort down to a shallow depth, whose characters are words of eight bytes (each group is parted
+three ways by its pivot, all groups at once; the middle part goes a word deeper); groups that are
+still together there have long common prefixes and are ordered by blind tries. Equal contexts are
+merged by their bytes before, so the sort sees each once. Neighbours in that order with all bytes
 in common are one string, whose smallest document keeps it. Contexts are compared byte by byte;
 hashes only bring candidates together.
 
-A gram with more than `HOT` occurrences sends its windows one by one, dealt out by the window's
+A gram with more than `HOT` occurrences (counted in full) sends its windows one by one, dealt out by the window's
 own hash and merged by block, so no common passage gathers in one task.
 
 Cases: null texts are empty; texts shorter than `LENGTH` bytes keep all their bytes; null doc_ids
@@ -41,7 +43,7 @@ from .common import documents, raw_texts, text_bytes
 LENGTH = 50
 SHALLOW = 32
 HOT = 100_000
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 16 << 20
 SCAN_BYTES = 1 << 18
 _LAST = np.iinfo(np.int64).max
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -118,14 +120,14 @@ class Anchored:
         columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
         self.place, self.first, self.last, self.key, self.doc = columns
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct keys in order and how many documents have each (255: or more)."""
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys in order, how many documents have each, and how many anchors."""
         order = np.lexsort((self.doc, self.key))
         key, doc = self.key[order], self.doc[order]
         new_key = np.diff(key, prepend=~key[:1]) != 0
         new = new_key | (np.diff(doc, prepend=-1) != 0)
         at = np.flatnonzero(new_key)
-        return key[at], np.minimum(255, np.add.reduceat(new, at) if len(at) else at).astype(np.uint8)
+        return key[at], np.add.reduceat(new.astype(np.int64), at) if len(at) else at, np.diff(np.append(at, len(key))).astype(np.uint32)
 
 
 def split(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -155,7 +157,7 @@ class Contexts:
         answers = [B.unsqueeze(a) for _, a in sorted(told.items())]
         known = np.concatenate([a[0] for a in answers]) if answers else np.zeros(0, np.uint64)
         hot = np.concatenate([a[1] for a in answers]) if answers else np.zeros(0, np.uint8)
-        keys, n = block.keys()
+        keys, n, _ = block.keys()
         wanted = np.union1d(keys[n > 1], known)
         at = np.searchsorted(wanted, block.key)
         self.anchors = np.flatnonzero((at < len(wanted)) & (wanted[np.minimum(at, len(wanted) - 1)] == block.key)) if len(wanted) else np.zeros(0, np.int64)
@@ -286,26 +288,53 @@ class BlindTrie:
                 stack += [under[b] for b in sorted(under, reverse=True)]
 
 
+def multikey_quicksort(words: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows of words by (group, words), and in that order which rows differ from the one before.
+
+    Every group of rows that are still together is parted by its pivot (the median of its first,
+    middle and last row's word at its depth) into less, equal and greater; the equal go a word
+    deeper. All groups take a step at once, each as a few passes over the rows that are left.
+    """
+    n, most = words.shape
+    order = np.argsort(group, kind="stable")
+    start = np.flatnonzero(np.diff(group[order], prepend=-1) != 0)
+    new = np.zeros(n + 1, bool)
+    new[start], new[n] = True, True
+    size, depth = np.diff(np.append(start, n)), np.zeros(len(start), np.int64)
+    while True:
+        open_ = (size > 1) & (depth < most)
+        start, size, depth = start[open_], size[open_], depth[open_]
+        if not len(start):
+            return order, new[:n]
+        first = np.cumsum(size) - size
+        at = np.arange(size.sum()) - np.repeat(first - start, size)  # places of the rows that are left, group by group
+        rows = order[at]
+        word = words[rows, np.repeat(depth, size)]
+        pivot = np.sort(np.stack([word[first], word[first + size // 2], word[first + size - 1]]), axis=0)[1]
+        bound = np.repeat(pivot, size)
+        less, equal = word < bound, word == bound
+        n_less, n_equal = np.add.reduceat(less.astype(np.int64), first), np.add.reduceat(equal.astype(np.int64), first)
+        place = np.empty(len(rows), np.int64)
+        for part, begin in ((less, start), (equal, start + n_less), (~(less | equal), start + n_less + n_equal)):
+            rank = np.cumsum(part) - part
+            place[part] = (np.repeat(begin - rank[first], size) + rank)[part]
+        order[place] = rows
+        parts = np.stack([n_less, n_equal, size - n_less - n_equal], axis=1)
+        begins = np.stack([start, start + n_less, start + n_less + n_equal], axis=1)
+        depths = np.stack([depth, depth + 1, depth], axis=1)
+        filled = parts.ravel() > 0
+        start, size, depth = begins.ravel()[filled], parts.ravel()[filled], depths.ravel()[filled]
+        new[start] = True
+
+
 def deep_shallow(strings: np.ndarray, group: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """The order of rows of bytes by (group, bytes), and in that order which rows differ from the one before."""
     n, width = strings.shape
     padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
     padded[:, :width] = strings
     words = padded.view(">u8")
-    order, rank = np.argsort(group, kind="stable"), None
-    new = np.diff(group[order], prepend=-1) != 0
-    depth = 0
-    while depth * 8 < min(shallow, width):
-        rank = np.cumsum(new)
-        bound = np.append(new, True)
-        tied = np.flatnonzero(~(bound[:-1] & bound[1:]))
-        if not len(tied):
-            return order, new
-        word = words[order[tied], depth].astype(np.uint64)
-        inner = np.lexsort((word, rank[tied]))
-        order[tied] = order[tied[inner]]
-        new[tied] |= np.diff(word[inner], prepend=~word[inner][:1]) != 0
-        depth += 1
+    depth = min(-(-shallow // 8), words.shape[1])
+    order, new = multikey_quicksort(words[:, :depth].astype(np.uint64), group)
     if depth * 8 >= width:
         return order, new
     starts = np.flatnonzero(new)
@@ -370,17 +399,17 @@ def _found(docs: DataFrame, length: int) -> tuple[DataFrame, int]:
         raise ValueError("lengths from 16 to 64 bytes are laid out for")
     total = text_bytes(docs)
     shards, hot = B.shards_for(total, SHARD_BYTES), HOT
-    dealt = B.pack(docs)
+    parts = B.parts_for(docs, total)
+    dealt = B.pack(docs, parts)
 
     def send_keys(table: pa.Table, _) -> Iterator[tuple[int, bytes]]:
-        keys, n = Anchored(table, length).keys()
+        keys, _, n = Anchored(table, length).keys()
         for shard, part in _by_shard(keys, shards):
-            yield shard, keys[part].tobytes() + n[part].tobytes()
+            yield shard, B.squeeze(keys[part], n[part])
 
     def shared_keys(messages: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
-        each = [np.frombuffer(m, np.uint64, len(m) // 9) for _, m in messages]
-        counts = np.concatenate([np.frombuffer(m, np.uint8, len(m) // 9, len(m) // 9 * 8) for _, m in messages])
-        keys = np.concatenate(each)
+        each, counts = zip(*(B.unsqueeze(m) for _, m in messages))
+        keys, counts = np.concatenate(each), np.concatenate(counts)
         order = np.argsort(keys, kind="stable")
         new = np.flatnonzero(np.diff(keys[order], prepend=~keys[order][:1]) != 0)
         size = np.diff(np.append(new, len(keys)))
@@ -417,9 +446,9 @@ def _found(docs: DataFrame, length: int) -> tuple[DataFrame, int]:
             if own.any():
                 yield block, B.squeeze(own)
 
-    first = B.ask(dealt, send_keys, shared_keys)
+    first = B.ask(dealt, send_keys, shared_keys, parts)
     met = B.meet(dealt, first)
-    second = B.ask(met, send_contexts, compare).withColumnRenamed("answers", "masks")
+    second = B.ask(met, send_contexts, compare, parts).withColumnRenamed("answers", "masks")
     both = met.join(second, "block", "left")
     return both.select("block", "payload", F.concat(F.transform(F.coalesce("answers", F.array().cast(_ANSWERS)), lambda x: F.struct(x["shard"].alias("shard"), x["answer"].alias("answer"))), F.transform(F.coalesce("masks", F.array().cast(_ANSWERS)), lambda x: F.struct((-1 - x["shard"]).alias("shard"), x["answer"].alias("answer")))).alias("answers")), shards
 

@@ -216,3 +216,44 @@ def test_decoding_against_a_plain_one():
         distance = min(int((a != b).sum()) for i, a in enumerate(code) for b in code[:i])
         assert best[k] == int(np.argmin(cost)) and abs(score[k] - max(likely) / sum(likely)) < 1e-3
         assert unsure[k] == (score[k] < langid.AMBIGUOUS or wrong >= distance / 2)
+
+
+def test_scores_against_a_plain_model(docs, monkeypatch):
+    """Each token's P(class | history) * P(word | class), from the model's own weights and plain counts."""
+    kept = {}
+    real = maxent.train
+    monkeypatch.setattr(maxent, "train", lambda *a: kept.setdefault("model", real(*a)))
+    rows = maxent.score_documents(docs, 2).collect()
+    m = kept["model"]
+    texts = [(d, (t or "").encode()) for d, t, _, _ in corpus() + ODD if t is None or len(t) < 5000]
+    counts, kind_of = Counter(), {}
+    for d, t in [(d, (t or "").encode()) for d, t, _, _ in corpus() + ODD]:
+        tokens = maxent.Tokens([t])
+        keys, kinds = tokens.key.tolist(), m.classes(tokens).tolist()
+        kind_of.update(zip(keys, kinds))
+        if fold(d, 7) != 2:
+            counts.update(keys)
+    of_class, words_of = Counter(), Counter()
+    for key, n in counts.items():
+        of_class[kind_of[key]] += n
+        words_of[kind_of[key]] += 1
+    want = []
+    for d, t in texts:
+        tokens = maxent.Tokens([t])
+        x, score = tokens.features(), 0.0
+        for i, (key, kind) in enumerate(zip(tokens.key.tolist(), m.classes(tokens).tolist())):
+            z = [float(m.bias[c]) + sum(float(m.weights[f][x[f][i]][c]) for f in range(maxent.FEATURES)) for c in range(maxent.CLASSES)]
+            score += math.log10(math.exp(z[kind]) / sum(map(math.exp, z)))
+            end = kind == maxent.END_CLASS
+            score += math.log10((counts[key] + 1) / (of_class[kind] + 1 if end else of_class[kind] + words_of[kind] + 1))
+        want.append((str(d), fold(d, 7) == 2, round(min(score, 0.0), 2)))
+    sizes = {len(t.split()) + 1 for _, t in texts}
+    got = [(str(r["doc_id"]), r["held_out"], round(r["score"], 2)) for r in rows if r["n_tokens"] <= max(sizes)]
+    assert len(got) == len(want) and all(a[:2] == b[:2] and abs(a[2] - b[2]) < 0.02 for a, b in zip(sorted(got), sorted(want)))
+
+
+def test_sums_add_up_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(maxent, "ADD_PARTS", 2)
+    rows = spark.createDataFrame([(k, "x" * k) for k in range(50)], "doc_id long, text string").repartition(9)
+    (got,) = maxent._sums(rows, lambda texts: [np.bincount([len(t) % 7 for t in texts], minlength=300_000).astype(float)])
+    assert got.tolist() == np.bincount([k % 7 for k in range(50)], minlength=300_000).tolist()

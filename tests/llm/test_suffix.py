@@ -82,3 +82,12 @@ def test_blind_trie():
     strings = [bytes(rng.choices(b"abc", k=6)) for _ in range(200)]
     found = [[strings[i] for i in g] for g in suffix.BlindTrie(strings).order()]
     assert [s for g in found for s in g] == sorted(strings) and all(len({*g}) == 1 for g in found)
+
+
+def test_multikey_quicksort():
+    rng = np.random.default_rng(3)
+    for n, values, groups in ((0, 3, 1), (1, 2, 1), (3000, 2, 3), (3000, 200, 40), (3000, 1, 1)):
+        words, group = rng.integers(0, values, (n, 3)).astype(np.uint64), rng.integers(0, groups, n)
+        order, new = suffix.multikey_quicksort(words, group)
+        rows = [(int(group[k]), *words[k].tolist()) for k in order]
+        assert rows == sorted(rows) and new.tolist() == [k == 0 or rows[k] != rows[k - 1] for k in range(n)]
