@@ -43,7 +43,7 @@ from .common import documents, raw_texts, text_bytes
 LENGTH = 50
 SHALLOW = 32
 HOT = 100_000
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 6 << 20
 SCAN_BYTES = 1 << 18
 _LAST = np.iinfo(np.int64).max
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
