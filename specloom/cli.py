@@ -10,11 +10,11 @@ from pyspark.sql import SparkSession
 
 
 def main(argv: list[str] | None = None) -> int:
-    from .operators import diff, noise, quality
+    from .operators import noise, quality
     from .plans import render
     from .plans.build import build
     from .ship import ship
-    from .sources.logs import accepted, parse_lines, read_har, read_logs, skip_tally
+    from .sources.logs import accepted, read_har, read_logs, skip_tally
 
     top = argparse.ArgumentParser("specloom", description=__doc__)
     sub = top.add_subparsers(dest="command", required=True)
@@ -72,7 +72,6 @@ def main(argv: list[str] | None = None) -> int:
 
     query = watch(spark, args.folder, args.output, once=args.once)
     query.awaitTermination()
-    _ = diff, parse_lines
     return 0
 
 

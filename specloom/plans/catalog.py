@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as T
-from ..operators import diff, endpoints, errors, noise, quality
-from ..operators.observe import bodies, observe, with_template
+from ..operators import conform, diff, endpoints, errors, noise, quality, reads
+from ..operators.observe import SCOPE, bodies, observe, with_template
 from ..operators.profile import aliases, field_profile, presence, strings
+from ..sources import shop
 from ..sources.logs import parse_lines, skip_tally
 from ..sources.spread import spread
 from ..streaming import tracker
+from . import documents as D
 from .adapter import LOGS_SQL, entries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -356,3 +358,73 @@ def rendered_spec(spark, sf_dir):
     spec = build(entries(spark, sf_dir), infer_errors=True, depth=DEPTH).spec()
     rows = [(path, method, json.dumps(op, sort_keys=True)) for path, item in spec["paths"].items() for method, op in item.items()]
     return spark.createDataFrame(rows, "path string, method string, operation string")
+
+
+@query(LOGS_SQL + """ SELECT method, template, CAST(status AS VARCHAR) AS scope, entry_seq, 'cents' AS path, 'missing' AS problem, 1 AS count FROM logs WHERE entry_seq % 5 = 0
+ UNION ALL SELECT method, template, CAST(status AS VARCHAR), entry_seq, 'level', 'wrong_type', 1 FROM logs WHERE entry_seq % 40 = 0""")
+def conformance_problems(spark, sf_dir):
+    """The whole log against the contract of the calls whose number five doesn't divide."""
+    seen = _observed(spark, sf_dir)
+    return conform.problems(seen, field_profile(seen.where("entry_seq % 5 <> 0"))).select(*SCOPE, "entry_seq", "path", "problem", "count")
+
+
+_SPEC = """concat('{"paths":{"/x/', event_type, '":{"get":{"parameters":[{"in":"query","name":"q', event_id % 3, '","required":true,"schema":{"type":"integer"}}],"responses":{"200":{"content":{"application/json":{"schema":{"type":"object","required":["id"],"properties":{"id":{"type":"integer"}',
+ CASE WHEN event_id % 3 = 0 THEN ',"tags":{"anyOf":[{"type":"array","items":{"type":"object","properties":{"a":{"type":"string"}}}},{"type":"string"}]}' ELSE '' END, '}}}}},"404":{"x-inferred":true}}},"note":1}}}')"""
+
+
+def _documents(spark, sf_dir):
+    return spread(spark.read.parquet(f"{sf_dir}/events.parquet")).selectExpr("event_id AS doc", f"{_SPEC} AS spec")
+
+
+@query("""WITH d AS (SELECT event_id AS doc, 'GET' AS method, '/x/' || event_type AS template, '200' AS scope FROM events)
+ SELECT *, '' AS path, 'object' AS types, false AS required FROM d UNION ALL SELECT *, 'id', 'integer', true FROM d
+ UNION ALL SELECT *, 'tags', 'array,string', false FROM d WHERE doc % 3 = 0 UNION ALL SELECT *, 'tags[]', 'object', false FROM d WHERE doc % 3 = 0 UNION ALL SELECT *, 'tags[].a', 'string', false FROM d WHERE doc % 3 = 0""")
+def document_fields(spark, sf_dir):
+    """One document an event, flattened."""
+    return D.fields(D.operations(_documents(spark, sf_dir)), 3).select("doc", "method", "template", "scope", "path", F.array_join("types", ",").alias("types"), "required")
+
+
+@query("SELECT event_id AS doc, 'GET' AS method, '/x/' || event_type AS template, 'query' AS location, 'q' || CAST(event_id % 3 AS VARCHAR) AS name, 'integer' AS type, true AS required FROM events")
+def document_params(spark, sf_dir):
+    return D.params(D.operations(_documents(spark, sf_dir)))
+
+
+@query("SELECT event_type AS template, count(*) AS documents, count(DISTINCT event_id % 3) AS params FROM events GROUP BY 1")
+def document_statuses(spark, sf_dir):
+    """Observed responses alone: the inferred 404 takes no part."""
+    ops = D.operations(_documents(spark, sf_dir))
+    named = D.params(ops).groupBy("template").agg(F.countDistinct("name").alias("params"))
+    return D.statuses(ops).groupBy("template").agg(F.count("*").alias("documents")).join(named, "template").select(F.substring("template", 4, 100).alias("template"), "documents", "params")
+
+
+@query(_OBS + """, c AS (SELECT method, template, CAST(status AS VARCHAR) AS scope, entry_seq, entry_seq // 1000 AS batch FROM logs), n AS (SELECT method, template, scope, batch, sum(k) OVER (PARTITION BY method, template, scope ORDER BY batch) AS n FROM (SELECT method, template, scope, batch, count(*) AS k FROM c GROUP BY ALL)),
+ p AS (SELECT method, template, scope, path, batch, sum(k) OVER (PARTITION BY method, template, scope, path ORDER BY batch) AS present FROM (SELECT method, template, scope, path, batch, count(*) AS k FROM obs JOIN c USING (method, template, scope, entry_seq) WHERE parent = '' AND scope <> 'request' GROUP BY ALL))
+ SELECT DISTINCT method, template, scope, path FROM p JOIN n USING (method, template, scope, batch) WHERE n >= 10 AND present::DOUBLE / n >= 0.98""")
+def ever_required(spark, sf_dir):
+    """Fields that were required at the end of any thousand of calls."""
+    found = tracker.ever_required(_observed(spark, sf_dir), F.floor(F.col("entry_seq") / 1000))
+    return found.where("scope <> 'request' and instr(path, '.') = 0").select("method", "template", "scope", "path")
+
+
+@query(LOGS_SQL + " SELECT method, template, count(*) AS sample_count, string_agg(DISTINCT CAST(status AS VARCHAR), ',' ORDER BY CAST(status AS VARCHAR)) AS statuses FROM logs GROUP BY ALL")
+def endpoint_listing(spark, sf_dir):
+    return reads.endpoint_listing(endpoints.endpoints(entries(spark, sf_dir))).select("method", "template", "sample_count", F.array_join("statuses", ",").alias("statuses"))
+
+
+@query("SELECT count(*) AS total_changes, count(*) FILTER (event_id % 2 = 0) AS breaking_changes, max(ts) AS last_updated FROM events")
+def change_summary(spark, sf_dir):
+    changes = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").alias("detected_at"), (F.col("event_id") % 2 == 0).alias("breaking"))
+    return reads.summary(changes)
+
+
+@query("SELECT event_id AS seq FROM events QUALIFY sum(length(CAST(event_id AS VARCHAR)) + 1) OVER (ORDER BY event_id DESC) <= 10000")
+def log_tail(spark, sf_dir):
+    """A bounded tail: the newest lines of at most ten thousand bytes."""
+    lines = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("value"))
+    return reads.tail_of(lines, "seq", 10_000).select("seq")
+
+
+@query("WITH n AS (SELECT i, (i * 7919 + 13) % 100 AS r FROM range(0, 20000) t(i)) SELECT CASE WHEN r < 3 THEN 500 WHEN r < 9 THEN 400 WHEN r < 17 THEN 404 WHEN r % 4 = 0 THEN 201 ELSE 200 END AS status, count(*) AS n FROM n GROUP BY 1")
+def shop_statuses(spark, sf_dir):
+    """What the synthetic shop answers, parsed from its own lines."""
+    return parse_lines(shop.lines(spark, 20_000)).groupBy("status").agg(F.count("*").alias("n"))

@@ -6,11 +6,12 @@ body only if its parent is there. Streaks are gaps and islands of those numbers.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import name_similarity
-from ..operators.observe import SCOPE
+from ..operators.observe import KEY, SCOPE, with_template
+from ..operators.profile import REQUIRED_SHARE
 
 # When a scope is warm, when a field is gone or required, how near renames lie.
 WARM_UP, REMOVAL_STREAK, REQUIRED_STREAK, RENAME_WINDOW = 10, 10, 10, 2
@@ -33,10 +34,33 @@ def field_states(observed: DataFrame) -> DataFrame:
     return fields.join(gone, [*SCOPE, "path"], "left").select(*SCOPE, "path", "parent", "first_seen", "present", F.coalesce("missing_streak", F.lit(0)).cast("long").alias("missing_streak"), "missing_since")
 
 
+def ever_required(observed: DataFrame, batch: Column) -> DataFrame:
+    """Fields (method, template, scope, path) that were required at the end of any batch, when their scope was warm.
+
+    Counts run over the batches in order: a field's share among the bodies that had its parent can
+    only fall in a batch without it, so the batches that have it decide.
+    """
+    seen = observed.select(*SCOPE, "entry_seq", "path", "parent", batch.alias("_batch")).distinct()
+    upto = lambda *by: Window.partitionBy(*SCOPE, *by).orderBy("_batch")
+    count = lambda rows, by, name: rows.groupBy(*SCOPE, *by, "_batch").agg(F.count("*").alias("_c")).withColumn(name, F.sum("_c").over(upto(*by))).drop("_c")
+    samples = count(seen.where("path = ''"), [], "_samples")
+    have = count(seen.where("path <> '' and not endswith(path, '[]')"), ["path", "parent"], "_have")
+    objects = count(seen.select(*SCOPE, "_batch", F.col("path").alias("parent")), ["parent"], "_objects")
+    at = have.join(objects, [*SCOPE, "parent", "_batch"]).join(samples, [*SCOPE, "_batch"])
+    return at.where((F.col("_samples") >= WARM_UP) & (F.col("_have").cast("double") / F.col("_objects") >= REQUIRED_SHARE)).select(*SCOPE, "path").distinct()
+
+
 def warm_scopes(observed: DataFrame) -> DataFrame:
     return numbered(observed).groupBy(*SCOPE).agg(F.count("*").alias("samples")).withColumn("warm", F.col("samples") >= WARM_UP)
 
 
+def warm_endpoints(entries: DataFrame) -> DataFrame:
+    """method, template and scope (a status, 2xx, * for all) with `WARM_UP` calls or more."""
+    status = F.col("status").cast("string")
+    scopes = F.array_compact(F.array(status, F.when(status.startswith("2"), F.lit("2xx")), F.lit("*")))
+    return with_template(entries).select(*KEY, F.explode(scopes).alias("scope")).groupBy(*SCOPE).agg(F.count("*").alias("samples")).where(F.col("samples") >= WARM_UP)
+
+
 def removed_fields(states: DataFrame, required: DataFrame) -> DataFrame:
     """Fields that were required (method, template, scope, path) and have been away for long."""
     return states.where(F.col("missing_streak") >= REMOVAL_STREAK).join(required.select(*SCOPE, "path"), [*SCOPE, "path"], "left_semi")

@@ -14,11 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.diff import top_most
+from ..operators.observe import SCOPE
 from ..plans import render
-from ..plans.build import build
+from ..plans.build import Contract, build
 from ..plans.compare import diff_contracts
 from ..sources.logs import parse_lines
-from .tracker import removed_fields, rename_pairs, field_states
+from .tracker import ever_required, field_states, removed_fields, rename_pairs, warm_endpoints
+
+
+#: entry_seq of a batch's first line, times its number: room for 2048 partitions of 2**33 lines.
+BATCH = 1 << 44
 
 
 def watch(spark: SparkSession, folder: str, output: str, once: bool = False, every: str = "1 second", state: str | None = None) -> StreamingQuery:
@@ -26,28 +32,42 @@ def watch(spark: SparkSession, folder: str, output: str, once: bool = False, eve
     lines = spark.readStream.text(folder)
 
     def step(batch: DataFrame, number: int) -> None:
-        stamped = batch.select((F.lit(number).cast("long") * F.lit(1 << 40) + F.monotonically_increasing_id()).alias("entry_seq"), "value")
+        stamped = batch.select((F.lit(number).cast("long") * F.lit(BATCH) + F.monotonically_increasing_id()).alias("entry_seq"), "value")
         parse_lines(stamped).write.mode("overwrite").parquet(f"{home}/entries/batch={number}")
         every_batch = spark.read.option("basePath", f"{home}/entries").parquet(f"{home}/entries").where((F.col("batch") <= number) & F.col("skip_reason").isNull())
         if every_batch.isEmpty():
             return
-        now = build(every_batch)
+        now, before = build(every_batch), every_batch.where(F.col("batch") < number)
         spec = now.spec()
-        if not render.validate_spec(spec):
-            render.write_spec(spec, output)
-        before = every_batch.where(F.col("batch") < number)
+        if render.validate_spec(spec):  # the last good document stays, and nothing is compared with a bad one
+            now.release()
+            return
+        render.write_spec(spec, output)
         if not before.isEmpty():
             old = build(before)
-            found = diff_contracts(old, now)
-            states = field_states(now.observed)
-            gone = removed_fields(states, old.profile.where("required")).select(F.lit("field_removed").alias("kind"), "method", "template", F.concat_ws(".", "scope", "path").alias("location"), F.lit("absent for long").alias("detail"), F.lit(True).alias("breaking"), F.lit("stop reading it").alias("hint"))
-            moved = rename_pairs(states).where("complete").select(F.lit("field_renamed").alias("kind"), "method", "template", F.concat_ws(".", "scope", "old").alias("location"), F.col("new").alias("detail"), F.lit(True).alias("breaking"), F.lit("read the new name").alias("hint"))
-            found.unionByName(gone).unionByName(moved).withColumn("detected_at", F.current_timestamp()).write.mode("overwrite").json(f"{home}/changes/batch={number}")
+            found = diff_contracts(old, now, warm_endpoints(old.entries)).unionByName(traffic_changes(old, now))
+            found.withColumn("detected_at", F.current_timestamp()).write.mode("overwrite").json(f"{home}/changes/batch={number}")
+            old.release()
+        now.release()
 
     writer = lines.writeStream.foreachBatch(step).option("checkpointLocation", f"{home}/checkpoint")
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
+def traffic_changes(old: Contract, now: Contract) -> DataFrame:
+    """What only traffic tells: renames that are complete, and fields that were once required and have been away for long since this batch."""
+    batch, path = F.floor(F.col("entry_seq") / BATCH), [*SCOPE, "path"]
+    change = lambda kind, place, detail, hint: [F.lit(kind).alias("kind"), "method", "template", F.concat_ws(".", "scope", place).alias("location"), detail.alias("detail"), F.lit(True).alias("breaking"), F.lit(hint).alias("hint")]
+    required, states, before = ever_required(old.observed, batch), field_states(now.observed), field_states(old.observed)
+    moved = rename_pairs(states).where("complete")
+    told = removed_fields(before, required)
+    gone = removed_fields(states, required).join(moved.select(*SCOPE, F.col("old").alias("path")), path, "left_anti").join(told.select(*path), path, "left_anti")
+    renamed_before = rename_pairs(before).where("complete").select(*SCOPE, "old")
+    fresh = moved.join(renamed_before, [*SCOPE, "old"], "left_anti")
+    out = top_most(gone, SCOPE).select(*change("field_removed", "path", F.lit("absent for long"), "stop reading it"))
+    return out.unionByName(fresh.select(*change("field_renamed", "old", F.col("new"), "read the new name")))
+
+
 def read_changes(spark: SparkSession, home: str) -> DataFrame:
     """The change log, oldest batch first; broken lines are passed over."""
     schema = "kind string, method string, template string, location string, detail string, breaking boolean, hint string, detected_at timestamp"

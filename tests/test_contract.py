@@ -106,3 +106,42 @@ def test_versions_and_mixes(spark):
     assert endpoints.endpoints(named).first()["api_version"] == "v2" and endpoints.version_mix(named, endpoints.endpoints(named)).isEmpty()
     other = [{"id": k, "full_name": 1, "mail": "m"} for k in range(30)] + rows[30:]
     assert endpoints.rename_candidates(endpoints.version_mix(log(spark, other)), log(spark, other)).isEmpty()
+
+
+def test_a_removal_is_reported(spark, tmp_path):
+    """A field that was required once is reported when it has been away for ten calls, though its share has long fallen."""
+    folder, out = tmp_path / "in", str(tmp_path / "api.json")
+    folder.mkdir()
+    line = lambda b: json.dumps({"method": "GET", "path": "/a", "status": 200, "response_body": b})
+    kinds = []
+    for k, rows in enumerate([[{"x": 1, "kept": 1}] * 12, [{"kept": 1}] * 11]):
+        (folder / f"{k}.jsonl").write_text("\n".join(map(line, rows)) + "\n")
+        watch(spark, str(folder), out, once=True).awaitTermination()
+        kinds = [(c["kind"], c["location"]) for c in read_changes(spark, str(tmp_path / "api.state")).collect()] if k else []
+    assert kinds.count(("field_removed", "200.x")) == 1
+
+
+def test_document_differences(spark):
+    from specloom.plans import documents
+
+    def doc(props, required=(), status="200", params=()):
+        schema = {"type": "object", "properties": props, "required": list(required)}
+        op = {"parameters": [{"in": "query", "name": n, "required": r, "schema": {"type": t}} for n, r, t in params], "responses": {status: {"content": {"application/json": {"schema": schema}}}, "404": {"x-inferred": True}}}
+        return spark.createDataFrame([("d", json.dumps({"paths": {"/a": {"get": op}, "/b": 3}}))], "doc string, spec string")
+
+    old = doc({"id": {"type": "integer"}, "name": {"type": "string"}, "list": {"anyOf": [{"type": "array", "items": {"type": "object", "properties": {"z": {"type": "string"}}}}, {"type": "null"}]}}, ["id", "name"], params=[("q", False, "integer")])
+    new = doc({"id": {"type": "string"}, "name": {"type": "string"}, "list": {"type": "array", "items": {"type": "object", "properties": {}}}, "more": {"type": "object", "properties": {"deep": {"type": "string"}}}}, ["id"], params=[("q", True, "integer"), ("r", True, "string")])
+    rows = lambda *a, **k: sorted((r["kind"], r["location"], r["breaking"]) for r in documents.diff_documents(*a, **k).collect())
+    every = [("became_optional", "response.200.body.name", False), ("became_required", "query.q", True), ("field_added", "response.200.body.more", False), ("field_removed", "response.200.body.list[].z", True), ("param_added", "query.r", True), ("type_changed", "response.200.body.id", True)]
+    assert rows(old, new) == every
+    cold = spark.createDataFrame([("GET", "/a", "201")], "method string, template string, scope string")
+    assert rows(old, new, warm=cold) == [c for c in every if c[0] in ("field_removed", "type_changed")]
+    assert rows(old, old) == [] and [r[0] for r in rows(old, doc({}, status="500"))] == ["param_removed", "status_added", "status_removed"]
+    assert rows(spark.createDataFrame([("x", "nonsense")], "doc string, spec string"), old) == [("endpoint_added", "endpoint", False)]
+
+
+def test_summaries_and_hints(spark):
+    rows = spark.createDataFrame([("field_removed", "GET", "/a", "response.200.body.x", "", True), ("field_added", "GET", "/b", "request.query.q", "", False)], "kind string, method string, template string, location string, detail string, breaking boolean")
+    assert rows.select(diff.rule_summary(rows).select("summary").first()["summary"] == F.lit("1 breaking changes at GET /a: field removed; 1 other changes")).first()[0]
+    got = [tuple(r) for r in rows.select(diff.where_label(F.col("location")), diff.migration_hint(F.col("kind"), F.col("location"), F.col("detail"), F.col("breaking"))).collect()]
+    assert got == [("200 response body", "Do without `x` in the 200 response body."), ("query parameter", "`q` is there to be used.")]
