@@ -272,9 +272,26 @@ def scorecard(spark, sf_dir):
     return quality.scorecard(field_profile(observe(bodies(clean), DEPTH).persist(StorageLevel.MEMORY_AND_DISK)), field_profile(observe(bodies(noise.mutate(clean, 7)), DEPTH).persist(StorageLevel.MEMORY_AND_DISK)))
 
 
-@query()
+def _roll_sql(kind: str) -> str:
+    return f"CAST('0x' || substr(md5('3:' || CAST(entry_seq AS VARCHAR) || ':response_body:{kind}'), 1, 8) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE"
+
+
+_NOISE = LOGS_SQL + f""", a AS (SELECT entry_seq, list_sort(json_keys(response_body)) AS ks, response_body AS b FROM logs),
+ d AS (SELECT *, {_roll_sql('truncate_body')} < 0.1 AS cut, {_roll_sql('drop_field')} < 0.1 AS dropped, CAST(floor({_roll_sql('pick1')} * len(ks)) AS BIGINT) + 1 AS p1 FROM a),
+ e AS (SELECT *, CASE WHEN dropped THEN list_filter(ks, lambda k, i: i <> p1) ELSE ks END AS f FROM d),
+ n AS (SELECT *, CASE WHEN {_roll_sql('null_field')} < 0.1 THEN f[CASE WHEN dropped THEN CAST(floor({_roll_sql('pick2')} * len(f)) AS BIGINT) + 1 ELSE p1 END] END AS nulled, f[CAST(floor({_roll_sql('pick3')} * len(f)) AS BIGINT) + 1] AS own FROM e),
+ m AS (SELECT *, CASE WHEN {_roll_sql('key_casing')} < 0.1 THEN CASE WHEN {_roll_sql('upper')} < 0.5 THEN upper(own) ELSE upper(own[1]) || substr(own, 2) END WHEN {_roll_sql('version_mix')} < 0.1 THEN own || '_v2' ELSE own END AS other FROM n)
+ SELECT entry_seq, cut, CASE WHEN NOT cut THEN array_to_string(list_sort(list_transform(f, lambda k: CASE WHEN k = own THEN other ELSE k END)), ',') END AS keys,
+  CASE WHEN NOT cut THEN coalesce(array_to_string(list_sort(list_transform(list_filter(f, lambda k: k = nulled OR json_type(b, '$.' || k) = 'NULL'), lambda k: CASE WHEN k = own THEN other ELSE k END)), ','), '') END AS nulls FROM m"""
+
+
+@query(_NOISE)
 def noise_mutations(spark, sf_dir):
-    return noise.mutate(entries(spark, sf_dir), 3).select("entry_seq", "response_body")
+    """What the damage left of each response body: its keys, and those that are null; a body that was cut is a text."""
+    out, cut = noise.mutate(entries(spark, sf_dir), 3), F.col("response_body").startswith('"')
+    entry = F.map_entries(F.try_variant_get(F.try_parse_json("response_body"), "$", "map<string,variant>"))
+    names = F.transform(F.filter(entry, lambda e: F.schema_of_variant(e["value"]) == "VOID"), lambda e: e["key"])
+    return out.select("entry_seq", cut.alias("cut"), F.when(~cut, F.array_join(F.array_sort(F.json_object_keys("response_body")), ",")).alias("keys"), F.when(~cut, F.array_join(F.array_sort(names), ",")).alias("nulls"))
 
 
 @query(LOGS_SQL + """, h AS (SELECT *, entry_seq >= (SELECT count(*) FROM events) // 2 AS late FROM logs WHERE template <> '/orders' OR entry_seq < (SELECT count(*) FROM events) // 2)
