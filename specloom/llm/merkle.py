@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import documents, text_bytes
 
 BLOCK = 32
-RANGE_BYTES = 1 << 20
+RANGE_BYTES, PART_BYTES = 1 << 20, 64 << 20
 MOST_RANGES = 200_000
 COARSE = 64
 
@@ -159,6 +159,8 @@ def with_next(own: DataFrame, columns: list[str]) -> DataFrame:
         .withColumn("_place", F.explode(F.when(F.col("_to").isNull(), F.array(once)).otherwise(F.array(once, again))))
         .select(*own.columns, F.col("_place.range").alias("_r"), F.col("_place.copy").alias("_copy"), F.col("_place.wrap").alias("_w"))
     )
+    parts = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))  # a task's share stays the same
+    dealt = dealt.repartition(parts, "_r")
     order = Window.partitionBy("_r").orderBy("_w", F.col("doc_id").desc_nulls_last(), "_md5", "text", "_copy")
     return dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).where("_copy = 0").drop("_r", "_copy", "_w", "_md5", "_range")
 
