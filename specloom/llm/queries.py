@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, langid, maxent, merkle, packing, simhash, suffix, toxicity, warc
+from . import bpe, chat, decontaminate, langid, maxent, merkle, packing, simhash, suffix, toxicity, warc
 from .common import table
 
 
@@ -45,6 +45,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(bpe.decode_documents(bpe.encode_documents(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -56,6 +60,7 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_warc": op9_warc,
     "op10_decontamination": op10_decontamination,
+    "op11_bpe": op11_bpe,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {
