@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, langid, maxent, merkle, packing, simhash, suffix, toxicity, warc
+from . import bpe, chat, decontaminate, langid, maxent, merkle, packing, runs, simhash, suffix, toxicity, warc
 from .common import table
 
 
@@ -49,6 +49,10 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode_documents(bpe.encode_documents(table(spark, sf_dir, "documents"))))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.find_runs(table(spark, sf_dir, "documents"), runs.plant))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -61,6 +65,7 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_decontamination": op10_decontamination,
     "op11_bpe": op11_bpe,
+    "op12_periodic_runs": op12_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {
