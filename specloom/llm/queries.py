@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, langid, maxent, merkle, packing, runs, simhash, suffix, toxicity, warc
+from . import bpe, chat, codes, decontaminate, langid, maxent, merkle, packing, runs, simhash, suffix, toxicity, warc
 from .common import table
 
 
@@ -53,6 +53,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digest(runs.find_runs(table(spark, sf_dir, "documents"), runs.plant))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -66,6 +70,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_bpe": op11_bpe,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_vector_codes": op13_vector_codes,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {
@@ -73,4 +78,6 @@ ORACLE_SQL = {
     "op3_document_fingerprints": merkle.ORACLE_SQL,
     "op9_warc": warc.ORACLE_SQL,
     "op10_decontamination": decontaminate.ORACLE_SQL,
+    "op12_periodic_runs": runs.ORACLE_SQL,
+    "op13_vector_codes": codes.ORACLE_SQL,
 }

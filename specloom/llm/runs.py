@@ -255,3 +255,24 @@ def digest(found: DataFrame) -> DataFrame:
         F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
     return out.select("doc_id", "n_runs", "_best.start", "_best.length", "_best.period", F.expr("1000 * _best.length div _best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+_SQL_BEST = "arg_min({0}, {{'r': -length::DOUBLE / period, 's': start, 'p': period}})"
+#: Equal words at each distance, as islands; a period that a smaller one covers is not the smallest.
+ORACLE_SQL = f"""
+WITH t AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+    4294967295 - list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+        lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda x, i: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))) AS h FROM documents),
+g AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM t),
+p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS q FROM g),
+w AS MATERIALIZED (SELECT k, n, i, CASE WHEN i >= a THEN w[a + (i - a) % q + 1] ELSE w[i + 1] END AS word FROM p, unnest(range(n)) AS u(i)),
+e AS (SELECT x.k, x.i, y.i - x.i AS q FROM w x JOIN w y ON x.k = y.k AND x.word = y.word AND y.i > x.i AND (y.i - x.i) * 4 <= x.n),
+s AS (SELECT k, q, i, i - row_number() OVER (PARTITION BY k, q ORDER BY i) AS island FROM e),
+c AS MATERIALIZED (SELECT k, min(i) AS start, count(*) + q AS length, q AS period FROM s GROUP BY k, q, island HAVING count(*) + q >= greatest({LEAST_LENGTH}, {LEAST_EXPONENT} * q)),
+r AS MATERIALIZED (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.k = c.k AND d.period < c.period AND d.start <= c.start AND d.start + d.length >= c.start + c.length)),
+b AS (SELECT k, count(*) AS n_runs, {_SQL_BEST.format("start")} AS start, {_SQL_BEST.format("length")} AS length, {_SQL_BEST.format("period")} AS period,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM r GROUP BY k),
+o AS (SELECT k, string_agg(word, ' ' ORDER BY i) AS kept FROM w WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.k = w.k AND w.i >= r.start + r.period AND w.i < r.start + r.length) GROUP BY k)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, CAST(1000 * length // period AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN b USING (k) LEFT JOIN o USING (k)
+"""
