@@ -38,8 +38,10 @@ from .common import documents, raw_texts, slices
 SHORT = 64
 #: Bytes of words in one flat array, unless one word has more.
 FLAT_BYTES = 1 << 20
+#: Text encoded at once.
+TEXT_BYTES = 2 << 20
 #: What a worker keeps: parts of texts up to KEPT_LENGTH characters, two generations of KEPT parts.
-KEPT, KEPT_LENGTH = 300_000, 64
+KEPT, KEPT_LENGTH = 150_000, 64
 NO_RANK = np.iinfo(np.int64).max
 #: A symbol that is in no pair; it parts words in a flat array.
 WALL = (1 << 21) - 1
@@ -301,7 +303,7 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(path)
-        for batch in slices(batches):
+        for batch in slices(batches, most=TEXT_BYTES):
             ids = encoder.encode([x.decode() for x in raw_texts(batch.column("text"))])
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "ids": pa.array(ids, pa.binary())})
 
