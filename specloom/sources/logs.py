@@ -2,16 +2,23 @@
 
 The one Python step is here: a line is decoded, repaired where it is cut short, and re-encoded as a
 row with canonical JSON bodies. Everything after works on columns.
+
+Cases: blank lines are no rows; every other line is a row, an entry or the reason why it is none;
+no line stops a scan. Lone surrogates, which no text can hold, become U+FFFD; NaN and infinite
+numbers, which JSON doesn't have, become null in bodies and are flagged (`number_dropped`); of a
+doubled key the last counts; lines nested beyond what the decoder follows are `invalid_json`.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
-from urllib.parse import parse_qsl, urlsplit
+from urllib.parse import parse_qsl
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,7 +134,7 @@ def text_map(value) -> dict[str, str]:
 
 def header_map(value) -> dict[str, str]:
     if isinstance(value, list):
-        value = {h["name"]: h.get("value") for h in value if isinstance(h, dict) and "name" in h}
+        value = {h["name"]: h.get("value") for h in value if isinstance(h, dict) and isinstance(h.get("name"), str)}
     return text_map(value)
 
 
@@ -137,58 +144,101 @@ def query_map(value) -> dict[str, str]:
     return text_map(value)
 
 
+#: A status inside text: three digits that stand first, or last.
+_DUG = re.compile(r"\s*(\d{3})\b|.*?(\d{3})\s*$", re.S)
+
+
 def status_of(value) -> tuple[int | None, bool]:
     """The status and whether it had to be dug out of text."""
-    if isinstance(value, bool) or value is None:
-        return None, False
-    try:
-        n = int(value)
-        if 100 <= n <= 599:
-            return n, False
-    except (TypeError, ValueError, OverflowError):
-        pass
-    m = isinstance(value, str) and (re.match(r"\s*([0-9]{3})\b", value) or re.search(r"([0-9]{3})\s*$", value))
-    return (int(m[1]), True) if m and 100 <= int(m[1]) <= 599 else (None, False)
+    found, dug = None, False
+    if isinstance(value, (int, float, str)) and not isinstance(value, bool):
+        try:
+            found = int(value)
+        except (ValueError, OverflowError):  # text, NaN, infinity
+            found = None
+        if isinstance(value, str) and (found is None or not 100 <= found <= 599):
+            digits = _DUG.match(value)
+            found, dug = (int(digits[1] or digits[2]), True) if digits else (None, False)
+    return (found, dug) if found is not None and 100 <= found <= 599 else (None, False)
+
+
+#: A URL: scheme and host (or a host alone before a path), the path, the query, and a fragment that goes.
+_URL = re.compile(r"(?:[^/?#]*:)?//(?P<host>[^/?#]*)(?P<far>[^?#]*)(?:\?(?P<asked>[^#]*))?(?:#.*)?$|(?P<near>[^?#]*)(?:\?(?P<query>[^#]*))?(?:#.*)?$", re.S)
+_HOST_FIRST = re.compile(r"[^/]*[.:][^/]*(?=/)")
 
 
 def split_url(url: str) -> tuple[str, str]:
-    url = url.strip()
-    if "://" in url or url.startswith("//"):
-        parts = urlsplit(url)
-        path, query = parts.path, parts.query
+    """Path and query of a URL, with or without its host; a first segment with a dot or colon is a host if a path follows."""
+    found = _URL.match(url.strip())
+    if found["far"] is not None:
+        path, query = found["far"], found["asked"]
     else:
-        path, _, query = url.partition("#")[0].partition("?")
-        host, slash, rest = path.partition("/")
-        if slash and ("." in host or ":" in host):
-            path = slash + rest
-    return path if path.startswith("/") else f"/{path}", query
+        path, query = _HOST_FIRST.sub("", found["near"], count=1) if _HOST_FIRST.match(found["near"]) else found["near"], found["query"]
+    return path if path.startswith("/") else f"/{path}", query or ""
+
+
+def _finite(value):
+    """value without numbers that JSON doesn't have."""
+    if isinstance(value, float):
+        return value if math.isfinite(value) else None
+    if isinstance(value, dict):
+        return {k: _finite(v) for k, v in value.items()}
+    return [_finite(v) for v in value] if isinstance(value, list) else value
+
+
+def body_text(value, flags: list[str]) -> str | None:
+    """A body's JSON."""
+    value = None if value is _MISSING else body(value, flags)
+    if value is None:
+        return None
+    try:
+        return json.dumps(value, ensure_ascii=False, separators=(",", ":"), allow_nan=False)
+    except ValueError:
+        flags.append("number_dropped")
+        return json.dumps(_finite(value), ensure_ascii=False, separators=(",", ":"))
+
+
+#: What makes a log record an entry: each field with what it must be, in the order in which a missing one is told.
+NEEDED = {
+    "method": lambda v: isinstance(v, str) and v.strip().isalpha(),
+    "path": lambda v: isinstance(v, str) and bool(v.strip()),
+    "status": lambda v: status_of(v)[0] is not None,
+}
+
+
+def _skipped(reason: str) -> dict:
+    return dict.fromkeys(_TYPES) | {"skip_reason": reason}
 
 
 def entry_of(record) -> dict:
     """A log record as a row; skip_reason says why it is none."""
-    empty = dict.fromkeys(_TYPES)
     if not isinstance(record, dict):
-        return empty | {"skip_reason": "non_object"}
+        return _skipped("non_object")
     fields = Fields(record)
-    method = fields.pick("method", lambda v: isinstance(v, str) and v.strip().isalpha())
-    url = fields.pick("path", lambda v: isinstance(v, str) and bool(v.strip()))
-    raw = fields.pick("status", lambda v: status_of(v)[0] is not None)
-    for reason, value in (("no_method", method), ("no_path", url), ("no_status", raw)):
+    needed = {name: fields.pick(name, fits) for name, fits in NEEDED.items()}
+    for name, value in needed.items():
         if value is _MISSING:
-            return empty | {"skip_reason": reason}
-    status, dug = status_of(raw)
+            return _skipped(f"no_{name}")
+    (status, dug), (path, in_url) = status_of(needed["status"]), split_url(needed["path"])
+    more = {name: None if (v := fields.pick(name)) is _MISSING else v for name in ("query", "headers", "timestamp")}
     flags = ["status_coerced"] if dug else []
-    path, in_url = split_url(url)
-    asked, headers, when = (None if (v := fields.pick(name)) is _MISSING else v for name in ("query", "headers", "timestamp"))
-    row = {"method": method.strip().upper(), "path": path, "status": status, "skip_reason": None}
-    row["query"] = list((dict(parse_qsl(in_url, keep_blank_values=True)) | query_map(asked)).items())
-    for name in ("request_body", "response_body"):
-        value = fields.pick(name)
-        value = None if value is _MISSING else body(value, flags)
-        row[name] = None if value is None else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
-    row["timestamp"] = "" if when is None or when == "" else str(when)  # the first spelling that is there, whatever it says
-    row["headers"] = list(header_map(headers).items())
-    return row | {"flags": sorted({*flags})}
+    bodies = {name: body_text(fields.pick(name), flags) for name in ("request_body", "response_body")}
+    return bodies | {
+        "method": needed["method"].strip().upper(), "path": path, "status": status, "skip_reason": None,
+        "query": list((dict(parse_qsl(in_url, keep_blank_values=True)) | query_map(more["query"])).items()), "headers": list(header_map(more["headers"]).items()),
+        "timestamp": "" if more["timestamp"] is None else str(more["timestamp"]),  # the first spelling that is there, whatever it says
+        "flags": sorted({*flags}),
+    }
+
+
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def _writable(value):
+    """Texts without lone surrogates."""
+    if isinstance(value, str):
+        return _LONE.sub("\ufffd", value)
+    return [(_writable(k), _writable(v)) for k, v in value] if isinstance(value, list) and value and isinstance(value[0], tuple) else value
 
 
 def entry_of_line(line: str | None) -> dict | None:
@@ -196,10 +246,10 @@ def entry_of_line(line: str | None) -> dict | None:
     if line is None or not line.strip():
         return None
     try:
-        record = json.loads(line)
+        row = entry_of(json.loads(line))
     except (ValueError, RecursionError):
-        return dict.fromkeys(_TYPES) | {"skip_reason": "invalid_json"}
-    return entry_of(record)
+        return _skipped("invalid_json")
+    return {k: _writable(v) for k, v in row.items()} if "\\u" in line else row
 
 
 def _rows(of):
@@ -222,8 +272,8 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """Every line of JSON-lines logs; entry_seq rises with file and place. A missing path is an empty log."""
     try:
         text = spark.read.text(path)
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         text = spark.createDataFrame([], "value string")
     return parse_lines(text.select(F.monotonically_increasing_id().alias("entry_seq"), "value"))
