@@ -110,36 +110,53 @@ def _blocks(benchmark: DataFrame, n: int, most: int) -> Iterator[WindowSet]:
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *keep: str, n: int = WINDOW_WORDS, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """doc_id, text, the columns in `keep`, n_words, hits (runs of hit words, as [start, end) word numbers) and items (ids of the items with occurring windows)."""
-    own = documents(docs, *keep)
-    out = own.withColumns({"n_words": F.lit(None).cast("long"), "hits": F.array().cast(SPANS), "items": F.array().cast("array<string>")})
-    blocks = 0
-    for block in _blocks(benchmark, n, block_windows):
-        if blocks:
-            out = durable(out)
-        out = out.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(block)), out.schema)
-        blocks += 1
-    return out if blocks else out.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(WindowSet([], n))), out.schema)
+    own, sc = documents(docs, *keep), docs.sparkSession.sparkContext
+    first = list(islice(_blocks(benchmark, n, block_windows), 2)) or [WindowSet([], n)]
+    if len(first) == 1:
+        out = own.withColumns({"n_words": F.lit(None).cast("long"), "hits": F.array().cast(SPANS), "items": F.array().cast("array<string>")})
+        return out.mapInArrow(_scan(sc.broadcast(first[0])), out.schema)
+    del first
+    rows = durable(own.select(F.monotonically_increasing_id().alias("row"), "text", F.struct(*[F.col(f"`{c}`") for c in own.columns if c != "text"]).alias("more")))
+    met = rows.join(_marks(rows, benchmark, n, block_windows), "row", "left").withColumn("n_words", F.lit(None).cast("long"))
+    return met.mapInArrow(_settle, met.schema).select("text", "more.*", "n_words", "hits", "items").select(*own.columns, "n_words", "hits", "items")
+
+
+def _marks(rows: DataFrame, benchmark: DataFrame, n: int, block_windows: int) -> DataFrame:
+    """row, hits and items of the rows (row, text) that any block hits; a pass over the texts for each block, which writes what it found alone."""
+    sc = rows.sparkSession.sparkContext
+    marks = [durable(rows.select("row", "text").mapInArrow(_mark(sc.broadcast(block)), f"row long, hits {SPANS}, items array<string>")) for block in _blocks(benchmark, n, block_windows)]
+    lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("hits", "items")]  # one list a block at most
+    return reduce(DataFrame.unionByName, marks).groupBy("row").agg(*lists)
 
 
 def _scan(sent):
+    """Of rows without hits: their words, hits and items by one block."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: WindowSet = sent.value
         for batch in slices(batches):
             counts, hits, items = [], [], []
-            for text, before, had in zip(raw_texts(batch.column("text")), batch.column("hits").to_pylist(), batch.column("items").to_pylist()):
+            for text in raw_texts(batch.column("text")):
                 words = words_of(text)
                 hit, found = block.hits(words)
-                for run in before:
-                    hit[run["start"] : run["end"]] = True
                 counts.append(len(words))
                 hits.append([{"start": a, "end": b} for a, b in _runs(hit)])
-                items.append(sorted({*had, *(block.ids[k] for k in found)}))
+                items.append(sorted({block.ids[k] for k in found}))
             new = {"n_words": counts, "hits": hits, "items": items}
             yield pa.RecordBatch.from_arrays([pa.array(new[f.name], f.type) if f.name in new else batch.column(k) for k, f in enumerate(batch.schema)], schema=batch.schema)
 
     return scan
 
 
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows with the spans and items of all blocks: their words, and both without what several blocks found."""
+    for batch in slices(batches):
+        counts = [len(words_of(text)) for text in raw_texts(batch.column("text"))]
+        hits = [[{"start": a, "end": b} for a, b in _merged([(r["start"], r["end"]) for r in own or []])] for own in batch.column("hits").to_pylist()]
+        items = [sorted({*(own or [])}) for own in batch.column("items").to_pylist()]
+        new = {"n_words": counts, "hits": hits, "items": items}
+        yield pa.RecordBatch.from_arrays([pa.array(new[f.name], f.type) if f.name in new else batch.column(k) for k, f in enumerate(batch.schema)], schema=batch.schema)
+
+
 def word_bounds(text: bytes) -> np.ndarray:
     """[start, end) bytes of each word, one row a word."""
     own = np.frombuffer(text.translate(NORMAL), np.uint8) != 0x20
@@ -169,25 +186,27 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, whole: bool = Fa
     """docs with the columns they have; hit spans are cut out of their texts (n_chars follows), or hit documents dropped (`whole`).
 
     Where the benchmark is several blocks, the hits of all are marked before a text is cut, and
-    the texts that were cut are looked at again until none has a hit.
+    the texts that were cut are looked at again until none has a hit. Texts are written once; a
+    block's pass writes the numbers of the rows that it hits, and their spans. What docs hold besides
+    the text lies in one struct meanwhile, so no name of theirs can clash.
     """
     out = docs.withColumn("text", F.col("text").cast("string"))
-    sc, first = docs.sparkSession.sparkContext, list(islice(_blocks(benchmark, n, block_windows), 2))
+    first = list(islice(_blocks(benchmark, n, block_windows), 2))
     if len(first) == 1:
-        out = out.mapInArrow(_cut(sc.broadcast(first[0]), whole), out.schema)
+        out = out.mapInArrow(_cut(docs.sparkSession.sparkContext.broadcast(first[0]), whole), out.schema)
     elif first:
         del first
-        settled, left = [], out
+        left = durable(out.select(F.monotonically_increasing_id().alias("row"), "text", F.struct(*[F.col(f"`{c}`") for c in out.columns if c != "text"]).alias("more")))
+        settled = []
         while True:
-            left = left.withColumn("_hits", F.array().cast(SPANS))
-            for block in _blocks(benchmark, n, block_windows):
-                left = durable(left.mapInArrow(_mark(sc.broadcast(block)), left.schema))
-            settled.append(left.where("size(_hits) = 0").drop("_hits"))
-            left = left.where("size(_hits) > 0")
-            if whole or left.isEmpty():
+            hits = _marks(left, benchmark, n, block_windows).drop("items")
+            met = left.join(hits, "row", "left")
+            settled.append(met.where("hits is null").drop("hits"))
+            hit = met.where("hits is not null")
+            if whole or hit.isEmpty():
                 break
-            left = left.mapInArrow(_cut_marked, left.schema).drop("_hits")
-        out = reduce(DataFrame.unionByName, settled)
+            left = durable(hit.mapInArrow(_cut_marked, hit.schema).drop("hits"))
+        out = reduce(DataFrame.unionByName, settled).select("text", "more.*")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
@@ -197,21 +216,34 @@ def _mark(sent):
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: WindowSet = sent.value
         for batch in slices(batches):
-            k, marked = batch.schema.get_field_index("_hits"), []
-            for text, before in zip(raw_texts(batch.column("text")), batch.column("_hits").to_pylist()):
-                hit, _ = block.hits(words_of(text))
-                for run in before:
-                    hit[run["start"] : run["end"]] = True
-                marked.append([{"start": a, "end": b} for a, b in _runs(hit)])
-            yield batch.set_column(k, batch.schema.field(k), pa.array(marked, batch.schema.field(k).type))
+            at, spans, items = [], [], []
+            for k, text in enumerate(raw_texts(batch.column("text"))):
+                hit, found = block.hits(words_of(text))
+                if runs := _runs(hit):
+                    at.append(k)
+                    spans.append([{"start": a, "end": b} for a, b in runs])
+                    items.append([block.ids[k] for k in found])
+            hits = pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(at, pa.int64())), hits, pa.array(items, pa.list_(pa.string()))], names=["row", "hits", "items"])
 
     return mark
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of words, joined where they touch."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
 def _cut_marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         k = batch.schema.get_field_index("text")
-        done = [cut_runs(t, [(r["start"], r["end"]) for r in runs]).decode() for t, runs in zip(raw_texts(batch.column("text")), batch.column("_hits").to_pylist())]
+        done = [cut_runs(t, _merged([(r["start"], r["end"]) for r in runs])).decode() for t, runs in zip(raw_texts(batch.column("text")), batch.column("hits").to_pylist())]
         yield batch.set_column(k, batch.schema.field(k), pa.array(done, batch.schema.field(k).type))
 
 

@@ -8,9 +8,9 @@ word lies in four of them and every run of 19 words lies whole in one; its score
 worst window.
 
 Training is on the driver, on a bounded sample of labelled rows: at most `SAMPLE` documents of
-each label, those of the least hash of doc_id, of at most `SAMPLE_TEXT` bytes each and
-`SAMPLE_BYTES` together (longer ones are scored like any other, but not drawn). Embeddings start with one coordinate at the log-odds
-of a toxic document given the word or gram, and noise in the others. A label is of a document, so
+each label, those of the least hash of doc_id among the documents that are there, of at most
+`SAMPLE_TEXT` bytes each and `SAMPLE_BYTES` a label together (longer ones are scored like any other,
+but not drawn). Embeddings start with one coordinate at the log-odds of a toxic document given the word or gram, and noise in the others. A label is of a document, so
 of a toxic one only the worst windows are examples, at first by those log-odds, then by the network
 itself; of the clean ones all windows can be, and the worst are drawn more often.
 
@@ -260,9 +260,10 @@ def calibrate(net: Network, rows: list[tuple[int, bytes]]) -> float:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     """(network, shift) from labelled rows that are not held out; a share of toxic rows where only one label is there."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
-    chosen = draw(marks, "toxic", sample, 2, 2 * sample)
     fits = F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_TEXT)
-    taken = documents(docs).where(fits).join(F.broadcast(chosen), "doc_id").groupBy("toxic", "doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    there = documents(docs).where(fits)
+    chosen = draw(marks.join(there.select("doc_id").distinct(), "doc_id", "left_semi"), "toxic", sample, 2, 2 * sample)  # labels of other documents take no place
+    taken = there.join(F.broadcast(chosen), "doc_id").groupBy("toxic", "doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     upto = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")  # of `sample` rows
     taken = taken.withColumn("_bytes", F.sum(F.octet_length("text")).over(upto)).where(F.col("_bytes") <= SAMPLE_BYTES)
     rows = [(r["toxic"], r["text"].encode()) for r in taken.orderBy(F.xxhash64("doc_id"), "doc_id").select("toxic", "text").collect()]  # of SAMPLE_BYTES a label at most

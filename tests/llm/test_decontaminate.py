@@ -61,6 +61,18 @@ def test_what_a_later_block_brings_together_is_cut(spark):
         assert {r["doc_id"] for r in d.remove_contamination(docs, bench, whole=True, block_windows=block).collect()} == {4, 5}
 
 
+def test_columns_of_any_name_pass_several_blocks(spark):
+    bench = spark.createDataFrame([(k, " ".join(f"{c}{i}" for i in range(12))) for k, c in enumerate("abcd")], "item_id long, text string")
+    texts = ["x " + " ".join(f"b{i}" for i in range(12)) + " y", "clean", None]
+    docs = spark.createDataFrame([(k, t, 7, 8, [1], "r", "m") for k, t in enumerate(texts)], "doc_id long, text string, _hits int, hits int, items array<int>, row string, more string")
+    for block in (3, 1000):
+        rows = {r["doc_id"]: r for r in d.remove_contamination(docs, bench, block_windows=block).collect()}
+        assert rows[0].__fields__ == docs.columns and rows[0]["text"].split() == ["x", "y"] and rows[1]["text"] == "clean" and rows[2]["text"] is None
+        assert all((r["_hits"], r["hits"], r["items"], r["row"], r["more"]) == (7, 8, [1], "r", "m") for r in rows.values())
+        assert {r["doc_id"] for r in d.remove_contamination(docs, bench, whole=True, block_windows=block).collect()} == {1, 2}
+        assert [r["contaminated"] for r in d.digest(d.find_contamination(docs.select("doc_id", "text"), bench, block_windows=block)).orderBy("doc_id").collect()] == [True, False, False]
+
+
 def test_empty_tables(spark):
     docs, bench = tables(spark)
     assert d.digest(d.find_contamination(docs.limit(0), bench)).count() == 0

@@ -57,6 +57,13 @@ def test_toxicity(docs, labels):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_labels_of_absent_documents_teach_nothing(spark, docs, labels):
+    """A shard of a corpus with the labels of all of it learns what it learns from its own."""
+    absent = spark.range(10_000, 60_000).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic", "1 as text")
+    own, more = ({r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, x).where("doc_id is not null").collect()} for x in (labels, labels.union(absent)))
+    assert own == more and len(set(own.values())) > 10
+
+
 def test_gradients():
     texts = [b"one two three four five idiot", b"", b"six seven"]
     net, x = toxicity.Network(3), toxicity.Inputs(texts)
