@@ -68,7 +68,7 @@ def diff_statuses(old: DataFrame, new: DataFrame, shared: DataFrame | None = Non
     shared = in_both(old, new) if shared is None else shared
     a, b = (df.select(*KEY, "status").distinct().join(shared, KEY, "left_semi") for df in (old, new))
     place = F.concat(F.lit("response."), F.col("status").cast("string"))
-    gone = a.join(b, [*KEY, "status"], "left_anti").select(*_change("status_removed", place, F.lit("status removed"), (F.col("status") >= 200) & (F.col("status") < 300)))
+    gone = a.join(b, [*KEY, "status"], "left_anti").select(*_change("status_removed", place, F.lit("status removed"), F.col("status").cast("string").startswith("2")))
     return gone.unionByName(b.join(a, [*KEY, "status"], "left_anti").select(*_change("status_added", place, F.lit("status added"), False)))
 
 

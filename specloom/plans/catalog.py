@@ -398,7 +398,35 @@ def _documents(spark, sf_dir):
  UNION ALL SELECT *, 'tags', 'array,string', false FROM d WHERE doc % 3 = 0 UNION ALL SELECT *, 'tags[]', 'object', false FROM d WHERE doc % 3 = 0 UNION ALL SELECT *, 'tags[].a', 'string', false FROM d WHERE doc % 3 = 0""")
 def document_fields(spark, sf_dir):
     """One document an event, flattened."""
-    return D.fields(D.operations(_documents(spark, sf_dir)), 3).select("doc", "method", "template", "scope", "path", F.array_join("types", ",").alias("types"), "required")
+    return D.fields(D.operations(_documents(spark, sf_dir))).select("doc", "method", "template", "scope", "path", F.array_join("types", ",").alias("types"), "required")
+
+
+#: Documents of one path, whose responses `default` and `2XX` come and go, with arrays in arrays and anyOf inside anyOf inside anyOf.
+_NESTED = """concat('{"paths":{"/n":{"post":{"responses":{"default":{"content":{"application/json":{"schema":{"type":"array","items":{"type":"array","items":{"type":"array","items":{"type":"object","required":["k"],"properties":{"k":{"anyOf":[{"anyOf":[{"oneOf":[{"type":"null"},{"type":"',
+ CASE WHEN @ODD THEN 'integer' ELSE 'string' END, '"}]}]}]}', CASE WHEN @ODD THEN ',"extra":{"type":"boolean"}' ELSE '' END, '}}}}}}}}', CASE WHEN @ODD THEN '' ELSE ',"2XX":{}' END, '}}}}}')"""
+
+
+@query("""WITH d AS (SELECT event_id AS doc, event_id % 2 = 1 AS odd FROM events) SELECT d.doc, n.path, CASE WHEN n.path = '[][][].k' THEN CASE WHEN odd THEN 'integer' ELSE 'string' END ELSE n.types END AS types, n.path = '[][][].k' AS required
+ FROM d, (VALUES ('', 'array'), ('[]', 'array'), ('[][]', 'array'), ('[][][]', 'object'), ('[][][].k', ''), ('[][][].extra', 'boolean')) n(path, types) WHERE odd OR n.path <> '[][][].extra'""")
+def nested_document_fields(spark, sf_dir):
+    """Schemas below three arrays and three alternatives, of a response by the name of `default`."""
+    docs = spread(spark.read.parquet(f"{sf_dir}/events.parquet")).selectExpr("event_id AS doc", _NESTED.replace("@ODD", "event_id % 2 = 1") + " AS spec")
+    return D.fields(D.operations(docs)).where("scope = 'default'").select("doc", "path", F.array_join("types", ",").alias("types"), "required")
+
+
+@query("""WITH e AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1), c AS (SELECT * FROM (VALUES ('status_removed', 'response.2XX', true, 0), ('type_changed', 'response.default.body[][][].k', true, 0), ('field_added', 'response.default.body[][][].extra', false, 0)) v(kind, location, breaking, z))
+ SELECT kind, 'POST' AS method, '/n/' || event_type AS template, location, breaking FROM e, c UNION ALL SELECT 'endpoint_removed', 'POST', '/n/' || event_type, 'endpoint', true FROM e""")
+def document_differences(spark, sf_dir):
+    """Two documents of one path an event type and one that goes: wide statuses, deep types, new fields."""
+    kinds = spread(spark.read.parquet(f"{sf_dir}/events.parquet")).select("event_type").distinct()
+    path = lambda odd: F.replace(F.regexp_extract(F.expr(_NESTED.replace("@ODD", odd)), '^."paths":.(.*)..$', 1), F.lit("/n"), F.concat(F.lit("/n/"), F.col("event_type")))
+    whole = lambda paths: F.concat(F.lit('{"paths":{'), F.array_join(F.array_sort(F.collect_list(paths)), ","), F.lit("}}"))
+    put = F.concat(F.lit('"/n/'), F.col("event_type"), F.lit('":{"post":{"responses":{}}}'))
+    old, new = kinds.agg(whole(path("false")).alias("spec")), kinds.agg(whole(path("true")).alias("spec"))
+    gone = kinds.agg(whole(F.replace(put, F.lit('"/n/'), F.lit('"/gone/'))).alias("spec"))
+    both = D.diff_documents(old.withColumn("doc", F.lit("a")), new.withColumn("doc", F.lit("b")))
+    lost = D.diff_documents(gone.withColumn("doc", F.lit("a")), new.withColumn("doc", F.lit("b"))).where("kind = 'endpoint_removed'").withColumn("template", F.replace("template", F.lit("/gone/"), F.lit("/n/")))
+    return both.unionByName(lost).select("kind", "method", "template", "location", "breaking")
 
 
 @query("SELECT event_id AS doc, 'GET' AS method, '/x/' || event_type AS template, 'query' AS location, 'q' || CAST(event_id % 3 AS VARCHAR) AS name, 'integer' AS type, true AS required FROM events")

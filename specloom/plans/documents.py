@@ -1,20 +1,25 @@
 """OpenAPI documents as tables, and their differences.
 
-`docs` has one row a document: doc (its name) and spec (its JSON). Everything below is VARIANT
-functions: a document is parsed once, and its schemas are walked level by level inside its row.
+`docs` has one row a document: doc (its name) and spec (its JSON). Paths, operations, parameters and
+responses come out with VARIANT functions; a schema, which nests as it likes, is walked whole by one
+function over Arrow batches (`nodes`), to whatever depth and through anyOf inside anyOf.
 
 Cases: what is no object, has no paths or names other methods gives no rows; a schema without a
 type is unknown (no types) and differs from nothing; responses marked `x-inferred` are a guess and
-take no part.
+take no part; statuses are texts (`default`, `2XX`).
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import diff
-from ..operators.observe import depth_of
 
 # The operations of a path item.
 METHODS = ["get", "post", "put", "patch", "delete", "head", "options", "trace"]
@@ -53,46 +58,60 @@ def params(ops: DataFrame) -> DataFrame:
     return rows.where("location is not null and name is not null").groupBy(*KEY, "location", "name").agg(last).select(*KEY, "location", "name", "l.type", "l.required")
 
 
-def branches(schema: Column) -> Column:
-    """The schemas behind one: itself, or those of its anyOf and oneOf (two levels deep)."""
-    def inner(s: Column) -> Column:
-        return F.concat(F.array(s), _items(s, "$.anyOf"), _items(s, "$.oneOf"))
-
-    return F.flatten(F.transform(inner(schema), inner))
+def types_in(schema) -> dict[str, dict]:
+    """The types that a schema names, null apart, with the first schema of each: those of anyOf, of oneOf, then its own."""
+    found: dict[str, dict] = {}
+    left = [(schema, False)]
+    while left:
+        node, own = left.pop()
+        if not isinstance(node, dict):
+            continue
+        if own:
+            named = node.get("type")
+            for kind in [named] if isinstance(named, str) else named if isinstance(named, list) else []:
+                if isinstance(kind, str) and kind != "null":
+                    found.setdefault(kind, node)
+        else:
+            parts = [part for word in ("anyOf", "oneOf") for part in (node[word] if isinstance(node.get(word), list) else [])]
+            left += [(node, True), *((part, False) for part in reversed(parts))]
+    return found
+
+
+def walk(schema) -> Iterator[dict]:
+    """Every node of a schema: path, parent, types and required; the root's path is empty."""
+    left = [("", None, False, schema)]
+    while left:
+        path, parent, required, node = left.pop()
+        kinds = types_in(node)
+        yield {"path": path, "parent": parent, "types": sorted(kinds), "required": required}
+        own = kinds.get("object", {})
+        if isinstance(props := own.get("properties"), dict):
+            needed = own["required"] if isinstance(own.get("required"), list) else []
+            left += [(f"{path}.{name}" if path else name, path, name in needed, child) for name, child in props.items()]
+        if isinstance(items := kinds.get("array", {}).get("items"), dict):
+            left.append((f"{path}[]", path, False, items))
+
+
+_NODE = T.StructType([T.StructField("path", T.StringType()), T.StructField("parent", T.StringType()), T.StructField("types", T.ArrayType(T.StringType())), T.StructField("required", T.BooleanType())])
+
+
+@F.pandas_udf(T.ArrayType(_NODE))
+def nodes(schemas: pd.Series) -> pd.Series:
+    """The nodes of schemas (JSON); null of null."""
+    return schemas.map(lambda text: None if text is None else list(walk(json.loads(text))))
 
 
 def types_of(schema: Column) -> Column:
-    """The types that a schema names, null apart."""
-    named = F.transform(branches(schema), lambda b: F.coalesce(F.try_variant_get(b, "$.type", "array<string>"), F.array(F.try_variant_get(b, "$.type", "string"))))
-    return F.array_sort(F.array_distinct(F.filter(F.flatten(named), lambda t: t.isNotNull() & (t != "null"))))
-
-
-def _typed(schema: Column, kind: str) -> Column:
-    """The first branch of a type (an array of one, or none)."""
-    return F.slice(F.filter(branches(schema), lambda b: F.coalesce(F.try_variant_get(b, "$.type", "string") == kind, F.array_contains(F.try_variant_get(b, "$.type", "array<string>"), kind), F.lit(False))), 1, 1)
+    """The types that a schema (a VARIANT) names, null apart, sorted; none of what is no schema."""
+    return F.coalesce(F.get(nodes(F.to_json(schema)), F.lit(0))["types"], F.array().cast("array<string>"))
 
 
-def fields(ops: DataFrame, depth: int | None = None) -> DataFrame:
+def fields(ops: DataFrame) -> DataFrame:
     """doc, method, template, scope (`request` or a status), path, parent, types and required of every schema node; the root's path is empty."""
     answers = statuses(ops).select(*KEY, F.col("status").alias("scope"), F.try_variant_get("answer", _BODY, "variant").alias("v"))
     asked = ops.select(*KEY, F.lit("request").alias("scope"), F.try_variant_get("op", f"$.requestBody{_BODY[1:]}", "variant").alias("v"))
-    rows = answers.unionByName(asked).where("v is not null")
-    if depth is None:
-        depth = (rows.agg(F.max(depth_of(F.to_json("v")))).first()[0] or 0) // 2 + 1
-    node = "struct<path:string,parent:string,required:boolean,v:variant>"
-
-    def inner(n: Column) -> Column:
-        at = lambda name: F.when(n["path"] == "", name).otherwise(F.concat_ws(".", n["path"], name))
-        needed = lambda b, name: F.coalesce(F.array_contains(F.try_variant_get(b, "$.required", "array<string>"), name), F.lit(False))
-        props = F.flatten(F.transform(_typed(n["v"], "object"), lambda b: F.transform(_object(b, "$.properties"), lambda e: F.struct(at(e["key"]).alias("path"), n["path"].alias("parent"), needed(b, e["key"]).alias("required"), e["value"].alias("v")))))
-        items = F.transform(F.filter(F.transform(_typed(n["v"], "array"), lambda b: F.try_variant_get(b, "$.items", "variant")), lambda v: v.isNotNull()), lambda v: F.struct(F.concat(n["path"], F.lit("[]")).alias("path"), n["path"].alias("parent"), F.lit(False).alias("required"), v.alias("v")))
-        return F.concat(props, items)
-
-    rows = rows.withColumn("_0", F.array(F.struct(F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(False).alias("required"), F.col("v").alias("v")).cast(node)))
-    for k in range(depth):
-        rows = rows.withColumn(f"_{k + 1}", F.flatten(F.transform(f"_{k}", inner)))
-    out = rows.select(*KEY, "scope", F.explode(F.concat(*[f"_{k}" for k in range(depth + 1)])).alias("o"))
-    return out.select(*KEY, "scope", "o.path", "o.parent", types_of(F.col("o.v")).alias("types"), "o.required")
+    rows = answers.unionByName(asked).where(F.schema_of_variant("v").startswith("OBJECT"))
+    return rows.withColumn("n", nodes(F.to_json("v"))).select(*KEY, "scope", F.explode("n").alias("o")).select(*KEY, "scope", "o.path", "o.parent", "o.types", "o.required")
 
 
 def required_paths(found: DataFrame) -> DataFrame:

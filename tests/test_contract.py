@@ -145,3 +145,23 @@ def test_summaries_and_hints(spark):
     assert rows.select(diff.rule_summary(rows).select("summary").first()["summary"] == F.lit("1 breaking changes at GET /a: field removed; 1 other changes")).first()[0]
     got = [tuple(r) for r in rows.select(diff.where_label(F.col("location")), diff.migration_hint(F.col("kind"), F.col("location"), F.col("detail"), F.col("breaking"))).collect()]
     assert got == [("200 response body", "Do without `x` in the 200 response body."), ("query parameter", "`q` is there to be used.")]
+
+
+def test_documents_of_any_depth(spark):
+    """Six arrays, four alternatives, statuses that are words, and things that are no schemas."""
+    from specloom.plans import documents
+
+    schema = {"type": "object", "required": ["deep"], "properties": {"deep": {"anyOf": [{"oneOf": [{"anyOf": [{"anyOf": [{"type": ["string", "null"]}]}]}]}, {"type": "integer"}]}, "odd": 3, "none": {"type": "object", "properties": [], "required": "x"}}}
+    for _ in range(6):
+        schema = {"type": "array", "items": schema}
+    spec = {"paths": {"/a": {"get": {"parameters": [{"in": "query", "name": "q", "schema": {"anyOf": [{"anyOf": [{"anyOf": [{"type": "number"}]}]}]}}, 5], "responses": {"default": {"content": {"application/json": {"schema": schema}}}, "200": {"content": []}}}}}}
+    docs = spark.createDataFrame([("d", json.dumps(spec))], "doc string, spec string")
+    found = documents.fields(documents.operations(docs))
+    rows = {r["path"]: r for r in found.collect()}
+    assert rows["[][][][][][].deep"]["types"] == ["integer", "string"] and rows["[][][][][][].deep"]["required"] and rows["[][][][][][].odd"]["types"] == [] and rows["[][][][][][].none"]["types"] == ["object"]
+    assert [r["path"] for r in documents.required_paths(found).collect()] == ["[][][][][][].deep"]
+    assert documents.schema_at(found, "GET", "/a", "default", "[][][][][][]").first()["types"] == ["object"]
+    assert documents.params(documents.operations(docs)).first()["type"] == "number"
+    other = json.dumps({"paths": {"/a": {"get": {"responses": {"2XX": {}, "404": {}}}}}})
+    changes = documents.diff_documents(docs, spark.createDataFrame([("d", other)], "doc string, spec string")).collect()
+    assert {(c["kind"], c["location"], c["breaking"]) for c in changes} == {("status_removed", "response.default", False), ("status_removed", "response.200", True), ("status_added", "response.2XX", False), ("status_added", "response.404", False), ("param_removed", "query.q", True)}
