@@ -19,24 +19,32 @@ def _has_header(headers: Column, names: list[str]) -> Column:
     return F.exists(F.map_keys(headers), lambda k: F.lower(k).isin(*names))
 
 
-def endpoints(entries: DataFrame) -> DataFrame:
-    """One row an endpoint, by template and method: all in one shuffle, summed by version header first."""
+def endpoint_parts(entries: DataFrame) -> DataFrame:
+    """Per endpoint and set of version headers: counts, times, statuses and evidence."""
     keyed = with_template(entries)
     when, version = F.when(F.col("timestamp") != "", F.col("timestamp")), path_version(F.col("path"))
     has_body = F.when(is_success(F.col("status")), F.col("request_body").isNotNull())
-    own = keyed.select(*KEY, "entry_seq", "status", when.alias("_when"), version.alias("_v"), has_body.alias("_body"), _has_header(F.col("headers"), AUTH_HEADERS).cast("long").alias("_auth"), _versions(F.col("headers")).alias("_names"))
-    each = own.groupBy(*KEY, "_names").agg(
-        F.count("*").alias("n"), F.min("_when").alias("first_seen"), F.max("_when").alias("last_seen"), F.collect_set("status").alias("statuses"), F.sum("_auth").alias("_auth"),
-        F.bool_and("_body").alias("_body"), F.min(F.when(F.col("_v").isNotNull(), F.struct("entry_seq", "_v"))).alias("_v"), F.min("entry_seq").alias("_first"),
+    own = keyed.select(*KEY, "entry_seq", "status", when.alias("_when"), version.alias("_v"), has_body.alias("_body"), _has_header(F.col("headers"), AUTH_HEADERS).cast("long").alias("_auth"), _versions(F.col("headers")).alias("names"))
+    return own.groupBy(*KEY, "names").agg(
+        F.count("*").alias("n"), F.min("_when").alias("first_seen"), F.max("_when").alias("last_seen"), F.array_sort(F.collect_set("status")).alias("statuses"), F.sum("_auth").alias("auth"),
+        F.bool_and("_body").alias("bodies"), F.min(F.when(F.col("_v").isNotNull(), F.struct("entry_seq", F.col("_v").alias("version")))).alias("versioned"), F.min("entry_seq").alias("first"),
     )
-    out = each.groupBy(*KEY).agg(
+
+
+def endpoints_of(parts: DataFrame) -> DataFrame:
+    out = parts.groupBy(*KEY).agg(
         F.sum("n").alias("sample_count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("statuses")))).alias("statuses"),
-        (F.sum("_auth").cast("double") / F.sum("n")).alias("auth_rate"), F.coalesce(F.bool_and("_body"), F.lit(False)).alias("request_required"),
-        F.min("_v")["_v"].alias("_path"), F.collect_list(F.when(F.size("_names") > 0, F.struct("_names", "n", F.col("_first").alias("first")))).alias("_headers"),
+        (F.sum("auth").cast("double") / F.sum("n")).alias("auth_rate"), F.coalesce(F.bool_and("bodies"), F.lit(False)).alias("request_required"),
+        F.min("versioned")["version"].alias("_path"), F.collect_list(F.when(F.size("names") > 0, F.struct(F.col("names").alias("_names"), "n", "first"))).alias("_headers"),
     )
     return out.withColumn("api_version", F.coalesce("_path", _commonest(F.col("_headers")))).drop("_path", "_headers")
 
 
+def endpoints(entries: DataFrame) -> DataFrame:
+    """One row an endpoint, by template and method: all in one shuffle, summed by version header first."""
+    return endpoints_of(endpoint_parts(entries))
+
+
 def _versions(headers: Column) -> Column:
     """The version headers' values of a call, stripped; blank ones say nothing."""
     named = F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]).isin(*VERSION_HEADERS))
@@ -66,38 +74,71 @@ def auth_rate(entries: DataFrame) -> DataFrame:
     return with_template(entries).groupBy(*KEY).agg(F.avg(_has_header(F.col("headers"), AUTH_HEADERS).cast("double")).alias("auth_rate"))
 
 
+def example_parts(entries: DataFrame) -> DataFrame:
+    """The first body of each status of an endpoint, with its place."""
+    keyed = with_template(entries).where("response_body is not null")
+    return keyed.groupBy(*KEY, "status").agg(F.min(F.struct("entry_seq", "response_body")).alias("example"))
+
+
+def examples_of(parts: DataFrame) -> DataFrame:
+    return parts.select(*KEY, "status", F.col("example.response_body").alias("example"))
+
+
 def examples(entries: DataFrame) -> DataFrame:
     """The first body of each status of an endpoint."""
-    keyed = with_template(entries).where("response_body is not null")
-    return keyed.groupBy(*KEY, "status").agg(F.min_by("response_body", "entry_seq").alias("example"))
+    return examples_of(example_parts(entries))
+
+
+def path_param_parts(entries: DataFrame) -> DataFrame:
+    """Path parameters by their place in the template, and what all their values are."""
+    each = with_template(entries).select(*KEY, F.posexplode("params").alias("place", "p"))
+    value = F.col("p.value")
+    return each.groupBy(*KEY, F.col("p.name").alias("name")).agg(F.min("place").alias("place"), F.bool_and(value.rlike(DIGITS)).alias("digits"), F.bool_and(value.rlike(UUID)).alias("uuids"))
 
 
-def id_type(value: Column) -> Column:
-    return F.when(F.bool_and(value.rlike(DIGITS)), "integer").when(F.bool_and(value.rlike(UUID)), "string/uuid").otherwise("string")
+def path_params_of(parts: DataFrame) -> DataFrame:
+    kind = F.when(F.col("digits"), "integer").when(F.col("uuids"), "string/uuid").otherwise("string")
+    return parts.select(*KEY, "name", "place", kind.alias("type"))
 
 
 def path_params(entries: DataFrame) -> DataFrame:
     """Path parameters by their place in the template; all are required."""
-    each = with_template(entries).select(*KEY, F.posexplode("params").alias("place", "p"))
-    return each.groupBy(*KEY, F.col("p.name").alias("name")).agg(F.min("place").alias("place"), id_type(F.col("p.value")).alias("type"))
+    return path_params_of(path_param_parts(entries))
+
 
+#: What all values of a query parameter may be, in order of preference.
+VALUE_TYPES = ["integer", "number", "boolean"]
 
-def value_type(value: Column) -> Column:
+
+def _is_value(value: Column, kind: str) -> Column:
+    if kind == "integer":
+        return value.rlike("^[+-]?[0-9]+$")
+    if kind == "boolean":
+        return F.lower(value).isin("true", "false")
     number = value.try_cast("double")
-    finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf")) & ~F.lower(value).rlike("[df]$")
-    return F.when(F.bool_and(value.rlike("^[+-]?[0-9]+$")), "integer").when(F.bool_and(F.coalesce(finite, F.lit(False))), "number").when(F.bool_and(F.lower(value).isin("true", "false")), "boolean").otherwise("string")
+    return F.coalesce(number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf")) & ~F.lower(value).rlike("[df]$"), F.lit(False))
 
 
-def query_params(entries: DataFrame) -> DataFrame:
-    """Query parameters: typed, and required, by the calls that succeeded where there are any."""
+def query_param_parts(entries: DataFrame) -> DataFrame:
+    """Per endpoint and parameter, of all calls (`all`) and of those that succeeded (`ok`): how many have it, and what all values are. The nameless row counts the calls themselves."""
     keyed = with_template(entries).withColumn("ok", is_success(F.col("status")))
-    calls = keyed.groupBy(*KEY).agg(F.count("*").alias("calls"), F.count_if("ok").alias("ok_calls"))
-    each = keyed.select(*KEY, "entry_seq", "ok", F.explode("query").alias("name", "value"))
-    every = each.groupBy(*KEY, "name").agg(F.min("entry_seq").alias("first"), value_type(F.col("value")).alias("t_all"), F.count("*").alias("n_all"))
-    good = each.where("ok").groupBy(*KEY, "name").agg(value_type(F.col("value")).alias("t_ok"), F.count("*").alias("n_ok"))
-    out = every.join(good, [*KEY, "name"], "left").join(calls, KEY)
-    required = F.when(F.col("ok_calls") > 0, F.coalesce("n_ok", F.lit(0)) == F.col("ok_calls")).otherwise(F.col("n_all") == F.col("calls"))
-    return out.select(*KEY, "name", F.coalesce("t_ok", "t_all").alias("type"), required.alias("required"), "first")
+    named = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("value"))), F.transform(F.map_entries("query"), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value"))))
+    each = keyed.select(*KEY, "entry_seq", "ok", F.explode(named).alias("p")).select(*KEY, "entry_seq", "ok", "p.*")
+    kinds = [F.bool_and(F.when(own, _is_value(F.col("value"), kind))).alias(f"{kind}_{tag}") for tag, own in (("all", F.lit(True)), ("ok", F.col("ok"))) for kind in VALUE_TYPES]
+    return each.groupBy(*KEY, "name").agg(F.min("entry_seq").alias("first"), F.count("*").alias("n_all"), F.count_if("ok").alias("n_ok"), *kinds)
+
+
+def query_params_of(parts: DataFrame) -> DataFrame:
+    """Query parameters: typed, and required, by the calls that succeeded where there are any."""
+    calls = parts.where("name is null").select(*KEY, F.col("n_all").alias("calls"), F.col("n_ok").alias("ok_calls"))
+    kind = lambda tag: F.coalesce(*[F.when(F.col(f"{k}_{tag}"), F.lit(k)) for k in VALUE_TYPES], F.lit("string"))
+    required = F.when(F.col("ok_calls") > 0, F.col("n_ok") == F.col("ok_calls")).otherwise(F.col("n_all") == F.col("calls"))
+    out = parts.where("name is not null").join(calls, KEY)
+    return out.select(*KEY, "name", F.when(F.col("n_ok") > 0, kind("ok")).otherwise(kind("all")).alias("type"), required.alias("required"), "first")
+
+
+def query_params(entries: DataFrame) -> DataFrame:
+    return query_params_of(query_param_parts(entries))
 
 
 def status_histogram(entries: DataFrame) -> DataFrame:
@@ -108,14 +149,18 @@ def status_histogram(entries: DataFrame) -> DataFrame:
 
 
 def key_sets(entries: DataFrame) -> DataFrame:
-    """By top-level keys (raw) of the bodies that are objects: how many of a scope's bodies have just these, by endpoint and scope."""
+    """By top-level keys (raw) of the bodies that are objects: how many of a scope's bodies have just these (n), by endpoint and scope."""
     keys = bodies(with_template(entries)).where(F.col("body").startswith("{")).select(*SCOPE, F.array_sort(F.json_object_keys("body")).alias("keys"))
-    return keys.groupBy(*SCOPE, "keys").agg(F.count("*").alias("n")).withColumn("total", F.sum("n").over(Window.partitionBy(*SCOPE)))
+    return keys.groupBy(*SCOPE, "keys").agg(F.count("*").alias("n"))
 
 
 def version_mix(entries: DataFrame, versioned: DataFrame | None = None) -> DataFrame:
+    return version_mix_of(key_sets(entries), versioned)
+
+
+def version_mix_of(sets: DataFrame, versioned: DataFrame | None = None) -> DataFrame:
     """Scopes whose bodies fall into disjoint groups of extra keys: clusters, the commonest first. Endpoints that name a version (api_version in `versioned`) have none."""
-    sets = key_sets(entries)
+    sets = sets.withColumn("total", F.sum("n").over(Window.partitionBy(*SCOPE)))  # a row a set of keys
     if versioned is not None:
         sets = sets.join(versioned.where("api_version is not null").select(*KEY), KEY, "left_anti")
     each = sets.select(*SCOPE, F.explode("keys").alias("k"), "n", "total").groupBy(*SCOPE, "k").agg(F.sum("n").alias("with"), F.first("total").alias("total"))

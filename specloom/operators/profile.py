@@ -1,6 +1,8 @@
 """Evidence for every field: presence, nulls, types, formats, enums, ranges and spellings.
 
-All statistics are sums, minima and conjunctions (they merge); the decisions are projections of them.
+All statistics are sums, minima and conjunctions: `*_parts` gathers them from observations, parts of
+several batches merge (`plans/partial.py`), and the decisions are projections of them, so a contract
+of merged parts is the contract of all observations.
 """
 
 from __future__ import annotations
@@ -37,31 +39,31 @@ def matches_format(text: Column, name: str) -> Column:
     return fits & text.rlike(CLOCK) if name == "date-time" else fits
 
 
-def format_of(text: Column) -> Column:
-    """The first format that all of a group's texts have."""
-    found = F.lit(None).cast("string")
-    for name in reversed(FORMATS):
-        found = F.when(F.bool_and(matches_format(text, name)), F.lit(name)).otherwise(found)
-    return found
-
-
 def add_ambiguity(*kinds: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(*kinds)))
 
 
-def presence(observed: DataFrame) -> DataFrame:
-    """Per field: n (objects that could have it), present, nulls, and counts by type; the base of all decisions."""
-    by = [*SCOPE, "parent", "path"]
-    fields = observed.groupBy(*by).agg(
+def field_parts(observed: DataFrame) -> DataFrame:
+    """Per field: seen, nulls, counts by type, and the range of its integers."""
+    return observed.groupBy(*SCOPE, "parent", "path").agg(
         F.count("*").alias("seen"), F.count_if(F.col("type") == "null").alias("nulls"), *[F.count_if(F.col("type") == t).alias(f"n_{t}") for t in TYPES],
         F.min("int_value").alias("lo"), F.max("int_value").alias("hi"),
     )
+
+
+def presence_of(fields: DataFrame) -> DataFrame:
+    """Per field, with n (objects that could have it) and present."""
     objects = fields.select(*SCOPE, F.col("path").alias("parent"), F.col("n_object").alias("_n"))
     out = fields.join(objects, [*SCOPE, "parent"], "left")
     item = F.col("path").endswith("[]") | (F.col("path") == "")
     return out.withColumn("n", F.when(item, F.col("seen")).otherwise(F.col("_n"))).withColumn("present", F.least("seen", "n")).drop("_n")
 
 
+def presence(observed: DataFrame) -> DataFrame:
+    """Per field: n, present, nulls, and counts by type; the base of all decisions."""
+    return presence_of(field_parts(observed))
+
+
 def decide(fields: DataFrame) -> DataFrame:
     """Presence, nullability, types, conflicts and ranges of each field."""
     share = F.col("present").cast("double") / F.col("n")
@@ -89,34 +91,62 @@ def decide(fields: DataFrame) -> DataFrame:
     )
 
 
-def strings(observed: DataFrame) -> DataFrame:
-    """Per field with texts: their format, or the enum they look like. Only fields with few distinct texts are gathered."""
+def text_parts(observed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per field with texts: how many, what all of them are (`is_<format>`, plain), and whether their values are too `many` to be told; and the values (text, n) of fields that may be an enum."""
     by = [*SCOPE, "path"]
     distinct = observed.where("type = 'string'").groupBy(*by, "text").agg(F.count("*").alias("n"))
     plain = (F.col("text") != "") & ~F.col("text").contains(" ") & (F.length("text") <= ENUM_LENGTH)
-    stats = distinct.groupBy(*by).agg(F.sum("n").alias("texts"), F.count("*").alias("distinct_texts"), F.bool_and(plain).alias("_plain"), format_of(F.col("text")).alias("format"))
+    fits = [F.bool_and(matches_format(F.col("text"), name)).alias(f"is_{name}") for name in FORMATS]
+    stats = distinct.groupBy(*by).agg(F.sum("n").alias("texts"), F.bool_and(plain).alias("plain"), (F.count("*") > ENUM_VALUES).alias("many"), *fits)
+    return stats, few_values(stats, distinct)
+
+
+def few_values(stats: DataFrame, values: DataFrame) -> DataFrame:
+    """The values (text, n) of the fields that may be an enum."""
+    return values.join(stats.where("plain and not many").select(*SCOPE, "path"), [*SCOPE, "path"], "left_semi")
+
+
+def strings_of(stats: DataFrame, values: DataFrame) -> DataFrame:
+    """Per field with texts: their format (the first that all have), or the enum they look like."""
+    by = [*SCOPE, "path"]
+    few = values.groupBy(*by).agg(F.array_sort(F.collect_list("text")).alias("enum"))  # at most `ENUM_VALUES` a field
     name = F.regexp_extract(F.regexp_replace("path", "(\\[\\])+$", ""), "([^.]*)$", 1)
-    is_enum = F.col("format").isNull() & ~name.isin(*FREE_TEXT) & F.col("_plain") & (F.col("texts") >= ENUM_SAMPLES) & (F.col("distinct_texts") <= ENUM_VALUES) & (F.col("texts").cast("double") / F.col("distinct_texts") >= ENUM_REPEAT)
-    stats = stats.withColumn("_enum", is_enum).drop("_plain")
-    few = distinct.join(stats.where("_enum").select(*by), by, "left_semi").groupBy(*by).agg(F.array_sort(F.collect_list("text")).alias("enum"))
+    form = F.coalesce(*[F.when(F.col(f"`is_{name}`"), F.lit(name)) for name in FORMATS])
+    is_enum = F.col("format").isNull() & ~name.isin(*FREE_TEXT) & (F.col("texts") >= ENUM_SAMPLES) & (F.col("texts").cast("double") / F.size("enum") >= ENUM_REPEAT)
     confidence = F.round(F.least(F.lit(1.0), F.col("texts").cast("double") / F.lit(3.0 * ENUM_CONFIDENT)), 2)
-    return stats.join(few, by, "left").withColumn("enum_confidence", F.when(F.col("_enum"), confidence)).drop("_enum")
+    out = stats.join(few, by, "left").withColumn("format", form).withColumn("_enum", F.coalesce(is_enum, F.lit(False)))
+    return out.select(*by, "format", F.when(F.col("_enum"), F.col("enum")).alias("enum"), F.when(F.col("_enum"), confidence).alias("enum_confidence"))
 
 
-def aliases(observed: DataFrame) -> DataFrame:
-    """Fields with more than one spelling: spellings by count, and whether a lesser one is common."""
+def strings(observed: DataFrame) -> DataFrame:
+    return strings_of(*text_parts(observed))
+
+
+def spelling_parts(observed: DataFrame) -> DataFrame:
+    return observed.where("raw_key is not null").groupBy(*SCOPE, "path", "raw_key").agg(F.count("*").alias("n"))
+
+
+def aliases_of(each: DataFrame) -> DataFrame:
+    """Fields with more than one spelling (path, raw_key, n): spellings by count, and whether a lesser one is common."""
     by = [*SCOPE, "path"]
-    each = observed.where("raw_key is not null").groupBy(*by, "raw_key").agg(F.count("*").alias("n"))
     found = each.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("minus"), "raw_key"))).alias("s"), F.sum("n").alias("total"), F.max("n").alias("most")).where(F.size("s") > 1)
     mixed = (F.col("total") - F.col("most")).cast("double") / F.col("total") > MINORITY_SPELLING
     return found.select(*by, F.transform("s", lambda x: x["raw_key"]).alias("aliases"), F.when(mixed, "inconsistent_casing").alias("_casing"))
 
 
-def field_profile(observed: DataFrame) -> DataFrame:
+def aliases(observed: DataFrame) -> DataFrame:
+    return aliases_of(spelling_parts(observed))
+
+
+def profile_of(fields: DataFrame, texts: DataFrame, values: DataFrame, spellings: DataFrame) -> DataFrame:
     """Every field of every scope with all its decisions."""
     by = [*SCOPE, "path"]
-    out = decide(presence(observed)).join(strings(observed), by, "left").join(aliases(observed), by, "left")
-    texts = F.size("types") == 1
+    out = decide(presence_of(fields)).join(strings_of(texts, values), by, "left").join(aliases_of(spellings), by, "left")
+    text = (F.size("types") == 1) & (F.get("types", F.lit(0)) == "string")
     for c in ("format", "enum", "enum_confidence"):
-        out = out.withColumn(c, F.when(texts & (F.element_at("types", 1) == "string"), F.col(c)))
-    return out.withColumn("ambiguity", F.array_distinct(F.array_compact(F.concat("ambiguity", F.array("_casing"))))).drop("_casing", "texts", "distinct_texts")
+        out = out.withColumn(c, F.when(text, F.col(c)))
+    return out.withColumn("ambiguity", F.array_distinct(F.array_compact(F.concat("ambiguity", F.array("_casing"))))).drop("_casing")
+
+
+def field_profile(observed: DataFrame) -> DataFrame:
+    return profile_of(field_parts(observed), *text_parts(observed), spelling_parts(observed))
