@@ -10,16 +10,17 @@ from pyspark.sql import DataFrame
 from ..operators import endpoints as E
 from ..operators import errors, quality
 from ..operators.observe import bodies, observe, with_template
-from ..operators.profile import field_profile
+from ..operators.profile import profile_of
 from . import render
+from .partial import Parts, parts_of
 
 
 @dataclass
 class Contract:
-    """The tables of a contract, as lazy DataFrames over the accepted entries."""
+    """The tables of a contract, as lazy DataFrames over the accepted entries, or over merged parts (then without entries)."""
 
-    entries: DataFrame
-    observed: DataFrame
+    entries: DataFrame | None
+    observed: DataFrame | None
     endpoints: DataFrame
     profile: DataFrame
     path_params: DataFrame
@@ -37,8 +38,9 @@ class Contract:
 
     def release(self) -> None:
         """Gives back what the build keeps."""
-        self.observed.unpersist()
-        self.entries.unpersist()
+        for kept in (self.observed, self.entries):
+            if kept is not None:
+                kept.unpersist()
 
     def quality(self) -> DataFrame:
         return quality.endpoint_confidence(self.endpoints, self.profile, self.mixes)
@@ -48,9 +50,15 @@ class Contract:
         return render.build_spec(rows(self.endpoints), rows(self.profile), rows(self.path_params), rows(self.query_params), rows(self.inferred), rows(self.examples), title)
 
 
+def contract_of(parts: Parts, entries: DataFrame | None = None, observed: DataFrame | None = None, inferred: DataFrame | None = None) -> Contract:
+    """The contract that parts add up to."""
+    found = E.endpoints_of(parts.endpoints)
+    profile = profile_of(parts.fields, parts.texts, parts.values, parts.spellings)
+    return Contract(entries, observed, found, profile, E.path_params_of(parts.path_params), E.query_params_of(parts.query_params), E.examples_of(parts.examples), E.version_mix_of(parts.key_sets, found), inferred)
+
+
 def build(entries: DataFrame, infer_errors: bool = False, depth: int | None = None) -> Contract:
     keyed = with_template(entries).persist(StorageLevel.MEMORY_AND_DISK)  # read by every table; release() gives it back
     observed = observe(bodies(keyed), depth).persist(StorageLevel.MEMORY_AND_DISK)
-    found = E.endpoints(keyed)
     inferred = errors.inferred_responses(keyed, observed) if infer_errors else None
-    return Contract(keyed, observed, found, field_profile(observed), E.path_params(keyed), E.query_params(keyed), E.examples(keyed), E.version_mix(keyed, found), inferred)
+    return contract_of(parts_of(keyed, observed), keyed, observed, inferred)

@@ -18,6 +18,7 @@ from ..sources.logs import parse_lines, skip_tally
 from ..sources.spread import spread
 from ..streaming import tracker
 from . import documents as D
+from . import partial
 from .adapter import LOGS_SQL, entries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -442,6 +443,21 @@ def document_statuses(spark, sf_dir):
     return D.statuses(ops).groupBy("template").agg(F.count("*").alias("documents")).join(named, "template").select(F.substring("template", 4, 100).alias("template"), "documents", "params")
 
 
+_THIRDS = """, z AS (SELECT max(entry_seq) AS z FROM logs), s AS (SELECT method, template, scope, path, count(*) FILTER (jt = 'VARCHAR') AS texts, count(DISTINCT txt) FILTER (jt = 'VARCHAR') AS d, list_sort(list(DISTINCT txt) FILTER (jt = 'VARCHAR')) AS vs, min(CASE WHEN jt LIKE '%BIGINT' THEN CAST(txt AS BIGINT) END) AS lo, max(CASE WHEN jt LIKE '%BIGINT' THEN CAST(txt AS BIGINT) END) AS hi, count(*) AS seen, count(*) FILTER (jt = 'NULL') AS nulls FROM obs GROUP BY ALL)
+ SELECT method, template, scope, path, seen, nulls, lo, hi, texts, CASE WHEN texts > 0 THEN d > 8 END AS many, CASE WHEN d <= 8 AND texts > 0 THEN array_to_string(vs, ',') END AS vals FROM s"""
+
+
+@query(_OBS + _THIRDS)
+def merged_parts(spark, sf_dir):
+    """The log in three pieces of uneven size: what their parts merge to."""
+    log, third = with_template(entries(spark, sf_dir)), F.col("entry_seq") % 7
+    pieces = [log.where(third < 1), log.where((third >= 1) & (third < 3)), log.where(third >= 3)]
+    out = partial.merge([partial.parts_of(p, observe(bodies(p), DEPTH).persist(StorageLevel.MEMORY_AND_DISK)) for p in pieces])
+    few = out.values.groupBy(*SCOPE, "path").agg(F.array_join(F.array_sort(F.collect_list("text")), ",").alias("vals"))
+    rows = out.fields.where("path <> ''").join(out.texts, [*SCOPE, "path"], "left").join(few, [*SCOPE, "path"], "left")
+    return rows.select(*SCOPE, "path", "seen", "nulls", "lo", "hi", F.coalesce("texts", F.lit(0).cast("long")).alias("texts"), "many", "vals")
+
+
 @query(_OBS + """, c AS (SELECT method, template, CAST(status AS VARCHAR) AS scope, entry_seq, entry_seq // 1000 AS batch FROM logs), n AS (SELECT method, template, scope, batch, sum(k) OVER (PARTITION BY method, template, scope ORDER BY batch) AS n FROM (SELECT method, template, scope, batch, count(*) AS k FROM c GROUP BY ALL)),
  p AS (SELECT method, template, scope, path, batch, sum(k) OVER (PARTITION BY method, template, scope, path ORDER BY batch) AS present FROM (SELECT method, template, scope, path, batch, count(*) AS k FROM obs JOIN c USING (method, template, scope, entry_seq) WHERE parent = '' AND scope <> 'request' GROUP BY ALL))
  SELECT DISTINCT method, template, scope, path FROM p JOIN n USING (method, template, scope, batch) WHERE n >= 10 AND present::DOUBLE / n >= 0.98""")
