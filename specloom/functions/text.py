@@ -38,3 +38,8 @@ def mask_header(name: Column, value: Column) -> Column:
     """A header's value with its secret taken out; a bearer scheme stays readable."""
     secret = F.lower(name).isin("authorization", "x-api-key", "cookie")
     return F.when(secret, F.when(F.lower(value).startswith("bearer "), F.lit("Bearer <redacted>")).otherwise(F.lit("<redacted>"))).otherwise(value)
+
+
+def quoted(text: Column) -> Column:
+    """A text as JSON."""
+    return F.regexp_extract(F.to_json(F.array(text)), "(?s)^.(.*).$", 1)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import quoted
 from .endpoints import endpoints
-from .observe import KEY, bodies, is_success, observe, with_template
+from .observe import KEY, SCOPE, bodies, is_success, observe, with_template
+from .profile import field_profile
 
 # What counts as evidence.
 AUTH_SHARE = 0.5
@@ -82,6 +84,45 @@ def inferred_responses(entries: DataFrame, observed: DataFrame | None = None) ->
     return each.withColumn("_k", first).where("_k = 1").select(*KEY, F.col("o.status").alias("status"), F.col("o.evidence").alias("evidence"), F.col("o.confidence").alias("confidence"))
 
 
+# The envelope of APIs that never showed one (RFC 9457), and the fields that hold a message.
+PROBLEM_DETAILS = [("detail", "string", False), ("status", "integer", True), ("title", "string", True), ("type", "string", False)]
+MESSAGE_FIELDS = ["message", "detail", "title"]
+
+
+def envelope_profile(observed: DataFrame) -> DataFrame:
+    """The profile of all error bodies of the API as one scope (`error`); of problem details where there are none."""
+    spark, one = observed.sparkSession, {"method": F.lit("*"), "template": F.lit("*"), "scope": F.lit("error")}
+    errors = observed.where(F.col("scope") != "request").where(F.col("scope").cast("int") >= 400).withColumns(one)
+    found = field_profile(errors)
+    rows = [("*", "*", "error", None, "", ["object"], False)] + [("*", "*", "error", "", name, [kind], needed) for name, kind, needed in PROBLEM_DETAILS]
+    known = spark.createDataFrame(rows, "method string, template string, scope string, parent string, path string, types array<string>, required boolean")
+    none = known.join(found.select(*SCOPE).distinct(), SCOPE, "left_anti")
+    out = found.unionByName(none, allowMissingColumns=True)
+    return out.withColumns({"nullable": F.coalesce("nullable", F.lit(False)), "observed_types": F.coalesce("observed_types", "types"), "ambiguity": F.coalesce("ambiguity", F.array().cast("array<string>"))})
+
+
+def example_value(field: Column, message: Column) -> Column:
+    """A value (JSON) of an envelope's field (path, types, enum); null where nothing is known of it."""
+    only = lambda kind: (F.size(field["types"]) == 1) & F.array_contains(field["types"], kind)
+    said = field["path"].isin(*MESSAGE_FIELDS) & (F.array_contains(field["types"], "string") | (F.size(field["types"]) == 0))
+    text = F.coalesce(F.get(field["enum"], F.lit(0)), F.lit("error"))
+    return F.when(said, quoted(message)).when(only("integer"), "400").when(only("string"), quoted(text)).when(only("boolean"), "false").when(only("array"), "[]").when(only("object"), "{}")
+
+
+def error_examples(inferred: DataFrame, envelope: DataFrame, mined: DataFrame) -> DataFrame:
+    """inferred with example (JSON): the envelope's fields, one by one, with a message that says what the evidence does.
+
+    mined: method, template, field that a rejected request lacked (`validation_evidence`); where there
+    is one, the body's rule says that it is required.
+    """
+    top = envelope.where("parent = '' and path <> '' and not endswith(path, '[]')").select("path", "types", "enum")
+    fields = top.agg(F.array_sort(F.collect_list(F.struct("path", "types", "enum"))).alias("_fields"))  # one row, of the envelope's size
+    lacking = F.when((F.col("evidence") == "request body") & F.col("field").isNotNull(), F.concat(F.lit("'"), F.col("field"), F.lit("' is required")))
+    rows = inferred.join(mined.select(*KEY, "field"), KEY, "left").crossJoin(F.broadcast(fields)).withColumn("_message", F.coalesce(lacking, F.col("evidence")))
+    members = F.transform("_fields", lambda f: F.concat(quoted(f["path"]), F.lit(":"), example_value(f, F.col("_message"))))
+    return rows.withColumn("example", F.concat(F.lit("{"), F.array_join(F.array_compact(members), ","), F.lit("}"))).drop("_fields", "_message", "field")
+
+
 def observed_status_rate(entries: DataFrame) -> DataFrame:
     """Share of each error status of an endpoint (for chaos in mocks)."""
     keyed = with_template(entries)

@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as T
-from ..operators import conform, diff, endpoints, errors, noise, quality, reads
+from ..operators import conform, diff, endpoints, errors, noise, quality, reads, resolve
 from ..operators.observe import SCOPE, bodies, observe, with_template
 from ..operators.profile import aliases, field_profile, presence, strings
 from ..sources import shop
 from ..sources.logs import parse_lines, skip_tally
 from ..sources.spread import spread
-from ..streaming import tracker
+from ..scratch import scratch
+from ..streaming import state, tracker
 from . import documents as D
-from . import partial
+from . import fold, partial
 from .adapter import LOGS_SQL, entries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -239,6 +240,29 @@ def error_rules(spark, sf_dir):
     return errors.inferred_responses(entries(spark, sf_dir), _observed(spark, sf_dir)).select("method", "template", "status", "confidence")
 
 
+@query(LOGS_SQL + """, e AS (SELECT method, template, bool_or(request_body IS NOT NULL) AS body, avg(CASE WHEN entry_seq % 4 <> 0 THEN 1.0 ELSE 0.0 END) AS auth, list(DISTINCT status) AS seen FROM logs GROUP BY ALL), m AS (SELECT template, count(DISTINCT method) AS methods FROM logs GROUP BY 1),
+ r AS (SELECT method, template, seen, unnest([CASE WHEN contains(template, '{') THEN 404 END, CASE WHEN body THEN 400 END, CASE WHEN auth >= 0.5 THEN 401 END, CASE WHEN auth >= 0.5 THEN 403 END, CASE WHEN methods > 1 THEN 405 END, 500]) AS status FROM e JOIN m USING (template))
+ SELECT method, template, CAST(status AS INTEGER) AS status, CASE status WHEN 404 THEN 'path parameter' WHEN 400 THEN chr(39) || 'k' || chr(39) || ' is required' WHEN 401 THEN 'authentication' WHEN 403 THEN 'authentication' WHEN 405 THEN 'other methods of the path' ELSE 'any server' END AS message, 400 AS code FROM r WHERE status IS NOT NULL AND NOT list_contains(seen, status)""")
+def error_examples(spark, sf_dir):
+    """An example for each inferred response, of the envelope that this log's failing calls show (message, code), the body's rule with what rejected requests lacked."""
+    log = with_template(entries(spark, sf_dir))
+    shown = F.when(F.col("status") >= 400, F.concat(F.lit('{"message":"m'), F.col("entry_seq").cast("string"), F.lit('","code":'), F.col("entry_seq").cast("string"), F.lit("}"))).otherwise(F.col("response_body"))
+    seen = observe(bodies(log.withColumn("response_body", shown)), DEPTH).persist(StorageLevel.MEMORY_AND_DISK)
+    refused = log.where("request_body is not null").withColumns({"status": F.lit(400), "request_body": F.lit('{"other":1}')})
+    mined = errors.validation_evidence(refused, field_profile(seen))
+    out = errors.error_examples(errors.inferred_responses(log, seen), errors.envelope_profile(seen), mined)
+    return out.select("method", "template", "status", F.get_json_object("example", "$.message").alias("message"), F.get_json_object("example", "$.code").cast("int").alias("code"))
+
+
+@query(LOGS_SQL + """, t(template, pattern, rank) AS (VALUES ('/users/7', '/users/7', 0), ('/users/{id}', '/users/[^/]+', 2), ('/{kind}/{id}', '/[^/]+/[^/]+', 5), ('/{kind}', '/[^/]+', 2), ('/users/{userId}/events/{eventId}', '/users/[^/]+/events/[^/]+', 3), ('/users/{userId}/{what}/1{rest}', '/users/[^/]+/[^/]+/1[^/]+', 4), ('/orders', '/orders', 0))
+ SELECT entry_seq, (SELECT arg_min(template, rank) FROM t WHERE regexp_full_match(path, pattern)) AS template FROM logs""")
+def template_resolver(spark, sf_dir):
+    """Every call's path met with its most literal template of a mock's document."""
+    named = ["/users/7", "/users/{id}", "/{kind}/{id}", "/{kind}", "/users/{userId}/events/{eventId}", "/users/{userId}/{what}/1{rest}", "/orders"]
+    known = spark.createDataFrame([(t,) for t in named], "template string")
+    return resolve.resolve(entries(spark, sf_dir).select("entry_seq", "path"), known).select("entry_seq", "template")
+
+
 @query(LOGS_SQL + ", t AS (SELECT method, template, count(*) AS total FROM logs GROUP BY ALL) SELECT method, template, status, round(count(*)::DOUBLE / any_value(total), 6) AS rate FROM logs JOIN t USING (method, template) WHERE status >= 400 GROUP BY method, template, status")
 def observed_status_rate(spark, sf_dir):
     return errors.observed_status_rate(entries(spark, sf_dir)).withColumn("rate", F.round("rate", 6))
@@ -327,6 +351,49 @@ def missing_streaks(spark, sf_dir):
     return out.select("method", "template", "scope", "path", F.col("first_seen").cast("long"), "present", "missing_streak", F.col("missing_since").cast("long"))
 
 
+@query(_OBS + """, c AS (SELECT method, template, CAST(status AS VARCHAR) AS scope, entry_seq FROM logs UNION ALL SELECT method, template, 'request', entry_seq FROM logs WHERE request_body IS NOT NULL),
+ i AS (SELECT *, row_number() OVER (PARTITION BY method, template, scope ORDER BY entry_seq) - 1 AS idx FROM c),
+ f AS (SELECT method, template, scope, path, min(idx) AS first, max(idx) AS last, count(*) AS present FROM obs JOIN i USING (method, template, scope, entry_seq) GROUP BY ALL), t AS (SELECT method, template, scope, max(idx) AS n FROM i GROUP BY ALL)
+ SELECT method, template, scope, path, first, present, n - last AS streak, CASE WHEN n > last THEN last + 1 END AS since, first >= 10 AS is_new, present = n - first + 1 AS unbroken FROM f JOIN t USING (method, template, scope)""")
+def tracking_state(spark, sf_dir):
+    """The tracking state after two batches of uneven size: that of the whole log in one."""
+    log, own = with_template(entries(spark, sf_dir)), state.empty_state(spark)
+    for k, part in enumerate((log.where("entry_seq < 3000"), log.where("entry_seq >= 3000"))):
+        seen = observe(bodies(part), DEPTH).persist(StorageLevel.MEMORY_AND_DISK)
+        own = state.fold(own, part, seen).write(scratch(spark, f"state-{k}"))
+    return own.fields.select(*SCOPE, "path", "first", "present", "streak", "since", "is_new", "unbroken")
+
+
+_DRIFT = "CASE WHEN event_id < @HALF THEN concat('{\"id\":', event_id, ',\"name\":\"x\",\"gone\":1}') ELSE concat('{\"id\":', event_id, ',\"full_name\":\"x\",\"more\":true}') END"
+
+
+@query("""WITH h AS (SELECT max(event_id) // 2 AS half FROM events), e AS (SELECT event_type, count(*) FILTER (event_id < half) AS a, count(*) FILTER (event_id >= half) AS b FROM events, h GROUP BY 1)
+ SELECT kind, 'GET' AS method, '/t/' || event_type AS template, 'response.200.body.' || name AS location, breaking FROM e, (VALUES ('field_renamed', 'name', true), ('field_removed', 'gone', true), ('field_added', 'more', false)) v(kind, name, breaking) WHERE a >= 10 AND b >= 10""")
+def traffic_decisions(spark, sf_dir):
+    """Two batches, between which each endpoint renames a field, drops one and gets one: each told once, and no field that became optional on the way."""
+    raw = spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    half = raw.agg(F.max("event_id")).first()[0] // 2
+    log = with_template(raw.selectExpr("event_id AS entry_seq", "'GET' AS method", "concat('/t/', event_type) AS path", "200 AS status", "CAST(NULL AS STRING) AS request_body", f"{_DRIFT.replace('@HALF', str(half))} AS response_body"))
+    own, contracts, before = state.empty_state(spark), [], []
+    for k, part in enumerate((log.where(F.col("entry_seq") < half), log.where(F.col("entry_seq") >= half))):
+        seen = observe(bodies(part), 1).persist(StorageLevel.MEMORY_AND_DISK)
+        before.append(seen)
+        counted = state.fold(own, part, seen).write(scratch(spark, f"counted-{k}"))
+        home = scratch(spark, "profile")
+        field_profile(before[0] if not k else before[0].unionByName(seen)).write.parquet(home)
+        contracts.append(spark.read.parquet(home))
+        if not k:
+            own = state.mark(counted, counted.fields, contracts[0].where("required"), contracts[0]).write(scratch(spark, "marked"))
+    told = diff.diff_fields(*contracts, state.warm_scopes(counted))
+
+    def keep(df, name):
+        folder = scratch(spark, name)
+        df.write.parquet(folder)
+        return spark.read.schema(df.schema).parquet(folder)
+
+    return state.decide(counted, keep(told, "told"), contracts[1], diff.in_both(*contracts), keep).changes.select("kind", "method", "template", "location", "breaking")
+
+
 @query(f"""WITH b AS (SELECT row_number() OVER (ORDER BY event_id) AS i, CASE WHEN event_id < (SELECT quantile_cont(event_id, 0.5) FROM events) THEN 'name' ELSE 'full_name' END AS k FROM events),
  f AS (SELECT k, min(i) AS first, max(i) AS last, (SELECT max(i) FROM b) AS total FROM b GROUP BY k), q AS (SELECT x.k AS o, y.k AS n, x.total - x.last AS gone FROM f x JOIN f y ON x.last < x.total AND y.first > 10 AND abs(y.first - x.last - 1) <= 2)
  SELECT o AS old, n AS new, {_LIKE} AS likeness, gone >= 10 AS complete FROM q""")
@@ -367,15 +434,36 @@ def operation_ids(spark, sf_dir):
     return with_template(entries(spark, sf_dir)).select("method", "template").distinct().withColumn("operation_id", P.operation_id(F.col("method"), F.col("template")))
 
 
-@query()
-def rendered_spec(spark, sf_dir):
-    import json
+_KINDS = "CASE WHEN path = '' THEN 'object' WHEN ints > 0 AND texts > 0 AND greatest(ints, texts)::DOUBLE / (ints + texts) < 0.95 THEN 'integer,string' WHEN ints > texts THEN 'integer' WHEN texts > 0 THEN 'string' WHEN path = 'user' THEN 'object' ELSE '' END"
 
-    from .build import build
 
-    spec = build(entries(spark, sf_dir), infer_errors=True, depth=DEPTH).spec()
-    rows = [(path, method, json.dumps(op, sort_keys=True)) for path, item in spec["paths"].items() for method, op in item.items()]
-    return spark.createDataFrame(rows, "path string, method string, operation string")
+@query(_FIELDS + f" SELECT method, template, scope, path, {_KINDS} AS types, present::DOUBLE / n >= 0.98 AS required FROM fields UNION ALL SELECT method, template, CAST(status AS VARCHAR), '', 'object', false FROM logs GROUP BY ALL UNION ALL SELECT method, template, 'request', '', 'object', false FROM logs WHERE request_body IS NOT NULL GROUP BY ALL")
+def rendered_spec(spark, sf_dir):
+    """The log's contract folded into a document, and that document flattened again."""
+    ops = _folded(spark, sf_dir)
+    return D.fields(D.operations(fold.documents(ops))).select("method", "template", "scope", "path", F.array_join("types", ",").alias("types"), "required")
+
+
+def _folded(spark, sf_dir):
+    log = with_template(entries(spark, sf_dir)).withColumn("doc", F.lit("api"))
+    named = lambda df: df.withColumn("doc", F.lit("api"))
+    bodies_of = fold.schemas(named(field_profile(_observed(spark, sf_dir))))
+    params = endpoints.path_params(log).select("method", "template", "name", F.lit("path").alias("location"), "type", F.lit(True).alias("required"), F.col("place").cast("long").alias("place"))
+    return fold.operations(named(endpoints.endpoints(log)), bodies_of, named(params), named(endpoints.examples(log)))
+
+
+@query(LOGS_SQL + """, e AS (SELECT method, template, count(*) AS n, min(timestamp) AS f, avg(CASE WHEN entry_seq % 4 <> 0 THEN 1.0 ELSE 0.0 END) AS a, bool_or(request_body IS NOT NULL) AS b, string_agg(DISTINCT CAST(status AS VARCHAR), ',' ORDER BY CAST(status AS VARCHAR)) AS s FROM logs GROUP BY ALL)
+ SELECT method, template, lower(method) || '_' || replace(replace(regexp_replace(substr(template, 2), '\\{([a-zA-Z]+)\\}', 'by_\\1', 'g'), '/', '_'), '-', '_') AS operation_id, n AS samples, f AS first_seen, a >= 0.5 AS secured, b AS asks, s AS statuses,
+  coalesce(array_to_string(regexp_extract_all(template, '\\{([a-zA-Z]+)\\}', 1), ','), '') AS params FROM e""")
+def rendered_operations(spark, sf_dir):
+    """The operations of the folded document."""
+    ops = D.operations(fold.documents(_folded(spark, sf_dir)))
+    at = lambda path, kind="string": F.try_variant_get("op", path, kind)
+    names = F.transform(F.coalesce(at("$.parameters", "array<variant>"), F.array().cast("array<variant>")), lambda p: F.try_variant_get(p, "$.name", "string"))
+    return ops.select(
+        "method", "template", at("$.operationId").alias("operation_id"), at("$['x-sample-count']", "long").alias("samples"), at("$['x-first-seen']").alias("first_seen"), at("$.security", "variant").isNotNull().alias("secured"),
+        at("$.requestBody", "variant").isNotNull().alias("asks"), F.array_join(F.array_sort(F.map_keys(at("$.responses", "map<string,variant>"))), ",").alias("statuses"), F.array_join(names, ",").alias("params"),
+    )
 
 
 @query(LOGS_SQL + """ SELECT method, template, CAST(status AS VARCHAR) AS scope, entry_seq, 'cents' AS path, 'missing' AS problem, 1 AS count FROM logs WHERE entry_seq % 5 = 0

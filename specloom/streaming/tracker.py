@@ -1,7 +1,8 @@
-"""What traffic says about fields over time, by window functions over the order of entries.
+"""What traffic says about fields over time, by their places in the order of entries.
 
 For each tracked body (endpoint and scope) bodies are numbered in order; a field is absent from a
-body only if its parent is there. Streaks are gaps and islands of those numbers.
+body only if its parent is there. Numbers are counted by stretches of the order: a streak is the
+number of bodies with the parent less the parent's number where the field was last seen.
 """
 
 from __future__ import annotations
@@ -17,21 +18,66 @@ from ..operators.profile import REQUIRED_SHARE
 WARM_UP, REMOVAL_STREAK, REQUIRED_STREAK, RENAME_WINDOW = 10, 10, 10, 2
 
 
-def numbered(observed: DataFrame) -> DataFrame:
-    """Bodies of each scope in order: entry_seq and index from 1."""
-    roots = observed.where("path = ''").select(*SCOPE, "entry_seq").distinct()
-    return roots.withColumn("index", F.row_number().over(Window.partitionBy(*SCOPE).orderBy("entry_seq")))
+#: Places of an order (entry_seq) that are counted together: no task sorts a whole scope.
+STRETCH = 1 << 16
+
+
+def _stretch(seq: str | Column) -> Column:
+    return F.floor((F.col(seq) if isinstance(seq, str) else seq) / STRETCH).cast("long")
+
+
+def places(asked: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame:
+    """For each asked (by, seq), once: `upto`, how many of rows (by, entry_seq) with its key are at most seq, and `after`, the least entry_seq beyond it.
+
+    Rows are counted by stretches of their order; only the rows of an asked place's own stretch are met
+    one by one, so a key with most of the rows costs no more than its places.
+    """
+    each = rows.select(*by, "entry_seq", _stretch("entry_seq").alias("_s"))
+    counts = each.groupBy(*by, "_s").agg(F.count("*").alias("_n"), F.min("entry_seq").alias("_least"))
+    over = Window.partitionBy(*by).orderBy("_s")  # a row a stretch
+    counts = counts.select(*by, "_s", (F.sum("_n").over(over) - F.col("_n")).alias("_before"), F.lead("_least").over(over).alias("_next"))
+    asked = asked.select(*by, "seq", _stretch("seq").alias("_s")).distinct()
+    upto, soon = F.count_if(F.col("entry_seq") <= F.col("seq")), F.min(F.when(F.col("entry_seq") > F.col("seq"), F.col("entry_seq")))
+    met = asked.join(each, [*by, "_s"], "left").groupBy(*by, "_s", "seq").agg(upto.alias("_k"), soon.alias("_soon"))
+    found = met.join(counts, [*by, "_s"], "left")
+    return found.select(*by, "seq", (F.coalesce("_before", F.lit(0)) + F.col("_k")).cast("long").alias("upto"), F.coalesce("_soon", "_next").alias("after"))
+
+
+def _with_place(points: DataFrame, found: DataFrame, by: list[str], seq: str, **names: str) -> DataFrame:
+    """points with columns of their place: name=column of `places`."""
+    return points.join(found.select(*by, F.col("seq").alias(seq), *[F.col(c).alias(name) for name, c in names.items()]), [*by, seq], "left")
+
+
+def field_counts(observed: DataFrame, calls: DataFrame | None = None) -> DataFrame:
+    """Per path of each scope (the root included), counted in bodies of the scope from 0: first, present, streak and since.
+
+    streak: bodies with the parent after the last with the field; since: the first of them. always:
+    whether every body with the parent has the field; unbroken: whether all since the first have.
+    calls (SCOPE, entry_seq): calls_before counts those before the first body with the field.
+    """
+    rows = observed.groupBy(*SCOPE, "path", "parent", "entry_seq").agg(F.lit(1).alias("_"))  # once a body, however many items have it
+    out = rows.groupBy(*SCOPE, "path", "parent").agg(F.min("entry_seq").alias("_first"), F.max("entry_seq").alias("_last"), F.count("*").alias("present"))
+    near = [*SCOPE, "parent"]
+    ends = out.where("parent is not null").select(*near, F.explode(F.array("_first", "_last")).alias("seq"))
+    of_parent = places(ends, rows.select(*SCOPE, F.col("path").alias("parent"), "entry_seq"), near)
+    out = out.join(out.select(*SCOPE, F.col("path").alias("parent"), F.col("present").alias("_all")), near, "left")
+    out = _with_place(_with_place(out, of_parent, near, "_last", _upto="upto", _gone="after"), of_parent, near, "_first", _from="upto")
+    points = out.select(*SCOPE, F.explode(F.array_compact(F.array("_first", "_gone"))).alias("seq"))
+    of_body = places(points, rows.where("path = ''").select(*SCOPE, "entry_seq"), SCOPE)
+    out = _with_place(_with_place(out, of_body, SCOPE, "_first", first="upto"), of_body, SCOPE, "_gone", since="upto")
+    if calls is not None:
+        out = _with_place(out, places(out.select(*SCOPE, F.col("_first").alias("seq")), calls, SCOPE), SCOPE, "_first", _calls="upto")
+    streak = F.coalesce(F.col("_all") - F.col("_upto"), F.lit(0)).cast("long")
+    return out.select(
+        *SCOPE, "path", "parent", (F.col("first") - 1).alias("first"), "present", streak.alias("streak"), F.when(streak > 0, F.col("since") - 1).alias("since"),
+        (F.col("present") == F.col("_all")).alias("always"), (F.col("present") == F.col("_all") - F.col("_from") + 1).alias("unbroken"), *([(F.col("_calls") - 1).alias("calls_before")] if calls is not None else []),
+    )
 
 
 def field_states(observed: DataFrame) -> DataFrame:
-    """Per field: first_seen, present, missing_streak at the end and missing_since, counted in bodies that have its parent."""
-    index = numbered(observed)
-    bodies_of = observed.where("path <> ''").select(*SCOPE, "entry_seq", "path", "parent").distinct().join(index, [*SCOPE, "entry_seq"])
-    fields = bodies_of.groupBy(*SCOPE, "path", "parent").agg(F.min("index").alias("first_seen"), F.max("index").alias("last_seen"), F.count("*").alias("present"))
-    has_parent = observed.select(*SCOPE, "entry_seq", F.col("path").alias("parent")).distinct().join(index, [*SCOPE, "entry_seq"])
-    after = fields.join(has_parent, [*SCOPE, "parent"]).where(F.col("index") > F.col("last_seen"))
-    gone = after.groupBy(*SCOPE, "path").agg(F.count("*").alias("missing_streak"), F.min("index").alias("missing_since"))
-    return fields.join(gone, [*SCOPE, "path"], "left").select(*SCOPE, "path", "parent", "first_seen", "present", F.coalesce("missing_streak", F.lit(0)).cast("long").alias("missing_streak"), "missing_since")
+    """Per field: first_seen, present, missing_streak at the end and missing_since, counted from 1 in bodies of the scope; a body without the parent is no absence."""
+    found = field_counts(observed).where("path <> ''")
+    return found.select(*SCOPE, "path", "parent", (F.col("first") + 1).alias("first_seen"), "present", F.col("streak").alias("missing_streak"), (F.col("since") + 1).alias("missing_since"))
 
 
 def ever_required(observed: DataFrame, batch: Column) -> DataFrame:
@@ -50,10 +96,6 @@ def ever_required(observed: DataFrame, batch: Column) -> DataFrame:
     return at.where((F.col("_samples") >= WARM_UP) & (F.col("_have").cast("double") / F.col("_objects") >= REQUIRED_SHARE)).select(*SCOPE, "path").distinct()
 
 
-def warm_scopes(observed: DataFrame) -> DataFrame:
-    return numbered(observed).groupBy(*SCOPE).agg(F.count("*").alias("samples")).withColumn("warm", F.col("samples") >= WARM_UP)
-
-
 def warm_endpoints(entries: DataFrame) -> DataFrame:
     """method, template and scope (a status, 2xx, * for all) with `WARM_UP` calls or more."""
     status = F.col("status").cast("string")
