@@ -32,12 +32,13 @@ def resolve(paths: DataFrame, templates: DataFrame, by: list[str] = []) -> DataF
     own = templates.select(*by, "template").where("template is not null").distinct().withColumn("steps", _steps(F.col("template")))
     node = lambda k: F.array_join(F.transform(F.slice("steps", 1, k), lambda s: s["text"]), "/")
     at = own.select(*by, "steps", F.explode(F.sequence(F.lit(1), F.greatest(F.size("steps"), F.lit(1)))).alias("_k")).where("_k <= size(steps)")
-    step = F.element_at("steps", F.col("_k"))
+    step = F.get("steps", F.col("_k") - 1)
     edges = at.select(*by, (F.col("_k") - 1).alias("_level"), node(F.col("_k") - 1).alias("_node"), node(F.col("_k")).alias("_child"), step["kind"].alias("_kind"), step["text"].alias("_text"), step["pattern"].alias("_pattern")).distinct()
     ends = own.groupBy(*by, node(F.size("steps")).alias("_node"), F.size("steps").alias("_size")).agg(F.min("template").alias("_template"))
     deepest = own.agg(F.max(F.size("steps"))).first()[0] or 0  # joins, as many as the deepest template has segments
     asked = paths.select(*by, "path").where("path is not null").distinct().withColumn("_s", segments(F.col("path"))).where(F.size("_s") <= deepest)
-    there = asked.select(*by, "path", "_s", F.lit("").alias("_node"), F.lit("").alias("_rank"))
+    root = F.substring("path", 1, 0)  # the root's name, as a column: a constant would make the first join one without a key
+    there = asked.select(*by, "path", "_s", root.alias("_node"), F.lit("").alias("_rank"))
     found = None
     for level in range(deepest + 1):
         done = there.where(F.size("_s") == level).join(ends.where(F.col("_size") == level), [*by, "_node"]).select(*by, "path", "_rank", "_template")
