@@ -3,9 +3,8 @@
 Inputs of a word are an embedding of its hash and the embeddings of its character 4-grams (of
 bytes, with the white space around it as its borders). Two gated recurrent units read
 a window of words in both directions; attention weighs their states; a logistic unit scores the
-window. A text is scored in all windows of `WINDOW` words that begin every `STRIDE` words, so each
-word lies in four of them and every run of 19 words lies whole in one; its score is that of its
-worst window.
+window. A text is scored in all its overlapping windows of `WINDOW` words, one beginning at each
+word; its score is that of its worst window.
 
 Training is on the driver, on a bounded sample of labelled rows: at most `SAMPLE` documents of
 each label, those of the least hash of doc_id among the documents that are there, of at most
@@ -37,7 +36,7 @@ from .wordstream import WHITE, Words
 
 FOLD, HELD_OUT = 5, 0
 SAMPLE, SAMPLE_TEXT, SAMPLE_BYTES = 900, 1 << 17, 12 << 20
-WINDOW, STRIDE = 24, 6
+WINDOW = 10
 WORDS, GRAMS, EMBED, HIDDEN = 1 << 13, 1 << 14, 8, 8
 STEPS = (250, 150, 150)
 BATCH = 128
@@ -64,17 +63,17 @@ class Inputs:
         self.gram = gram[~WHITE[words.data]]
         self.word = ((words.hash >> np.uint64(33)) & np.uint64(WORDS - 1)).astype(np.int32)
         self.counts = n = words.counts
-        self.windows = np.maximum(1, -(-np.maximum(0, n - WINDOW) // STRIDE) + 1)
+        self.windows = np.maximum(1, n - WINDOW + 1)
         begin = np.cumsum(n) - n
         of = np.repeat(np.arange(len(n)), self.windows)
         k = np.arange(self.windows.sum()) - np.repeat(np.cumsum(self.windows) - self.windows, self.windows)
-        self.at = begin[of] + k * STRIDE
+        self.at = begin[of] + k
         self.end = np.minimum(begin[of] + n[of], self.at + WINDOW)
         self.of = of
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 * (1 + np.tanh(0.5 * x))
 
 
 class Network:
@@ -127,6 +126,23 @@ class Network:
         logit = pooled @ self.p["u"] + self.p["uc"][0]
         return (logit, (rows, real, states, saved, e, weight, pooled)) if keep else logit
 
+    def all_windows(self, projected: tuple[np.ndarray, np.ndarray], first: int, last: int) -> np.ndarray:
+        """Logits of the windows that begin at the words from first to last, each of `WINDOW` words: step by step for all, over slices that lie one word apart."""
+        h, n = HIDDEN, last - first
+        states = np.empty((WINDOW, n, 2 * h), np.float32)
+        for d, order, part in (("f", range(WINDOW), slice(0, h)), ("b", range(WINDOW - 1, -1, -1), slice(h, 2 * h))):
+            w, s, own = self.p[f"h{d}"], np.zeros((n, h), np.float32), projected["fb".index(d)]
+            for t in order:
+                g = own[first + t : last + t]
+                r = s @ w
+                zr = _sigmoid(g[:, : 2 * h] + r[:, : 2 * h])
+                s = s + zr[:, :h] * (np.tanh(g[:, 2 * h :] + zr[:, h:] * r[:, 2 * h :]) - s)
+                states[t, :, part] = s
+        weight = np.tanh(states @ self.p["a"] + self.p["ac"]) @ self.p["v"]
+        weight = np.exp(weight - weight.max(axis=0))
+        weight /= weight.sum(axis=0)
+        return (states * weight[:, :, None]).sum(axis=0) @ self.p["u"] + self.p["uc"][0]
+
     def project(self, embedded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return tuple(embedded @ self.p[f"x{d}"] + self.p[f"c{d}"] for d in "fb")
 
@@ -134,7 +150,14 @@ class Network:
         """Logits of texts, or of all windows with the texts that they are of."""
         x = Inputs(texts)
         projected = self.project(self.embed(x))
-        logit = np.concatenate([self.windows(projected, x.at[k : k + 2048], x.end[k : k + 2048]) for k in range(0, len(x.at), 2048)])
+        end = len(x.word) - WINDOW + 1
+        every = [self.all_windows(projected, k, min(k + 2048, end)) for k in range(0, end, 2048)]
+        every = np.concatenate([*every, np.zeros(len(x.word) + 1 - max(0, end), np.float32)])  # by their first words; those across texts are of none
+        logit = every[x.at]
+        short = np.flatnonzero(x.end - x.at < WINDOW)
+        for k in range(0, len(short), 2048):
+            own = short[k : k + 2048]
+            logit[own] = self.windows(projected, x.at[own], x.end[own])
         return (logit, x) if by_window else np.maximum.reduceat(logit, np.cumsum(x.windows) - x.windows)
 
     def gradients(self, x: Inputs, pick: np.ndarray, y: np.ndarray, importance: np.ndarray) -> tuple[dict, float]:

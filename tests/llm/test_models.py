@@ -174,7 +174,7 @@ def plain_score(net, text):
         grams = x.gram[x.first[w] : x.first[w] + x.size[w]]
         inputs.append(np.concatenate([p["word"][x.word[w]], sum((p["gram"][g] for g in grams), np.zeros(toxicity.EMBED)) / math.sqrt(x.size[w])]))
     h, best = toxicity.HIDDEN, -math.inf
-    for at in range(0, max(1, len(inputs)), toxicity.STRIDE):
+    for at in range(max(1, len(inputs) - toxicity.WINDOW + 1)):
         own = inputs[at : at + toxicity.WINDOW]
         both = []
         for d, order in (("f", own), ("b", own[::-1])):
