@@ -28,11 +28,16 @@ def main(argv: list[str] | None = None) -> int:
     three = sub.add_parser("score")
     three.add_argument("clean")
     three.add_argument("noisy")
+    three.add_argument("--holdout", help="a log whose statuses are the truth")
+    three.add_argument("--json", action="store_true", help="one JSON object instead of a table")
+    three.add_argument("-v", "--verbose", action="store_true", help="also tell how many lines were skipped, and why")
     four = sub.add_parser("noise")
     four.add_argument("log")
     four.add_argument("-o", "--output", required=True)
     four.add_argument("--seed", type=int, default=0)
     four.add_argument("--rate", type=float, default=noise.RATE)
+    for kind in noise.KINDS:
+        four.add_argument(f"--{kind.replace('_', '-')}-rate", type=float, help=f"of {kind}; --rate if not given")
     five = sub.add_parser("watch")
     five.add_argument("folder")
     five.add_argument("-o", "--output", default="openapi.json")
@@ -59,14 +64,24 @@ def main(argv: list[str] | None = None) -> int:
             print(json.dumps(row.asDict()))
         return 0
     if args.command == "score":
-        a, b = (build(accepted(read(p))).profile for p in (args.clean, args.noisy))
-        print(json.dumps(quality.scorecard(a, b).first().asDict()))
-        return 0
+        from .plans import score
+
+        logs = {name: read(path) for name, path in (("clean", args.clean), ("noisy", args.noisy), ("holdout", args.holdout)) if path}
+        found = score.run(*(accepted(log) for log in logs.values()))
+        if args.verbose:
+            found["skipped"] = {name: {r["skip_reason"]: r["count"] for r in skip_tally(log).collect()} for name, log in logs.items()}
+        if args.json:
+            print(json.dumps(found))
+        else:
+            for name, value in found.items():
+                for label, one in value.items() if isinstance(value, dict) else [("", value)]:
+                    print(f"{name + (f'.{label}' if label else ''):40} {one}")
+        return found["crash_count"]
     if args.command == "noise":
         from pyspark.sql import functions as F
 
         lines = spark.read.text(args.log).select(F.monotonically_increasing_id().alias("entry_seq"), "value")
-        noise.mutate_lines(lines, args.seed, dict.fromkeys(noise.KINDS, args.rate)).orderBy("entry_seq").select("value").write.mode("overwrite").text(args.output)
+        noise.mutate_lines(lines, args.seed, {k: args.rate if (own := getattr(args, f"{k}_rate")) is None else own for k in noise.KINDS}).orderBy("entry_seq").select("value").write.mode("overwrite").text(args.output)
         return 0
     from .streaming.watch import watch
 

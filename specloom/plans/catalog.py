@@ -18,8 +18,9 @@ from ..sources.logs import parse_lines, skip_tally
 from ..sources.spread import spread
 from ..scratch import scratch
 from ..streaming import state, tracker
+from ..streaming.watch import recent_changes
 from . import documents as D
-from . import fold, partial
+from . import fold, partial, score
 from .adapter import LOGS_SQL, entries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -423,10 +424,10 @@ def unknown_ids(spark, sf_dir):
     return log.where("template = '/orders/{id}'").select(F.explode("params").alias("p")).select(F.col("p.value").alias("id")).distinct().join(known, "id", "left_anti")
 
 
-@query(_FIELDS + " SELECT method, template, scope, path, n - present AS lacking FROM fields WHERE present < n AND path NOT LIKE '%.%' AND scope <> 'request'")
+@query(_FIELDS + " SELECT method, template, scope, path, n - present AS lacking FROM fields WHERE present < n")
 def conformance(spark, sf_dir):
     """How many bodies lack each field that others of their scope have."""
-    return presence(_observed(spark, sf_dir)).where("present < n and path <> '' and instr(path, '.') = 0 and scope <> 'request'").select("method", "template", "scope", "path", (F.col("n") - F.col("present")).alias("lacking"))
+    return presence(_observed(spark, sf_dir)).where("present < n and path <> ''").select("method", "template", "scope", "path", (F.col("n") - F.col("present")).alias("lacking"))
 
 
 @query(LOGS_SQL + " SELECT DISTINCT method, template, lower(method) || '_' || replace(replace(regexp_replace(substr(template, 2), '\\{([a-zA-Z]+)\\}', 'by_\\1', 'g'), '/', '_'), '-', '_') AS operation_id FROM logs")
@@ -573,7 +574,52 @@ def log_tail(spark, sf_dir):
     return reads.tail_of(lines, "seq", 10_000).select("seq")
 
 
-@query("WITH n AS (SELECT i, (i * 7919 + 13) % 100 AS r FROM range(0, 20000) t(i)) SELECT CASE WHEN r < 3 THEN 500 WHEN r < 9 THEN 400 WHEN r < 17 THEN 404 WHEN r % 4 = 0 THEN 201 ELSE 200 END AS status, count(*) AS n FROM n GROUP BY 1")
+@query("WITH n AS (SELECT o_orderkey AS i, (o_orderkey * 7919 + 13) % 100 AS r FROM orders) SELECT CASE WHEN r < 3 THEN 500 WHEN r < 9 THEN 400 WHEN r < 17 THEN 404 WHEN r % 4 = 0 THEN 201 ELSE 200 END AS status, count(*) AS n FROM n GROUP BY 1")
 def shop_statuses(spark, sf_dir):
-    """What the synthetic shop answers, parsed from its own lines."""
-    return parse_lines(shop.lines(spark, 20_000)).groupBy("status").agg(F.count("*").alias("n"))
+    """What the synthetic shop answers to a call for each order, parsed from its own lines."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"))
+    return parse_lines(shop.lines_of(orders)).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(LOGS_SQL + """, k AS (SELECT DISTINCT method, template, status FROM logs WHERE entry_seq % 3 <> 0 AND entry_seq % 11 <> 1 AND NOT (template = '/orders/{id}' AND status = 500)), h AS (SELECT DISTINCT method, template, status FROM logs),
+ ends AS (SELECT DISTINCT method, template FROM k), t AS (SELECT h.*, EXISTS (SELECT 1 FROM k WHERE k.method = h.method AND k.template = h.template AND k.status = h.status) AS hit, EXISTS (SELECT 1 FROM ends WHERE ends.method = h.method AND ends.template = h.template) AND h.status = 500 AS guess FROM h)
+ SELECT 'observed' AS responses, count(*) FILTER (hit) AS covered, count(*) AS total, round(count(*) FILTER (hit)::DOUBLE / count(*), 4) AS coverage FROM t UNION ALL SELECT 'inferred', count(*) FILTER (hit OR guess), count(*), round(count(*) FILTER (hit OR guess)::DOUBLE / count(*), 4) FROM t""")
+def status_coverage(spark, sf_dir):
+    """Which statuses of the whole log a log without a third of the calls and without an endpoint's failures knows of, by itself and with inferred responses."""
+    log = with_template(entries(spark, sf_dir))
+    part = log.where("entry_seq % 3 <> 0 and entry_seq % 11 <> 1 and not (template = '/orders/{id}' and status = 500)")
+    return score.coverage(part, log, observe(bodies(part), DEPTH).persist(StorageLevel.MEMORY_AND_DISK))
+
+
+@query("SELECT event_id AS seq, ts AS detected_at FROM events WHERE event_id % 2 = 0 ORDER BY ts DESC, event_id LIMIT 20")
+def breaking_feed(spark, sf_dir):
+    """A top-k report: the newest breaking changes."""
+    changes = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").alias("detected_at"), (F.col("event_id") % 2 == 0).alias("breaking"), F.lpad(F.col("event_id").cast("string"), 20, "0").alias("template"), F.lit("GET").alias("method"), F.lit("").alias("location"))
+    return recent_changes(changes, 20, breaking_only=True).select(F.col("event_id").alias("seq"), "detected_at")
+
+
+@query("""WITH b AS (SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) AS burst, bool_or(event_type = 'error' AND event_id % 50 = 0) AS breaking, count(*) AS changes, max(ts) AS last FROM events GROUP BY 1), m AS (SELECT *, 1 + sum(CAST(breaking AS INT)) OVER (ORDER BY burst) AS major FROM b),
+ v AS (SELECT *, row_number() OVER (PARTITION BY major ORDER BY burst) - CASE WHEN major > 1 THEN 1 ELSE 0 END AS minor FROM m)
+ SELECT 'report-' || burst || '.json' AS file, last AS generated_at, CASE WHEN burst % 3 <> 0 THEN CAST(major AS INT) || '.' || minor || '.0' END AS version, CASE WHEN burst % 3 <> 0 THEN breaking END AS breaking, CASE WHEN burst % 3 <> 0 THEN changes END AS changes FROM v""")
+def release_catalogue(spark, sf_dir):
+    """A report file for each day of changes, with the release that it documents; of every third day the release is not known."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("burst", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 86400))
+    name = F.concat(F.lit("report-"), F.col("burst").cast("string"), F.lit(".json"))
+    changes = events.select("burst", ((F.col("event_type") == "error") & (F.col("event_id") % 50 == 0)).alias("breaking"))
+    files = events.groupBy("burst").agg(F.max("ts").alias("generated_at")).select(name.alias("file"), "generated_at")
+    return reads.release_listing(diff.releases(changes).where("burst % 3 <> 0").withColumn("file", name), files).select("file", "generated_at", "version", "breaking", "changes")
+
+
+_TOLD = """concat('{"paths":{"/t/', event_id, '":{"get":{"responses":{"200":{"content":{"application/json":{"schema":{"type":"object","properties":{"a":{"type":"string"', CASE WHEN @OLD OR event_id % 5 = 0 THEN concat(',"description":"', CASE WHEN @OLD THEN 'old ' ELSE 'own ' END, event_id, '"') ELSE '' END,
+ '},"b":{"type":"', CASE WHEN @OLD OR event_id % 2 = 0 THEN 'integer' ELSE 'number' END, '"', CASE WHEN @OLD THEN ',"description":"count"' ELSE '' END, '}', CASE WHEN @OLD THEN ',"gone":{"description":"x"}' ELSE ',"new":{"type":"boolean"}' END, '}}}}}}}}}}')"""
+
+
+@query("""WITH n AS (SELECT event_id AS doc, '/t/' || event_id AS template FROM events) SELECT *, '' AS path, CAST(NULL AS VARCHAR) AS text FROM n UNION ALL SELECT *, 'a', CASE WHEN doc % 5 = 0 THEN 'own ' ELSE 'old ' END || doc FROM n
+ UNION ALL SELECT *, 'b', CASE WHEN doc % 2 = 0 THEN 'count' END FROM n UNION ALL SELECT *, 'new', 'a rule''s text' FROM n""")
+def description_carry_over(spark, sf_dir):
+    """Texts of two documents an event and of a rule: own ones first, then old ones of unchanged nodes, then the rule's."""
+    raw = spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    side = lambda old: D.fields(D.operations(raw.selectExpr("event_id AS doc", _TOLD.replace("@OLD", old) + " AS spec")))
+    new = side("false")
+    rules = new.where("path = 'new'").withColumn("text", F.lit("a rule's text"))
+    return D.carry_over(new, side("true"), rules).select("doc", "template", "path", "text")

@@ -78,12 +78,14 @@ def types_in(schema) -> dict[str, dict]:
 
 
 def walk(schema) -> Iterator[dict]:
-    """Every node of a schema: path, parent, types and required; the root's path is empty."""
+    """Every node of a schema: path, parent, types, required and text (its description); the root's path is empty."""
     left = [("", None, False, schema)]
     while left:
         path, parent, required, node = left.pop()
         kinds = types_in(node)
-        yield {"path": path, "parent": parent, "types": sorted(kinds), "required": required}
+        node = node if isinstance(node, dict) else {}
+        text = node.get("description")
+        yield {"path": path, "parent": parent, "types": sorted(kinds), "required": required, "text": text if isinstance(text, str) and text else None}
         own = kinds.get("object", {})
         if isinstance(props := own.get("properties"), dict):
             needed = own["required"] if isinstance(own.get("required"), list) else []
@@ -92,7 +94,7 @@ def walk(schema) -> Iterator[dict]:
             left.append((f"{path}[]", path, False, items))
 
 
-_NODE = T.StructType([T.StructField("path", T.StringType()), T.StructField("parent", T.StringType()), T.StructField("types", T.ArrayType(T.StringType())), T.StructField("required", T.BooleanType())])
+_NODE = T.StructType([T.StructField("path", T.StringType()), T.StructField("parent", T.StringType()), T.StructField("types", T.ArrayType(T.StringType())), T.StructField("required", T.BooleanType()), T.StructField("text", T.StringType())])
 
 
 @F.pandas_udf(T.ArrayType(_NODE))
@@ -111,7 +113,22 @@ def fields(ops: DataFrame) -> DataFrame:
     answers = statuses(ops).select(*KEY, F.col("status").alias("scope"), F.try_variant_get("answer", _BODY, "variant").alias("v"))
     asked = ops.select(*KEY, F.lit("request").alias("scope"), F.try_variant_get("op", f"$.requestBody{_BODY[1:]}", "variant").alias("v"))
     rows = answers.unionByName(asked).where(F.schema_of_variant("v").startswith("OBJECT"))
-    return rows.withColumn("n", nodes(F.to_json("v"))).select(*KEY, "scope", F.explode("n").alias("o")).select(*KEY, "scope", "o.path", "o.parent", "o.types", "o.required")
+    return rows.withColumn("n", nodes(F.to_json("v"))).select(*KEY, "scope", F.explode("n").alias("o")).select(*KEY, "scope", "o.path", "o.parent", "o.types", "o.required", "o.text")
+
+
+def carry_over(new: DataFrame, old: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """new (fields) with the texts of the old document where a node has none of its own and is unchanged (same place, same types).
+
+    rules (KEY, scope, path, text): what a rule would say; it is used where neither has a text.
+    """
+    place = [*KEY[1:], "scope", "path"]
+    known = old.where("text is not null").select(*place, F.col("types").alias("_types"), F.col("text").alias("_old"))
+    out = new.join(known, place, "left").withColumn("_old", F.when(F.col("_types") == F.col("types"), F.col("_old")))
+    said = [F.col("text"), F.col("_old")]
+    if rules is not None:
+        out = out.join(rules.select(*place, F.col("text").alias("_rule")), place, "left")
+        said.append(F.col("_rule"))
+    return out.withColumn("text", F.coalesce(*said)).select(*new.columns)
 
 
 def required_paths(found: DataFrame) -> DataFrame:

@@ -14,7 +14,12 @@ ENDPOINTS = [("GET", "/users", 4), ("GET", "/users/{n}", 5), ("POST", "/users",
 
 
 def lines(spark: SparkSession, n: int, changed: bool = False) -> DataFrame:
-    """entry_seq and value of n calls; `changed`: users have a full_name instead of a name and no email."""
+    """entry_seq and value of n calls."""
+    return lines_of(spark.range(n), changed)
+
+
+def lines_of(numbers: DataFrame, changed: bool = False) -> DataFrame:
+    """entry_seq and value of a call for each number (id); `changed`: users have a full_name instead of a name and no email."""
     i, r = F.col("id"), F.pmod(F.col("id") * 7919 + 13, F.lit(100))
     k, start, method, path = F.pmod(i, F.lit(20)), 0, F.lit(None).cast("string"), F.lit(None).cast("string")
     for verb, template, share in ENDPOINTS:
@@ -30,7 +35,7 @@ def lines(spark: SparkSession, n: int, changed: bool = False) -> DataFrame:
     asked = F.when(method == "POST", F.parse_json(F.to_json(F.struct(person.alias("name"), F.pmod(i, F.lit(5)).alias("count")))))
     headers = F.when(i % 10 < 7, F.create_map(F.lit("Authorization"), F.lit("Bearer <redacted>"))).otherwise(F.create_map().cast("map<string,string>"))
     row = F.struct(when.alias("timestamp"), method.alias("method"), path.alias("path"), status.alias("status"), headers.alias("headers"), asked.alias("request_body"), F.parse_json(F.when(status < 300, good).otherwise(bad)).alias("response_body"))
-    return spark.range(n).select(i.alias("entry_seq"), F.to_json(row).alias("value"))
+    return numbers.select(i.alias("entry_seq"), F.to_json(row).alias("value"))
 
 
 def replay(log: DataFrame, folder: str, chunk: int) -> int:
