@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as T
-from ..operators import conform, diff, endpoints, errors, noise, quality, reads, resolve
+from ..operators import asof, conform, diff, endpoints, errors, noise, quality, reads, resolve
 from ..operators.observe import SCOPE, bodies, observe, with_template
 from ..operators.profile import aliases, field_profile, presence, strings
-from ..sources import shop
+from ..sources import shop, traffic
 from ..sources.logs import parse_lines, skip_tally
 from ..sources.spread import spread
 from ..scratch import scratch
@@ -623,3 +623,26 @@ def description_carry_over(spark, sf_dir):
     new = side("false")
     rules = new.where("path = 'new'").withColumn("text", F.lit("a rule's text"))
     return D.carry_over(new, side("true"), rules).select("doc", "template", "path", "text")
+
+
+@query("""WITH s AS (SELECT o_orderkey AS seq, o_custkey AS customer FROM orders WHERE o_orderkey % 13 = 0) SELECT l_orderkey, l_linenumber, customer FROM lineitem ASOF LEFT JOIN s ON l_orderkey - 5 >= s.seq""")
+def as_of_lookup(spark, sf_dir):
+    """For each line item the customer of the latest of some orders, as of five places before its own."""
+    marks = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 13 = 0").select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("customer"))
+    points = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") - 5).alias("_at"))
+    return asof.as_of(points, marks, "seq", "customer", at="_at").select("l_orderkey", "l_linenumber", "customer")
+
+
+@query("""WITH v(version, place) AS (VALUES (1, 2), (2, 4), (3, 5), (4, 7)), s AS (SELECT version, (SELECT max(event_id) FROM events) * place // 8 AS seq FROM v)
+ SELECT coalesce(version, 0) AS version, count(*) AS calls FROM events ASOF LEFT JOIN s ON event_id >= s.seq GROUP BY 1""")
+def contract_drift(spark, sf_dir):
+    """Calls by the contract version that shapes their bodies, read off the bodies themselves where they have one."""
+    numbers = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"))
+    last = numbers.agg(F.max("id")).first()[0]
+    schedule = spark.createDataFrame([(last * place // 8, version) for version, place in ((1, 2), (2, 4), (3, 5), (4, 7))], "id long, version int")
+    found = traffic.calls(numbers, schedule)
+    shown = traffic.entries(found).select(F.col("entry_seq").alias("id"), "response_body")
+    has = lambda key: F.get_json_object("response_body", f"$.{key}").isNotNull()
+    read = F.when(has("tracking_number"), 4).when(~has("updated_at"), 3).when(F.col("response_body").contains('"pages":"32"'), 2).when(has("citizenship"), 1).otherwise(0)
+    both = found.join(shown, "id").withColumn("version", F.when(F.col("response_body").isNull(), F.col("version")).otherwise(read))
+    return both.groupBy("version").agg(F.count("*").alias("calls"))
