@@ -1,7 +1,20 @@
-"""From log entries to observations of every value in their bodies, with VARIANT functions only."""
+"""From log entries to observations of every value in their bodies.
+
+Bodies nested up to `INLINE` levels come apart with VARIANT functions, level by level inside their row.
+Deeper ones, which are few, are walked whole in Arrow batches: the plan stays the same however deep a
+single line goes, and both ways give the same rows.
+
+Cases: what is no JSON has no observations; of a doubled key the last value counts (the session is set
+to read them so).
+"""
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,14 +65,64 @@ def type_of(v: Column) -> Column:
     )
 
 
+#: Levels that the plan holds.
+INLINE = 8
+OBSERVATION = ["path", "parent", "raw_key", "type", "text", "int_value"]
+
+
+def _canonical(key: str) -> str:
+    """As `functions.text.canonical_key`."""
+    snake = re.sub("([a-z0-9])([A-Z])", r"\1_\2", re.sub("(.)([A-Z][a-z]+)", r"\1_\2", key))
+    return re.sub("^_+|_+$", "", re.sub("[- ]", "_", snake).lower()) or key
+
+
+def _observation(path: str, parent: str | None, raw: str | None, value) -> tuple:
+    """As the columns do: integers up to 38 digits are integers, larger ones numbers."""
+    if isinstance(value, bool) or value is None or isinstance(value, (dict, list, str)):
+        kind = {bool: "boolean", dict: "object", list: "array", str: "string"}.get(type(value), "null")
+        return path, parent, raw, kind, value if kind == "string" else None, None
+    whole = isinstance(value, int) and abs(value) < 10**38
+    return path, parent, raw, "integer" if whole else "number", None, value if whole and -(1 << 63) <= value < 1 << 63 else None
+
+
+def values_in(text: str) -> Iterator[tuple]:
+    """Every value of a body (JSON), however deep: `OBSERVATION`."""
+    try:
+        left = [("", None, None, json.loads(text))]
+    except (ValueError, RecursionError):
+        return
+    while left:
+        path, parent, raw, value = left.pop()
+        yield _observation(path, parent, raw, value)
+        if isinstance(value, dict):
+            left += [(f"{path}.{_canonical(k)}" if path else _canonical(k), path, k, v) for k, v in value.items()]
+        elif isinstance(value, list):
+            left += [(f"{path}[]", path, None, v) for v in value]
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [*[pa.string()] * 5, pa.int64()]
+    for batch in batches:
+        for k, text in enumerate(batch.column("body").to_pylist()):
+            found = list(values_in(text))
+            if found:
+                keys = [pa.array([batch.column(c)[k].as_py()] * len(found), batch.schema.field(c).type) for c in (*SCOPE, "entry_seq")]
+                yield pa.RecordBatch.from_arrays([*keys, *[pa.array(own, kind) for own, kind in zip(zip(*found), kinds)]], names=[*SCOPE, "entry_seq", *OBSERVATION])
+
+
 def observe(body_rows: DataFrame, depth: int | None = None) -> DataFrame:
     """Every value of every body: the scope, entry_seq, path (canonical keys joined by dots, [] for items), parent, raw_key, type, text, int_value.
 
-    Levels are arrays inside a body's row, as deep as the deepest goes (one pass over the texts
-    finds out).
+    depth: of the deepest body, where it is known; else one pass over the texts finds out.
     """
+    body_rows.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     if depth is None:
         depth = body_rows.agg(F.max(depth_of(F.col("body")))).first()[0] or 0
+    if depth > INLINE:
+        deep = depth_of(F.col("body")) > INLINE
+        keys = [f"`{c}` {t}" for c, t in body_rows.select(*SCOPE, "entry_seq").dtypes]
+        walked = body_rows.where(deep).select(*SCOPE, "entry_seq", "body").mapInArrow(_walk, ", ".join([*keys, *(f"{c} string" for c in OBSERVATION[:-1]), "int_value long"]))
+        return observe(body_rows.where(~deep), INLINE).unionByName(walked)
     node = "struct<path:string,parent:string,raw_key:string,v:variant>"
 
     def inner(n: Column) -> Column:

@@ -59,3 +59,24 @@ def test_formats(spark, name, values, fits):
 
     row = spark.createDataFrame([(v,) for v in values], "v string").agg(F.bool_and(matches_format(F.col("v"), name)).alias("ok")).first()
     assert row["ok"] == fits
+
+
+def test_bodies_of_any_depth(spark):
+    """A body 500 deep, doubled keys, and both ways on the same bodies."""
+    import json
+
+    from specloom.operators import observe as O
+
+    deep = {"leaf": 1}
+    for k in range(500):
+        deep = {"aB": deep} if k % 2 else {"list": [deep, k]}
+    own = [{"id": 1, "userID": "x", "n": [1, 2.0, 10**25, 10**50, None, True, {"É-k": []}]}, [[["a"]], {}], "text", 7]
+    texts = [json.dumps(x) for x in own] + ['{"a":1,"a":"two"}', "nonsense", json.dumps(deep)]
+    rows = spark.createDataFrame([("GET", "/a", "200", k, t) for k, t in enumerate(texts)], "method string, template string, scope string, entry_seq long, body string")
+    found: dict = {}
+    for r in O.observe(rows).collect():
+        found.setdefault(r["entry_seq"], []).append(tuple(r[c] for c in O.OBSERVATION))
+    assert set(found) == {0, 1, 2, 3, 4, 6} and ("a", "", "a", "string", "two", None) in found[4]
+    for k, text in enumerate(texts):
+        assert sorted(found.get(k, []), key=str) == sorted(O.values_in(text), key=str), k
+    assert len(found[6]) == 1 + 250 * 3 + 250 + 1
