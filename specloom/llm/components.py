@@ -1,4 +1,9 @@
-"""Connected components of links, as joins: least labels with pointer jumping."""
+"""Connected components of links, as joins: least labels with pointer jumping.
+
+Cases: links to oneself, doubled links and both directions of one count once; null ends link nothing;
+no links give no rows; a node without links is in none. A round joins every link to its end's label:
+a hub's links are read by one key, so callers link a group to its first member and not pair by pair.
+"""
 
 from __future__ import annotations
 

@@ -43,8 +43,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Pieces of one length that are ranked together.
 RANK_GROUP = 2_000
-#: Words whose ids a worker keeps.
-CACHED_WORDS = 400_000
+#: Words whose ids a worker keeps: so many at most, each of so many characters at most (a text without spaces is one word).
+CACHED_WORDS, CACHED_LENGTH = 300_000, 64
 
 
 def default_tokenizer() -> str:
@@ -224,7 +224,11 @@ class Words:
         new = [w for w in {w for p in parts if p for w in p[1:]} if w not in known]
         known.update(zip(new, self._encode([f" {w}" for w in new])))
         first = dict(zip(heads, self._encode(list(heads))))
-        return [b"".join([first[p[0]], *map(known.__getitem__, p[1:])]) if p else self._encode([t])[0] for p, t in zip(parts, texts)]
+        out = [b"".join([first[p[0]], *map(known.__getitem__, p[1:])]) if p else self._encode([t])[0] for p, t in zip(parts, texts)]
+        for w in new:
+            if len(w) > CACHED_LENGTH:
+                del known[w]
+        return out
 
 
 @cache

@@ -119,3 +119,11 @@ def test_large_instances_come_near_the_bound():
     rng = random.Random(5)
     for sizes in ([rng.randint(1, 1024) for _ in range(20000)], [min(1024, int(rng.lognormvariate(5.5, 1))) or 1 for _ in range(20000)]):
         assert _check(Counter(sizes), 1024) <= -(-sum(sizes) // 1024) * 1.01 + 1
+
+
+def test_kept_words_are_bounded():
+    """Neither many words nor long ones stay with a worker."""
+    words = packing.Words(packing.default_tokenizer())
+    texts = ["a " + "x" * 50_000 + " y", "b " + "long\n" * 900 + " z", "short words only"]
+    assert [len(x) // 4 + 1 for x in words.ids(texts)] == [len(brute(t)) for t in texts]
+    assert max(map(len, words.known)) <= packing.CACHED_LENGTH and "words" in words.known
