@@ -41,5 +41,5 @@ def mask_header(name: Column, value: Column) -> Column:
 
 
 def quoted(text: Column) -> Column:
-    """A text as JSON."""
-    return F.regexp_extract(F.to_json(F.array(text)), "(?s)^.(.*).$", 1)
+    """A text as JSON; null of null."""
+    return F.when(text.isNotNull(), F.regexp_extract(F.to_json(F.array(text)), "(?s)^.(.*).$", 1))
