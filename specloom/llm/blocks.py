@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, raw_texts
+from .common import durable, give_back, raw_texts
 
 BLOCK_BYTES, PART_BYTES = 6 << 20, 64 << 20
 Emit = Callable[[pa.Table, dict[int, bytes]], Iterator[tuple[int, bytes]]]
@@ -89,6 +89,8 @@ def pack(df: DataFrame, parts: int, block_bytes: int = BLOCK_BYTES) -> DataFrame
                 held.append(batch.slice(start))
         if held:
             yield close()
+        held = []
+        give_back()
 
     return df.mapInArrow(write, "block long, payload binary").repartition(parts, "block")
 
@@ -125,9 +127,11 @@ def answers(blocks: DataFrame, emit: Emit, reduce: Reduce, parts: int) -> DataFr
                 told = _told(batch.column("answers")[k].as_py()) if "answers" in batch.schema.names else {}
                 sent = list(emit(_unpack(batch.column("payload")[k].as_py()), told))
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in sent], pa.int64()), pa.array([block] * len(sent), pa.int64()), pa.array([m for _, m in sent], pa.binary())], names=["shard", "block", "message"])
+        give_back()
 
     def answer(key: tuple, group: pa.Table) -> pa.Table:
         found = list(reduce(sorted(zip(group.column("block").to_pylist(), group.column("message").to_pylist()))))
+        give_back()
         return pa.table({"block": pa.array([b for b, _ in found], pa.int64()), "shard": pa.array([key[0].as_py()] * len(found), pa.int64()), "answer": pa.array([a for _, a in found], pa.binary())})
 
     sent = blocks.mapInArrow(send, "shard long, block long, message binary")
@@ -143,5 +147,6 @@ def finish(met: DataFrame, last: Finish, schema) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 yield from last(_unpack(batch.column("payload")[k].as_py()), _told(batch.column("answers")[k].as_py()))
+        give_back()
 
     return met.mapInArrow(run, schema)

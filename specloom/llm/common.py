@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +94,21 @@ def draw(keys: DataFrame, label: str, most: int, labels: int, in_all: int) -> Da
     return few.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy("_h", "doc_id"))).where(F.col("_r") <= most).select(label, "doc_id")
 
 
+@cache
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # not glibc
+        return None
+
+
+def give_back() -> None:
+    """Hands freed memory back to the system: Python workers outlive their tasks, several to an executor, and what each keeps adds up."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most` bytes of text; a longer text is a batch of its own."""
     for batch in batches:
@@ -103,6 +120,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+        del batch
+    give_back()
 
 
 def raw_texts(column: pa.Array) -> list[bytes]:

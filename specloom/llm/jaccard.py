@@ -1,10 +1,15 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles.
+"""Near-duplicates by SimHash and the exact Jaccard similarity of word shingles.
 
-No number of differing SimHash bits holds for a similarity of 0.8 (its pairs differ by about ten of
-64 bits, some by many more), so candidates come from the shingles themselves, which misses none:
+SimHash comes first (see simhash): the majority bits of a set's shingles, anchors, links of 2 or
+fewer differing bits, components. Each set of a component is compared with the component's least
+by all their shingles, and those that are similar are joined.
+
+No number of differing bits holds for a similarity of 0.8 (its pairs differ by about ten of 64
+bits, some by many more), so the rest is found by the shingles themselves, which misses none:
 if two sets have similarity s, the first n - ceil(s n) + 1 shingles of each, in any order that all
 sets share, have one in common. Rare shingles come first, so that what many texts quote is seldom
-asked for; counts in hashed cells rank them, which decides the cost and never the result.
+asked for; counts in hashed cells rank them, which decides the cost and never the result. Pairs
+that SimHash has joined are not compared again.
 
 Shards by shingle pair the sets that share a first shingle, if their sizes and the places of the
 shingle leave room for the similarity. A group of over `SMALL` sets first links all to the one
@@ -31,20 +36,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import documents, durable, raw_texts, slices, text_bytes
+from . import simhash
+from .common import documents, durable, give_back, raw_texts, slices, text_bytes
 from .components import connected_components
 from .maxent import _sums
-from .simhash import grouped, keep_first, printed
+from .simhash import grouped, keep_first
 from .wordstream import Words, mix
 
 WORDS, SIMILARITY = 5, 0.8
-CELLS = 1 << 18
+CELLS = 1 << 21
 FILTER_BITS = 26
 SMALL = 8
 SHARD_BYTES = 4 << 20
 SEND_ROWS = 1 << 19
 #: Text that is hashed at once: its arrays stay in a core's cache.
 SCAN_BYTES = 1 << 18
+#: Text whose shingles are counted at once: an array of all cells is added for each.
+COUNT_BYTES = 8 << 20
 
 
 class Sets:
@@ -79,8 +87,25 @@ def set_nodes(texts: list[bytes], words: int = WORDS) -> np.ndarray:
 
 
 def nodes(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id and fp, which rows with equal sets of shingles share."""
-    return printed(documents(docs), lambda texts: set_nodes(texts, words), "fp").select("doc_id", "fp")
+    """doc_id, fp, which rows with equal sets of shingles share, and print, the SimHash fingerprint of the set."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, most=SCAN_BYTES):
+            own = Sets(raw_texts(batch.column("text")), words)
+            prints = simhash.majorities(own.hash, own.size).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(own.node), pa.array(prints)], names=["doc_id", "fp", "print"])
+
+    return documents(docs).mapInArrow(scan, "doc_id long, fp long, print long")
+
+
+def print_pairs(own: DataFrame) -> DataFrame:
+    """Pairs a, b of nodes: each node (fp, print) with the least of its component of linked fingerprints."""
+    distinct = durable(own.where("fp <> 0").select("fp", "print").distinct())  # a text without words is like no other
+    prints = durable(distinct.groupBy("print").agg(F.min("fp").alias("_least")))
+    roots = connected_components(simhash.links(prints.select(F.col("print").alias("fp"))))
+    named = prints.join(roots.withColumnRenamed("node", "print"), "print", "left").select("print", "_least", F.coalesce("root", "print").alias("_root"))
+    heads = named.groupBy("_root").agg(F.min("_least").alias("a"))
+    return distinct.join(named.join(heads, "_root").select("print", "a"), "print").where("a <> fp").select("a", F.col("fp").alias("b"))
 
 
 def _cell(hashes: np.ndarray) -> np.ndarray:
@@ -127,9 +152,12 @@ def candidates(docs: DataFrame, words: int, rule: Rule) -> DataFrame:
     spark, shards = docs.sparkSession, B.shards_for(text_bytes(own), SHARD_BYTES)
 
     def count(texts: list[bytes]) -> list[np.ndarray]:
-        return [np.bincount(_cell(Sets(texts, words).hash), minlength=CELLS).astype(float)]
+        ends = np.cumsum([len(t) for t in texts]) // SCAN_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
+        cells = np.concatenate([_cell(Sets(texts[a:b], words).hash) for a, b in zip(cuts, cuts[1:])])
+        return [np.bincount(cells, minlength=CELLS).astype(np.float32)]
 
-    counted = _sums(own, count, SCAN_BYTES)
+    counted = _sums(own, count, COUNT_BYTES)
     sent = spark.sparkContext.broadcast(counted[0].astype(np.float32) if counted else np.zeros(CELLS, np.float32))  # of fixed size
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,6 +214,7 @@ def candidates(docs: DataFrame, words: int, rule: Rule) -> DataFrame:
         large = rows[size > SMALL]
         pair(first[large], large)
         a, b = _unique(pairs)
+        give_back()
         blank = lambda k: pa.nulls(k, pa.int64())
         return pa.concat_tables([
             pa.table({"token": blank(len(a)), "a": pa.array(a), "b": pa.array(b), "n": blank(len(a)), "pos": blank(len(a))}),
@@ -235,18 +264,28 @@ def similar(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return with_a.join(sets.select(F.col("node").alias("b"), F.col("own").alias("_y")), "b").select("a", "b", "_x", "_y").mapInArrow(compare, "a long, b long")
 
 
-def links(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def links(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, own: DataFrame | None = None) -> DataFrame:
     """Pairs of nodes (a < b) that join all whose sets are similar: each similar pair is here or lies within a component of pairs that are."""
     rule = Rule(similarity)
+    near = durable(print_pairs(durable(nodes(docs, words)) if own is None else own))
+    joined = durable(similar(near, sets_of(docs, near, words), rule))
     found = durable(candidates(docs, words, rule))
-    pairs, large = durable(found.where("token is null").select("a", "b").distinct()), found.where("token is not null").select("token", "a", "n", "pos")
-    linked = durable(similar(pairs, sets_of(docs, pairs, words), rule))
+    pairs, large = found.where("token is null").select("a", "b").distinct(), found.where("token is not null").select("token", "a", "n", "pos")
+    pairs = durable(unlinked(pairs, connected_components(joined)))
+    linked = joined.union(durable(similar(pairs, sets_of(docs, pairs, words), rule)))
     if large.isEmpty():
         return linked
     more = durable(apart(large, connected_components(linked), rule))
     return linked if more.isEmpty() else linked.union(durable(similar(more, sets_of(docs, more, words), rule)))
 
 
+def unlinked(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends are in no component together."""
+    with_a = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("_ra")), "a", "left")
+    with_b = with_a.join(roots.select(F.col("node").alias("b"), F.col("root").alias("_rb")), "b", "left")
+    return with_b.where("coalesce(_ra <> _rb, true)").select("a", "b")
+
+
 def sets_of(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """node and own (its shingles, in order) of the nodes of pairs. It stays behind its exchange, which both ends of the pairs read."""
     needed = durable(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
@@ -279,7 +318,7 @@ def _marks(needed: DataFrame) -> np.ndarray:
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, fp (of equal sets), component_id (the smallest doc_id that can be reached over links) and root (a fp that names the component) of each row."""
     own = durable(nodes(docs, words))
-    return grouped(own, lambda _: links(docs, words, similarity))
+    return grouped(own.select("doc_id", "fp"), lambda _: links(docs, words, similarity, own))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

@@ -4,7 +4,9 @@ import random
 from fractions import Fraction
 
 import corpus_pipeline
-from specloom.llm import jaccard, simhash
+import numpy as np
+import pyarrow as pa
+from specloom.llm import common, jaccard, simhash
 
 
 def brute_set(text):
@@ -86,3 +88,35 @@ def test_each_group_keeps_a_row_where_ids_repeat(spark):
         assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == [(0, two), (3, one), (5, two), (9, three)]
     got = jaccard.keep_one(docs.where("doc_id is not null").union(spark.createDataFrame([(9, "z z")], docs.schema)))
     assert sorted(map(tuple, got.collect())) == [(3, one), (5, two), (9, three), (9, "z z")]
+
+
+def test_the_stage_goes_through_simhash(spark, monkeypatch):
+    """Fingerprints of the sets, anchors and components give pairs, which are compared; the shingles find the rest without those."""
+    rows = near_copies()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    linked, compared = [], []
+    real, similar = simhash.links, jaccard.similar
+    monkeypatch.setattr(simhash, "links", lambda distinct: linked.append(distinct.count()) or real(distinct))
+    monkeypatch.setattr(jaccard, "similar", lambda pairs, *a: compared.append({tuple(r) for r in pairs.collect()}) or similar(pairs, *a))
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == brute_firsts(rows)
+    sets = {d: jaccard.Sets([(t or "").encode()]) for d, t in rows}
+    prints = {int(s.node[0]): int(simhash.majorities(s.hash, s.size).view(np.int64)[0]) for s in sets.values() if s.size[0]}
+    assert linked == [len({*prints.values()})]
+    near = {(a, b) for a in prints for b in prints if a != b and (prints[a] ^ prints[b]).bit_count() <= 2}
+    assert near and {n for pair in near for n in pair} == {n for pair in compared[0] for n in pair}
+    assert not {frozenset(p) for p in compared[0] & near} & {frozenset(p) for p in compared[1]}
+
+
+def test_many_distinct_shingles_leave_common_ones_last(spark):
+    """Cells tell a shingle of many texts from those of one text where there are more shingles than 2**18 by far."""
+    hashes = np.random.default_rng(1).integers(0, 1 << 64, 20_000_000, np.uint64)
+    cells = np.bincount(jaccard._cell(hashes), minlength=jaccard.CELLS)
+    assert np.mean(cells > 40) < 0.001
+
+
+def test_workers_give_memory_back(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    batch = pa.RecordBatch.from_pydict({"text": ["a" * 100] * 10})
+    assert sum(b.num_rows for b in common.slices(iter([batch, batch]), most=300)) == 20 and given == [1]
