@@ -45,6 +45,8 @@ END_ID = 2
 RANK_GROUP = 2_000
 #: Words whose ids a worker keeps: so many at most, each of so many characters at most (a text without spaces is one word).
 CACHED_WORDS, CACHED_LENGTH = 300_000, 64
+#: New words that are encoded as one text.
+JOINED_WORDS = 64
 
 
 def default_tokenizer() -> str:
@@ -193,12 +195,27 @@ def make_plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
 # --- documents to pieces ---------------------------------------------------------------
 
 
+class _Numbers(dict):
+    """Words by number, in the order in which they are first asked for; `new` are those without ids yet."""
+
+    def __init__(self):
+        self.count, self.new = 0, []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = self.count
+        self.count = n + 1
+        self.new.append(word)
+        return n
+
+
 class Words:
     """Token ids of texts by their words; a worker encodes each word once.
 
     The tokenizer cuts a text before it merges, and always before a space that follows
     something other than white space; so a text without runs of white space that end in a
     space has the ids of its space-parted words. Other texts are encoded whole by `tokenizers`.
+    For the same reason many new words are encoded as one text, and the ids that begin with a
+    space begin its words; a word that ends in white space (or is empty) is a text of its own.
     """
 
     def __init__(self, path: str):
@@ -210,25 +227,54 @@ class Words:
         self.encoder = Tokenizer.from_file(path)
         self.encoder.encode_special_tokens = True
         self.run = re.compile(r"(?:\s|^) ")
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
+        self.begins = np.zeros(self.encoder.get_vocab_size(), bool)
+        self.begins[[k for token, k in self.encoder.get_vocab().items() if token[:1] == "\u0120"]] = True  # a space of byte-level tokens
+        self._forget()
+
+    def _forget(self) -> None:
+        """The known words; their ids in one pool, where each word's begin and how many they are."""
+        self.known, self.pool, self.start, self.size = _Numbers(), array("I"), array("q"), array("q")
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Puts the ids of the new words into the pool, those of long ones last."""
+        kind = np.array([2 if len(w) > CACHED_LENGTH else not w or w[-1].isspace() for w in new], np.int8)
+        order = np.argsort(kind, kind="stable")
+        joined = int((kind == 0).sum())
+        plain, alone = [new[k] for k in order[:joined].tolist()], [new[k] for k in order[joined:].tolist()]
+        found = self._encode([" " + " ".join(plain[k : k + JOINED_WORDS]) for k in range(0, joined, JOINED_WORDS)])
+        ids = np.concatenate([np.zeros(0, np.uint32), *found])
+        first = np.flatnonzero(self.begins[ids])
+        if len(first) != joined:
+            raise ValueError("the tokenizer does not cut at each space")
+        others = self._encode([f" {w}" for w in alone])
+        size = np.empty(len(new), np.int64)
+        size[order] = np.concatenate([np.diff(np.append(first, len(ids))), np.array([len(x) for x in others], np.int64)])
+        start = np.empty(len(new), np.int64)
+        start[order] = np.cumsum(size[order]) - size[order] + len(self.pool)
+        self.pool.frombytes(np.concatenate([ids, *others]).tobytes())
+        self.start.frombytes(start.tobytes())
+        self.size.frombytes(size.tobytes())
 
     def ids(self, texts: list[str]) -> list[bytes]:
         parts = [None if self.run.search(t) else t.split(" ") for t in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.known = {}
-        known = self.known
-        heads = {p[0] for p in parts if p}
-        new = [w for w in {w for p in parts if p for w in p[1:]} if w not in known]
-        known.update(zip(new, self._encode([f" {w}" for w in new])))
-        first = dict(zip(heads, self._encode(list(heads))))
-        out = [b"".join([first[p[0]], *map(known.__getitem__, p[1:])]) if p else self._encode([t])[0] for p, t in zip(parts, texts)]
-        for w in new:
-            if len(w) > CACHED_LENGTH:
-                del known[w]
-        return out
+        if self.known.count > CACHED_WORDS:
+            self._forget()
+        heads = self._encode([p[0] if p else t for p, t in zip(parts, texts)])
+        counts = [len(p) - 1 if p else 0 for p in parts]
+        number = np.fromiter(map(self.known.__getitem__, (w for p in parts if p for w in p[1:])), np.int64, sum(counts))
+        new, self.known.new = self.known.new, []
+        if new:
+            self._learn(new)
+        start, size = np.frombuffer(self.start, np.int64)[number], np.frombuffer(self.size, np.int64)[number]
+        ends = np.cumsum(size)
+        flat = np.frombuffer(self.pool, np.uint32)[np.repeat(start - (ends - size), size) + np.arange(size.sum())].tobytes()
+        cuts = (4 * np.concatenate([[0], ends])[np.cumsum([0, *counts])]).tolist()
+        if long := [w for w in new if len(w) > CACHED_LENGTH]:
+            del self.pool[min(self.start[self.known.pop(w)] for w in long) :]
+        return [head.tobytes() + flat[a:b] for head, a, b in zip(heads, cuts, cuts[1:])]
 
 
 @cache

@@ -127,3 +127,15 @@ def test_kept_words_are_bounded():
     texts = ["a " + "x" * 50_000 + " y", "b " + "long\n" * 900 + " z", "short words only"]
     assert [len(x) // 4 + 1 for x in words.ids(texts)] == [len(brute(t)) for t in texts]
     assert max(map(len, words.known)) <= packing.CACHED_LENGTH and "words" in words.known
+
+
+def test_new_words_are_encoded_together():
+    """A word costs the tokenizer no text of its own, and has the ids that it has there; odd words and long ones among them too."""
+    words, encoded = packing.Words(packing.default_tokenizer()), []
+    encode = words._encode
+    words._encode = lambda texts: encoded.extend(texts) or encode(texts)
+    odd = ["a\n b", "tab\tbed x", " lead", "end ", "", "x \nab c", "it's 12,5 \u00a0\u3000z \x1c \x85 q", "<|endoftext|> in <|endoftext|>", "\u0120 \u0120x", "y" * 70 + " y " + "z" * 70 + "\t w", "a\x00b \U0001f600\U0001f600 k"]
+    texts = [*odd, " ".join(f"w{k:03d}q" for k in range(900))]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in words.ids(texts)] == [brute(t)[:-1] for t in texts]
+    assert len(encoded) < 100 and len(words.pool) < 10_000
