@@ -45,7 +45,8 @@ RATE = 0.45
 SHARD_BYTES = 16 << 20
 #: Parts of a sum that are added at once.
 ADD_PARTS = 64
-STEP = 4096
+#: Histories that are taken at once: while training, and while scoring.
+STEP, SCORED = 4096, 1024
 END = np.uint64(0xE2D0E2D0E2D0E2D1)
 
 
@@ -101,24 +102,25 @@ class Model:
         out[tokens.ends] = END_CLASS
         return out
 
-    def _exponentials(self, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each history: exp(score of each class - the largest), and their sum."""
-        z = self.weights[0][features[0]]
+    def _exponentials(self, features: np.ndarray, room: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Of each history: exp(score of each class - the largest), and their sum. room: two arrays to work in, which the next call overwrites."""
+        z, more = np.empty((2, features.shape[1], CLASSES), np.float32) if room is None else room[:, : features.shape[1]]
+        np.take(self.weights[0], features[0], axis=0, out=z, mode="clip")
         for f in range(1, FEATURES):
-            z += self.weights[f][features[f]]
+            z += np.take(self.weights[f], features[f], axis=0, out=more, mode="clip")
         z += self.bias
         z -= z.max(axis=1, keepdims=True)
         np.exp(z, out=z)
         return z, z.sum(axis=1)
 
-    def probs(self, features: np.ndarray) -> np.ndarray:
-        z, total = self._exponentials(features)
+    def probs(self, features: np.ndarray, room: np.ndarray | None = None) -> np.ndarray:
+        z, total = self._exponentials(features, room)
         z /= total[:, None]
         return z
 
-    def log_prob_of(self, features: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    def log_prob_of(self, features: np.ndarray, kind: np.ndarray, room: np.ndarray | None = None) -> np.ndarray:
         """The natural logarithm of the probability of one class of each history."""
-        z, total = self._exponentials(features)
+        z, total = self._exponentials(features, room)
         return np.log(np.maximum(z[np.arange(len(z)), kind], 1e-37).astype(np.float64)) - np.log(total.astype(np.float64))
 
 
@@ -213,9 +215,10 @@ def train(docs: DataFrame, updates: int = UPDATES) -> Model:
             wanted, every = np.zeros((FEATURES, ROWS * CLASSES)), np.arange(CLASSES)
             bias = np.bincount(own, minlength=CLASSES).astype(float)
             seen = np.concatenate([np.bincount(features[f].astype(np.int64) * CLASSES + own, minlength=ROWS * CLASSES) for f in range(FEATURES)]).astype(float)
+            room = np.empty((2, STEP, CLASSES), np.float32)
             for k in range(0, len(own), STEP):
                 x = features[:, k : k + STEP]
-                p = m.probs(x)
+                p = m.probs(x, room)
                 bias -= p.sum(axis=0)
                 flat = p.ravel().astype(np.float64)
                 for f in range(FEATURES):
@@ -300,9 +303,9 @@ def score_documents(docs: DataFrame, updates: int = UPDATES) -> DataFrame:
             totals[part] = B.unsqueeze(told[shard])[0]
         c = totals[of]
         log_c = np.log10(c + 1.0)
-        kind, features, within = sent.value.classes(t), t.features(), np.empty(len(c))
-        for k in range(0, len(c), STEP):
-            within[k : k + STEP] = sent.value.log_prob_of(features[:, k : k + STEP], kind[k : k + STEP])
+        kind, features, within, room = sent.value.classes(t), t.features(), np.empty(len(c)), np.empty((2, SCORED, CLASSES), np.float32)
+        for k in range(0, len(c), SCORED):
+            within[k : k + SCORED] = sent.value.log_prob_of(features[:, k : k + SCORED], kind[k : k + SCORED], room)
         score = within / np.log(10) + log_c - class_total[kind]
         add_up = lambda x: np.add.reduceat(x, t.first) if len(t.first) else x[:0]
         n = len(t.sizes)

@@ -264,3 +264,17 @@ def test_sums_add_up_in_a_tree(spark, monkeypatch):
     rows = spark.createDataFrame([(k, "x" * k) for k in range(50)], "doc_id long, text string").repartition(9)
     (got,) = maxent._sums(rows, lambda texts: [np.bincount([len(t) % 7 for t in texts], minlength=300_000).astype(float)])
     assert got.tolist() == np.bincount([k % 7 for k in range(50)], minlength=300_000).tolist()
+
+
+def test_class_scores_work_in_the_room_they_are_given():
+    """Chunk after chunk needs no arrays of its own, and gives what it gives alone."""
+    rng = np.random.default_rng(3)
+    model = maxent.Model(np.zeros(maxent.WORD_BUCKETS, np.int64), np.zeros(maxent.TAIL_BUCKETS, np.int64), rng.standard_normal(maxent.CLASSES).astype(np.float32), rng.standard_normal((maxent.FEATURES, maxent.ROWS, maxent.CLASSES)).astype(np.float32))
+    features, kind, room = rng.integers(0, maxent.ROWS, (maxent.FEATURES, 50)).astype(np.uint16), rng.integers(0, maxent.CLASSES, 50), np.empty((2, 20, maxent.CLASSES), np.float32)
+    z = sum(model.weights[f].astype(float)[features[f]] for f in range(maxent.FEATURES)) + model.bias
+    want = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    for k in range(0, 50, 20):
+        x = features[:, k : k + 20]
+        p = model.probs(x, room)
+        assert np.shares_memory(p, room) and np.array_equal(p, model.probs(x)) and np.allclose(p, want[k : k + 20], rtol=1e-4)
+        assert np.allclose(model.log_prob_of(x, kind[k : k + 20], room), np.log(want[np.arange(k, min(50, k + 20)), kind[k : k + 20]]), rtol=1e-4)
