@@ -36,6 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared folder: its lineage ends there."""
     shared_dir(df.sparkSession)
+    give_back()  # what the driver's Python has freed since
     return df.checkpoint(eager=True)
 
 
