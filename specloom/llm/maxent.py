@@ -45,6 +45,8 @@ RATE = 0.45
 SHARD_BYTES = 16 << 20
 #: Parts of a sum that are added at once.
 ADD_PARTS = 64
+#: Text that a task adds up at least, where each core has so many tasks.
+SUM_BYTES, TASKS_A_CORE = 48 << 20, 3
 #: Histories that are taken at once: while training, and while scoring.
 STEP, SCORED = 4096, 1024
 END = np.uint64(0xE2D0E2D0E2D0E2D1)
@@ -124,8 +126,13 @@ class Model:
         return np.log(np.maximum(z[np.arange(len(z)), kind], 1e-37).astype(np.float64)) - np.log(total.astype(np.float64))
 
 
-def _sums(docs: DataFrame, of, most: int = 2 << 20) -> list[np.ndarray]:
-    """The sums over all of docs of the arrays that of(texts) yields; added within a task, then by slices of the arrays, `ADD_PARTS` tasks' at a time until one is left."""
+def _sums(docs: DataFrame, of, most: int = 2 << 20, total: int | None = None) -> list[np.ndarray]:
+    """The sums over all of docs of the arrays that of(texts) yields; added within a task, then by slices of the arrays, `ADD_PARTS` tasks' at a time until one is left.
+
+    Each task sends arrays of their whole size, so the tasks are as many as the text asks for (`total` bytes, counted where not given), not as the files.
+    """
+    tasks = max(TASKS_A_CORE * docs.sparkSession.sparkContext.defaultParallelism, (text_bytes(docs) if total is None else total) // SUM_BYTES)
+    docs = docs.coalesce(tasks)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -180,15 +187,16 @@ def _cluster(rows: np.ndarray, weight: np.ndarray, k: int, rounds: int = 15) ->
     return (unit @ centres.T).argmax(axis=1)
 
 
-def train(docs: DataFrame, updates: int = UPDATES) -> Model:
-    """docs: the training rows (doc_id, text). One pass for the classes, then each update over its share of all rows."""
+def train(docs: DataFrame, updates: int = UPDATES, total: int | None = None) -> Model:
+    """docs: the training rows (doc_id, text), of about `total` bytes of text. One pass for the classes, then each update over its share of all rows."""
 
     def counts(texts: list[bytes]) -> list[np.ndarray]:
         t = Tokens(texts)
         word = t.tail >= 0
         return [np.bincount(t.bucket[word], minlength=WORD_BUCKETS).astype(float), np.bincount((t.tail * NEAR_BUCKETS + t.near())[word], minlength=TAIL_BUCKETS * NEAR_BUCKETS).astype(float), np.array([float(len(texts))])]
 
-    found = _sums(docs, counts)
+    total = text_bytes(docs) if total is None else total
+    found = _sums(docs, counts, total=total)
     words, pairs, texts = found if found else (np.zeros(WORD_BUCKETS), np.zeros(TAIL_BUCKETS * NEAR_BUCKETS), np.zeros(1))
     common = np.argsort(-words, kind="stable")[:COMMON]
     common = common[words[common] > 0]
@@ -226,7 +234,7 @@ def train(docs: DataFrame, updates: int = UPDATES) -> Model:
             return [seen, wanted.ravel(), bias, np.array([float(len(own))])]
 
         share = docs.where(F.pmod(F.floor(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) / FOLD), F.lit(updates)) == step)
-        found = _sums(share, gradient)
+        found = _sums(share, gradient, total=total // updates)
         if found and found[3][0]:
             seen, wanted, bias, n = found
             step_by = np.log((seen + 1) / (wanted + 1)) if step == 0 else np.clip((seen - wanted) / (wanted + SMOOTH), -1, 1)
@@ -238,8 +246,8 @@ def train(docs: DataFrame, updates: int = UPDATES) -> Model:
 def score_documents(docs: DataFrame, updates: int = UPDATES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
     own = documents(docs).withColumn("held_out", held_out())
-    model = train(own.where("not held_out").select("doc_id", "text"), updates)
     spark, total = docs.sparkSession, text_bytes(own)
+    model = train(own.where("not held_out").select("doc_id", "text"), updates, total)
     sent, shards, parts = spark.sparkContext.broadcast(model), B.shards_for(total, SHARD_BYTES), B.parts_for(own, total)
     dealt = B.pack(own, parts)
 

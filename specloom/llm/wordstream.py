@@ -28,6 +28,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 PLACES = 4096
+#: Bytes of words that are hashed at once.
+HASHED = 1 << 18
 
 
 @cache
@@ -61,10 +63,16 @@ class Words:
         if not len(size):
             self.hash = np.zeros(0, np.uint64)
             return
-        first = np.cumsum(size) - size
-        within = np.arange(size.sum()) - np.repeat(first, size)
-        value = byte_values(self.data[black], within)
-        self.hash = mix(np.add.reduceat(value, first) + size.astype(np.uint64))
+        letters, last = self.data[black], np.cumsum(size)
+        del black, edges
+        self.hash = np.empty(len(size), np.uint64)
+        cuts = np.unique([*np.searchsorted(last, np.arange(0, int(last[-1]), HASHED)).tolist(), len(size)])
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist()):  # what is worked out for each byte is held for some words alone
+            begin, own = last[a] - size[a], size[a:b]
+            first = last[a:b] - own - begin
+            value = byte_values(letters[begin : last[b - 1]], np.arange(last[b - 1] - begin) - np.repeat(first, own))
+            self.hash[a:b] = np.add.reduceat(value, first)
+        self.hash = mix(self.hash + size.astype(np.uint64))
 
     def tail(self, n: int) -> np.ndarray:
         """The last n bytes of each word as a number (0 before its start)."""
