@@ -149,7 +149,8 @@ def _unique(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 def candidates(docs: DataFrame, words: int, rule: Rule) -> DataFrame:
     """Pairs a, b (token null) to be compared, and of large groups each row: token, a, n, pos."""
     own = documents(docs)
-    spark, shards = docs.sparkSession, B.shards_for(text_bytes(own), SHARD_BYTES)
+    spark, total = docs.sparkSession, text_bytes(own)
+    shards = B.shards_for(total, SHARD_BYTES)
 
     def count(texts: list[bytes]) -> list[np.ndarray]:
         ends = np.cumsum([len(t) for t in texts]) // SCAN_BYTES
@@ -157,7 +158,7 @@ def candidates(docs: DataFrame, words: int, rule: Rule) -> DataFrame:
         cells = np.concatenate([_cell(Sets(texts[a:b], words).hash) for a, b in zip(cuts, cuts[1:])])
         return [np.bincount(cells, minlength=CELLS).astype(np.float32)]
 
-    counted = _sums(own, count, COUNT_BYTES)
+    counted = _sums(own, count, COUNT_BYTES, total)
     sent = spark.sparkContext.broadcast(counted[0].astype(np.float32) if counted else np.zeros(CELLS, np.float32))  # of fixed size
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,19 +265,26 @@ def similar(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return with_a.join(sets.select(F.col("node").alias("b"), F.col("own").alias("_y")), "b").select("a", "b", "_x", "_y").mapInArrow(compare, "a long, b long")
 
 
-def links(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, own: DataFrame | None = None) -> DataFrame:
-    """Pairs of nodes (a < b) that join all whose sets are similar: each similar pair is here or lies within a component of pairs that are."""
+def components(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, own: DataFrame | None = None) -> DataFrame:
+    """node and root of all nodes whose sets are similar to another's, directly or over others; root is the least node."""
     rule = Rule(similarity)
     near = durable(print_pairs(durable(nodes(docs, words)) if own is None else own))
     joined = durable(similar(near, sets_of(docs, near, words), rule))
     found = durable(candidates(docs, words, rule))
     pairs, large = found.where("token is null").select("a", "b").distinct(), found.where("token is not null").select("token", "a", "n", "pos")
-    pairs = durable(unlinked(pairs, connected_components(joined)))
-    linked = joined.union(durable(similar(pairs, sets_of(docs, pairs, words), rule)))
+    pairs = durable(unlinked(pairs, stars(joined)))
+    roots = connected_components(joined.union(durable(similar(pairs, sets_of(docs, pairs, words), rule))))
     if large.isEmpty():
-        return linked
-    more = durable(apart(large, connected_components(linked), rule))
-    return linked if more.isEmpty() else linked.union(durable(similar(more, sets_of(docs, more, words), rule)))
+        return roots
+    more = durable(apart(large, roots, rule))
+    if more.isEmpty():
+        return roots
+    return connected_components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(durable(similar(more, sets_of(docs, more, words), rule))))
+
+
+def stars(joined: DataFrame) -> DataFrame:
+    """node and root of pairs a, b whose a is the least node of their component: SimHash's pairs are of that kind, so they need no rounds."""
+    return joined.select(F.col("b").alias("node"), F.col("a").alias("root")).union(joined.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
 def unlinked(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -307,7 +315,7 @@ def sets_of(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
 def _marks(needed: DataFrame) -> np.ndarray:
     """A bitmap of 2**FILTER_BITS bits, by the first bits of the nodes."""
     place = F.shiftrightunsigned("node", 64 - FILTER_BITS) + 1  # buckets and their bits count from 1
-    rows = needed.groupBy(F.bitmap_bucket_number(place).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).toLocalIterator()
+    rows = needed.groupBy(F.bitmap_bucket_number(place).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()  # of the bitmap's size at most
     out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     for row in rows:
         part = np.frombuffer(bytes(row["bits"]), np.uint8)
@@ -318,7 +326,7 @@ def _marks(needed: DataFrame) -> np.ndarray:
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, fp (of equal sets), component_id (the smallest doc_id that can be reached over links) and root (a fp that names the component) of each row."""
     own = durable(nodes(docs, words))
-    return grouped(own.select("doc_id", "fp"), lambda _: links(docs, words, similarity, own))
+    return grouped(own.select("doc_id", "fp"), lambda _: components(docs, words, similarity, own))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

@@ -168,10 +168,10 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return at_home.join(sent, near).select("a", "b")
 
 
-def grouped(own: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """own (doc_id, fp) with component_id and its component's root; linked gives the links (a, b) of the distinct fp."""
+def grouped(own: DataFrame, components: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """own (doc_id, fp) with component_id and its component's root; components gives node and root of the distinct fp that are linked."""
     distinct = durable(own.groupBy("fp").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n")))
-    roots = connected_components(linked(distinct))
+    roots = components(distinct)
     joined = distinct.join(roots, distinct["fp"] == roots["node"])
     least = joined.groupBy("root").agg(F.min("_first").alias("_least"))
     named = distinct.join(roots.join(least, "root").select(F.col("node").alias("fp"), "root", "_least"), "fp", "left")
@@ -181,7 +181,7 @@ def grouped(own: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFra
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id that can be reached over links) and root (a fp that names the component) of each row."""
-    return grouped(durable(fingerprints(docs, n)), lambda distinct: links(distinct, threshold))
+    return grouped(durable(fingerprints(docs, n)), lambda distinct: connected_components(links(distinct, threshold)))
 
 
 def digest(found: DataFrame) -> DataFrame:

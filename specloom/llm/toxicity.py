@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .common import documents, draw, raw_texts, slices
+from .common import documents, draw, give_back, raw_texts, slices
 from .wordstream import WHITE, Words
 
 FOLD, HELD_OUT = 5, 0
@@ -71,6 +71,24 @@ class Inputs:
         self.end = np.minimum(begin[of] + n[of], self.at + WINDOW)
         self.of = of
 
+    @classmethod
+    def joined(cls, texts: list[bytes]) -> Inputs:
+        """The same, read some texts at a time: what is worked out for each byte is held for a part alone."""
+        parts = [cls(p) for p in _parts(texts)] or [cls([])]
+        before = lambda of: (np.cumsum([0, *map(of, parts[:-1])])).tolist()
+        words, grams, docs = before(lambda x: len(x.word)), before(lambda x: len(x.gram)), before(lambda x: len(x.counts))
+        out = cls.__new__(cls)
+        for name, ahead in (("first", grams), ("size", None), ("gram", None), ("word", None), ("counts", None), ("windows", None), ("at", words), ("end", words), ("of", docs)):
+            setattr(out, name, np.concatenate([(getattr(x, name) + k).astype(np.int32) for x, k in zip(parts, ahead or [0] * len(parts))]))  # of a bounded sample
+        return out
+
+
+def _parts(texts: list[bytes]) -> list[list[bytes]]:
+    """Of about `TRAIN_BYTES` each."""
+    cuts = np.cumsum([len(t) for t in texts]) // TRAIN_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(cuts)) + 1).tolist(), len(texts)]
+    return [texts[a:b] for a, b in zip(edges, edges[1:]) if b > a]
+
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
@@ -234,16 +252,23 @@ def log_odds(bucket: np.ndarray, sizes: np.ndarray, y: np.ndarray, size: int) ->
 
 def window_logits(net: Network, texts: list[bytes]) -> np.ndarray:
     """Of all windows of many texts, some at a time: the driver's memory is that of a part."""
-    cuts = np.cumsum([len(t) for t in texts]) // TRAIN_BYTES
-    parts = [[texts[i] for i in np.flatnonzero(cuts == c)] for c in np.unique(cuts)]
-    return np.concatenate([net.score(p, by_window=True)[0] for p in parts])
+    return np.concatenate([net.score(p, by_window=True)[0] for p in _parts(texts)])
+
+
+def window_maxima(values: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The largest value of each window (words from at to end); 0 of a window without words."""
+    out = np.full(len(at), -np.inf)
+    for j in range(WINDOW):
+        own = np.flatnonzero(at + j < end)
+        out[own] = np.maximum(out[own], values[at[own] + j])
+    return np.where(end > at, out, 0)
 
 
 def train(rows: list[tuple[int, bytes]], steps: tuple[int, ...] = STEPS, seed: int = 11) -> Network:
     """rows: label and text."""
     rng, net = np.random.default_rng(seed), Network(seed)
     y = np.array([t for t, _ in rows])
-    x = Inputs([t for _, t in rows])
+    x = Inputs.joined([t for _, t in rows])
     grams = np.add.reduceat(np.append(x.size, 0), np.minimum(np.cumsum(x.counts) - x.counts, len(x.size))) * (x.counts > 0)
     word, gram = log_odds(x.word, x.counts, y, WORDS), log_odds(x.gram, grams, y, GRAMS)
     net.p["word"][:, 0], net.p["gram"][:, 0] = word / 3, gram / 3
@@ -251,8 +276,7 @@ def train(rows: list[tuple[int, bytes]], steps: tuple[int, ...] = STEPS, seed: i
     toxic, clean = np.flatnonzero(of_window == 1), np.flatnonzero(of_window == 0)
     word, gram = np.maximum(word, 0).astype(np.float32), np.maximum(gram, 0).astype(np.float32)
     by_word = word[x.word] + (np.add.reduceat(gram[x.gram], x.first) / np.sqrt(x.size) if len(x.word) else 0)
-    pad = np.append(by_word, 0)
-    logit = np.array([pad[a:b].max() if b > a else 0 for a, b in zip(x.at.tolist(), x.end.tolist())])
+    logit = window_maxima(np.broadcast_to(by_word, len(x.word)), x.at, x.end)
     adam = Adam(net, 0.005)
     for count in steps:
         worst = np.maximum.reduceat(logit, per)
@@ -269,8 +293,7 @@ def train(rows: list[tuple[int, bytes]], steps: tuple[int, ...] = STEPS, seed: i
 def calibrate(net: Network, rows: list[tuple[int, bytes]]) -> float:
     """The shift of the logit at which the training rows' labels are met best, half-way to either side."""
     y = np.array([t for t, _ in rows])
-    x = Inputs([t for _, t in rows]).windows
-    logit = np.maximum.reduceat(window_logits(net, [t for _, t in rows]), np.cumsum(x) - x).astype(float)
+    logit = np.concatenate([net.score(p) for p in _parts([t for _, t in rows])]).astype(float)
     order = np.argsort(logit)
     logit, y = logit[order], y[order]
     wrong = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([np.cumsum((1 - y)[::-1])[::-1], [0]]) * 1.0
@@ -294,7 +317,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     if len({*y}) < 2:
         return None, float(np.mean(y)) if y else 0.0
     net = train(rows)
-    return net, calibrate(net, rows)
+    shift = calibrate(net, rows)
+    give_back()
+    return net, shift
 
 
 def score_documents(docs: DataFrame, model, *keep: str) -> DataFrame:

@@ -7,6 +7,7 @@ import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 from specloom.llm import common, jaccard, simhash
+from specloom.llm.components import connected_components
 
 
 def brute_set(text):
@@ -120,3 +121,22 @@ def test_workers_give_memory_back(monkeypatch):
     monkeypatch.setattr(common, "give_back", lambda: given.append(1))
     batch = pa.RecordBatch.from_pydict({"text": ["a" * 100] * 10})
     assert sum(b.num_rows for b in common.slices(iter([batch, batch]), most=300)) == 20 and given == [1]
+
+
+def test_jobs_and_tasks_follow_the_work(spark):
+    """However many partitions shuffles have: the bitmap of the needed nodes is one query, and few links make tables of few parts."""
+    links = spark.createDataFrame([(k, k + 1) for k in range(0, 90, 3)] + [(1, 5)], "a long, b long")
+    nodes = spark.range(50).selectExpr("shiftleft(id, 40) as node")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "97")
+    try:
+        spark.sparkContext.setJobGroup("marks", "marks")
+        marks = jaccard._marks(nodes)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert np.unpackbits(marks).sum() == 50 and len(spark.sparkContext.statusTracker().getJobIdsForGroup("marks")) <= 2
+        found = connected_components(links)
+        assert found._jdf.queryExecution().toRdd().getNumPartitions() <= 16
+        assert {tuple(r) for r in found.collect()} == {(k + j, k) for k in range(0, 90, 3) for j in (0, 1)} | {(5, 0)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.enabled")

@@ -278,3 +278,16 @@ def test_class_scores_work_in_the_room_they_are_given():
         p = model.probs(x, room)
         assert np.shares_memory(p, room) and np.array_equal(p, model.probs(x)) and np.allclose(p, want[k : k + 20], rtol=1e-4)
         assert np.allclose(model.log_prob_of(x, kind[k : k + 20], room), np.log(want[np.arange(k, min(50, k + 20)), kind[k : k + 20]]), rtol=1e-4)
+
+
+def test_training_inputs_are_joined_from_parts(monkeypatch):
+    """What training holds of all texts is the same read part by part."""
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 60)
+    texts = [b"", b"one", b" two  three ", b"a b c d e f g h i j k l", b"x" * 90, b"", "é ü".encode()] * 3
+    whole, parts = toxicity.Inputs(texts), toxicity.Inputs.joined(texts)
+    assert len(toxicity._parts(texts)) > 3
+    for name in ("first", "size", "gram", "word", "counts", "windows", "at", "end", "of"):
+        assert getattr(whole, name).tolist() == getattr(parts, name).tolist()
+    value = np.random.default_rng(3).normal(size=len(whole.word))
+    assert toxicity.window_maxima(value, whole.at, whole.end).tolist() == [value[a:b].max() if b > a else 0 for a, b in zip(whole.at.tolist(), whole.end.tolist())]
+    assert toxicity.Inputs.joined([]).at.tolist() == []
