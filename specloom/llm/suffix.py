@@ -34,6 +34,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,6 +96,12 @@ def window_anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarra
     return (least & np.uint64(0xFFFFFF)).astype(np.int64), h
 
 
+def documents_at(ends: np.ndarray, at: int, n: int) -> np.ndarray:
+    """Of the n bytes from `at`: how many documents end at or before each."""
+    before, upto = np.searchsorted(ends, [at, at + n - 1], side="right").tolist()
+    return before + np.cumsum(np.bincount(ends[before:upto] - at, minlength=n))
+
+
 class Anchored:
     """A block's texts in one buffer, and its anchors: place, the first and last window that has it, key, document."""
 
@@ -110,7 +117,7 @@ class Anchored:
             data = self.data[at : at + SCAN_BYTES + length - 1]
             where, h = window_anchors(data, length)
             first = np.arange(len(where))
-            doc = np.searchsorted(self.ends, at + first, side="right")
+            doc = documents_at(self.ends, at, len(where))
             inside = at + first + length <= self.ends[doc]
             where, first, doc = where[inside], first[inside], doc[inside]
             new = np.flatnonzero(np.diff(where, prepend=-1) | np.diff(doc, prepend=-1))
@@ -165,10 +172,10 @@ class Contexts:
         first, size, left = block.first[a], block.last[a] - block.first[a] + length, block.place[a] - block.first[a]
         width = 2 * length
         rows = np.zeros((len(a), width + 2), np.uint8)
-        step = 1 << 14
+        step, within = 1 << 12, np.arange(width)
+        strings = sliding_window_view(np.concatenate([block.data, np.zeros(width, np.uint8)]), width)
         for k in range(0, len(a), step):
-            within = np.arange(width)
-            rows[k : k + step, :width] = np.where(within < size[k : k + step, None], block.data[np.minimum(first[k : k + step, None] + within, max(0, len(block.data) - 1))], 0)
+            np.multiply(strings[first[k : k + step]], within < size[k : k + step, None], out=rows[k : k + step, :width])
         rows[:, width], rows[:, width + 1] = size, left
         order = np.lexsort((block.ids[block.doc[a]], row_hashes(rows), block.key[a]))
         ordered = rows[order]
@@ -240,10 +247,9 @@ def windows_of(rows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, n
     n = size - length + 1
     of = np.repeat(np.arange(len(rows)), n)
     start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    strings = np.empty((len(of), length), np.uint8)
-    for k in range(0, len(of), 1 << 16):
-        part = slice(k, k + (1 << 16))
-        strings[part] = rows[of[part, None], start[part, None] + np.arange(length)]
+    if not len(of):
+        return of, start, np.empty((0, length), np.uint8)
+    strings = sliding_window_view(np.ascontiguousarray(rows).ravel(), length)[of * rows.shape[1] + start]
     return of, left[of] - start, strings
 
 
@@ -363,7 +369,8 @@ def earlier_windows(rows: np.ndarray, keys: np.ndarray, ids: np.ndarray, length:
     same = (rows[1:] == rows[:-1]).all(axis=1) & (keys[1:] == keys[:-1])
     head = np.flatnonzero(np.concatenate([[True], ~same]))
     of = np.cumsum(np.concatenate([[True], ~same])) - 1
-    alone = np.bincount(np.unique(keys[head], return_inverse=True)[1])[np.unique(keys[head], return_inverse=True)[1]] == 1
+    kind = np.cumsum(np.diff(keys[head], prepend=keys[head][:1]) != 0)  # keys are in order
+    alone = np.bincount(kind)[kind] == 1
     least = np.full((len(head), length), _LAST, np.int64)
     size, left = rows[head, -2].astype(np.int64), rows[head, -1].astype(np.int64)
     window = np.arange(length)
@@ -384,8 +391,10 @@ def earlier_windows(rows: np.ndarray, keys: np.ndarray, ids: np.ndarray, length:
         first = np.minimum.reduceat(ids[head[crowded[a:b]]][row][by], np.flatnonzero(new))
         least[crowded[a:b][row[by]], w[by]] = first[string]
     masks = np.zeros(len(rows), np.uint64)
-    for w in range(length):
-        masks |= (least[of, w] < ids).astype(np.uint64) << np.uint64(w)
+    for k in range(0, len(rows), 1 << 12):
+        earlier = np.zeros((len(of[k : k + (1 << 12)]), 64), bool)
+        np.less(least[of[k : k + (1 << 12)]], ids[k : k + (1 << 12), None], out=earlier[:, :length])
+        masks[k : k + (1 << 12)] = np.packbits(earlier, axis=1, bitorder="little").view("<u8").ravel()
     out = np.empty(len(rows), np.uint64)
     out[order] = masks
     return out

@@ -91,3 +91,17 @@ def test_multikey_quicksort():
         order, new = suffix.multikey_quicksort(words, group)
         rows = [(int(group[k]), *words[k].tolist()) for k in order]
         assert rows == sorted(rows) and new.tolist() == [k == 0 or rows[k] != rows[k - 1] for k in range(n)]
+
+
+def test_places_and_windows_are_copied_by_slices():
+    """Documents of places by their ends' counts, empty ones too; windows of contexts as slices of the rows."""
+    ends = np.array([0, 3, 3, 7, 7, 12])
+    for at in range(12):
+        for n in range(1, 13 - at):
+            assert suffix.documents_at(ends, at, n).tolist() == np.searchsorted(ends, at + np.arange(n), side="right").tolist()
+    rows = np.random.default_rng(5).integers(0, 250, (40, 102)).astype(np.uint8)
+    rows[:, -2] = np.arange(50, 90)
+    of, _, strings = suffix.windows_of(rows, 50)
+    start = np.arange(len(of)) - np.searchsorted(of, of)
+    assert [s.tobytes() for s in strings] == [rows[r, k : k + 50].tobytes() for r, k in zip(of.tolist(), start.tolist())]
+    assert suffix.windows_of(rows[:0], 50)[2].shape == (0, 50)
