@@ -44,9 +44,11 @@ END_ID = 2
 #: Pieces of one length that are ranked together.
 RANK_GROUP = 2_000
 #: Words whose ids a worker keeps: so many at most, each of so many characters at most (a text without spaces is one word).
-CACHED_WORDS, CACHED_LENGTH = 300_000, 64
+CACHED_WORDS, CACHED_LENGTH = 200_000, 64
 #: New words that are encoded as one text.
 JOINED_WORDS = 64
+#: Text whose words are taken together.
+TEXT_BYTES = 1 << 20
 
 
 def default_tokenizer() -> str:
@@ -216,31 +218,47 @@ class Words:
     space has the ids of its space-parted words. Other texts are encoded whole by `tokenizers`.
     For the same reason many new words are encoded as one text, and the ids that begin with a
     space begin its words; a word that ends in white space (or is empty) is a text of its own.
+
+    The words of many texts lie in one buffer, each with the space before it, and Arrow numbers
+    the distinct ones; only those become Python objects. Of the words that are known when there
+    are too many, those stay that were met most often.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import re
-
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
         self.encoder.encode_special_tokens = True
-        self.run = re.compile(r"(?:\s|^) ")
         self.begins = np.zeros(self.encoder.get_vocab_size(), bool)
         self.begins[[k for token, k in self.encoder.get_vocab().items() if token[:1] == "\u0120"]] = True  # a space of byte-level tokens
-        self._forget()
-
-    def _forget(self) -> None:
-        """The known words; their ids in one pool, where each word's begin and how many they are."""
-        self.known, self.pool, self.start, self.size = _Numbers(), array("I"), array("q"), array("q")
+        self._keep(_Numbers())
+
+    def _keep(self, known: _Numbers) -> None:
+        """The known words; their ids in one pool, where each word's begin and how many they are, whether it ends in white space (or is empty), how often it was met."""
+        self.known, self.pool, self.start, self.size, self.white, self.met = known, array("I"), array("q"), array("q"), array("b"), array("i")
+
+    def _thin(self) -> None:
+        """Keeps half as many words as a worker may know, of those that were met more than once the ones most often met."""
+        pool, start, size, white, met = np.frombuffer(self.pool, np.uint32), *(np.frombuffer(x, x.typecode) for x in (self.start, self.size, self.white, self.met))
+        words, numbers = list(self.known), np.fromiter(self.known.values(), np.int64, len(self.known))
+        seen = met[numbers]
+        stay = np.sort(np.argsort(-seen, kind="stable")[: min(CACHED_WORDS // 2, int((seen > 1).sum()))])
+        old, known = numbers[stay], _Numbers()
+        known.update((words[k], n) for n, k in enumerate(stay.tolist()))
+        known.count = len(old)
+        self._keep(known)
+        self.pool.frombytes(_runs(pool, start[old], size[old]).tobytes())
+        for kept, values in ((self.start, np.cumsum(size[old]) - size[old]), (self.size, size[old]), (self.white, white[old]), (self.met, met[old] // 2)):
+            kept.frombytes(values.tobytes())
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
         """Puts the ids of the new words into the pool, those of long ones last."""
-        kind = np.array([2 if len(w) > CACHED_LENGTH else not w or w[-1].isspace() for w in new], np.int8)
+        white = np.array([not w or w[-1].isspace() for w in new], np.int8)
+        kind = np.where([len(w) > CACHED_LENGTH for w in new], 2, white)
         order = np.argsort(kind, kind="stable")
         joined = int((kind == 0).sum())
         plain, alone = [new[k] for k in order[:joined].tolist()], [new[k] for k in order[joined:].tolist()]
@@ -255,26 +273,63 @@ class Words:
         start = np.empty(len(new), np.int64)
         start[order] = np.cumsum(size[order]) - size[order] + len(self.pool)
         self.pool.frombytes(np.concatenate([ids, *others]).tobytes())
-        self.start.frombytes(start.tobytes())
-        self.size.frombytes(size.tobytes())
+        for kept, values in ((self.start, start), (self.size, size), (self.white, white), (self.met, np.zeros(len(new), np.int32))):
+            kept.frombytes(values.tobytes())
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        parts = [None if self.run.search(t) else t.split(" ") for t in texts]
+        return self.ids_of([t.encode() for t in texts])
+
+    def ids_of(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each UTF-8 text, little-endian unsigned 32-bit."""
         if self.known.count > CACHED_WORDS:
-            self._forget()
-        heads = self._encode([p[0] if p else t for p, t in zip(parts, texts)])
-        counts = [len(p) - 1 if p else 0 for p in parts]
-        number = np.fromiter(map(self.known.__getitem__, (w for p in parts if p for w in p[1:])), np.int64, sum(counts))
+            self._thin()
+        plain = [b"" if t[:1] == b" " or b"  " in t or b"\n " in t else t for t in texts]  # most texts with runs are known at once
+        distinct, of, counts = _split(plain)
+        number = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
         new, self.known.new = self.known.new, []
         if new:
             self._learn(new)
-        start, size = np.frombuffer(self.start, np.int64)[number], np.frombuffer(self.size, np.int64)[number]
-        ends = np.cumsum(size)
-        flat = np.frombuffer(self.pool, np.uint32)[np.repeat(start - (ends - size), size) + np.arange(size.sum())].tobytes()
-        cuts = (4 * np.concatenate([[0], ends])[np.cumsum([0, *counts])]).tolist()
+        np.frombuffer(self.met, np.int32)[number] += 1
+        white = np.frombuffer(self.white, np.int8)[number][of]
+        last = np.cumsum(counts)
+        white[last[counts > 0] - 1] = 0  # no space follows
+        runs = {*np.searchsorted(last, np.flatnonzero(white), side="right").tolist()}
+        heads = [(p[: p.find(b" ")] if n else t).decode() for t, p, n in zip(texts, plain, counts.tolist())]
+        for k, head in enumerate(heads):
+            if counts[k] and (k in runs or head[-1].isspace()):
+                runs.add(k)
+                heads[k] = texts[k].decode()
+        start, size = np.frombuffer(self.start, np.int64)[number][of], np.frombuffer(self.size, np.int64)[number][of]
+        flat = _runs(np.frombuffer(self.pool, np.uint32), start, size).tobytes()
+        cuts = (4 * np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], last])]).tolist()
         if long := [w for w in new if len(w) > CACHED_LENGTH]:
             del self.pool[min(self.start[self.known.pop(w)] for w in long) :]
-        return [head.tobytes() + flat[a:b] for head, a, b in zip(heads, cuts, cuts[1:])]
+        return [head.tobytes() + (b"" if k in runs else flat[cuts[k] : cuts[k + 1]]) for k, head in enumerate(self._encode(heads))]
+
+
+def _runs(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The values of each run one after another."""
+    ends = np.cumsum(size)
+    return values[np.repeat(start - (ends - size), size) + np.arange(size.sum())]
+
+
+def _split(texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words that follow a space, the place of each text's words in them, and how many each text has; no text begins with a space."""
+    data = b"".join(texts)
+    size = np.array([len(t) for t in texts], np.int64)
+    space, first = np.flatnonzero(np.frombuffer(data, np.uint8) == 0x20), np.cumsum(size) - size
+    at = np.searchsorted(space, first)
+    heads = at + np.arange(len(texts))
+    word = np.ones(len(space) + len(texts), bool)
+    word[heads] = False
+    offsets = np.append(np.insert(space, at, first), len(data))
+    parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(word), [pa.py_buffer(np.packbits(word, bitorder="little")), pa.py_buffer(offsets), pa.py_buffer(data)])
+    found = parts.dictionary_encode()
+    held, n = found.dictionary.buffers(), len(found.dictionary)
+    begin, end = np.frombuffer(held[1], np.int64, n + 1, found.dictionary.offset * 8)[[0, -1]].tolist() if n else (0, 0)
+    distinct = held[2][begin:end].to_pybytes()[1:].decode().split(" ") if n else []
+    of = np.frombuffer(found.indices.buffers()[1], np.int32, len(word), found.indices.offset * 4)[word]
+    return distinct, of, np.diff(np.append(at, len(space)))
 
 
 @cache
@@ -292,9 +347,9 @@ def tokenize(path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _worker_words(path)
-        for batch in slices(batches, most=1 << 20):
+        for batch in slices(batches, most=TEXT_BYTES):
             out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": [], **({"ids": []} if with_ids else {})}
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), words.ids([x.decode() for x in raw_texts(batch.column("text"))])):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), words.ids_of(raw_texts(batch.column("text")))):
                 ids, n = memoryview(ids + end), len(ids) // 4 + 1
                 start, k = 0, 0
                 while start < n:

@@ -139,3 +139,39 @@ def test_new_words_are_encoded_together():
     for _ in range(2):
         assert [np.frombuffer(x, "<u4").tolist() for x in words.ids(texts)] == [brute(t)[:-1] for t in texts]
     assert len(encoded) < 100 and len(words.pool) < 10_000
+
+
+def test_repeated_words_are_looked_up_once(monkeypatch):
+    """Only distinct words of a batch become Python objects; the ones met most often outlive the others; ids stay the tokenizer's."""
+
+    class Counting(packing._Numbers):
+        asked = 0
+
+        def __getitem__(self, word):
+            Counting.asked += 1
+            return super().__getitem__(word)
+
+    words = packing.Words(packing.default_tokenizer())
+    words.known = Counting()
+    text = "to be or not " * 5_000
+    assert np.frombuffer(words.ids([text, "", text])[2], "<u4").tolist() == brute(text)[:-1]
+    assert Counting.asked < 20
+    monkeypatch.setattr(packing, "CACHED_WORDS", 60)
+    words, encoded = packing.Words(packing.default_tokenizer()), []
+    encode = words._encode
+    words._encode = lambda texts: encoded.extend(texts) or encode(texts)
+    for k in range(40):
+        own = ["a common words " + " ".join(f"w{k}q{j}" for j in range(20)), "x common \u3000 words", "a \u00a0 b", "end common ", "c\td common\x85 words", "y" * 70 + " " + "z" * 70, ""]
+        assert [np.frombuffer(x, "<u4").tolist() for x in words.ids(own)] == [words.encoder.encode(t, add_special_tokens=False).ids for t in own]
+        assert len(words.known) < 120 and len(words.start) < 120
+    assert sum(" common " in f"{t} " and t != own[1] for t in encoded) == 1
+
+
+ODD_PARTS = ["a", "b1", " ", " ", "  ", "\n", "\t", "\x1c", "\x85", "\u00a0", "\u3000", "'s", "\u00e9", "\U0001f600", "<|endoftext|>"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(ODD_PARTS), max_size=12).map("".join), max_size=6))
+def test_any_white_space_gives_the_tokenizers_ids(texts):
+    words = packing._worker_words(packing.default_tokenizer())
+    assert [np.frombuffer(x, "<u4").tolist() for x in words.ids(texts)] == [words.encoder.encode(t, add_special_tokens=False).ids for t in texts]
