@@ -126,6 +126,22 @@ class Model:
         return np.log(np.maximum(z[np.arange(len(z)), kind], 1e-37).astype(np.float64)) - np.log(total.astype(np.float64))
 
 
+def add_rows(sums: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Adds each row of values (history, class) to the row of each feature's sums (feature, row * class) that rows (feature, history) names; two classes at once, as complex numbers."""
+    pairs, two = values.astype(np.float64).view(np.complex128), np.arange(values.shape[1] // 2)
+    for own, x in zip(sums.view(np.complex128), rows):
+        np.add.at(own, (x.astype(np.int64)[:, None] * len(two) + two).ravel(), pairs.ravel())
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, a place of each, and the number of each key's in them: numbered by hash, then only the distinct ones are sorted."""
+    coded = pa.array(keys).dictionary_encode()
+    found, of = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+    order, place, rank = np.argsort(found), np.empty(len(found), np.int64), np.empty(len(found), np.int64)
+    place[of], rank[order] = np.arange(len(of)), np.arange(len(order))
+    return found[order], place[order], rank[of]
+
+
 def _sums(docs: DataFrame, of, most: int = 2 << 20, total: int | None = None) -> list[np.ndarray]:
     """The sums over all of docs of the arrays that of(texts) yields; added within a task, then by slices of the arrays, `ADD_PARTS` tasks' at a time until one is left.
 
@@ -220,7 +236,7 @@ def train(docs: DataFrame, updates: int = UPDATES, total: int | None = None) ->
         def gradient(texts: list[bytes], sent=sent) -> list[np.ndarray]:
             m, t = sent.value, Tokens(texts)
             features, own = t.features(), m.classes(t)
-            wanted, every = np.zeros((FEATURES, ROWS * CLASSES)), np.arange(CLASSES)
+            wanted = np.zeros((FEATURES, ROWS * CLASSES))
             bias = np.bincount(own, minlength=CLASSES).astype(float)
             seen = np.concatenate([np.bincount(features[f].astype(np.int64) * CLASSES + own, minlength=ROWS * CLASSES) for f in range(FEATURES)]).astype(float)
             room = np.empty((2, STEP, CLASSES), np.float32)
@@ -228,9 +244,7 @@ def train(docs: DataFrame, updates: int = UPDATES, total: int | None = None) ->
                 x = features[:, k : k + STEP]
                 p = m.probs(x, room)
                 bias -= p.sum(axis=0)
-                flat = p.ravel().astype(np.float64)
-                for f in range(FEATURES):
-                    wanted[f] += np.bincount((x[f].astype(np.int64)[:, None] * CLASSES + every).ravel(), weights=flat, minlength=ROWS * CLASSES)
+                add_rows(wanted, x, p)
             return [seen, wanted.ravel(), bias, np.array([float(len(own))])]
 
         share = docs.where(F.pmod(F.floor(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) / FOLD), F.lit(updates)) == step)
@@ -252,10 +266,9 @@ def score_documents(docs: DataFrame, updates: int = UPDATES) -> DataFrame:
     dealt = B.pack(own, parts)
 
     def tokens_of(table: pa.Table) -> tuple[Tokens, np.ndarray, np.ndarray, np.ndarray]:
-        """The tokens of a block, its distinct keys in order, their first places, and the key of each token."""
+        """The tokens of a block, its distinct keys in order, a place of each, and the key of each token."""
         t = Tokens([x for c in table.column("text").chunks for x in raw_texts(c)])
-        keys, first, of = np.unique(t.key, return_index=True, return_inverse=True)
-        return t, keys, first, of
+        return t, *distinct(t.key)
 
     def shard_slices(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
         shard = ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
@@ -264,8 +277,8 @@ def score_documents(docs: DataFrame, updates: int = UPDATES) -> DataFrame:
             yield int(shard[a]), slice(a, b)
 
     def send(table: pa.Table, _) -> Iterator[tuple[int, bytes]]:
-        t, keys, first, of = tokens_of(table)
-        kind = sent.value.classes(t)[first].astype(np.uint8)
+        t, keys, place, of = tokens_of(table)
+        kind = sent.value.classes(t)[place].astype(np.uint8)
         trains = np.repeat(~table.column("held_out").to_numpy(), t.sizes)
         n = np.bincount(of[trains], minlength=len(keys)).astype(np.uint32)
         for shard, part in shard_slices(keys):

@@ -30,6 +30,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 PLACES = 4096
 #: Bytes of words that are hashed at once.
 HASHED = 1 << 18
+#: Places at which the bytes of all words are taken together.
+EARLY = 24
 
 
 @cache
@@ -52,27 +54,37 @@ class Words:
 
     def __init__(self, texts: list[bytes], gap: int = 1):
         """gap: how many bytes of white space part texts (what looks that far beyond a word sees no other text)."""
-        self.data = LOWER[np.frombuffer((b"\n" * gap).join([b"", *texts, b""]), np.uint8)]
+        joined = (b"\n" * gap).join([b"", *texts, b""])
+        self.data = np.frombuffer(joined.translate(LOWER.tobytes()), np.uint8)
         ends = np.cumsum([len(t) + gap for t in texts]) if texts else np.zeros(0, np.int64)
-        black = ~WHITE[self.data]
-        edges = np.flatnonzero(np.diff(black.view(np.int8)))
+        black = (self.data != 0x20) & (self.data - np.uint8(0x09) > 0x0D - 0x09)
+        edges = np.flatnonzero(black[1:] != black[:-1])
         self.start, self.end = edges[::2] + 1, edges[1::2] + 1
+        del joined, black, edges
+        self.counts = np.diff(np.searchsorted(self.start, ends), prepend=0)
+        self.doc = np.repeat(np.arange(len(texts)), self.counts)
+        self.hash = np.empty(len(self.start), np.uint64)
         size = self.end - self.start
-        self.doc = np.searchsorted(ends, self.start, side="right")
-        self.counts = np.bincount(self.doc, minlength=len(texts))
-        if not len(size):
-            self.hash = np.zeros(0, np.uint64)
-            return
-        letters, last = self.data[black], np.cumsum(size)
-        del black, edges
-        self.hash = np.empty(len(size), np.uint64)
-        cuts = np.unique([*np.searchsorted(last, np.arange(0, int(last[-1]), HASHED)).tolist(), len(size)])
-        for a, b in zip(cuts.tolist(), cuts[1:].tolist()):  # what is worked out for each byte is held for some words alone
-            begin, own = last[a] - size[a], size[a:b]
-            first = last[a:b] - own - begin
-            value = byte_values(letters[begin : last[b - 1]], np.arange(last[b - 1] - begin) - np.repeat(first, own))
-            self.hash[a:b] = np.add.reduceat(value, first)
-        self.hash = mix(self.hash + size.astype(np.uint64))
+        last = np.cumsum(size)
+        cuts = np.unique([*np.searchsorted(last, np.arange(0, int(last[-1]), HASHED)).tolist(), len(size)]).tolist() if len(size) else []
+        for a, b in zip(cuts, cuts[1:]):  # what is worked out for each byte is held for some words alone
+            self.hash[a:b] = mix(self._sums(self.start[a:b], size[a:b]) + size[a:b].astype(np.uint64))
+
+    def _sums(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The sum of the values of each word's bytes: place by place over the words that reach it, then the rest of long words."""
+        order = np.argsort(-size, kind="stable")
+        start, size = start[order], size[order]
+        out = np.zeros(len(size), np.uint64)
+        for place, n in enumerate(np.searchsorted(-size, -np.arange(1, min(int(size[0]), EARLY) + 1), side="right").tolist()):
+            out[:n] += _table()[place << 8 : (place + 1) << 8][self.data[start[:n] + place]]
+        if n := int(np.searchsorted(-size, -EARLY)):
+            own = size[:n] - EARLY
+            within = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+            value = byte_values(self.data[np.repeat(start[:n] + EARLY, own) + within], within + EARLY)
+            out[:n] += np.add.reduceat(value, np.cumsum(own) - own)
+        back = np.empty_like(out)
+        back[order] = out
+        return back
 
     def tail(self, n: int) -> np.ndarray:
         """The last n bytes of each word as a number (0 before its start)."""

@@ -291,3 +291,34 @@ def test_training_inputs_are_joined_from_parts(monkeypatch):
     value = np.random.default_rng(3).normal(size=len(whole.word))
     assert toxicity.window_maxima(value, whole.at, whole.end).tolist() == [value[a:b].max() if b > a else 0 for a, b in zip(whole.at.tolist(), whole.end.tolist())]
     assert toxicity.Inputs.joined([]).at.tolist() == []
+
+
+def test_expectations_add_up_without_an_index_for_each_class(monkeypatch):
+    """Rows of histories are added in pairs of classes, exactly as one by one; distinct keys are those of a sort."""
+    rng = np.random.default_rng(8)
+    rows, values = rng.integers(0, 9, (maxent.FEATURES, 70)), rng.random((70, maxent.CLASSES), np.float32)
+    sums = np.ones((maxent.FEATURES, 9 * maxent.CLASSES))
+    monkeypatch.setattr(np, "bincount", None)
+    maxent.add_rows(sums, rows.astype(np.uint16), values)
+    want = np.ones((maxent.FEATURES, 9, maxent.CLASSES))
+    for f in range(maxent.FEATURES):
+        for row, value in zip(rows[f].tolist(), values.astype(float)):
+            want[f, row] += value
+    assert sums.tolist() == want.reshape(sums.shape).tolist()
+    for keys in (np.zeros(0, np.uint64), np.array([2**64 - 1, 0, 7, 0, 2**63], np.uint64), rng.integers(0, 50, 400).astype(np.uint64)):
+        found, place, of = maxent.distinct(keys)
+        assert found.tolist() == np.unique(keys).tolist() and found[of].tolist() == keys.tolist() and keys[place].tolist() == found.tolist()
+
+
+def test_words_are_hashed_place_by_place(monkeypatch):
+    """Short words need no place for each of their bytes; hashes are the sums of the bytes' values all the same."""
+    from specloom.llm import wordstream
+
+    asked, real = [], wordstream.byte_values
+    monkeypatch.setattr(wordstream, "byte_values", lambda data, within: asked.append(len(data)) or real(data, within))
+    texts = [b"", b" To be\tOR not  ", b"a" * 23 + b" " + b"b" * 24 + b" " + b"c" * 25, bytes(range(256)), b"d" * 9000]
+    found = wordstream.Words(texts)
+    words = [w for t in texts for w in re.split(rb"[\x20\x09-\x0D]+", t.lower()) if w]
+    assert sum(asked) < sum(len(w) for w in words if len(w) > 24)
+    assert found.doc.tolist() == [1] * 4 + [2] * 3 + [3] * 3 + [4] and found.counts.tolist() == [0, 4, 3, 3, 1]
+    assert found.hash.tolist() == [int(wordstream.mix(np.array([(real(np.frombuffer(w, np.uint8), np.arange(len(w))).sum() + np.uint64(len(w)))], np.uint64))[0]) for w in words]
