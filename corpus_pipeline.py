@@ -9,10 +9,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from specloom.llm import decontaminate, jaccard, packing, suffix, toxicity
-from specloom.llm.common import durable, table
+from specloom.llm.common import durable, small_batches, table
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,12 +39,20 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
+def in_small_batches(stage: Stage) -> Stage:
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("toxicity", reject_toxic),
-    ("simhash_near_dedup", drop_near_duplicates),
-    ("suffix_array_dedup", cut_repeats),
-    ("decontamination", cut_benchmark),
-    ("best_fit_packing", pack),
+    ("toxicity", in_small_batches(reject_toxic)),
+    ("simhash_near_dedup", in_small_batches(drop_near_duplicates)),
+    ("suffix_array_dedup", in_small_batches(cut_repeats)),
+    ("decontamination", in_small_batches(cut_benchmark)),
+    ("best_fit_packing", in_small_batches(pack)),
 ]
 
 #: SQL can express neither the classifier nor the tokenizer; tests hold the stages against brute force.

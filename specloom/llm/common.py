@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 #: Text handled at once inside a Python worker.
 CHUNK_BYTES = 4 << 20
+#: Rows that a worker gets at once (a longer row alone): a batch stands in the executor's memory and in the worker's besides.
+BATCH_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands Python workers about `BATCH_BYTES` of rows at once (Spark's default is 64 MB, of 10,000 rows at most), unless it is set already."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def durable(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared folder: its lineage ends there."""
     shared_dir(df.sparkSession)

@@ -155,8 +155,10 @@ def candidates(docs: DataFrame, words: int, rule: Rule) -> DataFrame:
     def count(texts: list[bytes]) -> list[np.ndarray]:
         ends = np.cumsum([len(t) for t in texts]) // SCAN_BYTES
         cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
-        cells = np.concatenate([_cell(Sets(texts[a:b], words).hash) for a, b in zip(cuts, cuts[1:])])
-        return [np.bincount(cells, minlength=CELLS).astype(np.float32)]
+        counts = np.zeros(CELLS, np.float32)
+        for a, b in zip(cuts, cuts[1:]):
+            np.add.at(counts, _cell(Sets(texts[a:b], words).hash), np.float32(1))
+        return [counts]
 
     counted = _sums(own, count, COUNT_BYTES, total)
     sent = spark.sparkContext.broadcast(counted[0].astype(np.float32) if counted else np.zeros(CELLS, np.float32))  # of fixed size

@@ -46,6 +46,8 @@ SHALLOW = 32
 HOT = 100_000
 SHARD_BYTES = 6 << 20
 SCAN_BYTES = 1 << 18
+#: Contexts that are gathered, compared and hashed at once, and windows that are sorted at once (those of one key at least).
+ROWS, SORT_ROWS = 1 << 12, 1 << 18
 _LAST = np.iinfo(np.int64).max
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
@@ -172,15 +174,13 @@ class Contexts:
         first, size, left = block.first[a], block.last[a] - block.first[a] + length, block.place[a] - block.first[a]
         width = 2 * length
         rows = np.zeros((len(a), width + 2), np.uint8)
-        step, within = 1 << 12, np.arange(width)
+        step, within = ROWS, np.arange(width)
         strings = sliding_window_view(np.concatenate([block.data, np.zeros(width, np.uint8)]), width)
         for k in range(0, len(a), step):
             np.multiply(strings[first[k : k + step]], within < size[k : k + step, None], out=rows[k : k + step, :width])
         rows[:, width], rows[:, width + 1] = size, left
         order = np.lexsort((block.ids[block.doc[a]], row_hashes(rows), block.key[a]))
-        ordered = rows[order]
-        same = (ordered[1:] == ordered[:-1]).all(axis=1) & (np.diff(block.key[a][order]) == 0) if len(a) else np.zeros(0, bool)
-        new = np.concatenate([[True], ~same]) if len(a) else same
+        new = ~repeated(rows, block.key[a], order)
         self.of = np.empty(len(a), np.int64)
         self.of[order] = np.cumsum(new) - 1
         head = order[new]
@@ -216,7 +216,7 @@ class Contexts:
                 single = ~whole & (mask > 0)
                 np.bitwise_or.at(masks, of[part][single], np.uint64(1) << window[part][single].astype(np.uint64))
         later = block.ids[block.doc[a]] > self.doc_id[self.of]
-        marks = np.zeros(len(block.data) + 1, np.int64)
+        marks = np.zeros(len(block.data) + 1, np.int32)  # sums are of windows over one byte
         full = a[later]
         np.add.at(marks, block.first[full], 1)
         np.add.at(marks, np.minimum(block.last[full] + self.length, len(block.data)), -1)
@@ -227,17 +227,29 @@ class Contexts:
             hit = at[(mask >> np.uint64(w) & np.uint64(1) > 0) & (at >= block.first[rest]) & (at <= block.last[rest])]
             np.add.at(marks, hit, 1)
             np.add.at(marks, np.minimum(hit + self.length, len(block.data)), -1)
-        return np.cumsum(marks[:-1]) > 0
+        np.cumsum(marks, out=marks)
+        return marks[:-1] > 0
 
 
 def row_hashes(rows: np.ndarray) -> np.ndarray:
     """A hash of each row of bytes."""
     n, width = rows.shape
-    whole = np.zeros((n, -(-width // 8) * 8), np.uint8)
-    whole[:, :width] = rows
     out = np.zeros(n, np.uint64)
-    for column in whole.view(np.uint64).T:
-        out = _join(out, column)
+    for k in range(0, n, ROWS):
+        own = out[k : k + ROWS]
+        whole = np.zeros((len(own), -(-width // 8) * 8), np.uint8)
+        whole[:, :width] = rows[k : k + ROWS]
+        for column in whole.view(np.uint64).T:
+            own[:] = _join(own, column)
+    return out
+
+
+def repeated(rows: np.ndarray, keys: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """In an order, which rows equal the one before in bytes and key."""
+    out = np.zeros(len(order), bool)
+    for k in range(0, len(order), ROWS):
+        own = order[max(0, k - 1) : k + ROWS]
+        out[max(1, k) : k + ROWS] = (rows[own[1:]] == rows[own[:-1]]).all(axis=1) & (keys[own[1:]] == keys[own[:-1]])
     return out
 
 
@@ -365,37 +377,38 @@ def deep_shallow(strings: np.ndarray, group: np.ndarray, shallow: int = SHALLOW)
 def earlier_windows(rows: np.ndarray, keys: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
     """For each context, the windows (bits, by bytes to the anchor) that a context of the same key with a smaller doc_id has too."""
     order = np.lexsort((ids, row_hashes(rows), keys))
-    rows, keys, ids = rows[order], keys[order], ids[order]
-    same = (rows[1:] == rows[:-1]).all(axis=1) & (keys[1:] == keys[:-1])
-    head = np.flatnonzero(np.concatenate([[True], ~same]))
-    of = np.cumsum(np.concatenate([[True], ~same])) - 1
+    new = ~repeated(rows, keys, order)
+    keys, names, ids = keys[order], *np.unique(ids[order], return_inverse=True)
+    head, of, ids = np.flatnonzero(new), np.cumsum(new) - 1, ids.astype(np.int32)  # doc_ids by their rank
+    rows = rows[order[head]]
     kind = np.cumsum(np.diff(keys[head], prepend=keys[head][:1]) != 0)  # keys are in order
     alone = np.bincount(kind)[kind] == 1
-    least = np.full((len(head), length), _LAST, np.int64)
-    size, left = rows[head, -2].astype(np.int64), rows[head, -1].astype(np.int64)
+    least = np.full((len(head), length), len(names), np.int32)
+    size, left = rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64)
     window = np.arange(length)
-    least = np.where((window <= left[:, None]) & (window >= (left - (size - length))[:, None]), ids[head][:, None], least)
+    for k in range(0, len(head), ROWS):
+        part = slice(k, k + ROWS)
+        np.copyto(least[part], ids[head[part], None], where=(window <= left[part, None]) & (window >= (left - (size - length))[part, None]))
     crowded = np.flatnonzero(~alone)
     number = np.unique(keys[head[crowded]], return_inverse=True)[1]
-    most = 1 << 20
     cuts = [0]
     for k in np.flatnonzero(np.diff(number)) + 1:
-        if (k - cuts[-1]) * (length - length // 2 + 2) > most:
+        if (k - cuts[-1]) * (length - length // 2 + 2) > SORT_ROWS:
             cuts.append(int(k))
     for a, b in zip(cuts, [*cuts[1:], len(crowded)]):
-        row, w, strings = windows_of(rows[head[crowded[a:b]]], length)
+        row, w, strings = windows_of(rows[crowded[a:b]], length)
         if not len(row):
             continue
         by, new = deep_shallow(strings, number[a:b][row] * length + w)
         string = np.cumsum(new) - 1
         first = np.minimum.reduceat(ids[head[crowded[a:b]]][row][by], np.flatnonzero(new))
         least[crowded[a:b][row[by]], w[by]] = first[string]
-    masks = np.zeros(len(rows), np.uint64)
-    for k in range(0, len(rows), 1 << 12):
-        earlier = np.zeros((len(of[k : k + (1 << 12)]), 64), bool)
-        np.less(least[of[k : k + (1 << 12)]], ids[k : k + (1 << 12), None], out=earlier[:, :length])
-        masks[k : k + (1 << 12)] = np.packbits(earlier, axis=1, bitorder="little").view("<u8").ravel()
-    out = np.empty(len(rows), np.uint64)
+    masks = np.zeros(len(of), np.uint64)
+    for k in range(0, len(of), ROWS):
+        earlier = np.zeros((len(of[k : k + ROWS]), 64), bool)
+        np.less(least[of[k : k + ROWS]], ids[k : k + ROWS, None], out=earlier[:, :length])
+        masks[k : k + ROWS] = np.packbits(earlier, axis=1, bitorder="little").view("<u8").ravel()
+    out = np.empty(len(of), np.uint64)
     out[order] = masks
     return out
 

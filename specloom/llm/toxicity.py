@@ -353,7 +353,7 @@ def reject(docs: DataFrame, model) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, shift = sent.value
-        for batch in slices(batches, most=1 << 19):
+        for batch in slices(batches, most=1 << 18):
             yield batch.filter(pa.array(probability(net, shift, raw_texts(batch.column("text"))) < 0.5))
 
     return own.mapInArrow(scan, own.schema)
