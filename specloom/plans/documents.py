@@ -113,20 +113,24 @@ def fields(ops: DataFrame) -> DataFrame:
     answers = statuses(ops).select(*KEY, F.col("status").alias("scope"), F.try_variant_get("answer", _BODY, "variant").alias("v"))
     asked = ops.select(*KEY, F.lit("request").alias("scope"), F.try_variant_get("op", f"$.requestBody{_BODY[1:]}", "variant").alias("v"))
     rows = answers.unionByName(asked).where(F.schema_of_variant("v").startswith("OBJECT"))
-    return rows.withColumn("n", nodes(F.to_json("v"))).select(*KEY, "scope", F.explode("n").alias("o")).select(*KEY, "scope", "o.path", "o.parent", "o.types", "o.required", "o.text")
+    found = rows.withColumn("n", nodes(F.to_json("v"))).select(*KEY, "scope", F.explode_outer("n").alias("o")).where("o is not null")  # a plain explode would have every schema walked twice, once for a filter on its size
+    return found.select(*KEY, "scope", "o.path", "o.parent", "o.types", "o.required", "o.text")
 
 
 def carry_over(new: DataFrame, old: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """new (fields) with the texts of the old document where a node has none of its own and is unchanged (same place, same types).
 
     rules (KEY, scope, path, text): what a rule would say; it is used where neither has a text.
+
+    The joins are by merge: Spark takes the nodes of many documents for no more than the table that
+    names them, and would send them all through the driver to every task.
     """
     place = [*KEY[1:], "scope", "path"]
     known = old.where("text is not null").select(*place, F.col("types").alias("_types"), F.col("text").alias("_old"))
-    out = new.join(known, place, "left").withColumn("_old", F.when(F.col("_types") == F.col("types"), F.col("_old")))
+    out = new.join(known.hint("merge"), place, "left").withColumn("_old", F.when(F.col("_types") == F.col("types"), F.col("_old")))
     said = [F.col("text"), F.col("_old")]
     if rules is not None:
-        out = out.join(rules.select(*place, F.col("text").alias("_rule")), place, "left")
+        out = out.join(rules.select(*place, F.col("text").alias("_rule")).hint("merge"), place, "left")
         said.append(F.col("_rule"))
     return out.withColumn("text", F.coalesce(*said)).select(*new.columns)
 

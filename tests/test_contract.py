@@ -184,3 +184,17 @@ def test_a_document_folded_from_tables(spark, contract):
     found = documents.fields(documents.operations(spark.createDataFrame([("d", row["spec"])], "doc string, spec string")))
     flat = {(r["scope"], r["path"]): (r["types"], r["required"]) for r in found.collect()}
     assert flat == {(r["scope"], r["path"]): (sorted(r["types"]), bool(r["required"])) for r in contract.profile.collect()}
+
+
+def test_texts_are_carried_over_without_a_broadcast(spark):
+    """Spark takes the nodes of documents for no more than their table: no side of the joins may be sent through the driver for that."""
+    from specloom.plans import documents
+
+    spec = """concat('{"paths":{"/', id, '":{"get":{"responses":{"200":{"content":{"application/json":{"schema":{"type":"object","properties":{"a":{"type":"string"', @, '},"b":{"type":"boolean"}}}}}}}}}}}')"""
+    side = lambda text: documents.fields(documents.operations(spark.range(40).selectExpr("id AS doc", f"{spec.replace('@', text)} AS spec")))
+    new = side("CASE WHEN id % 4 = 0 THEN ',\"description\":\"own\"' ELSE '' END")
+    out = documents.carry_over(new, side("""',"description":"old"'"""), new.where("path = 'b'").withColumn("text", F.lit("rule")))
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    want = {(k, path): text for k in range(40) for path, text in (("", None), ("a", "old" if k % 4 else "own"), ("b", "rule"))}
+    rows = out.collect()
+    assert len(rows) == len(want) and {(r["doc"], r["path"]): r["text"] for r in rows} == want
