@@ -10,7 +10,8 @@ def canonical_key(key: Column) -> Column:
     """snake_case of any spelling of a key; the key itself where nothing is left."""
     snake = F.regexp_replace(F.regexp_replace(key, "(.)([A-Z][a-z]+)", "$1_$2"), "([a-z0-9])([A-Z])", "$1_$2")
     flat = F.regexp_replace(F.lower(F.regexp_replace(snake, "[- ]", "_")), "^_+|_+$", "")
-    return F.when(flat == "", key).otherwise(flat)
+    plain = key.rlike(r"\A[a-z0-9]([a-z0-9_]*[a-z0-9])?\z")  # most keys are, and one look is cheaper than five
+    return F.when(plain | (flat == ""), key).otherwise(flat)
 
 
 def name_tokens(name: Column) -> Column:

@@ -348,7 +348,7 @@ def spec_diff_fields(spark, sf_dir):
  t AS (SELECT method, template, scope, max(idx) AS n FROM i GROUP BY ALL)
  SELECT method, template, scope, path, first_seen, present, n - last_seen AS missing_streak, CASE WHEN n > last_seen THEN last_seen + 1 END AS missing_since FROM f JOIN t USING (method, template, scope)""")
 def missing_streaks(spark, sf_dir):
-    out = tracker.field_states(_observed(spark, sf_dir)).where("scope <> 'request'")
+    out = tracker.field_states(observe(bodies(entries(spark, sf_dir)), DEPTH)).where("scope <> 'request'")  # read whole once: nothing to persist
     return out.select("method", "template", "scope", "path", F.col("first_seen").cast("long"), "present", "missing_streak", F.col("missing_since").cast("long"))
 
 

@@ -28,7 +28,7 @@ from ..functions.text import name_similarity
 from ..operators import diff
 from ..operators.endpoints import greedy
 from ..operators.observe import KEY, SCOPE, is_success, with_template
-from .tracker import REMOVAL_STREAK, RENAME_WINDOW, REQUIRED_STREAK, WARM_UP, field_counts
+from .tracker import REMOVAL_STREAK, RENAME_WINDOW, REQUIRED_STREAK, WARM_UP, by_stretch, field_counts
 
 SCOPES = "method string, template string, scope string, calls long, bodies long, marked long"
 FIELDS = (
@@ -67,8 +67,9 @@ def calls_of(entries: DataFrame) -> DataFrame:
 def fold(state: State, entries: DataFrame, observed: DataFrame) -> State:
     """The state after a batch: entries and the observations of their bodies. What is committed stays as it is."""
     calls = calls_of(entries)
-    own = field_counts(observed, calls)
-    counted = calls.groupBy(*SCOPE).agg(F.count("*").alias("_calls"))
+    called = by_stretch(calls, SCOPE, F.count("*"))
+    own = field_counts(observed, (calls, called))
+    counted = called.groupBy(*SCOPE).agg(F.sum("_n").alias("_calls"))
     tracked = own.where("path = ''").select(*SCOPE, F.col("present").alias("_bodies"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
     scopes = state.scopes.join(counted, SCOPE, "full_outer").join(tracked, SCOPE, "left")

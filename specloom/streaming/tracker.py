@@ -7,12 +7,15 @@ number of bodies with the parent less the parent's number where the field was la
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import name_similarity
 from ..operators.observe import KEY, SCOPE, with_template
 from ..operators.profile import REQUIRED_SHARE
+from ..scratch import scratch
 
 # When a scope is warm, when a field is gone or required, how near renames lie.
 WARM_UP, REMOVAL_STREAK, REQUIRED_STREAK, RENAME_WINDOW = 10, 10, 10, 2
@@ -20,27 +23,45 @@ WARM_UP, REMOVAL_STREAK, REQUIRED_STREAK, RENAME_WINDOW = 10, 10, 10, 2
 
 #: Places of an order (entry_seq) that are counted together: no task sorts a whole scope.
 STRETCH = 1 << 16
+#: Up to so many asked stretches are named in a filter, which Spark applies to the log before its bodies are parsed; more are joined.
+FEW = 4096
 
 
 def _stretch(seq: str | Column) -> Column:
     return F.floor((F.col(seq) if isinstance(seq, str) else seq) / STRETCH).cast("long")
 
 
-def places(asked: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame:
+def held(df: DataFrame, name: str) -> DataFrame:
+    """A table that several others read, written to the shared folder and read again: plans stay short, and what is joined to it is planned by its size."""
+    folder = scratch(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def by_stretch(rows: DataFrame, by: list[str], count: Column) -> DataFrame:
+    """by, _s, _n (count) and _least and _most, the ends of entry_seq, of every stretch that has rows."""
+    return rows.groupBy(*by, _stretch("entry_seq").alias("_s")).agg(count.alias("_n"), F.min("entry_seq").alias("_least"), F.max("entry_seq").alias("_most"))
+
+
+def places(asked: DataFrame, rows: DataFrame, counts: DataFrame, by: list[str]) -> DataFrame:
     """For each asked (by, seq), once: `upto`, how many of rows (by, entry_seq) with its key are at most seq, and `after`, the least entry_seq beyond it.
 
-    Rows are counted by stretches of their order; only the rows of an asked place's own stretch are met
-    one by one, so a key with most of the rows costs no more than its places.
+    counts: `by_stretch` of the rows. Only the rows of an asked place's own stretch are met one by
+    one, so a key with most of the rows costs no more than its places.
     """
-    each = rows.select(*by, "entry_seq", _stretch("entry_seq").alias("_s"))
-    counts = each.groupBy(*by, "_s").agg(F.count("*").alias("_n"), F.min("entry_seq").alias("_least"))
     over = Window.partitionBy(*by).orderBy("_s")  # a row a stretch
+    counts = counts.groupBy(*by, "_s").agg(F.sum("_n").alias("_n"), F.min("_least").alias("_least"))
     counts = counts.select(*by, "_s", (F.sum("_n").over(over) - F.col("_n")).alias("_before"), F.lead("_least").over(over).alias("_next"))
     asked = asked.select(*by, "seq", _stretch("seq").alias("_s")).distinct()
+    stretches = asked.select("_s").distinct()
+    few = [r["_s"] for r in stretches.limit(FEW + 1).collect()]
+    near = rows.where(_stretch("entry_seq").isin(few)) if len(few) <= FEW else rows.join(stretches, _stretch(rows["entry_seq"]) == stretches["_s"], "left_semi")
+    each = near.withColumn("_s", _stretch("entry_seq")).join(asked, [*by, "_s"]).distinct()
     upto, soon = F.count_if(F.col("entry_seq") <= F.col("seq")), F.min(F.when(F.col("entry_seq") > F.col("seq"), F.col("entry_seq")))
-    met = asked.join(each, [*by, "_s"], "left").groupBy(*by, "_s", "seq").agg(upto.alias("_k"), soon.alias("_soon"))
-    found = met.join(counts, [*by, "_s"], "left")
-    return found.select(*by, "seq", (F.coalesce("_before", F.lit(0)) + F.col("_k")).cast("long").alias("upto"), F.coalesce("_soon", "_next").alias("after"))
+    met = each.groupBy(*by, "_s", "seq").agg(upto.alias("_k"), soon.alias("_soon"))
+    found = asked.join(met, [*by, "_s", "seq"], "left").join(counts, [*by, "_s"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return found.select(*by, "seq", (zero("_before") + zero("_k")).cast("long").alias("upto"), F.coalesce("_soon", "_next").alias("after"))
 
 
 def _with_place(points: DataFrame, found: DataFrame, by: list[str], seq: str, **names: str) -> DataFrame:
@@ -48,25 +69,30 @@ def _with_place(points: DataFrame, found: DataFrame, by: list[str], seq: str, **
     return points.join(found.select(*by, F.col("seq").alias(seq), *[F.col(c).alias(name) for name, c in names.items()]), [*by, seq], "left")
 
 
-def field_counts(observed: DataFrame, calls: DataFrame | None = None) -> DataFrame:
+def field_counts(observed: DataFrame, calls: tuple[DataFrame, DataFrame] | None = None, keep: Callable[[DataFrame, str], DataFrame] = held) -> DataFrame:
     """Per path of each scope (the root included), counted in bodies of the scope from 0: first, present, streak and since.
 
     streak: bodies with the parent after the last with the field; since: the first of them. always:
     whether every body with the parent has the field; unbroken: whether all since the first have.
-    calls (SCOPE, entry_seq): calls_before counts those before the first body with the field.
+    calls: rows (SCOPE, entry_seq, each once) and their `by_stretch`; calls_before counts those before the first body with the field.
+    keep: works out a table that several others read, and reads it again (name: of the table).
+
+    The observations are read whole once, for their counts by stretches, and then only where a field begins or ends.
     """
-    rows = observed.groupBy(*SCOPE, "path", "parent", "entry_seq").agg(F.lit(1).alias("_"))  # once a body, however many items have it
-    out = rows.groupBy(*SCOPE, "path", "parent").agg(F.min("entry_seq").alias("_first"), F.max("entry_seq").alias("_last"), F.count("*").alias("present"))
+    rows = observed.select(*SCOPE, "path", "parent", "entry_seq")
+    counts = keep(by_stretch(rows, [*SCOPE, "path", "parent"], F.count_distinct("entry_seq")), "stretches")  # once a body, however many items have it
+    out = counts.groupBy(*SCOPE, "path", "parent").agg(F.min("_least").alias("_first"), F.max("_most").alias("_last"), F.sum("_n").alias("present"))
     near = [*SCOPE, "parent"]
     ends = out.where("parent is not null").select(*near, F.explode(F.array("_first", "_last")).alias("seq"))
-    of_parent = places(ends, rows.select(*SCOPE, F.col("path").alias("parent"), "entry_seq"), near)
-    out = out.join(out.select(*SCOPE, F.col("path").alias("parent"), F.col("present").alias("_all")), near, "left")
+    up = lambda df, *more: df.select(*SCOPE, F.col("path").alias("parent"), *more)
+    of_parent = keep(places(ends, up(rows, F.col("parent").alias("_parent"), "entry_seq"), up(counts, "_s", "_n", "_least"), near), "parents")
+    out = out.join(up(out, F.col("present").alias("_all")), near, "left")
     out = _with_place(_with_place(out, of_parent, near, "_last", _upto="upto", _gone="after"), of_parent, near, "_first", _from="upto")
     points = out.select(*SCOPE, F.explode(F.array_compact(F.array("_first", "_gone"))).alias("seq"))
-    of_body = places(points, rows.where("path = ''").select(*SCOPE, "entry_seq"), SCOPE)
+    of_body = keep(places(points, rows.where("path = ''").select(*SCOPE, "entry_seq"), counts.where("path = ''"), SCOPE), "bodies")
     out = _with_place(_with_place(out, of_body, SCOPE, "_first", first="upto"), of_body, SCOPE, "_gone", since="upto")
     if calls is not None:
-        out = _with_place(out, places(out.select(*SCOPE, F.col("_first").alias("seq")), calls, SCOPE), SCOPE, "_first", _calls="upto")
+        out = _with_place(out, places(out.select(*SCOPE, F.col("_first").alias("seq")), *calls, SCOPE), SCOPE, "_first", _calls="upto")
     streak = F.coalesce(F.col("_all") - F.col("_upto"), F.lit(0)).cast("long")
     return out.select(
         *SCOPE, "path", "parent", (F.col("first") - 1).alias("first"), "present", streak.alias("streak"), F.when(streak > 0, F.col("since") - 1).alias("since"),

@@ -8,6 +8,7 @@ import pytest
 from specloom.operators.observe import bodies, observe, with_template
 from specloom.sources.logs import accepted, parse_lines
 from specloom.streaming import state as S
+from specloom.streaming import tracker
 from specloom.streaming.watch import absorb
 
 
@@ -109,3 +110,23 @@ def test_decisions(spark, tmp_path):
     assert told[0] is None and told[3] is None  # the baseline, and the bad build
     for name, (_, want) in STORIES.items():
         assert [{c[1:] for c in told[k] if c[0] == name} for k in (1, 2, 4)] == want, name
+
+
+@pytest.mark.parametrize("few", [4096, 0])
+def test_counts_over_many_stretches(spark, monkeypatch, few):
+    """Places far apart, items that repeat a field in one body; the observations are read whole once and twice more at most."""
+    monkeypatch.setattr(tracker, "FEW", few, raising=False)
+    rng = random.Random(5)
+    rows = [(20_011 * k, ("GET", 200, {"id": k, **({"a": {"b": 1, "c": [{"d": 1}] * rng.randrange(4)}} if rng.random() < 0.7 else {}), **({"late": 1} if k > 40 else {"early": 1})}, None)) for k in range(70)]
+    observed = observe(bodies(with_template(log(spark, rows))), 4).select("method", "template", "scope", "entry_seq", "path", "parent")
+    n, met = observed.count(), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            met.add(batch.num_rows)
+            yield batch
+
+    found = tracker.field_states(observed.mapInArrow(counted, observed.schema)).collect()
+    want = {p: (f[0] + 1, f[1], f[2], f[3] if f[3] is None else f[3] + 1) for (_, scope, p), f in brute(rows)[1].items()}
+    assert {r["path"]: (r["first_seen"], r["present"], r["missing_streak"], r["missing_since"]) for r in found} == want and len(found) == len(want)
+    assert n <= met.value <= 3 * n
