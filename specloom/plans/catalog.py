@@ -360,8 +360,7 @@ def tracking_state(spark, sf_dir):
     """The tracking state after two batches of uneven size: that of the whole log in one."""
     log, own = with_template(entries(spark, sf_dir)), state.empty_state(spark)
     for k, part in enumerate((log.where("entry_seq < 3000"), log.where("entry_seq >= 3000"))):
-        seen = observe(bodies(part), DEPTH).persist(StorageLevel.MEMORY_AND_DISK)
-        own = state.fold(own, part, seen).write(scratch(spark, f"state-{k}"))
+        own = state.fold(own, part, observe(bodies(part), DEPTH)).write(scratch(spark, f"state-{k}"))
     return own.fields.select(*SCOPE, "path", "first", "present", "streak", "since", "is_new", "unbroken")
 
 

@@ -28,7 +28,7 @@ from ..functions.text import name_similarity
 from ..operators import diff
 from ..operators.endpoints import greedy
 from ..operators.observe import KEY, SCOPE, is_success, with_template
-from .tracker import REMOVAL_STREAK, RENAME_WINDOW, REQUIRED_STREAK, WARM_UP, by_stretch, field_counts
+from .tracker import REMOVAL_STREAK, RENAME_WINDOW, REQUIRED_STREAK, WARM_UP, by_stretch, field_counts, held
 
 SCOPES = "method string, template string, scope string, calls long, bodies long, marked long"
 FIELDS = (
@@ -64,11 +64,15 @@ def calls_of(entries: DataFrame) -> DataFrame:
     return with_template(entries).select(*KEY, "entry_seq", F.explode(F.array_compact(F.array(status, asked))).alias("scope")).select(*SCOPE, "entry_seq")
 
 
-def fold(state: State, entries: DataFrame, observed: DataFrame) -> State:
-    """The state after a batch: entries and the observations of their bodies. What is committed stays as it is."""
+def fold(state: State, entries: DataFrame, observed: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = held) -> State:
+    """The state after a batch: entries and the observations of their bodies. What is committed stays as it is.
+
+    keep: works out a table that several others read, and reads it again (name: of the table). The
+    log is read for these tables alone; the state joins them.
+    """
     calls = calls_of(entries)
-    called = by_stretch(calls, SCOPE, F.count("*"))
-    own = field_counts(observed, (calls, called))
+    called = keep(by_stretch(calls, SCOPE, F.count("*")), "calls")
+    own = keep(field_counts(observed, (calls, called), keep), "counts")
     counted = called.groupBy(*SCOPE).agg(F.sum("_n").alias("_calls"))
     tracked = own.where("path = ''").select(*SCOPE, F.col("present").alias("_bodies"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))

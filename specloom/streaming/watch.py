@@ -69,7 +69,7 @@ def absorb(spark: SparkSession, home: str, entries: DataFrame, number: int, chec
     own = parts_of(keyed, observed)
     parts = (merge([read_parts(spark, at("parts", seen[-1])), own]) if seen else own).write(at("parts"))
     before = read_state(spark, at("state", seen[-1])) if seen else empty_state(spark)
-    state = fold(before, keyed, observed).write(at("counted"))
+    state = fold(before, keyed, observed, lambda df, name: _kept(df, f"{at('work')}/{name}")).write(at("counted"))
     observed.unpersist()
     keyed.unpersist()
     built = contract_of(parts)

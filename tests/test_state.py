@@ -130,3 +130,30 @@ def test_counts_over_many_stretches(spark, monkeypatch, few):
     want = {p: (f[0] + 1, f[1], f[2], f[3] if f[3] is None else f[3] + 1) for (_, scope, p), f in brute(rows)[1].items()}
     assert {r["path"]: (r["first_seen"], r["present"], r["missing_streak"], r["missing_since"]) for r in found} == want and len(found) == len(want)
     assert n <= met.value <= 3 * n
+
+
+def test_a_batch_is_read_a_few_times(spark, tmp_path):
+    """Folding and writing a batch reads its observations and its calls for the tables that are kept, and not again for each table of the state."""
+    rows = [(20_011 * k, ("GET", 200 + k % 2, {"id": k, **({"a": {"b": 1}} if k % 3 else {}), **({"late": 1} if k > 20 else {"early": 1})}, {"q": 1} if k % 4 else None)) for k in range(40)]
+    part, met = with_template(log(spark, rows)), {}
+
+    def watched(df, name):
+        own = met[name] = (df.count(), spark.sparkContext.accumulator(0))
+
+        def counted(batches):
+            for batch in batches:
+                own[1].add(batch.num_rows)
+                yield batch
+
+        return df.mapInArrow(counted, df.schema)
+
+    observed = observe(bodies(part), 3).select("method", "template", "scope", "entry_seq", "path", "parent")
+    calls = part.select("method", "template", "params", "status", "request_body", "entry_seq")
+    state = S.fold(S.empty_state(spark), watched(calls, "calls"), watched(observed, "observed")).write(str(tmp_path / "state"))
+    counted, want = brute(rows)
+    assert {(r["method"], r["scope"]): r["calls"] for r in state.scopes.collect()} == counted
+    assert {(r["method"], r["scope"], r["path"]): (r["first"], r["present"], r["streak"], r["since"], r["is_new"], r["unbroken"]) for r in state.fields.collect()} == want
+    n, own = met["observed"]
+    assert n <= own.value <= 3 * n
+    n, own = met["calls"]
+    assert n <= own.value <= 2 * n
